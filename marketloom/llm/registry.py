@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.llm import line_dedup
+from marketloom.llm import line_dedup, mixing, sharding
 
-MODULES = {"op3_line_dedup": line_dedup}
+MODULES = {
+    "op3_line_dedup": line_dedup,
+    "op6_sharding": sharding,
+    "op7_mixing": mixing,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

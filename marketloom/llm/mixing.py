@@ -25,7 +25,7 @@ WEIGHTS = (1.0, 2.0, 3.0)
 MOST_COPIES = 3
 CHUNK = 64
 #: Documents numbered together when chunks are cut.
-BUCKET = 64 * CHUNK
+BUCKET = 16 * CHUNK
 #: A group with no more open items than this is finished by one chunk.
 FINAL = 4 * CHUNK
 #: Up to so many sources, their targets are broadcast; beyond it, joined by a shuffle.

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.llm import line_dedup, mixing, sharding
+from marketloom.llm import line_dedup, mixing, ngram_join, sharding
 
 MODULES = {
+    "op2_ngram_join": ngram_join,
     "op3_line_dedup": line_dedup,
     "op6_sharding": sharding,
     "op7_mixing": mixing,

@@ -47,3 +47,14 @@ def shuffle_parts(spark: SparkSession) -> int:
 def word_count(text: Column) -> Column:
     """How many maximal runs of characters other than SPACES; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def even_labels(spark: SparkSession, parts: int) -> list[int]:
+    """Numbers that repartition(parts, label) deals one to each partition."""
+    found: dict[int, int] = {}
+    n = 8 * parts
+    while len(found) < parts:
+        label = F.col("id").cast("int")
+        rows = spark.range(n).groupBy(F.pmod(F.hash(label), F.lit(parts)).alias("p")).agg(F.min(label)).collect()
+        found, n = {r[0]: r[1] for r in rows}, 4 * n
+    return [found[p] for p in range(parts)]

@@ -1,7 +1,7 @@
 """Similarity self-join on word shingles (Jaccard), by a size-aware heavy-light join, with connected classes.
 
 Documents with the same shingle set form a class; classes are joined, copies are never expanded. Shingles have one
-global order: rare ones first (by hash), shingles in at least a share FREQUENT of all documents last. Two sets
+global order: rare ones first (by hash), frequent ones (at most FREQUENT of them, in FREQUENT_DOCS documents or more) last. Two sets
 that reach the threshold share at least k of the first n - ceil(t n) + k shingles of each. Small (light) sets
 enumerate all 2-subsets of that prefix (k = 2), so that lists are short; large (heavy) sets enter the inverted
 list of each prefix shingle (k = 1), which are scanned. The size boundary is the one with the least estimated
@@ -10,10 +10,12 @@ cost over the table's sizes and list lengths; light sets that can pair with heav
 Lists are first linked as chains and stars: neighbours by size, and each member with the least. Verified links
 make components; then the lists that still hold several components are scanned for all pairs of members of
 different components not yet compared. So a group of near copies costs a few pairs per member, and still no link
-that would join two components is missed. Each pair is verified on the whole shingle sets.
+that would join two components is missed.
 
-Only classes that occur in a list with another class have their sets written. They are told by a bit filter of
-fixed size (FILTER_BITS), whose false hits cost a few rows and change nothing.
+A pair is first held against the two classes' bit sketches (2 to 4 bits a shingle): a bit that one sketch has and
+the other lacks is a shingle not shared, which refutes most chance pairs and never a link. What remains is
+verified on the whole shingle sets, and only the classes in such pairs have their sets written. Their documents
+are told by a bit filter of fixed size (FILTER_BITS), whose false hits cost a few rows and change nothing.
 
 Defined results: null and empty texts have no shingles, are linked with nothing and are their own component; rows
 that repeat an id share the component of their own text; null ids never name a component unless all its ids are
@@ -34,46 +36,82 @@ from pyspark.sql import functions as F
 from marketloom.llm import common, words
 from marketloom.llm.components import connected_components
 
-#: A shingle is frequent from this share of all documents on: at most (mean set size / FREQUENT) shingles are.
-FREQUENT = 1 / 1000
+#: A shingle is frequent if it is in FREQUENT_DOCS documents, and in 1/FREQUENT of all set members: so at most FREQUENT are.
+FREQUENT = 2**22
 FREQUENT_DOCS = 64
 #: ... counted over the batches in which it is in so many documents at least (only the order depends on it).
-BATCH_DOCS = 4
+BATCH_DOCS = 2
 FILTER_BITS = 2**24
 #: What scanning one list member costs, where writing one entry costs 1.
 SCAN_COST = 0.25
 #: Entries a task gathers before it writes them out by partition.
-BATCH_ENTRIES = 4_000_000
+BATCH_ENTRIES = 1_500_000
 
 
 def _row_id(doc_id: int | None, text: bytes | None) -> int:
     return xxhash.xxh64_intdigest(text or b"", seed=(doc_id or 0) & (2**64 - 1)) - 2**63
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """A bit for each shingle, at its hash modulo a power of two from 2 to 4 times the set's size (64 at least)."""
+    bits = max(64, 1 << (2 * len(s) - 1).bit_length())
+    out = np.zeros(bits, bool)
+    out[(s & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def may_link(x: bytes, y: bytes, n: int, m: int, percent: int) -> bool:
+    """False only if sets of n and m shingles with these sketches can't be similar."""
+    p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(p) > len(q):
+        p = p[: len(p) // 2] | p[len(p) // 2 :]
+    while len(q) > len(p):
+        q = q[: len(q) // 2] | q[len(q) // 2 :]
+    shared = min(n - int(np.bitwise_count(p & ~q).sum()), m - int(np.bitwise_count(q & ~p).sum()))
+    return 100 * shared >= percent * (n + m - shared)
+
+
+_SCANNED = "kind byte, doc_id long, rid long, n long, key long, sketch binary"
+
+
 def _scan(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     """kind 0: one row per document (n: set size, key: class); kind 1: key is a shingle in n documents of a batch;
     kind 2: sums over a batch, for the mean list length (key: squares, n: members)."""
+    names = ["kind", "doc_id", "rid", "n", "key", "sketch"]
+    one: dict[int, np.ndarray] = {}
+
+    def counted():
+        seen, counts = np.unique(np.concatenate(list(one.values())), return_counts=True)
+        often = counts >= BATCH_DOCS
+        m = int(often.sum())
+        kind = np.concatenate((np.ones(m, np.int8), [np.int8(2)]))
+        key = np.concatenate((seen[often].view(np.int64), [int((counts**2).sum())]))
+        n = np.concatenate((counts[often], [int(counts.sum())]))
+        for at in range(0, m + 1, 100_000):
+            x = pa.array(kind[at : at + 100_000])
+            yield pa.RecordBatch.from_arrays(
+                [x, *[pa.nulls(len(x), pa.int64())] * 2, pa.array(n[at : at + 100_000].astype(np.int64)), pa.array(key[at : at + 100_000].astype(np.int64)), pa.nulls(len(x), pa.binary())],
+                names=names,
+            )
+
     for batch, sets in words.shingle_sets(batches, "text", shingle):
         ids = batch.column(batch.schema.get_field_index("doc_id"))
         texts = words.column_bytes(batch, "text")
         keys = [xxhash.xxh64_intdigest(s.tobytes()) - 2**63 if len(s) else None for s in sets]
         rid = [_row_id(i, t) for i, t in zip(ids.to_pylist(), texts, strict=True)]
-        n = np.array([len(s) for s in sets], np.int64)
-        one = {k: s for k, s in zip(keys, sets, strict=True) if k is not None}
-        seen, counts = np.unique(np.concatenate(list(one.values())), return_counts=True) if one else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.zeros(len(n), np.int8)), ids.cast(pa.int64()), pa.array(rid, pa.int64()), pa.array(n), pa.array(keys, pa.int64())],
-            names=["kind", "doc_id", "rid", "n", "key"],
-        )
-        often = counts >= BATCH_DOCS
-        m = int(often.sum())
-        more_kind = np.concatenate((np.ones(m, np.int8), [np.int8(2)]))
-        more_key = np.concatenate((seen[often].view(np.int64), [int((counts**2).sum())]))
-        more_n = np.concatenate((counts[often], [int(counts.sum())]))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(more_kind), pa.nulls(m + 1, pa.int64()), pa.nulls(m + 1, pa.int64()), pa.array(more_n.astype(np.int64)), pa.array(more_key.astype(np.int64))],
-            names=["kind", "doc_id", "rid", "n", "key"],
+            [
+                pa.array(np.zeros(len(sets), np.int8)), ids.cast(pa.int64()), pa.array(rid, pa.int64()),
+                pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()),
+            ],
+            names=names,
         )
+        one.update((k, s) for k, s in zip(keys, sets, strict=True) if k is not None)
+        if sum(map(len, one.values())) >= 2 * BATCH_ENTRIES:
+            yield from counted()
+            one = {}
+    if one:
+        yield from counted()
 
 
 def prefix_length(n: int, percent: int, k: int) -> int:
@@ -115,7 +153,7 @@ def _entries(s: np.ndarray, frequent: np.ndarray, percent: int, boundary: int) -
     return np.concatenate(found)
 
 
-def _spread(batches: Iterator[pa.RecordBatch], frequent, percent: int, boundary: int, parts: int, shingle: int) -> Iterator[pa.RecordBatch]:
+def _spread(batches: Iterator[pa.RecordBatch], frequent, percent: int, boundary: int, labels: list[int], shingle: int) -> Iterator[pa.RecordBatch]:
     """Rows (part, entries, which, keys, sizes): packed list entries by partition of the list key."""
     frequent, done = frequent.value, set()
     tokens, which, keys, sizes, held = [], [], [], [], 0
@@ -124,16 +162,16 @@ def _spread(batches: Iterator[pa.RecordBatch], frequent, percent: int, boundary:
         nonlocal tokens, which, keys, sizes, held
         if tokens:
             t, w = np.concatenate(tokens), np.concatenate(which)
-            part = (words.mix(t) % np.uint64(parts)).astype(np.int64)
+            part = (words.mix(t) % np.uint64(len(labels))).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            t, w, ends = t[order], w[order], np.searchsorted(part[order], np.arange(parts + 1))
+            t, w, ends = t[order], w[order], np.searchsorted(part[order], np.arange(len(labels) + 1))
             k, n = np.array(keys, np.int64), np.array(sizes, np.int32)
-            for p in range(parts):
+            for p, label in enumerate(labels):
                 a, b = ends[p], ends[p + 1]
                 if a < b:
                     use, local = np.unique(w[a:b], return_inverse=True)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([p], pa.int32()), *[pa.array([x], pa.binary()) for x in (words.pack(t[a:b], 6), local.astype(np.uint32).tobytes(), k[use].tobytes(), n[use].tobytes())]],
+                        [pa.array([label], pa.int32()), *[pa.array([x], pa.binary()) for x in (words.pack(t[a:b], 6), words.pack(local, 3), k[use].tobytes(), n[use].tobytes())]],
                         names=["part", "entries", "which", "keys", "sizes"],
                     )
         tokens, which, keys, sizes, held = [], [], [], [], 0
@@ -172,7 +210,7 @@ def _lists(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
     tokens, keys, sizes = [], [], []
     for batch in batches:
         for row in batch.to_pylist():
-            local = np.frombuffer(row["which"], np.uint32)
+            local = words.unpack(row["which"], 3).astype(np.int64)
             tokens.append(words.unpack(row["entries"], 6))
             keys.append(np.frombuffer(row["keys"], np.int64)[local])
             sizes.append(np.frombuffer(row["sizes"], np.int32)[local])
@@ -228,24 +266,37 @@ def _sets(batches: Iterator[pa.RecordBatch], wanted, bits: int, shingle: int) ->
         )
 
 
+def _possible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = batch.to_pydict()
+        fits = [may_link(x, y, n, m, percent) for x, y, n, m in zip(rows["sketch_a"], rows["sketch_b"], rows["n_a"], rows["n_b"], strict=True)]
+        yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
+
+
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = batch.to_pydict()
-        good_a, good_b = [], []
-        for a, b, x, y in zip(rows["a"], rows["b"], rows["set_a"], rows["set_b"], strict=True):
+        fits = []
+        for x, y in zip(rows["set_a"], rows["set_b"], strict=True):
             p, q = words.unpack(x, 6), words.unpack(y, 6)
             shared = len(np.intersect1d(p, q, assume_unique=True))
-            if 100 * shared >= percent * (len(p) + len(q) - shared):
-                good_a.append(a)
-                good_b.append(b)
-        yield pa.RecordBatch.from_arrays([pa.array(good_a, pa.int64()), pa.array(good_b, pa.int64())], names=["a", "b"])
+            fits.append(100 * shared >= percent * (len(p) + len(q) - shared))
+        yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    left = sets.select(F.col("key").alias("a"), F.col("packed").alias("set_a"))
-    right = sets.select(F.col("key").alias("b"), F.col("packed").alias("set_b"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b")
-    return both.mapInArrow(lambda rows: _verify(rows, percent), "a long, b long").distinct()
+def _links(pairs: DataFrame, base: DataFrame, documents: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """Those of the pairs of classes that are similar."""
+    classes = documents.filter("key is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    of = lambda rows, side, *cols: rows.select(F.col("key").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in cols])
+    met = pairs.join(of(classes, "b", "n", "sketch"), "b").join(of(classes, "a", "n", "sketch"), "a")
+    possible = common.materialize(met.mapInArrow(lambda rows: _possible(rows, percent), "a long, b long"), "possible")
+    ends = possible.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    rows = documents.join(ends, "key", "left_semi").groupBy("key").agg(F.min("rid").alias("rid")).select("rid")
+    wanted = base.sparkSession.sparkContext.broadcast(_bit_filter(rows, FILTER_BITS))
+    sets = base.mapInArrow(lambda rows: _sets(rows, wanted, FILTER_BITS, shingle), "key long, packed binary")
+    sets = common.materialize(sets.withColumnRenamed("packed", "set"), "sets")
+    both = possible.join(of(sets, "b", "set"), "b").join(of(sets, "a", "set"), "a")
+    return common.materialize(both.mapInArrow(lambda rows: _verify(rows, percent), "a long, b long").distinct(), "links")
 
 
 def _bit_filter(values: DataFrame, bits: int) -> np.ndarray:
@@ -262,38 +313,32 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(documents: doc_id, rid, n, key; components: node (a class key), component (a class key))."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scanned = common.materialize(
-        base.mapInArrow(lambda rows: _scan(rows, shingle), "kind byte, doc_id long, rid long, n long, key long"), "shingled"
-    )
+    scanned = common.materialize(base.mapInArrow(lambda rows: _scan(rows, shingle), _SCANNED), "shingled")
     documents = scanned.filter("kind = 0").drop("kind")
-    total = documents.count()
     batches = scanned.filter("kind = 2").agg(F.sum("key"), F.sum("n"), F.count(F.lit(1))).first()
     list_length = 1 + ((batches[0] or 1) / max(batches[1] or 1, 1) - 1) * max(batches[2], 1)
     step = F.when(F.col("n") <= 64, F.col("n")).otherwise(F.floor(F.pow(F.lit(2.0), F.floor(F.log2("n") * 4) / 4)))
     sizes = [(int(r[0]), r[1]) for r in documents.filter("n > 0").groupBy(step.alias("size")).count().collect()]
     boundary = choose_boundary(sizes, percent, list_length)
-    least = max(FREQUENT_DOCS, int(total * FREQUENT))
+    members_ = documents.agg(F.sum("n")).first()[0] or 0
+    least = max(FREQUENT_DOCS, members_ // FREQUENT)
     often = scanned.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     frequent = np.sort(np.array([r[0] for r in often.select("key").collect()], np.int64).view(np.uint64))
     frequent = spark.sparkContext.broadcast(frequent)
-    parts = max(4 * common.shuffle_parts(spark), 1)
+    labels = common.even_labels(spark, common.shuffle_parts(spark))
     entries = base.mapInArrow(
-        lambda rows: _spread(rows, frequent, percent, boundary, parts, shingle),
+        lambda rows: _spread(rows, frequent, percent, boundary, labels, shingle),
         "part int, entries binary, which binary, keys binary, sizes binary",
     )
     lists = common.materialize(
-        entries.repartition(common.shuffle_parts(spark), "part").mapInArrow(
+        entries.repartition(len(labels), "part").mapInArrow(
             lambda rows: _lists(rows, percent), "kind byte, token long, a long, b long, n long"
         ),
         "lists",
     )
     members = lists.filter("kind = 1").select("token", F.col("a").alias("key"), "n")
-    listed = members.select("key").distinct()
-    rows = documents.join(listed, "key", "left_semi").groupBy("key").agg(F.min("rid").alias("rid")).select("rid")
-    wanted = spark.sparkContext.broadcast(_bit_filter(rows, FILTER_BITS))
-    sets = common.materialize(base.mapInArrow(lambda rows: _sets(rows, wanted, FILTER_BITS, shingle), "key long, packed binary"), "sets")
     near = lists.filter("kind = 0").select("a", "b").distinct()
-    links = common.materialize(_links(near, sets, percent), "links")
+    links = _links(near, base, documents, percent, shingle)
     joined = connected_components(links)
     tagged = common.materialize(
         members.join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")),
@@ -306,7 +351,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = (
         mixed.withColumnRenamed("key", "a").join(other, "token").filter((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
     ).join(near, ["a", "b"], "left_anti")
-    more = _links(rest, sets, percent)
+    more = _links(rest, base, documents, percent, shingle)
     return documents, connected_components(links.unionByName(more))
 
 

@@ -9,7 +9,9 @@ import pyarrow as pa
 import xxhash
 
 #: Words a task remembers before it starts its dictionary anew.
-MOST_WORDS = 2_000_000
+MOST_WORDS = 500_000
+#: Texts that are taken up together.
+SLICE = 2048
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -49,7 +51,7 @@ def column_bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
 def shingle_sets(batches: Iterator[pa.RecordBatch], text: str, k: int = 5) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Each batch with its texts' sets of k-word shingle hashes, ascending; fewer words: one hash of them all; none: empty."""
     index = Index()
-    for batch in batches:
+    for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
         if len(index) > MOST_WORDS:
             index = Index()
         parts = [index.numbers(split(t)) for t in column_bytes(batch, text)]

@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.llm import line_dedup, mixing, ngram_join, sharding
+from marketloom.llm import line_dedup, mixing, ngram_join, quality, sharding, toxicity
 
 MODULES = {
+    "op1_toxicity": toxicity,
     "op2_ngram_join": ngram_join,
     "op3_line_dedup": line_dedup,
     "op6_sharding": sharding,
     "op7_mixing": mixing,
+    "op9_quality": quality,
 }
 
 

@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.llm import line_dedup, mixing, ngram_join, quality, sharding, toxicity
+from marketloom.llm import decontamination, line_dedup, lm_scoring, mixing, neighbours, ngram_join, quality, sharding, span_dedup, toxicity
 
 MODULES = {
     "op1_toxicity": toxicity,
     "op2_ngram_join": ngram_join,
     "op3_line_dedup": line_dedup,
+    "op4_neighbours": neighbours,
+    "op5_span_dedup": span_dedup,
     "op6_sharding": sharding,
     "op7_mixing": mixing,
+    "op8_lm_scoring": lm_scoring,
     "op9_quality": quality,
+    "op10_decontamination": decontamination,
 }
 
 

@@ -1,6 +1,6 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, calibrated votes.
 
-Terms are a text's letter words, A-Z lower-cased, and the first 4 and 5 characters of each. From a sample of at
+Terms are a text's letter words, A-Z lower-cased, and the first 4, 5 and 8 characters of each. From a sample of at
 most SAMPLE labelled documents (those with the smallest hashes of id and text) the TERMS terms that tell the
 labels apart best (chi-square) make the vocabulary; document frequencies are counted over all documents. The
 sample's vectors make the index, which is bounded by SAMPLE and TERMS and broadcast: for each term the postings
@@ -47,7 +47,7 @@ def terms(text: str | None) -> Counter:
     """How often each term occurs in a text."""
     out: Counter = Counter()
     for word, n in Counter(_LETTERS.findall((text or "").translate(_LOWER))).items():
-        for term in {word, word[:4], word[:5]}:
+        for term in {word, word[:4], word[:5], word[:8]}:
             out[term] += n
     return out
 
@@ -157,14 +157,34 @@ class Model:
         return float(values[min(int(np.searchsorted(ends, raw - 1e-12)), len(values) - 1)]), self.ids[near].tolist()
 
 
+class Found(dict):
+    """Which vocabulary terms a white-space token holds, worked out once for each token."""
+
+    def __init__(self, known) -> None:
+        self.known = known
+
+    def __missing__(self, token: bytes) -> tuple:
+        if len(self) > words.MOST_WORDS:
+            self.clear()
+        letters = _LETTERS.findall(token.decode("utf-8", "replace").translate(_LOWER))
+        self[token] = found = tuple(t for w in letters for t in {w, w[:4], w[:5], w[:8]} if t in self.known)
+        return found
+
+    def counts(self, text: bytes | None) -> dict[str, int]:
+        out: dict[str, int] = {}
+        for found in filter(None, map(self.__getitem__, (text or b"").split())):
+            for t in found:
+                out[t] = out.get(t, 0) + 1
+        return out
+
+
 def _occurring(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
     """How many of a task's texts each vocabulary term is in."""
-    known, found = vocabulary.value, Counter()
+    found, total = Found(vocabulary.value), Counter()
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            ws = set(_LETTERS.findall((text or "").translate(_LOWER)))
-            found.update(known.intersection(x for w in ws for x in (w, w[:4], w[:5])))
-    yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["term", "n"])
+        for text in words.column_bytes(batch, "text"):
+            total.update(found.counts(text).keys())
+    yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], names=["term", "n"])
 
 
 def _sample_terms(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
@@ -223,16 +243,16 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
 
 def _scores(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     m = model.value
-    known, seen = m.number.keys(), {}
+    found, seen = Found(m.number.keys()), {}
     for batch in (b.slice(at, words.SLICE) for b in batches for at in range(0, b.num_rows, words.SLICE)):
         scores, evidence = [], []
-        for text in batch.column(1).to_pylist():
-            found = _in_vocabulary(text, known)
-            key = tuple(sorted(found.items()))
+        for text in words.column_bytes(batch, "text"):
+            counts = found.counts(text)
+            key = tuple(sorted(counts.items()))
             if key not in seen:
                 if len(seen) > 100_000:
                     seen.clear()
-                seen[key] = m.score(found)
+                seen[key] = m.score(counts)
             s, near = seen[key]
             scores.append(s)
             evidence.append(near)
@@ -241,15 +261,6 @@ def _scores(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch
         )
 
 
-def _in_vocabulary(text: str | None, known) -> dict[str, int]:
-    out: dict[str, int] = {}
-    for word, n in Counter(_LETTERS.findall((text or "").translate(_LOWER))).items():
-        for t in {word, word[:4], word[:5]}:
-            if t in known:
-                out[t] = out.get(t, 0) + n
-    return out
-
-
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score and nearest (ids of the examples that voted) for every row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -6,7 +6,9 @@ text, so one threshold fits all items. Block-max WAND retrieves all items at or
 items of a passage at once: with the terms in ascending order of their largest weight, those before the pivot
 (the first at which the sum of the largest weights reaches the threshold) cannot lift an item over it alone, so
 only items in later terms' postings are candidates; a candidate whose score there plus the block maxima of the
-other terms stays below the threshold is passed over; the rest are scored in full.
+other terms stays below the threshold is passed over; the rest are scored in full. Before that, passages are passed
+over together whose rare terms' largest weights, in each of at most GROUPS runs of blocks, fall short of the
+threshold less the most that frequent terms give any item of the run.
 A retrieved item counts only if word trigrams of both its question (all but the last third of its words) and
 its answer (the last third) are in the passage to a share of OVERLAP.
 
@@ -34,6 +36,7 @@ OVERLAP = 0.5
 K1, B = 1.2, 0.75
 GRAM = 3
 BLOCK = 16
+GROUPS = 24
 ITEMS = 20_000
 LEAST_WORDS, MOST_WORDS = 32, 512
 _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -96,6 +99,17 @@ class BenchmarkIndex:
         joined = lambda x: np.concatenate(x) if x else np.zeros(0)
         self.postings = (np.concatenate(([0], np.cumsum(lengths))).astype(np.int64), joined(ids), joined(weights))
         self.block_most = (np.concatenate(([0], np.cumsum(block_lengths))).astype(np.int64), joined(block_ids), joined(block_most))
+        groups = min(GROUPS, max(1, self.blocks))
+        of = lambda i: np.asarray(i) // BLOCK * groups // max(1, self.blocks)
+        self.rare = np.zeros((len(known) + 1, groups), np.float32)
+        frequent = np.zeros(n)
+        for t in range(len(known)):
+            if df[t] * 16 <= max(n, 32):
+                np.maximum.at(self.rare[t], of(ids[t]), weights[t].astype(np.float32))
+            else:
+                frequent[ids[t]] += weights[t]
+        self.frequent = np.zeros(groups, np.float32)
+        np.maximum.at(self.frequent, of(np.arange(n)), frequent.astype(np.float32))
         cut = [len(k[1]) - max(1, len(k[1]) // 3) for k in kept]
         self.parts = [(_grams(k[1][:c]), _grams(k[1][c:])) for k, c in zip(kept, cut, strict=True)]
 
@@ -145,7 +159,14 @@ def _searched(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBa
             v = np.fromiter(map(vocabulary.__getitem__, ws), np.int64, len(ws))
             starts = np.arange(0, max(len(ws) - stride, 1), stride)[: len(ws)]
             found, best = set(), 0.0
-            for s in starts.tolist():
+            if len(ws):
+                halves = np.add.reduceat(index.rare[v], np.arange(0, len(v), stride), axis=0)
+                bound = halves[: len(starts)] + index.frequent
+                bound[: len(halves) - 1] += halves[1 : len(starts) + 1]
+                starts_ = starts[(bound >= THRESHOLD - 1e-4).any(axis=1)]
+            else:
+                starts_ = starts
+            for s in starts_.tolist():
                 passage = v[s : s + 2 * stride]
                 terms = np.unique(passage)
                 for item, score in index.retrieve(terms[terms >= 0], THRESHOLD):
@@ -184,6 +205,26 @@ def find_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     )
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, in whose text no item is found."""
+    spark, at = docs.sparkSession, docs.columns.index(text_col)
+    tests = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).filter("i is not null")
+    blocks = max(1, -(-tests.count() // ITEMS))
+    for block in range(blocks):
+        part = tests if blocks == 1 else tests.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block)
+        shared = spark.sparkContext.broadcast(BenchmarkIndex([(r[0], r[1]) for r in part.collect()]))
+
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in (b.slice(i, words.SLICE) for b in batches for i in range(0, b.num_rows, words.SLICE)):
+                number = pa.array(np.arange(batch.num_rows))
+                texts = pa.RecordBatch.from_arrays([number, number, batch.column(at)], names=["doc_id", "row", "text"])
+                found = next(_searched(iter([texts]), shared)).column(3)
+                yield batch.filter(pa.array([not x for x in found.to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "n_passages", "best")

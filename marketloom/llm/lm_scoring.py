@@ -40,7 +40,7 @@ from marketloom.llm import common, words
 D, THETA = 0.8, 1.0
 D_PARENT, THETA_PARENT = 0.75, 1.0
 BURN_IN, SAMPLES = 1, 3
-BATCH_TOKENS = 2_000_000
+BATCH_TOKENS = 2_500_000
 #: A context is hot from 1/HOT of a mean partition's tokens on.
 HOT = 4
 END, START = np.uint64(xxhash.xxh64_intdigest(b"\x00end")), np.uint64(xxhash.xxh64_intdigest(b"\x00start"))
@@ -49,7 +49,7 @@ GRAIN = 1 / 2048
 
 
 def _zip(x: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(x).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(x).tobytes(), 3)
 
 
 def _unzip(data: bytes, kind) -> np.ndarray:
@@ -179,7 +179,7 @@ def _asking(rows: Iterator[pa.RecordBatch], labels: list[int]) -> Iterator[pa.Re
         for p, label in enumerate(labels):
             s = slice(ends[p], ends[p + 1])
             if ends[p] < ends[p + 1]:
-                values = [label, p, row["batch"], b.words[s].tobytes(), *[x[s].astype(np.int32).tobytes() for x in (counts, opened, followers)]]
+                values = [label, p, row["batch"], b.words[s].tobytes(), *[_zip(x[s].astype(np.int32)) for x in (counts, opened, followers)]]
                 types = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=["label", "part", "batch", "words", "counts", "opened", "followers"])
 
@@ -200,7 +200,7 @@ def _counted(rows: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBa
         by_part.setdefault(r["part"], []).append(r)
     for part, asked in by_part.items():
         h, of = np.unique(np.concatenate([np.frombuffer(r["words"], np.uint64) for r in asked]), return_inverse=True)
-        summed = lambda name: np.bincount(of, np.concatenate([np.frombuffer(r[name], np.int32) for r in asked]))  # noqa: B023, E731
+        summed = lambda name: np.bincount(of, np.concatenate([_unzip(r[name], np.int32) for r in asked]))  # noqa: B023, E731
         counts, opened, followers = summed("counts"), summed("opened"), summed("followers")
         token = h != START
         n, v = int(counts[token].sum()), int((counts[token] > 0).sum())
@@ -217,11 +217,11 @@ def _counted(rows: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBa
         for r in asked:
             s = of[at : at + len(r["words"]) // 8]
             at += len(s)
-            yield out(0, r["batch"], part, 0, 0, 0.0, 0.0, counts[s].astype(np.int64).tobytes(), np.where(known[s], mass[s], 0.0).astype(np.float32).tobytes())
+            yield out(0, r["batch"], part, 0, 0, 0.0, 0.0, _zip(counts[s].astype(np.int64)), _zip(np.where(known[s], mass[s], 0.0).astype(np.float32)))
 
 
 def _joined(row: dict, column: str, kind) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x[column], kind) for x in sorted(row["answers"], key=lambda x: x["part"])])
+    return np.concatenate([_unzip(x[column], kind) for x in sorted(row["answers"], key=lambda x: x["part"])])
 
 
 def _sending(rows: Iterator[pa.RecordBatch], labels: list[int], shared) -> Iterator[pa.RecordBatch]:
@@ -237,7 +237,7 @@ def _sending(rows: Iterator[pa.RecordBatch], labels: list[int], shared) -> Itera
             e = order[ends[p] : ends[p + 1]]
             if len(e):
                 u, runs = np.unique(b.u[e], return_counts=True)
-                blobs = [_zip(b.words[u]), _zip(runs.astype(np.int32)), _zip(np.frombuffer(words.pack(b.words[b.w[e]], 6), np.uint8)), _zip(b.count[e].astype(np.int32)), _zip(code[b.w[e]])]
+                blobs = [_zip(b.words[u]), _zip(runs.astype(np.int32)), _zip(np.frombuffer(words.pack(b.words[b.w[e]], 5), np.uint8)), _zip(b.count[e].astype(np.int32)), _zip(code[b.w[e]])]
                 values = [label, p, row["batch"], *blobs]
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5], strict=True)], names=["label", "part", "batch", "u", "runs", "w", "counts", "parent"])
 
@@ -249,7 +249,7 @@ def _seated(rows: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
         by_part.setdefault(r["part"], []).append(r)
     for part, sent in by_part.items():
         u = np.concatenate([np.repeat(_unzip(r["u"], np.uint64), _unzip(r["runs"], np.int32)) for r in sent])
-        w = np.concatenate([words.unpack(zstandard.decompress(r["w"]), 6) for r in sent])
+        w = np.concatenate([words.unpack(zstandard.decompress(r["w"]), 5) for r in sent])
         counts = np.concatenate([_unzip(r["counts"], np.int32) for r in sent])
         code = np.concatenate([_unzip(r["parent"], np.uint16) for r in sent])
         order = np.lexsort((w, u))

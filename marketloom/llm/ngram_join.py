@@ -1,16 +1,20 @@
 """Similarity self-join on word shingles (Jaccard), by a size-aware heavy-light join, with connected classes.
 
 Documents with the same shingle set form a class; classes are joined, copies are never expanded. Shingles have one
-global order: rare ones first (by hash), frequent ones (at most FREQUENT of them, in FREQUENT_DOCS documents or more) last. Two sets
+global order: rare ones first (by hash), shared ones (in FREQUENT_SETS sets or more, as far as counted) last. Two sets
 that reach the threshold share at least k of the first n - ceil(t n) + k shingles of each. Small (light) sets
 enumerate all 2-subsets of that prefix (k = 2), so that lists are short; large (heavy) sets enter the inverted
 list of each prefix shingle (k = 1), which are scanned. The size boundary is the one with the least estimated
 cost over the table's sizes and list lengths; light sets that can pair with heavy ones also enter the lists.
 
-Lists are first linked as chains and stars: neighbours by size, and each member with the least. Verified links
-make components; then the lists that still hold several components are scanned for all pairs of members of
-different components not yet compared. So a group of near copies costs a few pairs per member, and still no link
-that would join two components is missed.
+Which shingles are shared is counted over the COUNTED percent of each set with the smallest hashes and kept as a bit
+map of fixed size (SHARED_BITS); it decides the order only, so its errors cost candidates and no link.
+
+Lists are first linked as chains and stars: neighbours by size, and each member with the one that is in most lists.
+Verified links make components; then lists that still hold several components are scanned for all pairs of members
+of different components not yet compared; members of large components (LARGE) are met in blocks by each outsider
+that shares a list with one of them. So a group of near copies costs a few pairs per member, and still no link that
+would join two components is missed.
 
 A pair is first held against the two classes' bit sketches (2 to 4 bits a shingle): a bit that one sketch has and
 the other lacks is a shingle not shared, which refutes most chance pairs and never a link. What remains is
@@ -30,18 +34,20 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.llm import common, words
 from marketloom.llm.components import connected_components
 
-#: A shingle is frequent if it is in FREQUENT_DOCS documents, and in 1/FREQUENT of all set members: so at most FREQUENT are.
-FREQUENT = 2**22
-FREQUENT_DOCS = 64
-#: ... counted over the batches in which it is in so many documents at least (only the order depends on it).
-BATCH_DOCS = 2
+#: A shingle is shared if so many sets hold it.
+FREQUENT_SETS = 4
+COUNTED = 40
+#: A component is large from so many classes on; its classes are met in blocks of BLOCK.
+LARGE, BLOCK = 32, 256
 FILTER_BITS = 2**24
+SHARED_BITS = 2**27
 #: What scanning one list member costs, where writing one entry costs 1.
 SCAN_COST = 0.25
 #: Entries a task gathers before it writes them out by partition.
@@ -71,29 +77,11 @@ def may_link(x: bytes, y: bytes, n: int, m: int, percent: int) -> bool:
     return 100 * shared >= percent * (n + m - shared)
 
 
-_SCANNED = "kind byte, doc_id long, rid long, n long, key long, sketch binary"
+_SCANNED = "doc_id long, rid long, n long, key long, sketch binary"
 
 
 def _scan(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    """kind 0: one row per document (n: set size, key: class); kind 1: key is a shingle in n documents of a batch;
-    kind 2: sums over a batch, for the mean list length (key: squares, n: members)."""
-    names = ["kind", "doc_id", "rid", "n", "key", "sketch"]
-    one: dict[int, np.ndarray] = {}
-
-    def counted():
-        seen, counts = np.unique(np.concatenate(list(one.values())), return_counts=True)
-        often = counts >= BATCH_DOCS
-        m = int(often.sum())
-        kind = np.concatenate((np.ones(m, np.int8), [np.int8(2)]))
-        key = np.concatenate((seen[often].view(np.int64), [int((counts**2).sum())]))
-        n = np.concatenate((counts[often], [int(counts.sum())]))
-        for at in range(0, m + 1, 100_000):
-            x = pa.array(kind[at : at + 100_000])
-            yield pa.RecordBatch.from_arrays(
-                [x, *[pa.nulls(len(x), pa.int64())] * 2, pa.array(n[at : at + 100_000].astype(np.int64)), pa.array(key[at : at + 100_000].astype(np.int64)), pa.nulls(len(x), pa.binary())],
-                names=names,
-            )
-
+    """One row per document (n: set size, key: class)."""
     for batch, sets in words.shingle_sets(batches, "text", shingle):
         ids = batch.column(batch.schema.get_field_index("doc_id"))
         texts = words.column_bytes(batch, "text")
@@ -101,17 +89,56 @@ def _scan(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
         rid = [_row_id(i, t) for i, t in zip(ids.to_pylist(), texts, strict=True)]
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(np.zeros(len(sets), np.int8)), ids.cast(pa.int64()), pa.array(rid, pa.int64()),
-                pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()),
+                ids.cast(pa.int64()), pa.array(rid, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array(keys, pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()),
             ],
-            names=names,
+            names=["doc_id", "rid", "n", "key", "sketch"],
         )
-        one.update((k, s) for k, s in zip(keys, sets, strict=True) if k is not None)
-        if sum(map(len, one.values())) >= 2 * BATCH_ENTRIES:
-            yield from counted()
-            one = {}
-    if one:
-        yield from counted()
+
+
+def _counting(batches: Iterator[pa.RecordBatch], labels: list[int], shingle: int) -> Iterator[pa.RecordBatch]:
+    """Packed shingles of each class's COUNTED percent, by partition; a class once in a batch."""
+    held, size = {}, 0
+
+    def flush():
+        t = np.concatenate(list(held.values()))
+        part = (words.mix(t) % np.uint64(len(labels))).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        t, ends = t[order], np.searchsorted(part[order], np.arange(len(labels) + 1))
+        for p, label in enumerate(labels):
+            if ends[p] < ends[p + 1]:
+                yield pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([p], pa.int32()), pa.array([words.pack(np.sort(t[ends[p] : ends[p + 1]]) >> np.uint64(8), 6)], pa.binary())], names=["label", "part", "packed"])
+
+    for _, sets in words.shingle_sets(batches, "text", shingle):
+        for s in sets:
+            if len(s) > 2:
+                some = s[: -(-len(s) * COUNTED // 100) + 1]
+                held[xxhash.xxh64_intdigest(s.tobytes())] = some
+                size += len(some)
+        if size >= 2 * BATCH_ENTRIES:
+            yield from flush()
+            held, size = {}, 0
+    if held:
+        yield from flush()
+
+
+def _shared_at(t: np.ndarray, bits: int) -> np.ndarray:
+    """A shingle's place in its partition's bit map (by the bits that are counted)."""
+    return (words.mix((t >> np.uint64(8)) & np.uint64(2**48 - 1)) >> np.uint64(24)) % np.uint64(bits)
+
+
+def _shared(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """A bit map per partition of the shingles in FREQUENT_SETS or more, and sums for the mean list length."""
+    by_part: dict[int, list] = {}
+    for r in (r for b in batches for r in b.to_pylist()):
+        by_part.setdefault(r["part"], []).append(words.unpack(r["packed"], 6))
+    for part, packed in by_part.items():
+        t, counts = np.unique(np.concatenate(packed), return_counts=True)
+        out = np.zeros(bits, bool)
+        out[_shared_at(t[counts >= FREQUENT_SETS] << np.uint64(8), bits).astype(np.int64)] = True
+        single = counts[counts < FREQUENT_SETS]
+        values = [part, zstandard.compress(np.packbits(out, bitorder="little").tobytes(), 3), int((single**2).sum()), int(single.sum())]
+        yield pa.RecordBatch.from_arrays([pa.array([v], t_) for v, t_ in zip(values, [pa.int32(), pa.binary(), pa.int64(), pa.int64()], strict=True)], names=["part", "bits", "squares", "n"])
 
 
 def prefix_length(n: int, percent: int, k: int) -> int:
@@ -139,8 +166,9 @@ def _entries(s: np.ndarray, frequent: np.ndarray, percent: int, boundary: int) -
     n = len(s)
     if n <= 2:  # only an equal set is similar
         return s[:0]
-    at = np.searchsorted(frequent, s)
-    common_ = frequent[np.minimum(at, len(frequent) - 1)] == s if len(frequent) else np.zeros(n, bool)
+    part = (words.mix(s) % np.uint64(len(frequent))).astype(np.int64)
+    at = _shared_at(s, 8 * frequent.shape[1]).astype(np.int64)
+    common_ = ((frequent[part, at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
     ordered = np.concatenate((s[~common_], s[common_]))
     found = []
     if n <= boundary:
@@ -225,8 +253,10 @@ def _lists(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         return
     first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
     length = np.diff(np.concatenate((first, [len(t)])))
-    order = np.lexsort((k, t))
-    least = np.repeat(order[first], length)  # each list's member with the least key
+    key, of = np.unique(k, return_inverse=True)
+    met = np.bincount(of, np.repeat(length, length))[of]
+    order = np.lexsort((k, -met, t))
+    least = np.repeat(order[first], length)  # each list's member that meets most others
     a = np.concatenate((np.arange(len(t) - 1), least))
     b = np.concatenate((np.arange(1, len(t)), np.arange(len(t))))
     fits = (t[a] == t[b]) & (k[a] != k[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
@@ -284,21 +314,64 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
 
-def _links(pairs: DataFrame, base: DataFrame, documents: DataFrame, percent: int, shingle: int) -> DataFrame:
+def _of(rows: DataFrame, side: str, *columns: str) -> DataFrame:
+    return rows.select(F.col("key").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
+
+
+def _not_refuted(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    met = pairs.join(_of(classes, "b", "n", "sketch"), "b").join(_of(classes, "a", "n", "sketch"), "a")
+    return met.mapInArrow(lambda rows: _possible(rows, percent), "a long, b long")
+
+
+def _links(possible: DataFrame, base: DataFrame, documents: DataFrame, percent: int, shingle: int) -> DataFrame:
     """Those of the pairs of classes that are similar."""
-    classes = documents.filter("key is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    of = lambda rows, side, *cols: rows.select(F.col("key").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in cols])
-    met = pairs.join(of(classes, "b", "n", "sketch"), "b").join(of(classes, "a", "n", "sketch"), "a")
-    possible = common.materialize(met.mapInArrow(lambda rows: _possible(rows, percent), "a long, b long"), "possible")
+    possible = common.materialize(possible, "possible")
     ends = possible.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     rows = documents.join(ends, "key", "left_semi").groupBy("key").agg(F.min("rid").alias("rid")).select("rid")
     wanted = base.sparkSession.sparkContext.broadcast(_bit_filter(rows, FILTER_BITS))
     sets = base.mapInArrow(lambda rows: _sets(rows, wanted, FILTER_BITS, shingle), "key long, packed binary")
     sets = common.materialize(sets.withColumnRenamed("packed", "set"), "sets")
-    both = possible.join(of(sets, "b", "set"), "b").join(of(sets, "a", "set"), "a")
+    both = possible.join(_of(sets, "b", "set"), "b").join(_of(sets, "a", "set"), "a")
     return common.materialize(both.mapInArrow(lambda rows: _verify(rows, percent), "a long, b long").distinct(), "links")
 
 
+def _block_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of an outsider with the members of a block, as far as their sketches allow a link."""
+    for batch in batches:
+        a, b = [], []
+        for r in batch.to_pylist():
+            for m in r["members"]:
+                if 100 * min(m["n"], r["n"]) >= percent * max(m["n"], r["n"]) and may_link(r["sketch"], m["sketch"], r["n"], m["n"], percent):
+                    a.append(min(r["key"], m["key"]))
+                    b.append(max(r["key"], m["key"]))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _across(members: DataFrame, joined: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes of different components that share a list, as far as their sketches allow a link."""
+    sizes = joined.groupBy("component").agg(F.count(F.lit(1)).alias("classes"))
+    placed = joined.join(sizes, "component").withColumnRenamed("node", "key")
+    tagged = common.materialize(
+        members.join(placed, "key", "left").withColumn("component", F.coalesce("component", "key")).withColumn("large", F.coalesce(F.col("classes") >= LARGE, F.lit(False))),
+        "members",
+    )
+    several = tagged.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("token")
+    mixed = tagged.join(several, "token", "left_semi")
+    small = mixed.filter("not large")
+    other = small.select("token", F.col("key").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
+    fits = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.col("component") != F.col("other"))
+    pairs = small.withColumnRenamed("key", "a").join(other, "token").filter((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    near_large = mixed.filter("large").select("token", F.col("component").alias("of")).distinct()
+    outside = mixed.select("token", "key", "component").join(near_large, "token").filter("component <> of").select("key", "of").distinct()
+    block = F.pmod(F.xxhash64("key"), F.ceil(F.col("classes") / BLOCK))
+    blocks = (
+        placed.filter(F.col("classes") >= LARGE).join(classes, "key").groupBy(F.col("component").alias("of"), block.alias("block"))
+        .agg(F.collect_list(F.struct("key", "n", "sketch")).alias("members"))
+    )
+    met = outside.join(classes, "key").join(blocks, "of").select("key", "n", "sketch", "members")
+    return _not_refuted(pairs, classes, percent).unionByName(met.mapInArrow(lambda rows: _block_pairs(rows, percent), "a long, b long")).distinct()
+
+
 def _bit_filter(values: DataFrame, bits: int) -> np.ndarray:
     """A bit for each value mod bits: at most bits/64 rows reach the driver, however many values there are."""
     at = F.pmod(F.col(values.columns[0]), F.lit(bits))
@@ -313,19 +386,19 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(documents: doc_id, rid, n, key; components: node (a class key), component (a class key))."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scanned = common.materialize(base.mapInArrow(lambda rows: _scan(rows, shingle), _SCANNED), "shingled")
-    documents = scanned.filter("kind = 0").drop("kind")
-    batches = scanned.filter("kind = 2").agg(F.sum("key"), F.sum("n"), F.count(F.lit(1))).first()
-    list_length = 1 + ((batches[0] or 1) / max(batches[1] or 1, 1) - 1) * max(batches[2], 1)
+    documents = common.materialize(base.mapInArrow(lambda rows: _scan(rows, shingle), _SCANNED), "shingled")
+    labels = common.even_labels(spark, common.shuffle_parts(spark))
+    bits = max(64, SHARED_BITS // len(labels) // 64 * 64)
+    counting = base.mapInArrow(lambda rows: _counting(rows, labels, shingle), "label int, part int, packed binary")
+    maps = counting.repartition(len(labels), "label").mapInArrow(lambda rows: _shared(rows, bits), "part int, bits binary, squares long, n long").collect()
+    frequent = np.zeros((len(labels), bits // 8), np.uint8)
+    for r in maps:
+        frequent[r["part"]] = np.frombuffer(zstandard.decompress(r["bits"]), np.uint8)
+    list_length = sum(r["squares"] for r in maps) / max(sum(r["n"] for r in maps), 1)
     step = F.when(F.col("n") <= 64, F.col("n")).otherwise(F.floor(F.pow(F.lit(2.0), F.floor(F.log2("n") * 4) / 4)))
     sizes = [(int(r[0]), r[1]) for r in documents.filter("n > 0").groupBy(step.alias("size")).count().collect()]
     boundary = choose_boundary(sizes, percent, list_length)
-    members_ = documents.agg(F.sum("n")).first()[0] or 0
-    least = max(FREQUENT_DOCS, members_ // FREQUENT)
-    often = scanned.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    frequent = np.sort(np.array([r[0] for r in often.select("key").collect()], np.int64).view(np.uint64))
     frequent = spark.sparkContext.broadcast(frequent)
-    labels = common.even_labels(spark, common.shuffle_parts(spark))
     entries = base.mapInArrow(
         lambda rows: _spread(rows, frequent, percent, boundary, labels, shingle),
         "part int, entries binary, which binary, keys binary, sizes binary",
@@ -338,19 +411,10 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     members = lists.filter("kind = 1").select("token", F.col("a").alias("key"), "n")
     near = lists.filter("kind = 0").select("a", "b").distinct()
-    links = _links(near, base, documents, percent, shingle)
+    classes = documents.filter("key is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    links = _links(_not_refuted(near, classes, percent), base, documents, percent, shingle)
     joined = connected_components(links)
-    tagged = common.materialize(
-        members.join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")),
-        "members",
-    )
-    several = tagged.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("token")
-    mixed = tagged.join(several, "token", "left_semi")
-    other = mixed.select("token", F.col("key").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-    fits = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.col("component") != F.col("other"))
-    rest = (
-        mixed.withColumnRenamed("key", "a").join(other, "token").filter((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
-    ).join(near, ["a", "b"], "left_anti")
+    rest = _across(members, joined, classes, percent).join(near, ["a", "b"], "left_anti")
     more = _links(rest, base, documents, percent, shingle)
     return documents, connected_components(links.unionByName(more))
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from marketloom.llm import common, words
 
-SAMPLE = 8192
+SAMPLE = 6144
 TERMS = 1024
 #: A term of the vocabulary is in so many examples at least.
 LEAST_EXAMPLES = 5
@@ -65,39 +65,48 @@ class BlockMaxIndex:
         for i, v in enumerate(vectors):
             for t, w in v.items():
                 postings.setdefault(t, []).append((i, w))
-        self.ids, self.weights, self.starts, self.most = {}, {}, {}, {}
-        for t, rows in postings.items():
-            ids, weights = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-            self.ids[t], self.weights[t] = ids, weights
-            self.starts[t] = np.searchsorted(ids // BLOCK, np.arange(self.blocks + 1))
-            most = np.zeros(self.blocks)
-            np.maximum.at(most, ids // BLOCK, weights)
-            self.most[t] = most
+        self.terms = {t: j for j, t in enumerate(postings)}
+        ids, weights = [np.zeros(0, np.int64)], [np.zeros(0)]
+        self.starts = np.zeros((len(postings), self.blocks + 1), np.int64)
+        self.most = np.zeros((len(postings), self.blocks))
+        at = 0
+        for j, rows in enumerate(postings.values()):
+            ids.append(np.array([r[0] for r in rows]))
+            weights.append(np.array([r[1] for r in rows]))
+            self.starts[j] = at + np.searchsorted(ids[-1] // BLOCK, np.arange(self.blocks + 1))
+            np.maximum.at(self.most[j], ids[-1] // BLOCK, weights[-1])
+            at += len(rows)
+        self.ids, self.weights = np.concatenate(ids), np.concatenate(weights)
+
+    def _scored(self, at: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Examples of the blocks with a cosine above 0, and the cosines."""
+        first = self.starts[at][:, blocks].ravel()
+        length = self.starts[at][:, blocks + 1].ravel() - first
+        place = np.repeat(first - np.cumsum(length) + length, length) + np.arange(length.sum())
+        ids = self.ids[place]
+        score = np.bincount(ids, self.weights[place] * np.repeat(np.repeat(w, len(blocks)), length), minlength=self.n)
+        found = np.flatnonzero(score)
+        return found, score[found]
 
     def nearest(self, query: dict[int, float], k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples (not skip) with the largest cosine above 0, and their cosines."""
-        query = {t: w for t, w in query.items() if t in self.ids}
-        if not query:
-            return np.zeros(0, np.int64), np.zeros(0)
-        bound = sum(w * self.most[t] for t, w in query.items())
-        best_ids, best, at = np.zeros(0, np.int64), np.zeros(0), 0
+        pairs = [(self.terms[t], w) for t, w in query.items() if t in self.terms]
+        best_ids, best = np.zeros(0, np.int64), np.zeros(0)
+        if not pairs:
+            return best_ids, best
+        at, w = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
+        bound = w @ self.most[at]
         order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        while at < len(order):
-            if len(best) == k and bound[order[at]] < best[-1] - 1e-12:
-                break
-            take = order[at : at + 8]
-            at += 8
-            ids, scores = [best_ids], [best]
-            for b in take:
-                score = np.zeros(BLOCK)
-                for t, w in query.items():
-                    s = slice(self.starts[t][b], self.starts[t][b + 1])
-                    score[self.ids[t][s] - b * BLOCK] += w * self.weights[t][s]
-                hit = np.flatnonzero(score > 0)
-                ids.append(hit + b * BLOCK)
-                scores.append(score[hit])
-            ids, scores = np.concatenate(ids), np.concatenate(scores)
+        order, step, done = order[bound[order] > 0], 4, 0
+        while done < len(order):
+            if len(best) == k:  # no block below this bound can hold a better example
+                order = order[: done + int(np.searchsorted(-bound[order[done:]], -(best[-1] - 1e-12), side="right"))]
+                if done >= len(order):
+                    break
+                step = 32
+            ids, scores = self._scored(at, w, order[done : done + step])
+            done += step
+            ids, scores = np.concatenate((best_ids, ids)), np.concatenate((best, scores))
             keep = ids != skip
             ids, scores = ids[keep], scores[keep]
             first = np.lexsort((ids, -np.round(scores, 12)))[:k]
@@ -183,7 +192,7 @@ def _occurring(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.Rec
     found, total = Found(vocabulary.value), Counter()
     for batch in batches:
         for text in words.column_bytes(batch, "text"):
-            total.update(found.counts(text).keys())
+            total.update({t for x in map(found.__getitem__, set((text or b"").split())) if x for t in x})
     yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], names=["term", "n"])
 
 
@@ -268,6 +277,27 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(lambda batches: _scores(batches, shared), "doc_id long, score double, nearest array<long>")
 
 
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that score below the threshold."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, m, seen = Found(shared.value.number.keys()), shared.value, {}
+        for batch in (b.slice(i, words.SLICE) for b in batches for i in range(0, b.num_rows, words.SLICE)):
+            fine = []
+            for text in batch.column(at).cast(pa.large_binary()).to_pylist():
+                counts = found.counts(text)
+                key = tuple(sorted(counts.items()))
+                if key not in seen:
+                    if len(seen) > 100_000:
+                        seen.clear()
+                    seen[key] = m.score(counts)[0]
+                fine.append(seen[key] < threshold)
+            yield batch.filter(pa.array(fine, pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def fold(id_col: str, folds: int):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds))
 

@@ -10,7 +10,7 @@ cost over the table's sizes and list lengths; light sets that can pair with heav
 Which shingles are shared is counted over the COUNTED percent of each set with the smallest hashes and kept as a bit
 map of fixed size (SHARED_BITS); it decides the order only, so its errors cost candidates and no link.
 
-Lists are first linked as chains and stars: neighbours by size, and each member with the one that is in most lists.
+Lists are first linked as chains and stars: neighbours by size, and each member with the one with the least key.
 Verified links make components; then lists that still hold several components are scanned for all pairs of members
 of different components not yet compared; members of large components (LARGE) are met in blocks by each outsider
 that shares a list with one of them. So a group of near copies costs a few pairs per member, and still no link that
@@ -253,10 +253,8 @@ def _lists(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         return
     first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
     length = np.diff(np.concatenate((first, [len(t)])))
-    key, of = np.unique(k, return_inverse=True)
-    met = np.bincount(of, np.repeat(length, length))[of]
-    order = np.lexsort((k, -met, t))
-    least = np.repeat(order[first], length)  # each list's member that meets most others
+    order = np.lexsort((k, t))
+    least = np.repeat(order[first], length)  # each list's member with the least key, mostly the same in a group of copies
     a = np.concatenate((np.arange(len(t) - 1), least))
     b = np.concatenate((np.arange(1, len(t)), np.arange(len(t))))
     fits = (t[a] == t[b]) & (k[a] != k[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
@@ -326,7 +324,7 @@ def _not_refuted(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFram
 def _links(possible: DataFrame, base: DataFrame, documents: DataFrame, percent: int, shingle: int) -> DataFrame:
     """Those of the pairs of classes that are similar."""
     possible = common.materialize(possible, "possible")
-    ends = possible.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    ends = possible.select(F.col("a").alias("key")).distinct().unionByName(possible.select(F.col("b").alias("key")).distinct()).distinct()
     rows = documents.join(ends, "key", "left_semi").groupBy("key").agg(F.min("rid").alias("rid")).select("rid")
     wanted = base.sparkSession.sparkContext.broadcast(_bit_filter(rows, FILTER_BITS))
     sets = base.mapInArrow(lambda rows: _sets(rows, wanted, FILTER_BITS, shingle), "key long, packed binary")

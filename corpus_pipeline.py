@@ -31,10 +31,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
         F.max(F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("copies"))).cast("int").alias("_copies")
     )
     row = F.xxhash64(F.coalesce("text", F.lit("")))
-    joined = docs.join(
-        taken.filter("_copies > 0").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (row == F.col("row"))
-    )
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").alias("_of"), row.alias("_text"))  # whatever docs' columns are called
+    joined = rows.join(taken.filter("_copies > 0").hint("shuffle_hash"), F.col("_of").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("row")))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_doc.*")
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

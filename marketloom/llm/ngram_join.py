@@ -13,7 +13,8 @@ map of fixed size (SHARED_BITS); it decides the order only, so its errors cost c
 Lists are first linked as chains and stars: neighbours by size, and each member with the one with the least key.
 Verified links make components; then lists that still hold several components are scanned for all pairs of members
 of different components not yet compared; members of large components (LARGE) are met in blocks by each outsider
-that shares a list with one of them. So a group of near copies costs a few pairs per member, and still no link that
+that shares a list with one of them. A list proposes a pair only if the sets could be similar with it as the first they
+share (its place in each set is kept in thousandths); the first list they do share always does. So a group of near copies costs a few pairs per member, and still no link that
 would join two components is missed.
 
 A pair is first held against the two classes' bit sketches (2 to 4 bits a shingle): a bit that one sketch has and
@@ -161,11 +162,12 @@ def choose_boundary(sizes: list[tuple[int, int]], percent: int, list_length: flo
     return boundary
 
 
-def _entries(s: np.ndarray, frequent: np.ndarray, percent: int, boundary: int) -> np.ndarray:
-    """The list keys under which a set is entered."""
+def _entries(s: np.ndarray, frequent: np.ndarray, percent: int, boundary: int) -> tuple[np.ndarray, np.ndarray]:
+    """The list keys under which a set is entered, and for each how many thousandths of the set come before it (rounded
+    down; 0 for 2-subsets)."""
     n = len(s)
     if n <= 2:  # only an equal set is similar
-        return s[:0]
+        return s[:0], np.zeros(0, np.uint8)
     part = (words.mix(s) % np.uint64(len(frequent))).astype(np.int64)
     at = _shared_at(s, 8 * frequent.shape[1]).astype(np.int64)
     common_ = ((frequent[part, at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
@@ -178,35 +180,37 @@ def _entries(s: np.ndarray, frequent: np.ndarray, percent: int, boundary: int) -
         found.append(words.mix(low * np.uint64(3) + words.mix(high)))
     if n > boundary or n * 100 >= percent * (boundary + 1):
         found.append(ordered[: prefix_length(n, percent, 1)])
-    return np.concatenate(found)
+    before = np.minimum(np.arange(len(found[-1])) * 1000 // n, 255) if n > boundary or len(found) > 1 else np.zeros(0)
+    keys = np.concatenate(found)
+    return keys, np.concatenate((np.zeros(len(keys) - len(before)), before)).astype(np.uint8)
 
 
 def _spread(batches: Iterator[pa.RecordBatch], frequent, percent: int, boundary: int, labels: list[int], shingle: int) -> Iterator[pa.RecordBatch]:
-    """Rows (part, entries, which, keys, sizes): packed list entries by partition of the list key."""
+    """Rows (part, entries, which, before, keys, sizes): packed list entries by partition of the list key."""
     frequent, done = frequent.value, set()
-    tokens, which, keys, sizes, held = [], [], [], [], 0
+    tokens, which, places, keys, sizes, held = [], [], [], [], [], 0
 
     def flush():
-        nonlocal tokens, which, keys, sizes, held
+        nonlocal tokens, which, places, keys, sizes, held
         if tokens:
-            t, w = np.concatenate(tokens), np.concatenate(which)
+            t, w, q = np.concatenate(tokens), np.concatenate(which), np.concatenate(places)
             part = (words.mix(t) % np.uint64(len(labels))).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            t, w, ends = t[order], w[order], np.searchsorted(part[order], np.arange(len(labels) + 1))
+            t, w, q, ends = t[order], w[order], q[order], np.searchsorted(part[order], np.arange(len(labels) + 1))
             k, n = np.array(keys, np.int64), np.array(sizes, np.int32)
             for p, label in enumerate(labels):
                 a, b = ends[p], ends[p + 1]
                 if a < b:
                     use, local = np.unique(w[a:b], return_inverse=True)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([label], pa.int32()), *[pa.array([x], pa.binary()) for x in (words.pack(t[a:b], 6), words.pack(local, 3), k[use].tobytes(), n[use].tobytes())]],
-                        names=["part", "entries", "which", "keys", "sizes"],
+                        [pa.array([label], pa.int32()), *[pa.array([x], pa.binary()) for x in (words.pack(t[a:b], 6), words.pack(local, 3), q[a:b].tobytes(), k[use].tobytes(), n[use].tobytes())]],
+                        names=["part", "entries", "which", "before", "keys", "sizes"],
                     )
-        tokens, which, keys, sizes, held = [], [], [], [], 0
+        tokens, which, places, keys, sizes, held = [], [], [], [], [], 0
 
     for _, sets in words.shingle_sets(batches, "text", shingle):
         for s in sets:
-            found = _entries(s, frequent, percent, boundary)
+            found, before = _entries(s, frequent, percent, boundary)
             if len(found):
                 key = xxhash.xxh64_intdigest(s.tobytes()) - 2**63
                 if key in done:
@@ -214,6 +218,7 @@ def _spread(batches: Iterator[pa.RecordBatch], frequent, percent: int, boundary:
                 if len(done) < words.MOST_WORDS:
                     done.add(key)
                 tokens.append(found)
+                places.append(before)
                 which.append(np.full(len(found), len(keys), np.int64))
                 keys.append(key)
                 sizes.append(len(s))
@@ -234,21 +239,22 @@ def _distinct(*columns: np.ndarray) -> list[np.ndarray]:
 
 
 def _lists(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """kind 0: pairs a, b of chains and stars; kind 1: members (token, a: class, n: size) of lists with two or more."""
-    tokens, keys, sizes = [], [], []
+    """kind 0: pairs a, b of chains and stars; kind 1: members (token, a: class, n: size, before) of lists with two or more."""
+    tokens, keys, sizes, places = [], [], [], []
     for batch in batches:
         for row in batch.to_pylist():
             local = words.unpack(row["which"], 3).astype(np.int64)
             tokens.append(words.unpack(row["entries"], 6))
             keys.append(np.frombuffer(row["keys"], np.int64)[local])
             sizes.append(np.frombuffer(row["sizes"], np.int32)[local])
+            places.append(np.frombuffer(row["before"], np.uint8))
     if not tokens:
         return
-    t, n, k = _distinct(np.concatenate(tokens), np.concatenate(sizes).astype(np.int64), np.concatenate(keys))
+    t, n, k, q = _distinct(np.concatenate(tokens), np.concatenate(sizes).astype(np.int64), np.concatenate(keys), np.concatenate(places).astype(np.int64))
     first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
     length = np.diff(np.concatenate((first, [len(t)])))
     keep = np.repeat(length > 1, length)
-    t, n, k = t[keep], n[keep], k[keep]
+    t, n, k, q = t[keep], n[keep], k[keep], q[keep]
     if not len(t):
         return
     first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
@@ -262,14 +268,14 @@ def _lists(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
     low, high = _distinct(np.minimum(a, b), np.maximum(a, b))
     for at in range(0, len(low), 50_000):
         x, y = low[at : at + 50_000], high[at : at + 50_000]
-        yield _list_rows(np.zeros(len(x), np.int8), np.zeros(len(x), np.int64), x, y, np.zeros(len(x), np.int64))
+        yield _list_rows(np.zeros(len(x), np.int8), np.zeros(len(x), np.int64), x, y, *[np.zeros(len(x), np.int64)] * 2)
     for at in range(0, len(t), 50_000):
         x = k[at : at + 50_000]
-        yield _list_rows(np.ones(len(x), np.int8), t[at : at + 50_000].view(np.int64), x, x, n[at : at + 50_000])
+        yield _list_rows(np.ones(len(x), np.int8), t[at : at + 50_000].view(np.int64), x, x, n[at : at + 50_000], q[at : at + 50_000])
 
 
 def _list_rows(*columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "token", "a", "b", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "token", "a", "b", "n", "before"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], wanted, bits: int, shingle: int) -> Iterator[pa.RecordBatch]:
@@ -356,8 +362,12 @@ def _across(members: DataFrame, joined: DataFrame, classes: DataFrame, percent:
     several = tagged.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("token")
     mixed = tagged.join(several, "token", "left_semi")
     small = mixed.filter("not large")
-    other = small.select("token", F.col("key").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
+    other = small.select("token", F.col("key").alias("b"), F.col("n").alias("m"), F.col("before").alias("passed"), F.col("component").alias("other"))
     fits = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.col("component") != F.col("other"))
+    # No shingle before the first that two sets share is shared, so what comes from there on bounds what they share.
+    left = lambda n, passed: F.col(n) - F.ceil(F.col(n) * F.col(passed) / 1000 - 1e-6)
+    most = F.least(left("n", "before"), left("m", "passed"))
+    fits = fits & (most * 100 >= (F.col("n") + F.col("m") - most) * percent)
     pairs = small.withColumnRenamed("key", "a").join(other, "token").filter((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
     near_large = mixed.filter("large").select("token", F.col("component").alias("of")).distinct()
     outside = mixed.select("token", "key", "component").join(near_large, "token").filter("component <> of").select("key", "of").distinct()
@@ -399,15 +409,15 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     frequent = spark.sparkContext.broadcast(frequent)
     entries = base.mapInArrow(
         lambda rows: _spread(rows, frequent, percent, boundary, labels, shingle),
-        "part int, entries binary, which binary, keys binary, sizes binary",
+        "part int, entries binary, which binary, before binary, keys binary, sizes binary",
     )
     lists = common.materialize(
         entries.repartition(len(labels), "part").mapInArrow(
-            lambda rows: _lists(rows, percent), "kind byte, token long, a long, b long, n long"
+            lambda rows: _lists(rows, percent), "kind byte, token long, a long, b long, n long, before long"
         ),
         "lists",
     )
-    members = lists.filter("kind = 1").select("token", F.col("a").alias("key"), "n")
+    members = lists.filter("kind = 1").select("token", F.col("a").alias("key"), "n", "before")
     near = lists.filter("kind = 0").select("a", "b").distinct()
     classes = documents.filter("key is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     links = _links(_not_refuted(near, classes, percent), base, documents, percent, shingle)

@@ -11,13 +11,14 @@ Which shingles are shared is counted over the COUNTED percent of each set with t
 map of fixed size (SHARED_BITS); it decides the order only, so its errors cost candidates and no link.
 
 Lists are first linked as chains and stars: neighbours by size, and each member with the one with the least key.
-Verified links make components; then lists that still hold several components are scanned for all pairs of members
-of different components not yet compared; members of large components (LARGE) are met in blocks by each outsider
-that shares a list with one of them. A list proposes a pair only if the sets could be similar with it as the first they
-share (its place in each set is kept in thousandths); the first list they do share always does. So a group of near copies costs a few pairs per member, and still no link that
-would join two components is missed.
-
-A pair is first held against the two classes' bit sketches (2 to 4 bits a shingle): a bit that one sketch has and
+Verified links make components; then lists that still hold several components are scanned, in blocks, for all pairs
+of members of different components not yet compared. A list proposes a pair only if the sets could be similar with
+it as the first they share (its place in each set is kept in thousandths); the first list they do share always does.
+For long lists the scan holds blocks against each other by bit sketches within its tasks, as whole arrays, and writes only what the
+sketches leave. So a group of near copies costs a few pairs per member, and still no link that would join two
+components is missed.
+
+A pair is first held against the two classes' bit sketches (4 to 8 bits a shingle): a bit that one sketch has and
 the other lacks is a shingle not shared, which refutes most chance pairs and never a link. What remains is
 verified on the whole shingle sets, and only the classes in such pairs have their sets written. Their documents
 are told by a bit filter of fixed size (FILTER_BITS), whose false hits cost a few rows and change nothing.
@@ -45,8 +46,10 @@ from marketloom.llm.components import connected_components
 #: A shingle is shared if so many sets hold it.
 FREQUENT_SETS = 4
 COUNTED = 40
-#: A component is large from so many classes on; its classes are met in blocks of BLOCK.
-LARGE, BLOCK = 32, 256
+#: Lists of so many members are scanned in blocks of about BLOCK.
+LONG, BLOCK = 24, 256
+#: Bytes of a sketch that blocks carry at most to a comparison.
+MOST_FOLDED = 1024
 FILTER_BITS = 2**24
 SHARED_BITS = 2**27
 #: What scanning one list member costs, where writing one entry costs 1.
@@ -60,8 +63,8 @@ def _row_id(doc_id: int | None, text: bytes | None) -> int:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """A bit for each shingle, at its hash modulo a power of two from 2 to 4 times the set's size (64 at least)."""
-    bits = max(64, 1 << (2 * len(s) - 1).bit_length())
+    """A bit for each shingle, at its hash modulo a power of two from 4 to 8 times the set's size (64 at least)."""
+    bits = max(64, 1 << (4 * len(s) - 1).bit_length())
     out = np.zeros(bits, bool)
     out[(s & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").tobytes()
@@ -339,45 +342,78 @@ def _links(possible: DataFrame, base: DataFrame, documents: DataFrame, percent:
     return common.materialize(both.mapInArrow(lambda rows: _verify(rows, percent), "a long, b long").distinct(), "links")
 
 
+def _folded(sketches: list[bytes], bits: int) -> np.ndarray:
+    """One row of words per sketch, folded to so many bits."""
+    out = np.zeros((len(sketches), bits // 64), np.uint64)
+    for i, s in enumerate(sketches):
+        w = np.frombuffer(s, np.uint64)
+        out[i] = np.bitwise_or.reduce(w.reshape(-1, bits // 64), axis=0)
+    return out
+
+
+def _unlike_components(x: dict, y: dict, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in x and y of members of different components that may be similar, by size, place and folded sketch."""
+    n, m = x["n"][:, None], y["n"][None, :]
+    # No shingle before the first that two sets share is shared, so what comes from there on bounds what they share.
+    most = np.minimum(x["left"][:, None], y["left"][None, :])
+    fits = (x["component"][:, None] != y["component"][None, :]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (100 * most >= percent * (n + m - most))
+    i, j = np.nonzero(fits)
+    bits = 8 * min(MOST_FOLDED, *(len(s) for s in x["sketch"]), *(len(s) for s in y["sketch"]))
+    p, q = _folded(x["sketch"], bits), _folded(y["sketch"], bits)
+    kept = []
+    for at in range(0, len(i), 65_536):  # so many pairs at once
+        u, v = i[at : at + 65_536], j[at : at + 65_536]
+        a, b = p[u], q[v]
+        shared = np.minimum(x["n"][u] - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64), y["n"][v] - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
+        kept.append(at + np.flatnonzero(100 * shared >= percent * (x["n"][u] + y["n"][v] - shared)))
+    kept = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+    return i[kept], j[kept]
+
+
+def _members_of(block: list[dict]) -> dict:
+    out = {c: np.array([r[c] for r in block], np.int64) for c in ("key", "n", "component", "before")}
+    out["left"] = out["n"] + (-out["n"] * out["before"]) // 1000  # at least ceil(n * before / 1000) come before
+    return out | {"sketch": [r["sketch"] for r in block]}
+
+
 def _block_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of an outsider with the members of a block, as far as their sketches allow a link."""
+    """Pairs of members of two blocks of a list, as far as their sketches allow a link."""
     for batch in batches:
-        a, b = [], []
-        for r in batch.to_pylist():
-            for m in r["members"]:
-                if 100 * min(m["n"], r["n"]) >= percent * max(m["n"], r["n"]) and may_link(r["sketch"], m["sketch"], r["n"], m["n"], percent):
-                    a.append(min(r["key"], m["key"]))
-                    b.append(max(r["key"], m["key"]))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        for row in (batch.slice(at, 1).to_pylist()[0] for at in range(batch.num_rows)):
+            x = _members_of(row["members"])
+            y = _members_of(row["others"])
+            i, j = _unlike_components(x, y, percent)
+            low, high = np.minimum(x["key"][i], y["key"][j]), np.maximum(x["key"][i], y["key"][j])
+            low, high = _distinct(low, high)
+            if len(low):
+                yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["a", "b"])
 
 
 def _across(members: DataFrame, joined: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of different components that share a list, as far as their sketches allow a link."""
-    sizes = joined.groupBy("component").agg(F.count(F.lit(1)).alias("classes"))
-    placed = joined.join(sizes, "component").withColumnRenamed("node", "key")
-    tagged = common.materialize(
-        members.join(placed, "key", "left").withColumn("component", F.coalesce("component", "key")).withColumn("large", F.coalesce(F.col("classes") >= LARGE, F.lit(False))),
-        "members",
-    )
-    several = tagged.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("token")
-    mixed = tagged.join(several, "token", "left_semi")
-    small = mixed.filter("not large")
-    other = small.select("token", F.col("key").alias("b"), F.col("n").alias("m"), F.col("before").alias("passed"), F.col("component").alias("other"))
-    fits = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.col("component") != F.col("other"))
+    """Pairs of classes of different components that share a list, as far as their sketches allow a link.
+
+    Lists of fewer than LONG members are joined with themselves, so that no sketch travels with their members. A longer
+    one goes in blocks of about BLOCK members with their sketches; blocks meet within tasks, so that what is written
+    is what the sketches leave of them."""
+    placed = joined.withColumnRenamed("node", "key")
+    tagged = common.materialize(members.join(placed, "key", "left").withColumn("component", F.coalesce("component", "key")), "members")
+    several = tagged.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("length")).filter("x < y")
+    several = common.materialize(several.select("token", "length"), "several")
+    short = tagged.join(several.filter(F.col("length") < LONG).select("token"), "token", "left_semi")
+    other = short.select("token", F.col("key").alias("b"), F.col("n").alias("m"), F.col("before").alias("passed"), F.col("component").alias("other"))
     # No shingle before the first that two sets share is shared, so what comes from there on bounds what they share.
     left = lambda n, passed: F.col(n) - F.ceil(F.col(n) * F.col(passed) / 1000 - 1e-6)
     most = F.least(left("n", "before"), left("m", "passed"))
-    fits = fits & (most * 100 >= (F.col("n") + F.col("m") - most) * percent)
-    pairs = small.withColumnRenamed("key", "a").join(other, "token").filter((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
-    near_large = mixed.filter("large").select("token", F.col("component").alias("of")).distinct()
-    outside = mixed.select("token", "key", "component").join(near_large, "token").filter("component <> of").select("key", "of").distinct()
-    block = F.pmod(F.xxhash64("key"), F.ceil(F.col("classes") / BLOCK))
-    blocks = (
-        placed.filter(F.col("classes") >= LARGE).join(classes, "key").groupBy(F.col("component").alias("of"), block.alias("block"))
-        .agg(F.collect_list(F.struct("key", "n", "sketch")).alias("members"))
-    )
-    met = outside.join(classes, "key").join(blocks, "of").select("key", "n", "sketch", "members")
-    return _not_refuted(pairs, classes, percent).unionByName(met.mapInArrow(lambda rows: _block_pairs(rows, percent), "a long, b long")).distinct()
+    fits = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.col("component") != F.col("other")) & (most * 100 >= (F.col("n") + F.col("m") - most) * percent)
+    pairs = short.withColumnRenamed("key", "a").join(other, "token").filter((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    blocks = F.ceil(F.col("length") / BLOCK).alias("blocks")
+    mixed = tagged.join(several.filter(F.col("length") >= LONG).select("token", blocks), "token").join(classes.select("key", "sketch"), "key")
+    member = F.struct("key", "n", "component", "before", "sketch")
+    block = F.pmod(F.xxhash64("key"), F.col("blocks")).alias("block")
+    long = common.materialize(mixed.groupBy("token", block).agg(F.collect_list(member).alias("members")), "blocks")
+    second = long.select("token", F.col("block").alias("second"), F.col("members").alias("others"))
+    met = long.join(second, "token").filter("block <= second").select("members", "others")
+    return pairs.unionByName(met.mapInArrow(lambda rows: _block_pairs(rows, percent), "a long, b long")).distinct()
 
 
 def _bit_filter(values: DataFrame, bits: int) -> np.ndarray:
@@ -422,7 +458,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = documents.filter("key is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     links = _links(_not_refuted(near, classes, percent), base, documents, percent, shingle)
     joined = connected_components(links)
-    rest = _across(members, joined, classes, percent).join(near, ["a", "b"], "left_anti")
+    rest = _not_refuted(_across(members, joined, classes, percent).join(near, ["a", "b"], "left_anti"), classes, percent)
     more = _links(rest, base, documents, percent, shingle)
     return documents, connected_components(links.unionByName(more))
 

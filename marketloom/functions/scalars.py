@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Spellings of the home currency.
-HOME_SPELLINGS = ["", "UAH", "ГРН", "₴", "UA", "ГРИВНА", "ГРИВНІ"]
+# Spellings of currencies.
+CURRENCIES = {"UAH": ["", "UAH", "ГРН", "₴", "HUA"], "USD": ["USD", "$", "US$"], "EUR": ["EUR", "€"]}
 # Query parameters that only track visitors.
 TRACKING = "utm_source|utm_medium|utm_campaign|utm_term|utm_content|gclid|fbclid|ref"
 # Phrases that say whether a product can be bought.
@@ -32,9 +32,9 @@ def parse_page_price(text: Column) -> Column:
 
 
 def currency_code(text: Column) -> Column:
-    """Upper-case code without points; home spellings and nothing become UAH, other codes stay."""
+    """Upper-case code without points; other spellings of a code become it, nothing becomes UAH, unknown codes stay."""
     code = F.upper(F.replace(F.trim(F.coalesce(text, F.lit(""))), F.lit("."), F.lit("")))
-    return F.when(code.isin(HOME_SPELLINGS), "UAH").otherwise(code)
+    return F.coalesce(*[F.when(code.isin(spellings), name) for name, spellings in CURRENCIES.items()], code)
 
 
 def discount_percent(old: Column, now: Column) -> Column:

@@ -3,19 +3,21 @@
 Restaurants are contexts (the word before, or the start of a text); all share one parent, the restaurant of single
 words, over a uniform base of the V training tokens and one unknown. A child's tables are the parent's customers.
 
-1. Texts become batches of token numbers (written to the shared folder). 2. Each batch sends its words' counts, and
-how many tables its pairs open (the first state seats each batch's customers of a pair at one table), to the
-partition of the word's hash: there counts are summed, the parent is seated by Gibbs sweeps, and counts and parent
-probabilities go back to the batches that asked. 3. Each batch sends its distinct pairs, with training counts and the
-parent's probability, to the partition of the context's hash; contexts with a large share of all tokens are dealt over
-several by the following word's hash, with broadcast totals (at most HOT * partitions + 1 of them). There the
-restaurants are seated by Gibbs sweeps: the customers of one dish are lifted and seated anew by the Chinese restaurant
-rule (waiting times to the next new table are beta-geometric, so a dish costs as many steps as tables), and the
-move is accepted by Metropolis-Hastings; predictive probabilities are averaged over the sweeps after burn-in.
-4. The batches add up their texts' log probabilities. Only pre-aggregated pairs and words are shuffled, never texts;
-nothing of the size of the vocabulary is broadcast or collected.
-
-Table totals of a restaurant are those of the sweep before, and the parent is sampled from the first state.
+1. Texts become batches of token numbers (written to the shared folder). 2. Each batch sends its words' counts to the
+partition of the word's hash; the sums go back to the batches. 3. Each batch sends its distinct pairs with training
+counts to the partition of the context's hash; contexts with a large share of all tokens are dealt over several by the
+following word's hash, with broadcast totals (at most HOT * partitions + 1 of them). There equal pairs of all batches
+become one dish, so the first state (one table for each pair) does not depend on batches or partitions. 4. BURN_IN +
+SAMPLES times: the tables of each word in all restaurants of a partition are summed and sent to the word's partition,
+where the parent is seated anew for these customers by Gibbs sweeps; its probabilities go back to the partitions of the
+contexts, and their restaurants are seated by one Gibbs sweep: the customers of one dish are lifted and seated anew by
+the Chinese restaurant rule (waiting times to the next new table are beta-geometric, so a dish costs as many steps as
+tables), and the move is accepted by Metropolis-Hastings. Predictive probabilities are averaged over the sweeps after
+burn-in. 5. The batches add up their texts' log probabilities. Only pre-aggregated pairs and words are shuffled, never
+texts; nothing of the size of the vocabulary is broadcast or collected.
+
+What is approximate: within a sweep the parent's probabilities and the restaurants' table totals are those of its
+start, and a dish's last weight is kept although they have changed.
 
 Defined results: null and empty texts are the end token alone; words that no training text holds share the unknown's
 probability; a null id is never held out; repeated rows count as often as they occur; an empty table gives no rows;
@@ -84,23 +86,24 @@ def reseat(c: np.ndarray, a: np.ndarray, step: np.ndarray, d: float, rng: np.ran
     return t, weight
 
 
-def gibbs(c: np.ndarray, t: np.ndarray, base: np.ndarray, group: np.ndarray, customers: np.ndarray, elsewhere: np.ndarray,
-          d: float, theta: float, rng: np.random.Generator) -> np.ndarray:
-    """Averaged predictive probabilities of dishes: c customers (0: not seen) and t tables each in restaurant group,
-    base the parent's probability; customers: of all dishes, and elsewhere: tables in other partitions, by restaurant."""
+def gibbs(c: np.ndarray, t: np.ndarray, weight: np.ndarray, base: np.ndarray, group: np.ndarray, customers: np.ndarray, elsewhere: np.ndarray,
+          d: float, theta: float, rng: np.random.Generator, burn_in: int, samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Averaged predictive probabilities of dishes, and the last tables and weights: c customers (0: not seen) and t
+    tables each in restaurant group, weight the log weight of that seating (-inf: none drawn yet), base the parent's
+    probability; customers: of all dishes, and elsewhere: tables in other partitions, by restaurant."""
     seen = np.flatnonzero(c > 0)
-    t, weight, total = t.astype(float).copy(), np.full(len(c), -np.inf), np.zeros(len(c))
-    for sweep in range(BURN_IN + SAMPLES):
+    t, weight, total = t.astype(float), weight.astype(float), np.zeros(len(c))
+    for sweep in range(burn_in + samples):
         tables = elsewhere + np.bincount(group, t, minlength=len(customers))
         mass = (theta + d * (tables[group[seen]] - t[seen] + 1)) * base[seen]
         new, w = reseat(c[seen], mass, d * base[seen], d, rng)
         with np.errstate(invalid="ignore"):
             take = (weight[seen] == -np.inf) | (np.log(rng.random(len(seen))) < w - weight[seen])
         t[seen[take]], weight[seen[take]] = new[take], w[take]
-        if sweep >= BURN_IN:
+        if sweep >= burn_in:
             tables = elsewhere + np.bincount(group, t, minlength=len(customers))
             total += (c - d * t * (c > 0) + (theta + d * tables[group]) * base) / (theta + customers[group])
-    return total / SAMPLES
+    return total / max(samples, 1), t, weight
 
 
 def _part(h: np.ndarray, parts: int) -> np.ndarray:
@@ -171,108 +174,201 @@ class Batch:
 def _asking(rows: Iterator[pa.RecordBatch], labels: list[int]) -> Iterator[pa.RecordBatch]:
     for row in (r for b in rows for r in b.to_pylist()):
         b = Batch(row)
-        n, seen = len(b.words), b.count > 0
+        n = len(b.words)
         counts = np.bincount(b.tokens[b.train], minlength=n)
         counts[b.words == START] = int(np.sum(~np.array(row["held"], bool)))
-        opened, followers = np.bincount(b.w[seen], minlength=n), np.bincount(b.u[seen], minlength=n)
         ends = b.bounds(_part(b.words, len(labels)), len(labels))
         for p, label in enumerate(labels):
             s = slice(ends[p], ends[p + 1])
             if ends[p] < ends[p + 1]:
-                values = [label, p, row["batch"], b.words[s].tobytes(), *[_zip(x[s].astype(np.int32)) for x in (counts, opened, followers)]]
-                types = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=["label", "part", "batch", "words", "counts", "opened", "followers"])
+                values = [label, p, row["batch"], b.words[s].tobytes(), _zip(counts[s].astype(np.int32))]
+                types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=["label", "part", "batch", "words", "counts"])
 
 
-_COUNTED = "kind byte, batch long, part int, a long, b long, x double, y double, counts binary, parent binary"
+_COUNTED = "kind byte, batch long, part int, a long, b long, counts binary"
 
 
-def _counted(rows: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """kind 0: answers to batches; kind 1: sums of a partition (a: tokens, b: distinct, x: mass, y: the unknown's);
-    kind 2: hot contexts (batch: hash, a: tokens, b: tables)."""
+def _counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """kind 0: answers to batches; kind 1: sums of a partition (a: tokens, b: distinct); kind 2: hot contexts (batch:
+    hash, a: tokens)."""
 
     def out(*values) -> pa.RecordBatch:
-        types = [pa.int8(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary()]
+        types = [pa.int8(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=[c.split()[0] for c in _COUNTED.split(", ")])
 
-    by_part: dict[int, list] = {}
-    for r in (r for b in rows for r in b.to_pylist()):
-        by_part.setdefault(r["part"], []).append(r)
-    for part, asked in by_part.items():
+    for part, asked in _by_part(rows).items():
         h, of = np.unique(np.concatenate([np.frombuffer(r["words"], np.uint64) for r in asked]), return_inverse=True)
-        summed = lambda name: np.bincount(of, np.concatenate([_unzip(r[name], np.int32) for r in asked]))  # noqa: B023, E731
-        counts, opened, followers = summed("counts"), summed("opened"), summed("followers")
+        counts = np.bincount(of, np.concatenate([_unzip(r["counts"], np.int32) for r in asked]))
         token = h != START
         n, v = int(counts[token].sum()), int((counts[token] > 0).sum())
-        base = 1.0 / (v * parts + 1)
-        group, rng = np.zeros(len(h), np.int64), np.random.default_rng([7, part])
-        elsewhere = np.array([float(v) * (parts - 1)])
-        mass = gibbs(opened * token, np.minimum(opened, 1), np.full(len(h), base), group, np.array([0.0]), elsewhere, D_PARENT, THETA_PARENT, rng) * THETA_PARENT
-        unknown = (THETA_PARENT + D_PARENT * v * parts) * base
-        known = token & (counts > 0)
-        yield out(1, 0, part, n, v, float(mass[known].sum()), unknown, None, None)
+        yield out(1, 0, part, n, v, None)
         for i in np.flatnonzero((counts * HOT >= max(n, HOT * 1000)) | ~token):
-            yield out(2, int(h[i].view(np.int64)), part, int(counts[i]), int(followers[i]), 0.0, 0.0, None, None)
+            yield out(2, int(h[i].view(np.int64)), part, int(counts[i]), 0, None)
         at = 0
         for r in asked:
             s = of[at : at + len(r["words"]) // 8]
             at += len(s)
-            yield out(0, r["batch"], part, 0, 0, 0.0, 0.0, _zip(counts[s].astype(np.int64)), _zip(np.where(known[s], mass[s], 0.0).astype(np.float32)))
+            yield out(0, r["batch"], part, 0, 0, _zip(counts[s].astype(np.int64)))
+
+
+def _by_part(rows: Iterator[pa.RecordBatch]) -> dict[int, list]:
+    found: dict[int, list] = {}
+    for r in (r for b in rows for r in b.to_pylist()):
+        found.setdefault(r["part"], []).append(r)
+    return found
 
 
 def _joined(row: dict, column: str, kind) -> np.ndarray:
     return np.concatenate([_unzip(x[column], kind) for x in sorted(row["answers"], key=lambda x: x["part"])])
 
 
+#: What partitions send each other: label and part say to whom, source (a partition or a batch) from whom.
+_SENT = "kind byte, label int, part int, source long, a long, x double, y double, blobs array<binary>"
+#: Pairs of a batch; the restaurants of a partition; tables by word; the parent's masses by word; sums of the parent
+#: (a: tables, x: mass, y: the unknown's); tables of a hot context (source: hash, a: tables).
+PAIRS, STATE, OPENED, MASSES, PARENT, TABLES = range(6)
+
+
+def _sent(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int8(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary())]
+    columns = list(zip(*rows, strict=True)) or [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=[c.split()[0] for c in _SENT.split(", ")])
+
+
 def _sending(rows: Iterator[pa.RecordBatch], labels: list[int], shared) -> Iterator[pa.RecordBatch]:
-    hot, total, unknown = shared.value["hot"], shared.value["mass"], shared.value["unknown"]
     for row in (r for b in rows for r in b.to_pylist()):
         b = Batch(row)
-        parent = _joined(row, "parent", np.float32).astype(float)
-        parent = np.where(parent > 0, parent, unknown) / total
-        code = np.minimum(np.round(-np.log10(parent) / GRAIN), 65535).astype(np.uint16)
-        order, part = b.dealt(hot, len(labels))
+        order, part = b.dealt(shared.value["hot"], len(labels))
         ends = b.bounds(part, len(labels))
         for p, label in enumerate(labels):
             e = order[ends[p] : ends[p + 1]]
             if len(e):
                 u, runs = np.unique(b.u[e], return_counts=True)
-                blobs = [_zip(b.words[u]), _zip(runs.astype(np.int32)), _zip(np.frombuffer(words.pack(b.words[b.w[e]], 5), np.uint8)), _zip(b.count[e].astype(np.int32)), _zip(code[b.w[e]])]
-                values = [label, p, row["batch"], *blobs]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5], strict=True)], names=["label", "part", "batch", "u", "runs", "w", "counts", "parent"])
+                blobs = [_zip(b.words[u]), _zip(runs.astype(np.int32)), _zip(b.words[b.w[e]]), _zip(b.count[e].astype(np.int32))]
+                yield _sent([(PAIRS, label, p, row["batch"], 0, 0.0, 0.0, blobs)])
+
+
+def _pairs(sent: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Context, word and training count of the distinct pairs in order of the hashes, and the pair of each sent one."""
+    u = np.concatenate([np.repeat(_unzip(r["blobs"][0], np.uint64), _unzip(r["blobs"][1], np.int32)) for r in sent])
+    w = np.concatenate([_unzip(r["blobs"][2], np.uint64) for r in sent])
+    counts = np.concatenate([_unzip(r["blobs"][3], np.int32) for r in sent])
+    order = np.lexsort((w, u))
+    new = np.ones(len(u), bool)
+    new[1:] = (u[order][1:] != u[order][:-1]) | (w[order][1:] != w[order][:-1])
+    of = np.empty(len(u), np.int64)
+    of[order] = np.cumsum(new) - 1
+    first = order[new]
+    return u[first], w[first], np.bincount(of, counts).astype(np.int64), of
+
+
+class Restaurants:
+    """The restaurants of a partition: contexts with their pairs, the pairs' words (numbers into words, which are in
+    order of partition and hash), customers, tables, weights and summed predictive probabilities."""
+
+    KINDS = {"context": np.uint64, "runs": np.int32, "words": np.uint64, "w": np.int32, "c": np.int32, "t": np.int32, "weight": np.float32, "total": np.float32}
+
+    def __init__(self, **columns: np.ndarray) -> None:
+        self.__dict__.update(columns)
+        self.group = np.repeat(np.arange(len(self.context)), self.runs)
+
+    @classmethod
+    def of_pairs(cls, u: np.ndarray, w: np.ndarray, c: np.ndarray, parts: int) -> Restaurants:
+        context, runs = np.unique(u, return_counts=True)
+        known, at = np.unique(w, return_inverse=True)
+        order = np.lexsort((known, _part(known, parts)))
+        place = np.argsort(order)
+        # one customer has one table, whatever is drawn
+        return cls(context=context, runs=runs, words=known[order], w=place[at], c=c, t=np.minimum(c, 1), weight=np.where(c > 1, -np.inf, 0.0), total=np.zeros(len(c)))
 
+    @classmethod
+    def unpack(cls, blobs: list[bytes]) -> Restaurants:
+        return cls(**{k: _unzip(x, kind) for (k, kind), x in zip(cls.KINDS.items(), blobs, strict=True)})
 
-def _seated(rows: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    hot = shared.value["hot"]
-    by_part: dict[int, list] = {}
-    for r in (r for b in rows for r in b.to_pylist()):
-        by_part.setdefault(r["part"], []).append(r)
-    for part, sent in by_part.items():
-        u = np.concatenate([np.repeat(_unzip(r["u"], np.uint64), _unzip(r["runs"], np.int32)) for r in sent])
-        w = np.concatenate([words.unpack(zstandard.decompress(r["w"]), 5) for r in sent])
-        counts = np.concatenate([_unzip(r["counts"], np.int32) for r in sent])
-        code = np.concatenate([_unzip(r["parent"], np.uint16) for r in sent])
-        order = np.lexsort((w, u))
-        new = np.ones(len(u), bool)
-        new[1:] = (u[order][1:] != u[order][:-1]) | (w[order][1:] != w[order][:-1])
-        of = np.empty(len(u), np.int64)
-        of[order] = np.cumsum(new) - 1
-        first = order[new]
-        c = np.bincount(of, counts)
-        t = np.bincount(of, counts > 0)
-        context, group = np.unique(u[first], return_inverse=True)
-        customers, elsewhere = np.bincount(group, c), np.zeros(len(context))
-        here = np.bincount(group, t)
-        for i, h in enumerate(context.tolist()):
+    def pack(self) -> list[bytes]:
+        return [_zip(getattr(self, k).astype(kind)) for k, kind in self.KINDS.items()]
+
+    def sweep(self, base: np.ndarray, hot: dict, tables: dict, rng: np.random.Generator) -> np.ndarray:
+        """Seats all dishes once, base being the parent's probabilities of words; returns the predictive probabilities."""
+        customers, elsewhere = np.bincount(self.group, self.c, minlength=len(self.context)), np.zeros(len(self.context))
+        here = np.bincount(self.group, self.t, minlength=len(self.context))
+        for i, h in enumerate(self.context.tolist()):
             if h in hot:
-                customers[i], elsewhere[i] = hot[h][0], max(0.0, hot[h][1] - here[i])
-        base = 10.0 ** (-code[first].astype(float) * GRAIN)
-        p = gibbs(c, t, base, group, customers, elsewhere, D, THETA, np.random.default_rng([8, part]))
-        logp = np.minimum(np.round(-np.log10(np.maximum(p, 1e-31)) / GRAIN), 65535).astype(np.uint16)
-        at = 0
+                customers[i], elsewhere[i] = hot[h][0], max(0.0, tables.get(h, 0) - here[i])
+        p, t, weight = gibbs(self.c, self.t, self.weight, base[self.w], self.group, customers, elsewhere, D, THETA, rng, 0, 1)
+        self.t, self.weight = t.astype(np.int32), np.where(self.c > 1, weight, 0.0)
+        return p
+
+    def rows(self, part: int, labels: list[int], hot: dict) -> list[tuple]:
+        """The state, the tables of each word for the word's partition, and those of hot contexts."""
+        out = [(STATE, labels[part], part, part, 0, 0.0, 0.0, self.pack())]
+        opened = np.bincount(self.w, self.t, minlength=len(self.words)).astype(np.int64)
+        ends = np.searchsorted(_part(self.words, len(labels)), np.arange(len(labels) + 1))
+        for q, label in enumerate(labels):
+            s = slice(ends[q], ends[q + 1])
+            if ends[q] < ends[q + 1]:
+                out.append((OPENED, label, q, part, 0, 0.0, 0.0, [self.words[s].tobytes(), _zip(opened[s])]))
+        here = np.bincount(self.group, self.t, minlength=len(self.context))
+        for i, h in enumerate(self.context.tolist()):
+            if h in hot:
+                out.append((TABLES, labels[part], part, int(self.context[i].view(np.int64)), int(here[i]), 0.0, 0.0, []))
+        return out
+
+
+def _gathered(rows: Iterator[pa.RecordBatch], labels: list[int], shared) -> Iterator[pa.RecordBatch]:
+    for part, sent in _by_part(rows).items():
+        u, w, c, _ = _pairs(sent)
+        yield _sent(Restaurants.of_pairs(u, w, c, len(labels)).rows(part, labels, shared.value["hot"]))
+
+
+def seat_parent(opened: np.ndarray, v: int, elsewhere: float, rng: np.random.Generator) -> tuple[np.ndarray, float, int]:
+    """The parent's masses of words (0: not known), the unknown's mass and the tables, seated for opened customers."""
+    base = 1.0 / (v + 1)
+    start = np.where(opened > 1, -np.inf, 0.0)
+    mass, t, _ = gibbs(opened, np.minimum(opened, 1), start, np.full(len(opened), base), np.zeros(len(opened), np.int64), np.array([0.0]),
+                       np.array([elsewhere]), D_PARENT, THETA_PARENT, rng, BURN_IN, SAMPLES)
+    return np.where(opened > 0, mass * THETA_PARENT, 0.0), (THETA_PARENT + D_PARENT * (elsewhere + t.sum())) * base, int(t.sum())
+
+
+def _parents(rows: Iterator[pa.RecordBatch], labels: list[int], shared, sweep: int) -> Iterator[pa.RecordBatch]:
+    v, before = shared.value["v"], shared.value["parent_tables"]
+    for part, asked in _by_part(rows).items():
+        asked.sort(key=lambda r: r["source"])
+        h, of = np.unique(np.concatenate([np.frombuffer(r["blobs"][0], np.uint64) for r in asked]), return_inverse=True)
+        opened = np.bincount(of, np.concatenate([_unzip(r["blobs"][1], np.int64) for r in asked])).astype(np.int64)
+        elsewhere = float(sum(before.values()) - before[part] if before else v - (opened > 0).sum())
+        mass, unknown, tables = seat_parent(opened, v, elsewhere, np.random.default_rng([7, sweep, part]))
+        out, at = [(PARENT, labels[part], part, part, tables, float(mass.sum()), unknown, [])], 0
+        for r in asked:
+            s = of[at : at + len(r["blobs"][0]) // 8]
+            at += len(s)
+            out.append((MASSES, labels[r["source"]], r["source"], part, 0, 0.0, 0.0, [_zip(mass[s].astype(np.float32))]))
+        yield _sent(out)
+
+
+def _seated(rows: Iterator[pa.RecordBatch], labels: list[int], shared, sweep: int) -> Iterator[pa.RecordBatch]:
+    s = shared.value
+    for part, got in _by_part(rows).items():
+        state = Restaurants.unpack(next(r["blobs"] for r in got if r["kind"] == STATE))
+        masses = sorted((r for r in got if r["kind"] == MASSES), key=lambda r: r["source"])
+        mass = np.concatenate([_unzip(r["blobs"][0], np.float32) for r in masses]).astype(float)
+        base = np.where(mass > 0, mass, s["unknown"]) / s["mass"]
+        p = state.sweep(base, s["hot"], s["tables"], np.random.default_rng([8, sweep, part]))
+        if sweep >= BURN_IN:
+            state.total = state.total + p
+        yield _sent(state.rows(part, labels, s["hot"]))
+
+
+def _found(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, got in _by_part(rows).items():
+        sent = [r for r in got if r["kind"] == PAIRS]
+        total = _unzip(next(r["blobs"] for r in got if r["kind"] == STATE)[-1], np.float32).astype(float)
+        logp = np.minimum(np.round(-np.log10(np.maximum(total / SAMPLES, 1e-31)) / GRAIN), 65535).astype(np.uint16)
+        of, at = _pairs(sent)[3], 0
         for r in sent:
-            n = len(_unzip(r["counts"], np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array([r["batch"]], pa.int64()), pa.array([part], pa.int32()), pa.array([_zip(logp[of[at : at + n]])], pa.binary())], names=["batch", "part", "logp"])
+            n = len(_unzip(r["blobs"][3], np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array([r["source"]], pa.int64()), pa.array([part], pa.int32()), pa.array([_zip(logp[of[at : at + n]])], pa.binary())], names=["batch", "part", "logp"])
             at += n
 
 
@@ -304,19 +400,30 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     batches = common.materialize(
         base.mapInArrow(lambda r: _batches(r, parts, fold), "batch long, ids array<long>, held array<boolean>, lens binary, words binary, tokens binary"), "batches"
     )
-    asking = batches.mapInArrow(lambda r: _asking(r, labels), "label int, part int, batch long, words binary, counts binary, opened binary, followers binary")
-    counted = common.materialize(asking.repartition(parts, "label").mapInArrow(lambda r: _counted(r, parts), _COUNTED), "counted")
-    n, v, mass, unknown = counted.filter("kind = 1").agg(F.sum("a"), F.sum("b"), F.sum("x"), F.avg("y")).first()
-    hot = {
-        r[0] & (2**64 - 1): (r[1], r[2], max(1, -(-r[1] * HOT * parts // max(n or 1, 1))))
-        for r in counted.filter("kind = 2").select("batch", "a", "b").collect()
-    }
-    shared = spark.sparkContext.broadcast({"hot": hot, "n": n or 0, "v": v or 0, "mass": (mass or 0.0) + (unknown or 1.0), "unknown": unknown or 1.0, "parts": parts})
-    answers = counted.filter("kind = 0").groupBy("batch").agg(F.collect_list(F.struct("part", "counts", "parent")).alias("answers"))
-    sending = batches.join(answers, "batch").mapInArrow(
-        lambda r: _sending(r, labels, shared), "label int, part int, batch long, u binary, runs binary, w binary, counts binary, parent binary"
-    )
-    seated = sending.repartition(parts, "label").mapInArrow(lambda r: _seated(r, shared), "batch long, part int, logp binary")
+    asking = batches.mapInArrow(lambda r: _asking(r, labels), "label int, part int, batch long, words binary, counts binary")
+    counted = common.materialize(asking.repartition(parts, "label").mapInArrow(_counted, _COUNTED), "counted")
+    n, v = (x or 0 for x in counted.filter("kind = 1").agg(F.sum("a"), F.sum("b")).first())
+    hot = {r[0] & (2**64 - 1): (r[1], 0, max(1, -(-r[1] * HOT * parts // max(n, 1)))) for r in counted.filter("kind = 2").select("batch", "a").collect()}
+    model = {"hot": hot, "n": n, "v": v, "parts": parts, "parent_tables": {}}
+    shared = spark.sparkContext.broadcast(model)
+    sending = batches.mapInArrow(lambda r, shared=shared: _sending(r, labels, shared), _SENT)
+    state = common.materialize(sending.repartition(parts, "label").mapInArrow(lambda r, shared=shared: _gathered(r, labels, shared), _SENT), "restaurants")
+    for sweep in range(BURN_IN + SAMPLES):
+        now = spark.sparkContext.broadcast(model)
+        opened = state.filter(F.col("kind") == OPENED).repartition(parts, "label")
+        parents = common.materialize(opened.mapInArrow(lambda r, now=now, sweep=sweep: _parents(r, labels, now, sweep), _SENT), "parents")
+        sums = parents.filter(F.col("kind") == PARENT).select("part", "a", "x", "y").collect()
+        tables = state.filter(F.col("kind") == TABLES).groupBy("source").agg(F.sum("a")).collect()
+        unknown = float(np.mean([r[3] for r in sums])) if sums else 1.0
+        model = model | {
+            "parent_tables": {p: 0 for p in range(parts)} | {r[0]: r[1] for r in sums}, "tables": {r[0] & (2**64 - 1): r[1] for r in tables},
+            "mass": sum(r[2] for r in sums) + unknown, "unknown": unknown,
+        }
+        then = spark.sparkContext.broadcast(model)
+        got = state.filter(F.col("kind") == STATE).unionByName(parents.filter(F.col("kind") == MASSES)).repartition(parts, "label")
+        state = common.materialize(got.mapInArrow(lambda r, then=then, sweep=sweep: _seated(r, labels, then, sweep), _SENT), "restaurants")
+    answers = counted.filter("kind = 0").groupBy("batch").agg(F.collect_list(F.struct("part", "counts")).alias("answers"))
+    seated = sending.unionByName(state.filter(F.col("kind") == STATE)).repartition(parts, "label").mapInArrow(_found, "batch long, part int, logp binary")
     found = seated.groupBy("batch").agg(F.collect_list(F.struct("part", "logp")).alias("found"))
     whole = batches.join(answers, "batch").join(found, "batch")
     return whole.mapInArrow(

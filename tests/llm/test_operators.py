@@ -205,6 +205,17 @@ def test_language_model_counts_and_gain(spark, small):
     assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
 
 
+def test_language_model_does_not_depend_on_batches(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{x}" for x in np.minimum(rng.zipf(1.5, 60), 200))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = {r.doc_id: r.score for r in lm_scoring.score_texts(docs.coalesce(1)).collect()}
+    many = {r.doc_id: r.score for r in lm_scoring.score_texts(docs.repartition(32)).collect()}
+    gaps = [(many[i] - one[i]) / 61 for i in range(600)]
+    assert len(one) == len(many) == 600
+    assert abs(np.mean(gaps)) < 0.001 and max(map(abs, gaps)) < 0.02
+
+
 @pytest.mark.parametrize("name, column, least, table", [("op1_toxicity", "toxic", 0.9, LARGE), ("op9_quality", "quality", 0.7, MIDDLE)])
 def test_held_out_labels_are_told_apart(spark, name, column, least, table):
     # toxicity on the largest table: the middle one holds out too few toxic labels to measure by

@@ -1,9 +1,10 @@
 """Substring deduplication by sliding sentence spans.
 
 A sentence ends at . ! or ? with white space after it, or at line ends. Every run of SPAN consecutive sentences with at
-least LEAST_WORDS words is hashed (words of A-Z lower-cased, 64 bits); the first occurrence of each hash, by
+least LEAST_WORDS words, and every single sentence of at least LONG words, is hashed (words of A-Z lower-cased, 64 bits); the first occurrence of each hash, by
 document and position, is found by an aggregation with partial sums in the tasks, and joined with the spans.
-Sentences covered by any later occurrence are removed; the rest of the text stays as it was.
+Sentences covered by any later occurrence are removed; the rest of the text stays as it was. Only whole sentences go: a
+repeated passage that holds neither SPAN whole sentences nor a whole one of LONG words stays, however long it is.
 
 Defined results: null and empty texts have no sentences; a text with fewer than SPAN sentences is one span if it
 has enough words; a null id counts as larger than all others; rows that repeat id and text are one document and
@@ -25,6 +26,8 @@ from marketloom.llm import common, words
 
 SPAN = 2
 LEAST_WORDS = 10
+#: A sentence of so many words is a span by itself.
+LONG = 25
 _END = re.compile(rb"[.!?]+[\x20\x09-\x0D]+|\n+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -40,19 +43,23 @@ def sentences(text: bytes | None) -> list[bytes]:
 
 
 def spans(text: bytes | None) -> tuple[np.ndarray, np.ndarray, int]:
-    """(first sentence, hash) of each span, and the number of sentences."""
+    """(place, hash) of each span, and the number of sentences; the place is twice the first sentence, and one more
+    if the span is that sentence alone."""
     parts = [words.split(s) for s in sentences(text)]
     n = np.array([len(p) for p in parts], np.int64)
     h = np.array([xxhash.xxh64_intdigest(b" ".join(p)) for p in parts], np.uint64)
     k = min(SPAN, len(parts))
     if not k:
         return n, h, 0
+    alone = np.flatnonzero(n >= (LONG if k == SPAN else LEAST_WORDS))
+    if k < SPAN:
+        return 2 * alone + 1, words.mix(h[alone]), len(parts)
     count, total = n[: len(n) - k + 1].copy(), h[: len(h) - k + 1].copy()
     for i in range(1, k):
         count += n[i : len(n) - k + 1 + i]
         total = total * _STEP + h[i : len(h) - k + 1 + i]
     at = np.flatnonzero(count >= LEAST_WORDS)
-    return at, words.mix(total[at]), len(parts)
+    return np.concatenate((2 * at, 2 * alone + 1)), words.mix(np.concatenate((total[at], h[alone]))), len(parts)
 
 
 def _spanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +83,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         removed = batch.column(batch.schema.get_field_index("starts")).to_pylist()
         for text, starts in zip(words.column_bytes(batch, "text"), removed, strict=True):
             parts = sentences(text)
-            drop = {i for s in starts or () for i in range(s, min(s + SPAN, len(parts)))}
+            drop = {i for s in starts or () for i in range(s // 2, s // 2 + (1 if s % 2 else SPAN))}
             n.append(len(parts))
             gone.append(len(drop))
             texts.append(text if not drop else b"".join(p for i, p in enumerate(parts) if i not in drop))

@@ -155,6 +155,16 @@ def test_span_dedup_is_brute_force(spark, small):
     }
 
 
+def test_span_dedup_removes_a_long_sentence_between_other_sentences(spark):
+    passage = " ".join(["ends here with five words."] + [" ".join(f"shared{i}" for i in range(50)) + "."] + ["And then begins so"])
+    texts = [f"Text {i} says alpha{i} beta{i} and {passage} gamma{i} until delta{i} comes. The last one is of text {i}." for i in range(3)]
+    docs = spark.createDataFrame([*enumerate(texts), (3, passage.split(". ")[0] + ". Short one.")], "doc_id long, text string")
+    got = {r.doc_id: r for r in span_dedup.dedup_spans(docs).collect()}
+    assert got[0].text == texts[0] and got[3].n_removed == 0
+    for i in (1, 2):
+        assert got[i].n_removed == 1 and "shared" not in got[i].text and f"alpha{i}" in got[i].text and f"gamma{i}" in got[i].text
+
+
 def test_sharding_has_the_smallest_capacity(spark, small):
     got = sharding.shard(common.table(spark, SMALL, "documents")).collect()
     by_hash = Counter()

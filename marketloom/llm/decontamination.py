@@ -1,7 +1,8 @@
 """Benchmark decontamination: every training passage queries a BM25 index of test items with block-max WAND.
 
-Passages are windows of twice the longest item's words (at most MOST_WORDS), half overlapping, so that any item
-copied into a text lies in one of them. Term weights of an item are divided by the item's score for its own
+Passages are windows of twice the longest item's words, half overlapping, so that any item copied into a text lies in
+one of them. Items of more than MOST_WORDS / 2 words do not widen the passages of the others: they are searched by
+passages of their own, one length for each power of two. Words of marks alone count neither in items nor in texts. Term weights of an item are divided by the item's score for its own
 text, so one threshold fits all items. Block-max WAND retrieves all items at or above the threshold, for all
 items of a passage at once: with the terms in ascending order of their largest weight, those before the pivot
 (the first at which the sum of the largest weights reaches the threshold) cannot lift an item over it alone, so
@@ -16,7 +17,7 @@ The index is bounded: items are taken ITEMS at a time, each such block is indexe
 documents in turn, so the benchmark may be of any size.
 
 Defined results: null and empty texts, and items without words, are never contaminated or found; repeated items
-are found each; a repeated document row is a row of its own; without items no document is contaminated; an empty
+are found each; an item of one word is all answer; a repeated document row is a row of its own; without items no document is contaminated; an empty
 table gives no rows.
 """
 
@@ -39,11 +40,12 @@ BLOCK = 16
 GROUPS = 24
 ITEMS = 20_000
 LEAST_WORDS, MOST_WORDS = 32, 512
+BLANK = -2
 _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
 class Vocabulary(dict):
-    """Item words by number, looked up by any raw word; words of no item are -1."""
+    """Item words by number, looked up by any raw word; words of no item are -1, and those of marks alone BLANK."""
 
     def __init__(self, known: dict[bytes, int]) -> None:
         self.known = known
@@ -51,7 +53,8 @@ class Vocabulary(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > words.MOST_WORDS:
             self.clear()
-        self[word] = number = self.known.get(word.strip(_MARKS), -1)
+        bare = word.strip(_MARKS)
+        self[word] = number = self.known.get(bare, -1) if bare else BLANK
         return number
 
 
@@ -69,7 +72,12 @@ class BenchmarkIndex:
         self.known, self.ids = known, [k[0] for k in kept]
         n = len(kept)
         lengths = np.array([len(k[1]) for k in kept], float)
-        self.longest = int(lengths.max()) if n else LEAST_WORDS
+        size = np.maximum(lengths.astype(np.int64), LEAST_WORDS)
+        span = np.where(size <= MOST_WORDS // 2, 0, np.ceil(np.log2(size))).astype(np.int64)
+        longest = {int(x): int(size[span == x].max()) for x in np.unique(span)}
+        #: Half the words of an item's passages, and all there are.
+        self.stride = np.array([longest[x] for x in span.tolist()], np.int64)
+        self.strides = sorted(longest.values()) or [LEAST_WORDS]
         mean = lengths.mean() if n else 1.0
         counts = [dict(zip(*np.unique(k[1], return_counts=True), strict=True)) for k in kept]
         df = np.zeros(len(known))
@@ -111,7 +119,7 @@ class BenchmarkIndex:
         self.frequent = np.zeros(groups, np.float32)
         np.maximum.at(self.frequent, of(np.arange(n)), frequent.astype(np.float32))
         cut = [len(k[1]) - max(1, len(k[1]) // 3) for k in kept]
-        self.parts = [(_grams(k[1][:c]), _grams(k[1][c:])) for k, c in zip(kept, cut, strict=True)]
+        self.parts = [(_grams(k[1][:c]) if c else set(), _grams(k[1][c:])) for k, c in zip(kept, cut, strict=True)]
 
     def retrieve(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
         """All items whose score for these distinct terms reaches the threshold."""
@@ -151,31 +159,29 @@ def _passage_grams(numbers: list[int]) -> set:
 def _searched(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     index: BenchmarkIndex = shared.value
     vocabulary = Vocabulary(index.known)
-    stride = min(max(index.longest, LEAST_WORDS), MOST_WORDS // 2)
     for batch in (b.slice(at, words.SLICE) for b in batches for at in range(0, b.num_rows, words.SLICE)):
         all_found, all_best, all_n = [], [], []
         for text in words.column_bytes(batch, "text"):
             ws = words.split(text)
             v = np.fromiter(map(vocabulary.__getitem__, ws), np.int64, len(ws))
-            starts = np.arange(0, max(len(ws) - stride, 1), stride)[: len(ws)]
-            found, best = set(), 0.0
-            if len(ws):
+            v = v[v != BLANK]
+            found, best, n = set(), 0.0, 0
+            for stride in index.strides if len(v) else ():
+                starts = np.arange(0, max(len(v) - stride, 1), stride)
+                n += len(starts)
                 halves = np.add.reduceat(index.rare[v], np.arange(0, len(v), stride), axis=0)
                 bound = halves[: len(starts)] + index.frequent
                 bound[: len(halves) - 1] += halves[1 : len(starts) + 1]
-                starts_ = starts[(bound >= THRESHOLD - 1e-4).any(axis=1)]
-            else:
-                starts_ = starts
-            for s in starts_.tolist():
-                passage = v[s : s + 2 * stride]
-                terms = np.unique(passage)
-                for item, score in index.retrieve(terms[terms >= 0], THRESHOLD):
-                    if index.overlap(item, _passage_grams(passage.tolist())):
-                        found.add(index.ids[item])
-                        best = max(best, score)
+                for s in starts[(bound >= THRESHOLD - 1e-4).any(axis=1)].tolist():
+                    passage = v[s : s + 2 * stride]
+                    terms = np.unique(passage)
+                    for item, score in index.retrieve(terms[terms >= 0], THRESHOLD):
+                        if index.stride[item] == stride and index.overlap(item, _passage_grams(passage.tolist())):
+                            found.add(index.ids[item])
+                            best = max(best, score)
             all_found.append(sorted(found))
             all_best.append(best)
-            all_n.append(len(starts))
+            all_n.append(n)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(all_n, pa.int64()), pa.array(all_found, pa.list_(pa.int64())), pa.array(all_best, pa.float64())],
             names=["doc_id", "row", "n_passages", "item_ids", "best"],

@@ -260,6 +260,16 @@ def test_decontamination_finds_planted_items_and_nothing_else(spark):
     assert sorted(r.doc_id for r in decontamination.drop_contaminated(docs, items).collect()) == [100, 101, 102, 103]
 
 
+def test_decontamination_finds_long_marked_and_one_word_items(spark):
+    long_item = " ".join(f"q{i}" for i in range(1500))
+    items = spark.createDataFrame([(1, long_item), (2, "aa + bb = cc - dd * ee"), (3, "zyzzogeton")], "item_id long, text string")
+    other = " ".join(f"other{i}" for i in range(700))
+    rows = [(0, f"{other} {long_item} {other}"), (1, f"{other} aa + bb = cc - dd * ee {other}"), (2, f"{other} zyzzogeton, {other}"), (3, f"{other} - {other}"), (4, "- - -")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.item_ids for r in decontamination.find_contaminated(docs, items).collect()}
+    assert got == {0: [1], 1: [2], 2: [3], 3: [], 4: []}
+
+
 def test_wand_retrieves_what_a_full_scan_does(spark):
     items = [(r.item_id, r.text) for r in common.table(spark, SMALL, "benchmark").collect()]
     index = decontamination.BenchmarkIndex(items)

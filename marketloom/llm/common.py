@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,6 +24,8 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:  # only sessions of one machine, such as tests, leave it unset
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="marketloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/marketloom/{tag}-{uuid.uuid4().hex}"
@@ -58,3 +61,13 @@ def even_labels(spark: SparkSession, parts: int) -> list[int]:
         rows = spark.range(n).groupBy(F.pmod(F.hash(label), F.lit(parts)).alias("p")).agg(F.min(label)).collect()
         found, n = {r[0]: r[1] for r in rows}, 4 * n
     return [found[p] for p in range(parts)]
+
+
+def smallest_hashes(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """The rows with the smallest hashes of keys, at most so many. A cut-off taken from the count keeps all but about
+    that many rows from being sorted, so that no task gets more, however many partitions there are."""
+    n, bits = rows.count(), 2**40
+    h = F.pmod(F.xxhash64(*keys), F.lit(bits))
+    if n > most:
+        rows = rows.filter(h < int(bits * min(1.0, (most + 8 * most**0.5 + 8) / n)))
+    return rows.orderBy(h, *keys).limit(most)

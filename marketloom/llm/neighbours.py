@@ -1,19 +1,23 @@
 """Approximate nearest neighbours by inner product: multiprobe p-stable hashing, exact reranking.
 
 Vectors are extended by one coordinate to the largest norm, which makes the largest inner product the least
-Euclidean distance. TABLES tables hash by floor((a.x + b) / WIDTH) in HASHES Gaussian directions, slots clipped
-to SLOTS, so the number of buckets is bounded and their counts reach the driver. For a query, the chance that a
-neighbour at distance REACH (fitted on at most SAMPLE vectors) falls into a bucket is the product over directions
-of the normal probability of the bucket's slot; occupied buckets are visited in the order of that chance until it
-sums up to SUCCESS and enough vectors are met. Candidates of all tables are merged and ranked by the inner product of the original vectors
-in double precision.
-
-Buckets of a table are dealt to groups, and a group's vectors to splits of at most SPLIT, so no task holds a hot
-bucket whole; queries go to every split of the groups they probe, in blocks.
+Euclidean distance. TABLES tables hash by floor((a.x + b) / WIDTH) in Gaussian directions, slots clipped to SLOTS. The
+number of directions grows with the logarithm of the number of vectors, so buckets stay small. For a query, the chance
+that a neighbour at distance reach (fitted on at most SAMPLE vectors) falls into a bucket is the product over
+directions of the normal probability of the bucket's slot. Buckets are visited in the order of that chance: all down to
+the chance that a neighbour's own bucket falls short of with probability 1 - success, where success is taken so
+that all tables together find SUCCESS. This cut is drawn from the query's slot probabilities alone (DRAWS draws), so no list
+of buckets reaches the driver. Candidates of all tables are merged and ranked by the inner product of the original
+vectors in double precision. In each split a query visits at least as many buckets as it asks neighbours.
+
+The first directions of a table name a vector's group; groups (at most SLOTS^LEAD a table, LEAD growing with the number of vectors)
+are counted on the driver and dealt to splits of about SPLIT vectors, so no task holds a hot bucket whole. A query
+goes only to the groups in which some bucket could have a chance above its cut.
 
 Defined results: vectors that are null, zero, of another length than most, or with null or non-finite components
-take no part; rows that repeat id and vector count once; fewer candidates than k: all that are met; ties go to the
-smaller vec_id; an empty table gives no rows.
+take no part; rows that repeat id and vector count once; rows with one id and several vectors are one query and one
+candidate with the best of their scores; fewer candidates than k: all that are met; ties go to the smaller vec_id; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,24 +32,34 @@ from pyspark.sql import functions as F
 
 from marketloom.llm import common
 
-TABLES, HASHES, WIDTH, SLOTS = 2, 5, 1.0, 6
-SUCCESS = 0.93
-SAMPLE = 4096
-SPLIT = 32_768
-GROUPS = 4
-QUERIES = 256
+TABLES, WIDTH, SLOTS = 2, 0.7, 6
+#: Directions of a table at least; from 256 vectors on, the binary logarithm of their number.
+LEAST_HASHES = 8
+#: Leading directions name groups while these hold more than so many vectors on average.
+GROUP_VECTORS, MOST_LEAD = 65_536, 6
+SUCCESS = 0.94
+SAMPLE, DRAWS = 4096, 400
+SPLIT, QUERIES, CHUNK = 16_384, 256, 2048
 SEED = 11
 
-_erf = np.vectorize(math.erf, otypes=[float])
+
+def _normal(z: np.ndarray) -> np.ndarray:
+    """The normal distribution function, to 1e-7 (Abramowitz and Stegun 7.1.26)."""
+    x = np.minimum(np.abs(z), 30) / math.sqrt(2)
+    t = 1 / (1 + 0.3275911 * x)
+    tail = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * np.exp(-x * x) / 2
+    return np.where(z > 0, 1 - tail, tail)
 
 
 class Hasher:
-    def __init__(self, width: int, norm: float, reach: float) -> None:
+    def __init__(self, width: int, norm: float, reach: float, n: int) -> None:
         rng = np.random.default_rng(SEED)
         self.norm, self.reach = norm, reach
-        self.a = rng.standard_normal((TABLES, HASHES, width + 1)) / norm
-        self.b = rng.uniform(0, WIDTH, (TABLES, HASHES))
-        self.codes, self.counts = None, None  # of the occupied buckets, by table
+        self.hashes = max(LEAST_HASHES, math.ceil(math.log2(max(n, 2))))
+        self.lead = min(MOST_LEAD, max(0, math.ceil(math.log(max(n / GROUP_VECTORS, 1), SLOTS))))
+        self.a = rng.standard_normal((TABLES, self.hashes, width + 1)) / norm
+        self.b = rng.uniform(0, WIDTH, (TABLES, self.hashes))
+        self.success = 1 - (1 - SUCCESS) ** (1 / TABLES)
 
     def project(self, x: np.ndarray, query: bool = False) -> np.ndarray:
         """Places on the lines, by vector, table and direction."""
@@ -54,31 +68,31 @@ class Hasher:
             x, last = x * (self.norm / size), np.zeros((len(x), 1))
         else:
             last = np.sqrt(np.maximum(self.norm**2 - size**2, 0))
-        return np.einsum("nd,thd->nth", np.concatenate((x, last), axis=1), self.a) + self.b
+        return np.einsum("nd,thd->nth", np.concatenate((x, last), axis=1), self.a, optimize=True) + self.b
 
-    def buckets(self, x: np.ndarray) -> np.ndarray:
-        slots = np.clip(np.floor(self.project(x) / WIDTH) + SLOTS // 2, 0, SLOTS - 1).astype(np.int64)
-        return (slots * SLOTS ** np.arange(HASHES)).sum(axis=2)
+    def slots(self, x: np.ndarray) -> np.ndarray:
+        """The slots of vectors, by vector, table and direction: a bucket is all slots of a table."""
+        return np.clip(np.floor(self.project(x) / WIDTH) + SLOTS // 2, 0, SLOTS - 1).astype(np.uint8)
 
-    def probes(self, x: np.ndarray, table: int, least: int) -> np.ndarray:
-        """For each query, which occupied buckets to visit."""
-        at = self.project(x, True)[:, table]
+    def groups(self, slots: np.ndarray) -> np.ndarray:
+        """The group of each vector in each table."""
+        return (slots[:, :, : self.lead].astype(np.int64) * SLOTS ** np.arange(self.lead)).sum(axis=2)
+
+    def chances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log chances of the slots, by query, table, direction and slot; and the cuts, by query and table."""
         edges = (np.arange(SLOTS + 1) - SLOTS // 2) * WIDTH
         edges[0], edges[-1] = -np.inf, np.inf
-        z = (edges[None, None, :] - at[:, :, None]) / (self.reach * math.sqrt(2))
-        p = np.diff(0.5 * (1 + _erf(z)), axis=2)
-        codes = self.codes[table]
-        chance = np.ones((len(x), len(codes)))
-        for j in range(HASHES):
-            chance *= p[:, j, codes // SLOTS**j % SLOTS]
-        chance = chance * np.where(self.counts[table] > 0, 1.0, 0.0)
-        order = np.argsort(-chance, axis=1, kind="stable")
-        sorted_ = np.take_along_axis(chance, order, axis=1)
-        reached = np.cumsum(sorted_, axis=1) - sorted_
-        met = np.cumsum(self.counts[table][order], axis=1) - self.counts[table][order]
-        visit = np.zeros(chance.shape, bool)
-        np.put_along_axis(visit, order, (reached < SUCCESS) | (met < least), axis=1)
-        return visit
+        # All vectors have one norm, so a neighbour's place, given the query's, has this mean and deviation.
+        cosine = 1 - self.reach**2 / 2
+        mean = cosine * (self.project(x, True) - self.b) + self.b
+        p = np.maximum(np.diff(_normal((edges - mean[..., None]) / math.sqrt(1 - cosine**2)), axis=3), 1e-9)
+        logp, upto = np.log(p), np.cumsum(p, axis=3)[..., :-1]
+        drawn = np.random.default_rng(SEED).random((DRAWS, 1, 1, self.hashes, 1))
+        cuts = np.empty(logp.shape[:2])
+        for i in range(len(x)):
+            at = (drawn > upto[i] / p[i].sum(axis=2, keepdims=True)).sum(axis=4)[:, 0]  # draw, table, direction
+            cuts[i] = np.quantile(np.take_along_axis(logp[i][None], at[..., None], axis=3)[..., 0].sum(axis=2), 1 - self.success, axis=0)
+        return logp, cuts - 1e-9
 
 
 def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
@@ -97,131 +111,168 @@ def _matrix(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
     return batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), flat.reshape(-1, width).astype(np.float64)
 
 
-def _hashed(batches: Iterator[pa.RecordBatch], hasher: Hasher, width: int) -> Iterator[pa.RecordBatch]:
+def _grouped(batches: Iterator[pa.RecordBatch], shared, width: int) -> Iterator[pa.RecordBatch]:
+    """How many vectors of a batch fall into each group."""
     for batch in batches:
-        ids, x = _matrix(batch, width)
-        codes = hasher.buckets(x)
+        groups = shared.value.groups(shared.value.slots(_matrix(batch, width)[1]))
         for t in range(TABLES):
-            code, n = np.unique(codes[:, t], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), t)), pa.array(code), pa.array(n)], names=["t", "code", "n"])
+            group, n = np.unique(groups[:, t], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(group), t)), pa.array(group), pa.array(n)], names=["t", "g", "n"])
 
 
-def _dealt(batches: Iterator[pa.RecordBatch], shared, width: int, every: int, splits: dict, labels: list[int], least: int) -> Iterator[pa.RecordBatch]:
-    """Packed rows for the parts: kind 0 vectors with their buckets, kind 1 queries with the buckets they probe."""
+_DEALT = "label int, part int, kind byte, ids binary, vectors binary, hashed binary"
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], shared, width: int, every: int, first: np.ndarray, count: np.ndarray, labels: list[int]) -> Iterator[pa.RecordBatch]:
+    """Packed rows for the parts: kind 0 vectors with their slots, kind 1 queries with their slots' chances and cuts.
+    first and count: the splits of each table's groups."""
     hasher: Hasher = shared.value
-    names = ["label", "part", "kind", "ids", "vectors", "codes"]
+    types = [pa.int32(), pa.int32(), pa.int8(), pa.binary(), pa.binary(), pa.binary()]
 
-    def row(part: int, kind: int, ids: np.ndarray, x: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
-        values = [labels[part % len(labels)], part, kind, ids.tobytes(), x.tobytes(), codes.tobytes()]
-        types = [pa.int32(), pa.int32(), pa.int8(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=names)
+    def row(part: int, kind: int, *arrays: np.ndarray) -> pa.RecordBatch:
+        values = [labels[part % len(labels)], part, kind, *[np.ascontiguousarray(x).tobytes() for x in arrays]]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=[c.split()[0] for c in _DEALT.split(", ")])
 
+    lead = np.arange(SLOTS**hasher.lead)[:, None] // SLOTS ** np.arange(hasher.lead) % SLOTS
     for batch in batches:
         ids, x = _matrix(batch, width)
-        codes = hasher.buckets(x)
-        for (t, g), (first, n) in splits.items():
-            mine = np.flatnonzero(codes[:, t] % GROUPS == g)
-            split = (ids[mine] * 2654435761 % 2**32) * n // 2**32
-            for s in range(n):
-                pick = mine[split == s]
-                if len(pick):
-                    yield row(first + s, 0, ids[pick], x[pick], codes[pick, t])
+        slots = hasher.slots(x)
+        groups = hasher.groups(slots)
+        spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+        for t in range(TABLES):
+            part = first[t, groups[:, t]] + (spread * count[t, groups[:, t]] >> 31)
+            for p, pick in _runs(part):
+                yield row(p, 0, ids[pick], x[pick], slots[pick, t])
         asked = np.flatnonzero(ids % every == 0)
         for at in range(0, len(asked), QUERIES):
             q = asked[at : at + QUERIES]
+            logp, cuts = hasher.chances(x[q])
             for t in range(TABLES):
-                visit = hasher.probes(x[q], t, least)
-                for (table, g), (first, n) in splits.items():
-                    if table == t:
-                        of = np.flatnonzero(hasher.codes[t] % GROUPS == g)
-                        bits = np.concatenate((hasher.codes[t][of][None, :], visit[:, of].astype(np.int64)))
-                        for s in range(n):
-                            yield row(first + s, 1, ids[q], x[q], bits)
-
-
-def _searched(batches: Iterator[pa.RecordBatch], width: int, k: int) -> Iterator[pa.RecordBatch]:
-    part, ids, x, buckets, held = None, None, None, {}, []
-    for batch in batches:
-        for r in batch.to_pylist():
-            if r["part"] != part:
-                part, held, buckets = r["part"], [], None
-            if r["kind"] == 0:
-                held.append((np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vectors"]).reshape(-1, width), np.frombuffer(r["codes"], np.int64)))
+                most = logp[:, t, hasher.lead :].max(axis=2).sum(axis=1)[:, None] + logp[:, t, np.arange(hasher.lead), lead].sum(axis=2)
+                chances = np.concatenate((logp[:, t].reshape(len(q), -1), cuts[:, t, None]), axis=1).astype(np.float32)
+                group, who = np.nonzero(((most >= cuts[:, t, None]) & (count[t] > 0)).T)
+                for g, pick in _runs(group):
+                    for s in range(count[t, g]):
+                        yield row(int(first[t, g]) + s, 1, ids[q[who[pick]]], x[q[who[pick]]], chances[who[pick]])
+
+
+def _runs(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each value with the places that hold it."""
+    order = np.argsort(values, kind="stable")
+    value, start = np.unique(values[order], return_index=True)
+    yield from zip(value.tolist(), np.split(order, start[1:]), strict=True) if len(value) else ()
+
+
+class Split:
+    """The vectors of a split in order of bucket and id, repeated rows once, and their buckets."""
+
+    def __init__(self, rows: list[dict], width: int, hashes: int) -> None:
+        ids = np.concatenate([np.frombuffer(r["ids"], np.int64) for r in rows])
+        x = np.concatenate([np.frombuffer(r["vectors"]).reshape(-1, width) for r in rows])
+        slots = np.concatenate([np.frombuffer(r["hashed"], np.uint8).reshape(-1, hashes) for r in rows])
+        order = np.lexsort((*x.T[:2], ids, *slots.T))
+        ids, x, slots = ids[order], x[order], slots[order]
+        again = np.zeros(len(ids), bool)
+        again[1:] = (ids[1:] == ids[:-1]) & (x[1:] == x[:-1]).all(axis=1)
+        self.ids, self.x, slots = ids[~again], x[~again], slots[~again]
+        new = np.ones(len(self.ids), bool)
+        new[1:] = (slots[1:] != slots[:-1]).any(axis=1)
+        self.bucket, self.size = np.cumsum(new) - 1, np.diff(np.append(np.flatnonzero(new), len(new)))
+        self.repeats = len(self.ids) - len(np.unique(self.ids))
+        #: By bucket: which slot of each direction it has.
+        self.has = np.zeros((hashes * SLOTS, len(self.size)), np.float32)
+        for j in range(hashes):
+            self.has[j * SLOTS + slots[new][:, j], np.arange(len(self.size))] = 1
+
+    def search(self, ids: np.ndarray, q: np.ndarray, chances: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(place of the query, id, score) of each query's k nearest in the buckets that it visits, and how many vectors
+        these hold in all."""
+        chance, cut = chances[:, :-1] @ self.has, chances[:, -1:]
+        least = min(len(self.size), k + 1 + self.repeats)  # a bucket holds a vector at least
+        visit = chance >= np.minimum(cut, -np.partition(-chance, least - 1, axis=1)[:, least - 1 : least])
+        rows, found, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        enough = np.full(len(ids), -np.inf)  # the k-th best score so far
+        for a in range(0, len(self.ids), CHUNK):
+            b = min(a + CHUNK, len(self.ids))
+            who = np.flatnonzero(visit[:, self.bucket[a] : self.bucket[b - 1] + 1].any(axis=1))
+            if not len(who):
                 continue
-            if not held:
-                continue
-            if buckets is None:  # all vectors of the part come before its queries
-                ids, x, codes = (np.concatenate([h[i] for h in held]) for i in range(3))
-                order = np.lexsort((ids, codes))
-                ids, x, codes = ids[order], x[order], codes[order]
-                value, start = np.unique(codes, return_index=True)
-                buckets = dict(zip(value.tolist(), zip(start.tolist(), [*start[1:].tolist(), len(ids)]), strict=True))
-            asked = np.frombuffer(r["ids"], np.int64)
-            q = np.frombuffer(r["vectors"]).reshape(-1, width)
-            table = np.frombuffer(r["codes"], np.int64).reshape(len(asked) + 1, -1)
-            rows, cols, scores = [], [], []
-            for j, code in enumerate(table[0].tolist()):
-                who = np.flatnonzero(table[1:, j])
-                if code in buckets and len(who):
-                    a, b = buckets[code]
-                    s = np.round(q[who] @ x[a:b].T, 10)
-                    top = np.argsort(-s, axis=1, kind="stable")[:, : k + 4]  # ids ascend, so ties keep the smaller
-                    rows.append(np.repeat(who, top.shape[1]))
-                    cols.append((a + top).ravel())
-                    scores.append(np.take_along_axis(s, top, axis=1).ravel())
-            if not rows:
-                continue
-            rows, cols, scores = np.concatenate(rows), np.concatenate(cols), np.concatenate(scores)
-            other = ids[cols] != asked[rows]
-            rows, cols, scores = rows[other], cols[other], scores[other]
-            order = np.lexsort((ids[cols], -scores, rows))
-            rows, cols = rows[order], cols[order]
-            start = np.searchsorted(rows, rows)
-            keep = np.arange(len(rows)) - start < k + 4
-            rows, cols = rows[keep], cols[keep]
-            exact = np.array([(q[i] * x[j]).sum() for i, j in zip(rows, cols, strict=True)])
-            yield pa.RecordBatch.from_arrays([pa.array(asked[rows]), pa.array(ids[cols]), pa.array(exact, pa.float64())], names=["query_id", "vec_id", "score"])
+            s = q[who] @ self.x[a:b].T
+            s[~visit[who][:, self.bucket[a:b]] | (ids[who][:, None] == self.ids[a:b])] = -np.inf
+            names = self.ids[a:b]
+            if self.repeats:  # the best of each id
+                order = np.argsort(names, kind="stable")
+                names, start = np.unique(names[order], return_index=True)
+                s = np.maximum.reduceat(s[:, order], start, axis=1)
+            low = enough[who]
+            if len(names) > k and (low == -np.inf).any():
+                low = np.maximum(low, -np.partition(-s, k - 1, axis=1)[:, k - 1])
+            i, j = np.nonzero((s >= low[:, None] - 1e-9) & (s > -np.inf))
+            rows, found, scores = np.concatenate((rows, who[i])), np.concatenate((found, names[j])), np.concatenate((scores, s[i, j]))
+            order = np.lexsort((-scores, found, rows))
+            rows, found, scores = rows[order], found[order], scores[order]
+            new = np.ones(len(rows), bool)
+            new[1:] = (rows[1:] != rows[:-1]) | (found[1:] != found[:-1])
+            order = np.flatnonzero(new)[np.lexsort((found[new], -np.round(scores[new], 12), rows[new]))]
+            rank = np.arange(len(order)) - np.searchsorted(rows[order], rows[order])
+            enough[rows[order[rank == k - 1]]] = scores[order[rank == k - 1]]
+            rows, found, scores = rows[order[rank < k]], found[order[rank < k]], scores[order[rank < k]]
+        return rows, found, scores, int((visit @ self.size).sum())
+
+
+def _searched(batches: Iterator[pa.RecordBatch], shared, width: int, k: int) -> Iterator[pa.RecordBatch]:
+    part, held, split = None, [], None
+    for row in (r for b in batches for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist()):
+        if row["part"] != part:
+            part, held, split = row["part"], [], None
+        if row["kind"] == 0:
+            held.append(row)
+            continue
+        if split is None and held:  # all vectors of a part come before its queries
+            split, held = Split(held, width, shared.value.hashes), []
+        if split is not None:
+            ids, q = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"]).reshape(-1, width)
+            who, found, scores, _ = split.search(ids, q, np.frombuffer(row["hashed"], np.float32).reshape(len(ids), -1), k)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(found), pa.array(scores)], names=["query_id", "vec_id", "score"])
+
+
+def fitted(usable: DataFrame, width: int, k: int) -> Hasher:
+    """The hash functions for a table of usable vectors; reach is fitted on at most SAMPLE of them."""
+    n, norm = usable.agg(F.count(F.lit(1)), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()
+    drawn = np.array([r[0] for r in common.smallest_hashes(usable, ["vec_id"], SAMPLE).select("v").collect()])
+    return Hasher(width, norm, _reach(drawn, norm, k, n), n)
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by every, its k nearest found among all others."""
     spark = vectors.sparkSession
     usable, width = _usable(vectors, id_col, vector_col)
-    out = "query_id long, vec_id long, score double"
     if not width:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     usable = common.materialize(usable, "vectors")
-    norm = usable.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()[0]
-    drawn = np.array([r[0] for r in usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()])
-    hasher = Hasher(width, norm, _reach(drawn, norm, k))
-    rows = usable.mapInArrow(lambda b: _hashed(b, hasher, width), "t long, code long, n long").groupBy("t", "code").agg(F.sum("n").alias("n")).collect()
-    hasher.codes = [np.array(sorted(r[1] for r in rows if r[0] == t), np.int64) for t in range(TABLES)]
-    by = {(r[0], r[1]): r[2] for r in rows}
-    hasher.counts = [np.array([by[t, c] for c in hasher.codes[t].tolist()], np.int64) for t in range(TABLES)]
-    splits, first = {}, 0
-    for t in range(TABLES):
-        for g in range(GROUPS):
-            n = -(-int(hasher.counts[t][hasher.codes[t] % GROUPS == g].sum()) // SPLIT)
-            if n:
-                splits[t, g] = (first, n)
-                first += n
+    hasher = fitted(usable, width, k)
     shared = spark.sparkContext.broadcast(hasher)
+    count = np.zeros((TABLES, SLOTS**hasher.lead), np.int64)
+    for t, g, n in usable.mapInArrow(lambda b: _grouped(b, shared, width), "t long, g long, n long").groupBy("t", "g").agg(F.sum("n")).collect():
+        count[t, g] = -(-n // SPLIT)
+    first = (np.cumsum(count) - count.ravel()).reshape(count.shape)
     labels = common.even_labels(spark, common.shuffle_parts(spark))
-    dealt = usable.mapInArrow(
-        lambda b: _dealt(b, shared, width, every, splits, labels, 10 * k), "label int, part int, kind byte, ids binary, vectors binary, codes binary"
-    )
-    met = dealt.repartition(len(labels), "label").sortWithinPartitions("part", "kind").mapInArrow(lambda b: _searched(b, width, k), out)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    dealt = usable.mapInArrow(lambda b: _dealt(b, shared, width, every, first, count, labels), _DEALT)
+    met = dealt.repartition(len(labels), "label").sortWithinPartitions("part", "kind")
+    met = met.mapInArrow(lambda b: _searched(b, shared, width, k), "query_id long, vec_id long, score double")
+    best = Window.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "vec_id")
+    once = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return once.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _reach(drawn: np.ndarray, norm: float, k: int) -> float:
-    """A distance, of vectors scaled to norm 1, that most queries' k-th neighbours are within: fitted on a sample."""
+def _reach(drawn: np.ndarray, norm: float, k: int, n: int) -> float:
+    """A distance, of vectors scaled to norm 1, that the k-th neighbour among n vectors is about within: taken from a sample, whose
+    order statistics of the same rank by share are read off."""
     some = drawn[:256]
     size = np.linalg.norm(some, axis=1, keepdims=True)
     inner = np.sort((some / size) @ (drawn / norm).T, axis=1)[:, ::-1]
-    at = inner[:, min(k, inner.shape[1] - 1)]
-    return float(np.sqrt(np.maximum(2 - 2 * np.quantile(at, 0.1), 1e-4)))
+    at = min(inner.shape[1] - 1, max(1, round(k * len(drawn) / max(n, 1))))
+    return float(np.sqrt(np.maximum(2 - 2 * np.median(inner[:, at]), 1e-4)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

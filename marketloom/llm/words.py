@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 
-#: Words a task remembers before it starts its dictionary anew.
-MOST_WORDS = 500_000
+#: Words, and bytes of words, that a task remembers before it starts its dictionary anew.
+MOST_WORDS, MOST_BYTES = 120_000, 8_000_000
 #: Texts that are taken up together.
-SLICE = 2048
+SLICE = 1024
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -33,13 +34,18 @@ class Index(dict):
     """Numbers words in order of appearance and keeps their 64-bit hashes."""
 
     def __init__(self) -> None:
-        self.hashes: list[int] = []
+        self.hashes, self.size = array("Q"), 0
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes | str) -> int:
         self[word] = number = len(self.hashes)
         self.hashes.append(xxhash.xxh64_intdigest(word))
+        self.size += len(word)
         return number
 
+    @property
+    def full(self) -> bool:
+        return len(self) > MOST_WORDS or self.size > MOST_BYTES
+
     def numbers(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
@@ -52,7 +58,7 @@ def shingle_sets(batches: Iterator[pa.RecordBatch], text: str, k: int = 5) -> It
     """Each batch with its texts' sets of k-word shingle hashes, ascending; fewer words: one hash of them all; none: empty."""
     index = Index()
     for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
-        if len(index) > MOST_WORDS:
+        if index.full:
             index = Index()
         parts = [index.numbers(split(t)) for t in column_bytes(batch, text)]
         known = np.array(index.hashes, np.uint64)

@@ -128,6 +128,52 @@ def test_neighbours_recall_and_scores(spark):
     assert hits >= 0.9 * total
 
 
+def test_neighbours_with_repeated_rows_and_ids(spark):
+    """Repeats of one row, one id with several vectors, ties, and columns that clash with names of the operator's own."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((40, 8)).round(3).tolist()
+    rows = [(0, x[0])] * 3 + [(1, x[1])] * 40 + [(i, x[i]) for i in range(2, 40)] + [(2, x[3]), (50, x[39]), (51, x[39])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as rank", "2.0 as score", "3 as v", "4 as part")
+    got = neighbours.nearest(frame).orderBy("query_id", "rank").collect()
+    for q in (0, 20):
+        best: dict = {}
+        for i, v in rows:
+            if i != q:
+                best[i] = max(best.get(i, -9e9), float(np.dot(x[q], v)))
+        due = sorted(((round(-s, 12), i) for i, s in best.items()))[:20]
+        mine = [(r.rank, r.vec_id) for r in got if r.query_id == q]
+        assert [m[0] for m in mine] == list(range(1, 21))
+        found = [m[1] for m in mine]
+        assert len(set(found) & {i for _, i in due}) >= 17 and len(set(found)) == 20
+        assert found == [i for _, i in sorted((round(-best[i], 12), i) for i in found)]
+
+
+def test_neighbours_visit_less_of_a_larger_table():
+    """Recall and the share of vectors met, on clustered vectors of two sizes."""
+    shares = []
+    for n in (2000, 40_000):
+        rng = np.random.default_rng(n)
+        x = rng.standard_normal((n // 50, 32))[rng.integers(0, n // 50, n)] + 0.4 * rng.standard_normal((n, 32))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        hasher = neighbours.Hasher(32, 1.0 + 1e-9, neighbours._reach(x[:4096], 1.0, 20, n), n)
+        slots, q = hasher.slots(x), np.arange(200)
+        logp, cuts = hasher.chances(x[q])
+        inner = x[q] @ x.T
+        inner[q, q] = -9
+        true = np.argsort(-inner, axis=1)[:, :20]
+        found, met = [set() for _ in q], 0
+        for t in range(neighbours.TABLES):
+            split = neighbours.Split([{"ids": np.arange(n).tobytes(), "vectors": x.tobytes(), "hashed": np.ascontiguousarray(slots[:, t]).tobytes()}], 32, hasher.hashes)
+            chances = np.concatenate((logp[:, t].reshape(len(q), -1), cuts[:, t, None]), axis=1).astype(np.float32)
+            who, ids, _, some = split.search(q, x[q], chances, 20)
+            met += some
+            for i, j in zip(who.tolist(), ids.tolist()):
+                found[i].add(j)
+        assert np.mean([len(found[i] & set(true[i].tolist())) / 20 for i in q]) >= 0.9
+        shares.append(met / neighbours.TABLES / len(q) / n)
+    assert shares[1] < 0.2 and shares[1] < 0.7 * shares[0]
+
+
 def test_neighbours_leave_unusable_vectors_out(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [1.0, None]), (6, [0.5, 0.5]), (20, [0.0, 1.0])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")

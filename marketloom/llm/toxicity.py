@@ -1,26 +1,29 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, calibrated votes.
 
-Terms are a text's letter words, A-Z lower-cased, and the first 4, 5 and 8 characters of each. From a sample of at
-most SAMPLE labelled documents (those with the smallest hashes of id and text) the TERMS terms that tell the
-labels apart best (chi-square) make the vocabulary; document frequencies are counted over all documents. The
-sample's vectors make the index, which is bounded by SAMPLE and TERMS and broadcast: for each term the postings
-in blocks of BLOCK examples with the largest weight of each block.
-
-A document's K nearest examples are found exactly: blocks are taken in order of their bound (the sum over the
-document's terms of weight times block maximum) until no block's bound can beat the K-th best cosine. Votes are
-weighted by 1/(distance + 0.05) and smoothed by the base rate; the vote is calibrated by isotonic regression on
-the sample, each example scored without itself. Evidence is the ids and labels of the nearest examples.
-
-Defined results: documents without a vocabulary term have cosine 0 with all and get the calibrated base rate, so do
-null and empty texts; labels of ids that are missing or null are not used; an id labelled twice counts twice;
-without any labelled example every score is 0; an empty table gives no rows; ties go to the example with the
-smaller number.
+Terms are a text's letter words, A-Z lower-cased. The examples are at most SAMPLE labelled documents (those with the
+smallest hashes of id and label; of a repeated id the text with the smallest hash). All their terms are indexed. A
+term's weight is (1 + log tf) * idf * relevance: document frequencies are counted over all documents, and relevance is
+FLOOR plus the standard deviations, beyond NOISE, by which the labels of the examples that hold the term differ from
+the mean; so a term that tells nothing about the labels still counts, by FLOOR. Terms that no example holds have no
+part in a vector.
+
+The index is bounded by SAMPLE texts and broadcast: for each term its postings in blocks of BLOCK examples, with the
+largest weight of each block. Terms that 1/LONG of the examples or more hold are kept as columns of a matrix instead (at
+most COLUMNS). A document's K nearest examples are found exactly: the bound of a block is the largest sum over the
+matrix plus, over the other terms, weight times block maximum; the blocks with the largest bounds are scored first, then
+those whose bound reaches the K-th best cosine found, and no others. Votes are weighted by 1/(distance + 0.05) and
+smoothed by the base rate; the vote is calibrated by isotonic regression on the examples, each scored without
+itself. Evidence is the ids of the nearest examples.
+
+Defined results: documents without a term of the examples have cosine 0 with all and get the calibrated base rate, so
+do null and empty texts; labels of ids that are missing or null are not used; an id with both labels is an example
+for each, and equal rows of labels count once; without any labelled example every score is 0; an empty table gives no
+rows; ties go to the example with the smaller number.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,103 +34,125 @@ from pyspark.sql import functions as F
 from marketloom.llm import common, words
 
 SAMPLE = 6144
-TERMS = 1024
-#: A term of the vocabulary is in so many examples at least.
-LEAST_EXAMPLES = 5
-#: Chi-square (one degree of freedom) that a term must reach.
-LEAST_CHI2 = 30.0
+FLOOR, NOISE = 0.3, 3.0
 BLOCK = 64
+LONG, COLUMNS = 16, 512
 K = 15
+#: Documents that are scored together.
+TOGETHER = 128
+#: Blocks that a document scores before the others are held against its K-th best cosine.
+FIRST_BLOCKS = 8
 THRESHOLD = 0.7
+#: Terms whose counts travel in one row.
+RANGE = 8192
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def terms(text: str | None) -> Counter:
-    """How often each term occurs in a text."""
-    out: Counter = Counter()
-    for word, n in Counter(_LETTERS.findall((text or "").translate(_LOWER))).items():
-        for term in {word, word[:4], word[:5], word[:8]}:
-            out[term] += n
-    return out
+class Terms:
+    """Counts the terms of texts: as numbers of a known vocabulary (ascending hashes), or as hashes if there is none."""
 
+    def __init__(self, known: np.ndarray | None = None) -> None:
+        self.known, self.index = known, words.Index()
 
-_LOWER = str.maketrans(common.UPPER, common.UPPER.lower())
+    def counts(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the texts, their distinct terms and how often each occurs, ascending."""
+        if self.index.full:
+            self.index = words.Index()
+        parts = [self.index.numbers(_LETTERS.findall(t.lower().decode("utf-8", "replace"))) if t else np.zeros(0, np.int64) for t in texts]
+        hashes = np.array(self.index.hashes, np.uint64)
+        place = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        pairs, n = np.unique(place * max(len(hashes), 1) + np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64),) * 2
+        place, term = np.divmod(pairs, max(len(hashes), 1))
+        if self.known is None:
+            return place, hashes[term], n
+        at = np.searchsorted(self.known, hashes)
+        number = np.where(self.known[np.minimum(at, len(self.known) - 1)] == hashes, at, -1)[term] if len(self.known) else np.full(len(term), -1)
+        held = number >= 0
+        return place[held], number[held], n[held]
+
+
+def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start, length long, one after the other."""
+    return np.repeat(start - np.cumsum(length) + length, length) + np.arange(length.sum())
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors by term, in blocks of BLOCK examples, with each block's largest weight."""
-
-    def __init__(self, vectors: list[dict[int, float]]) -> None:
-        self.n = len(vectors)
-        self.blocks = -(-self.n // BLOCK)
-        postings: dict[int, list[tuple[int, float]]] = {}
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                postings.setdefault(t, []).append((i, w))
-        self.terms = {t: j for j, t in enumerate(postings)}
-        ids, weights = [np.zeros(0, np.int64)], [np.zeros(0)]
-        self.starts = np.zeros((len(postings), self.blocks + 1), np.int64)
-        self.most = np.zeros((len(postings), self.blocks))
-        at = 0
-        for j, rows in enumerate(postings.values()):
-            ids.append(np.array([r[0] for r in rows]))
-            weights.append(np.array([r[1] for r in rows]))
-            self.starts[j] = at + np.searchsorted(ids[-1] // BLOCK, np.arange(self.blocks + 1))
-            np.maximum.at(self.most[j], ids[-1] // BLOCK, weights[-1])
-            at += len(rows)
-        self.ids, self.weights = np.concatenate(ids), np.concatenate(weights)
-
-    def _scored(self, at: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Examples of the blocks with a cosine above 0, and the cosines."""
-        first = self.starts[at][:, blocks].ravel()
-        length = self.starts[at][:, blocks + 1].ravel() - first
-        place = np.repeat(first - np.cumsum(length) + length, length) + np.arange(length.sum())
-        ids = self.ids[place]
-        score = np.bincount(ids, self.weights[place] * np.repeat(np.repeat(w, len(blocks)), length), minlength=self.n)
-        found = np.flatnonzero(score)
-        return found, score[found]
-
-    def nearest(self, query: dict[int, float], k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples (not skip) with the largest cosine above 0, and their cosines."""
-        pairs = [(self.terms[t], w) for t, w in query.items() if t in self.terms]
-        best_ids, best = np.zeros(0, np.int64), np.zeros(0)
-        if not pairs:
-            return best_ids, best
-        at, w = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
-        bound = w @ self.most[at]
-        order = np.argsort(-bound, kind="stable")
-        order, step, done = order[bound[order] > 0], 4, 0
-        while done < len(order):
-            if len(best) == k:  # no block below this bound can hold a better example
-                order = order[: done + int(np.searchsorted(-bound[order[done:]], -(best[-1] - 1e-12), side="right"))]
-                if done >= len(order):
-                    break
-                step = 32
-            ids, scores = self._scored(at, w, order[done : done + step])
-            done += step
-            ids, scores = np.concatenate((best_ids, ids)), np.concatenate((best, scores))
-            keep = ids != skip
-            ids, scores = ids[keep], scores[keep]
-            first = np.lexsort((ids, -np.round(scores, 12)))[:k]
-            best_ids, best = ids[first], scores[first]
-        return best_ids, best
-
-
-def vote(cosines: np.ndarray, labels: np.ndarray, base: float) -> float:
-    """Distance-weighted share of label 1, smoothed by one vote of the base rate at distance 1."""
-    weights = 1.0 / (1.0 - np.minimum(cosines, 1.0) + 0.05)
-    return float(((weights * labels).sum() + base) / (weights.sum() + 1.0))
+    """Vectors of n examples: (example, term, weight) triples, weights above 0, by term, in blocks of BLOCK examples with
+    each block's largest weight; the terms most held as columns of a matrix."""
+
+    def __init__(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, terms: int) -> None:
+        self.n, self.blocks = n, max(1, -(-n // BLOCK))
+        held = np.bincount(term, minlength=terms)
+        long = np.flatnonzero(held * LONG >= max(n, 4 * LONG))
+        long = long[np.argsort(-held[long], kind="stable")[:COLUMNS]]
+        self.column = np.full(terms, -1)
+        self.column[long] = np.arange(len(long))
+        self.matrix = np.zeros((n, len(long)))
+        dense = self.column[term] >= 0
+        self.matrix[example[dense], self.column[term[dense]]] = weight[dense]
+        order = np.lexsort((example[~dense], term[~dense]))
+        self.example, term, self.weight = example[~dense][order].astype(np.int32), term[~dense][order], weight[~dense][order]
+        key = term * self.blocks + self.example // BLOCK
+        self.entry = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        self.length = np.diff(np.append(self.entry, len(key)))
+        self.block = (key[self.entry] % self.blocks).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, self.entry) if len(key) else np.zeros(0)
+        self.start = np.searchsorted(key[self.entry] // self.blocks, np.arange(terms + 1))
+
+    def nearest(self, place: np.ndarray, term: np.ndarray, weight: np.ndarray, queries: int, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each query (unit vectors as triples) the k examples with the largest cosine above 0, best first, and the
+        cosines; -1 and 0 where there are fewer. skip: an example that each query leaves out."""
+        dense = self.column[term] >= 0
+        q = np.zeros((queries, self.matrix.shape[1]))
+        q[place[dense], self.column[term[dense]]] = weight[dense]
+        base = np.zeros((queries, self.blocks * BLOCK))
+        base[:, : self.n] = q @ self.matrix.T
+        if skip is not None:
+            base[np.arange(queries), skip] = -10.0
+        place, term, weight = place[~dense], term[~dense], weight[~dense]
+        entries = self.start[term + 1] - self.start[term]
+        at = _ranges(self.start[term], entries)
+        who, by = np.repeat(place, entries), np.repeat(weight, entries)
+        rare = np.bincount(who * self.blocks + self.block[at], by * self.most[at], minlength=queries * self.blocks).reshape(queries, -1)
+        bound = base.reshape(queries, self.blocks, BLOCK).max(axis=2) + rare
+
+        def scored(chosen: np.ndarray) -> np.ndarray:
+            """The cosines of all examples in the chosen blocks of each query; -1 elsewhere."""
+            use = chosen[who, self.block[at]]
+            posts = _ranges(self.entry[at[use]], self.length[at[use]])
+            size = self.length[at[use]]
+            out = np.where(np.repeat(chosen, BLOCK, axis=1), base, -1.0).ravel()
+            flat = np.repeat(who[use], size) * (self.blocks * BLOCK) + self.example[posts]
+            return (out + np.bincount(flat, np.repeat(by[use], size) * self.weight[posts], minlength=len(out))).reshape(queries, -1)
+
+        k = min(k, self.n)
+        first = np.zeros((queries, self.blocks), bool)
+        np.put_along_axis(first, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST_BLOCKS], True, axis=1)
+        s = scored(first)
+        enough = np.maximum(-np.partition(-s, k - 1, axis=1)[:, k - 1], 1e-12)  # no block below this can hold a better example
+        rest = ~first & (bound >= enough[:, None] - 1e-9)
+        if rest.any():
+            s = np.maximum(s, scored(rest))
+            enough = np.maximum(-np.partition(-s, k - 1, axis=1)[:, k - 1], 1e-12)
+        rows, found = np.nonzero((s >= enough[:, None] - 1e-11) & (s > 1e-12))
+        order = np.lexsort((found, -np.round(s[rows, found], 11), rows))
+        rows, found = rows[order], found[order]
+        rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        rows, found, rank = rows[rank < k], found[rank < k], rank[rank < k]
+        near, cosine = np.full((queries, k), -1), np.zeros((queries, k))
+        near[rows, rank], cosine[rows, rank] = found, s[rows, found]
+        return near, cosine
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Non-decreasing steps that fit y best: (right ends of the steps, values)."""
     ends, sums, counts = [], [], []
-    for a in np.unique(x):
-        at = x == a
+    values, of = np.unique(x, return_inverse=True)
+    for a, s, c in zip(values, np.bincount(of, y), np.bincount(of), strict=True):
         ends.append(a)
-        sums.append(float(y[at].sum()))
-        counts.append(int(at.sum()))
+        sums.append(float(s))
+        counts.append(int(c))
         while len(sums) > 1 and sums[-2] / counts[-2] >= sums[-1] / counts[-1]:
             s, c, e = sums.pop(), counts.pop(), ends.pop()
             sums[-1] += s
@@ -137,143 +162,126 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """The vocabulary with its idf, the index of the examples, and the calibration."""
-
-    def __init__(self, idf: dict[str, float], examples: list[tuple[int, int, dict[str, float]]]) -> None:
-        self.idf = idf
-        self.number = {t: i for i, t in enumerate(sorted(idf))}
-        self.ids = np.array([e[0] for e in examples], np.int64)
-        self.labels = np.array([e[1] for e in examples], float)
-        vectors = [self.vector(e[2]) for e in examples]
-        self.index = BlockMaxIndex(vectors)
-        self.base = float(self.labels.mean()) if examples else 0.0
-        raw = np.array([self._raw(v, i)[0] for i, v in enumerate(vectors)])
-        self.steps = isotonic(raw, self.labels) if examples else (np.zeros(1), np.zeros(1))
-
-    def vector(self, counts: dict[str, float]) -> dict[int, float]:
-        """The unit TF-IDF vector over the vocabulary."""
-        v = {self.number[t]: (1.0 + np.log(n)) * self.idf[t] for t, n in counts.items() if t in self.number}
-        norm = np.sqrt(sum(w * w for w in v.values()))
-        return {t: float(w / norm) for t, w in v.items()} if norm else {}
-
-    def _raw(self, v: dict[int, float], skip: int = -1) -> tuple[float, np.ndarray]:
-        near, cosines = self.index.nearest(v, K, skip)
-        return vote(cosines, self.labels[near], self.base), near
-
-    def score(self, counts: dict[str, float]) -> tuple[float, list[int]]:
-        raw, near = self._raw(self.vector(counts))
-        ends, values = self.steps
-        return float(values[min(int(np.searchsorted(ends, raw - 1e-12)), len(values) - 1)]), self.ids[near].tolist()
-
-
-class Found(dict):
-    """Which vocabulary terms a white-space token holds, worked out once for each token."""
-
-    def __init__(self, known) -> None:
-        self.known = known
-
-    def __missing__(self, token: bytes) -> tuple:
-        if len(self) > words.MOST_WORDS:
-            self.clear()
-        letters = _LETTERS.findall(token.decode("utf-8", "replace").translate(_LOWER))
-        self[token] = found = tuple(t for w in letters for t in {w, w[:4], w[:5], w[:8]} if t in self.known)
-        return found
-
-    def counts(self, text: bytes | None) -> dict[str, int]:
-        out: dict[str, int] = {}
-        for found in filter(None, map(self.__getitem__, (text or b"").split())):
-            for t in found:
-                out[t] = out.get(t, 0) + 1
-        return out
-
-
-def _occurring(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
-    """How many of a task's texts each vocabulary term is in."""
-    found, total = Found(vocabulary.value), Counter()
-    for batch in batches:
-        for text in words.column_bytes(batch, "text"):
-            total.update({t for x in map(found.__getitem__, set((text or b"").split())) if x for t in x})
-    yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], names=["term", "n"])
+    """The terms of the examples (ascending hashes) with their weights, the index, and the calibration."""
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, example: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> None:
+        self.ids, self.labels = ids, labels.astype(float)
+        self.known, self.term = np.unique(hashes, return_inverse=True)
+        self.example, self.counts = example, counts
+        self.base = float(self.labels.mean()) if len(labels) else 0.0
+        self.ends, self.values = np.zeros(1), np.zeros(1)
+
+    def complete(self, df: np.ndarray, total: int) -> Model:
+        """Weighs the terms by their document frequencies among total documents, builds the index and calibrates."""
+        n, rate = len(self.labels), self.base
+        held, hits = np.bincount(self.term, minlength=len(self.known)), np.bincount(self.term, self.labels[self.example], minlength=len(self.known))
+        z = np.abs(hits - held * rate) / np.sqrt(np.maximum(held * rate * (1 - rate) * (1 - held / max(n, 1)), 1e-9))
+        z[held == n] = 0
+        self.weights = (np.log((1 + total) / (1 + df)) + 1) * (FLOOR + np.maximum(z - NOISE, 0))
+        self.index = BlockMaxIndex(*self._unit(self.example, self.term, self.counts, n), n, len(self.known))
+        raw, order = np.zeros(n), np.argsort(self.example, kind="stable")
+        starts = np.searchsorted(self.example[order], np.arange(0, n + TOGETHER, TOGETHER))
+        for at, a, b in zip(range(0, n, TOGETHER), starts, starts[1:]):
+            some, skip = order[a:b], np.arange(at, min(at + TOGETHER, n))
+            raw[skip] = self._votes(self.example[some] - at, self.term[some], self.counts[some], len(skip), skip)[0]
+        if n:
+            self.ends, self.values = isotonic(raw, self.labels)
+        self.example = self.term = self.counts = None
+        return self
+
+    def _unit(self, place: np.ndarray, term: np.ndarray, n: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        w = (1 + np.log(n)) * self.weights[term]
+        return place, term, w / np.sqrt(np.bincount(place, w * w, minlength=texts))[place]
+
+    def _votes(self, place, term, n, texts: int, skip=None) -> tuple[np.ndarray, np.ndarray]:
+        """Distance-weighted shares of label 1, smoothed by one vote of the base rate at distance 1, and the voters."""
+        near, cosine = self.index.nearest(*self._unit(place, term, n, texts), texts, K, skip)
+        weight = np.where(near >= 0, 1 / (1 - np.minimum(cosine, 1) + 0.05), 0)
+        return np.round(((weight * self.labels[near]).sum(axis=1) + self.base) / (weight.sum(axis=1) + 1), 9), near
+
+    def score(self, place: np.ndarray, term: np.ndarray, n: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of texts given as triples, and the numbers of their nearest examples (-1: none)."""
+        if not len(self.labels):
+            return np.zeros(texts), np.zeros((texts, 0), np.int64)
+        raw, near = self._votes(place, term, n, texts)
+        return self.values[np.minimum(np.searchsorted(self.ends, raw), len(self.values) - 1)], near
+
+
+def _occurring(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatch]:
+    """How many of a task's texts each term of the vocabulary is in: a row for each RANGE terms."""
+    terms, total = Terms(known.value), np.zeros(len(known.value), np.int64)
+    for batch in (b.slice(at, words.SLICE) for b in batches for at in range(0, b.num_rows, words.SLICE)):
+        total += np.bincount(terms.counts(words.column_bytes(batch, "text"))[1], minlength=len(total))
+    starts = range(0, len(total), RANGE)
+    yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int64()), pa.array([total[a : a + RANGE].tobytes() for a in starts], pa.binary())], names=["start", "n"])
 
 
-def _sample_terms(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
-    """Terms of the labelled examples: all of them once (vocabulary None), else counts of those in the vocabulary."""
-    known = vocabulary.value if vocabulary is not None else None
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
     for batch in batches:
-        rows = batch.to_pydict()
-        ids, labels, found, counts = [], [], [], []
-        for i, y, text in zip(rows["doc_id"], rows["label"], rows["text"], strict=True):
-            for t, n in terms(text).items():
-                if known is None or t in known:
-                    ids.append(i)
-                    labels.append(y)
-                    found.append(t)
-                    counts.append(n)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(labels, pa.int32()), pa.array(found, pa.string()), pa.array(counts, pa.int64())],
-            names=["doc_id", "label", "term", "n"],
-        )
+        for start, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            total[start] = total.get(start, 0) + np.frombuffer(n, np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(total, pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["start", "n"])
+
+
+def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    terms = Terms()
+    for batch in (b.slice(at, words.SLICE) for b in batches for at in range(0, b.num_rows, words.SLICE)):
+        place, hashes, n = terms.counts(words.column_bytes(batch, "text"))
+        ends = np.searchsorted(place, np.arange(batch.num_rows + 1))
+        packed = [[x[a:b].tobytes() for a, b in zip(ends, ends[1:])] for x in (hashes, n.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(p, pa.binary()) for p in packed]], names=["doc_id", "label", "terms", "n"])
 
 
 def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from labelled (id, label) rows; their number used is bounded by SAMPLE."""
     spark = docs.sparkSession
-    labels = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")).dropna()
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    chosen = labels.orderBy(F.xxhash64("doc_id", "label"), "doc_id").limit(SAMPLE)
+    labels = labelled.select(F.col(id_col).cast("long").alias("doc_id"), (F.col("label") == 1).cast("int").alias("label")).dropna().distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    chosen = common.materialize(common.smallest_hashes(labels, ["doc_id", "label"], SAMPLE), "labels")
     # At most SAMPLE ids, so that the semi-join with all documents needs no shuffle of their texts.
-    sample = common.materialize(texts.join(F.broadcast(chosen), "doc_id").limit(2 * SAMPLE), "sample")
-    n, positives = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
-    if not n:
-        return Model({}, [])
-    schema = "doc_id long, label int, term string, n long"
-    by_term = (
-        sample.mapInArrow(lambda rows: _sample_terms(rows, None), schema)
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("label").alias("hits"))
-        .filter(F.col("df") >= LEAST_EXAMPLES)
-    )
-    a, rate = F.col("hits").cast("double"), positives / n
-    expected = F.col("df") * rate
-    chi2 = (a - expected) ** 2 / (expected * (1 - rate) * (1 - F.col("df") / n) + 1e-9)
-    best = by_term.withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(TERMS)
-    vocabulary = frozenset(r[0] for r in best.select("term").collect())
-    shared = spark.sparkContext.broadcast(vocabulary)
-    counted = texts.select("text").mapInArrow(lambda rows: _occurring(rows, shared), "term string, n long")
-    df = {r[0]: r[1] for r in counted.groupBy("term").agg(F.sum("n")).collect()}
-    total = texts.count()
-    idf = {t: float(np.log((1 + total) / (1 + df.get(t, 0))) + 1) for t in vocabulary}
-    held = sample.select("doc_id", "label").orderBy("doc_id", "label").collect()
-    counts: dict[int, dict[str, int]] = {}
-    for i, _, t, c in sample.mapInArrow(lambda rows: _sample_terms(rows, shared), schema).collect():
-        counts.setdefault(i, {})[t] = c
-    return Model(idf, [(i, y, counts.get(i, {})) for i, y in held])
-
-
-def _scores(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    m = model.value
-    found, seen = Found(m.number.keys()), {}
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = found.mapInArrow(_example_terms, "doc_id long, label int, terms binary, n binary").collect()
+    rows.sort(key=lambda r: (r["label"], r["doc_id"]))  # examples of one label share blocks, which makes the bounds tighter
+    lengths = [len(r["n"]) // 4 for r in rows]
+    joined = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rows]) if rows else np.zeros(0, kind)
+    model = Model(
+        np.array([r["doc_id"] for r in rows], np.int64), np.array([r["label"] for r in rows], float),
+        np.repeat(np.arange(len(rows)), lengths), joined("terms", np.uint64), joined("n", np.int32).astype(np.int64),
+    )
+    known = spark.sparkContext.broadcast(model.known)
+    counted = texts.select("text").mapInArrow(lambda rows: _occurring(rows, known), "start long, n binary")
+    parts = max(1, min(common.shuffle_parts(spark), -(-len(model.known) // RANGE)))
+    df, total = np.zeros(len(model.known), np.int64), texts.count()
+    for start, n in counted.repartition(parts, "start").mapInArrow(_summed, "start long, n binary").collect():
+        df[start : start + RANGE] = np.frombuffer(n, np.int64)
+    known.destroy()
+    return model.complete(df, total)
+
+
+def _scored(model: Model, terms: Terms, texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for at in range(0, len(texts), TOGETHER):
+        some = texts[at : at + TOGETHER]
+        yield model.score(*terms.counts(some), len(some))
+
+
+def _scores(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    model = shared.value
+    terms = Terms(model.known)
     for batch in (b.slice(at, words.SLICE) for b in batches for at in range(0, b.num_rows, words.SLICE)):
-        scores, evidence = [], []
-        for text in words.column_bytes(batch, "text"):
-            counts = found.counts(text)
-            key = tuple(sorted(counts.items()))
-            if key not in seen:
-                if len(seen) > 100_000:
-                    seen.clear()
-                seen[key] = m.score(counts)
-            s, near = seen[key]
-            scores.append(s)
-            evidence.append(near)
+        scores, nearest = [np.zeros(0)], []
+        for score, near in _scored(model, terms, words.column_bytes(batch, "text")):
+            scores.append(score)
+            nearest += [model.ids[row[row >= 0]].tolist() for row in near]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], names=["doc_id", "score", "nearest"]
+            [batch.column(0), pa.array(np.concatenate(scores)), pa.array(nearest, pa.list_(pa.int64()))], names=["doc_id", "score", "nearest"]
         )
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score and nearest (ids of the examples that voted) for every row of docs."""
+    """doc_id, score and nearest (ids of the examples that voted, nearest first) for every row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(lambda batches: _scores(batches, shared), "doc_id long, score double, nearest array<long>")
 
 
@@ -282,18 +290,11 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, m, seen = Found(shared.value.number.keys()), shared.value, {}
+        terms = Terms(shared.value.known)
         for batch in (b.slice(i, words.SLICE) for b in batches for i in range(0, b.num_rows, words.SLICE)):
-            fine = []
-            for text in batch.column(at).cast(pa.large_binary()).to_pylist():
-                counts = found.counts(text)
-                key = tuple(sorted(counts.items()))
-                if key not in seen:
-                    if len(seen) > 100_000:
-                        seen.clear()
-                    seen[key] = m.score(counts)[0]
-                fine.append(seen[key] < threshold)
-            yield batch.filter(pa.array(fine, pa.bool_()))
+            texts = batch.column(at).cast(pa.large_binary()).to_pylist()
+            scores = [np.zeros(0), *(s for s, _ in _scored(shared.value, terms, texts))]
+            yield batch.filter(pa.array(np.concatenate(scores) < threshold))
 
     return docs.mapInArrow(kept, docs.schema)
 

@@ -272,9 +272,8 @@ def test_language_model_does_not_depend_on_batches(spark):
     assert abs(np.mean(gaps)) < 0.001 and max(map(abs, gaps)) < 0.02
 
 
-@pytest.mark.parametrize("name, column, least, table", [("op1_toxicity", "toxic", 0.9, LARGE), ("op9_quality", "quality", 0.7, MIDDLE)])
+@pytest.mark.parametrize("name, column, least, table", [("op1_toxicity", "toxic", 0.9, MIDDLE), ("op1_toxicity", "toxic", 0.9, LARGE), ("op9_quality", "quality", 0.7, MIDDLE)])
 def test_held_out_labels_are_told_apart(spark, name, column, least, table):
-    # toxicity on the largest table: the middle one holds out too few toxic labels to measure by
     labels = {r.doc_id: r[column] for r in common.table(spark, table, "labels").collect()}
     got = registry.queries()[name](spark, table).collect()
     assert len(got) == common.table(spark, table, "documents").count() and all(0 <= r.score <= 1 for r in got)
@@ -282,17 +281,53 @@ def test_held_out_labels_are_told_apart(spark, name, column, least, table):
 
 
 def test_block_max_search_is_exact():
+    """Against all cosines, with terms in the matrix and in posting lists, and with one example left out."""
     rng = np.random.default_rng(3)
-    vectors = []
-    for _ in range(400):
-        w = {int(t): float(x) for t, x in zip(rng.choice(50, 6, replace=False), rng.random(6), strict=True)}
-        norm = sum(x * x for x in w.values()) ** 0.5
-        vectors.append({t: x / norm for t, x in w.items()})
-    index = toxicity.BlockMaxIndex(vectors)
-    for q in vectors[:40]:
-        every = np.array([sum(w * v.get(t, 0.0) for t, w in q.items()) for v in vectors])
-        ids, cosines = index.nearest(q, 15)
-        assert np.allclose(cosines, np.sort(every)[::-1][:15]) and np.allclose(every[ids], cosines)
+    n, terms = 700, 400
+    dense = np.where(rng.random((n, terms)) < np.where(np.arange(terms) < 6, 0.5, 0.02), rng.random((n, terms)), 0)
+    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-9)
+    index = toxicity.BlockMaxIndex(*np.nonzero(dense), dense[np.nonzero(dense)], n, terms)
+    assert 0 < index.matrix.shape[1] < 20
+    for a in range(0, n, 100):
+        skip = np.arange(a, a + 100)
+        some = dense[skip]
+        near, cosine = index.nearest(*np.nonzero(some), some[np.nonzero(some)], 100, 9, skip)
+        want = some @ dense.T
+        want[np.arange(100), skip] = -1
+        best = np.sort(want, axis=1)[:, ::-1][:, :9]
+        assert np.allclose(cosine, np.maximum(best, 0), atol=1e-9)
+        assert np.allclose(np.where(near >= 0, np.take_along_axis(want, near, axis=1), 0), cosine, atol=1e-9)
+
+
+def test_toxicity_is_brute_force(spark, small):
+    """Scores of whole texts against dense vectors over all terms; a text that shares only rare words finds its example."""
+    labels = {r.doc_id: int(r.toxic == 1) for r in common.table(spark, SMALL, "labels").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    docs = common.table(spark, SMALL, "documents")
+    model = toxicity.fitted(spark, SMALL, docs)
+    texts = {i: Counter(re.findall(r"[^\W\d_]+", (r.text or "").translate(LOWER))) for i, r in small.items()}
+    df = Counter(t for c in texts.values() for t in c)
+    examples = sorted((y, i) for i, y in labels.items() if i in texts)
+    n, rate = len(examples), np.mean([y for y, _ in examples])
+    held, hits = Counter(t for _, i in examples for t in texts[i]), Counter(t for y, i in examples if y for t in texts[i])
+    weight = {}
+    for t, a in held.items():
+        z = 0 if a == n else abs(hits[t] - a * rate) / max(a * rate * (1 - rate) * (1 - a / n), 1e-9) ** 0.5
+        weight[t] = (np.log((1 + len(texts)) / (1 + df[t])) + 1) * (0.3 + max(z - 3, 0))
+    vector = lambda c: {t: (1 + np.log(f)) * weight[t] for t, f in c.items() if t in weight}
+    unit = lambda v: {t: x / sum(y * y for y in v.values()) ** 0.5 for t, x in v.items()}
+    known = [unit(vector(texts[i])) for _, i in examples]
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    for i, c in texts.items():
+        q = unit(vector(c))
+        cosines = sorted(((round(sum(x * e.get(t, 0) for t, x in q.items()), 11), -j) for j, e in enumerate(known)), reverse=True)[:15]
+        votes = [(1 / (1 - min(s, 1) + 0.05), examples[-j][0]) for s, j in cosines if s > 0]
+        raw = (sum(w * y for w, y in votes) + rate) / (sum(w for w, _ in votes) + 1)
+        step = model.values[min(int(np.searchsorted(model.ends, raw - 1e-8)), len(model.values) - 1)]
+        assert abs(got[i].score - step) < 1e-9
+        assert got[i].nearest[:1] == [examples[-cosines[0][1]][1]] or cosines[0][0] - cosines[1][0] < 1e-9
+    rare = min((t for t in held if held[t] == 1), key=lambda t: df[t])
+    only = spark.createDataFrame([(1, rare)], "doc_id long, text string")
+    assert toxicity.score(only, model).first().nearest == [i for _, i in examples if rare in texts[i]]
 
 
 def test_decontamination_finds_planted_items_and_nothing_else(spark):

@@ -7,11 +7,17 @@ from pyspark.sql import functions as F
 
 # Spellings of currencies.
 CURRENCIES = {"UAH": ["", "UAH", "ГРН", "₴", "HUA"], "USD": ["USD", "$", "US$"], "EUR": ["EUR", "€"]}
-# Query parameters that only track visitors.
-TRACKING = "utm_source|utm_medium|utm_campaign|utm_term|utm_content|gclid|fbclid|ref"
+# Query parameters that only track visitors, besides all that begin with utm_.
+TRACKING = ["fbclid", "gclid", "rsltid", "sa", "source", "srsltid", "ved"]
 # Phrases that say whether a product can be bought.
-OUT_OF_STOCK = "outofstock|out of stock|sold ?out|discontinued|немає в наявності|нет в наличии|закінчився"
-IN_STOCK = "instock|in stock|в наявності|в наличии|є в наявності|preorder|limitedavailability"
+OUT_OF_STOCK = [
+    "discontinued", "out of stock", "outofstock", "sold out", "soldout", "відсутній", "закінчився", "недоступний", "немає в наявності",
+    "закончился", "не доступен", "нет в наличии", "отсутствует",
+]
+IN_STOCK = [
+    "available", "in stock", "instock", "в наявності", "відвантаження зі складу", "відправка зі складу", "готовий до відправки",
+    "готово до відправки", "доступний", "є в наявності", "в наличии", "готов к отправке", "доступен", "есть в наличии", "отгрузка со склада",
+]
 
 
 def parse_number(text: Column) -> Column:
@@ -42,8 +48,11 @@ def discount_percent(old: Column, now: Column) -> Column:
 
 
 def availability_state(text: Column) -> Column:
-    low = F.lower(text)
-    return F.when(low.rlike(OUT_OF_STOCK), "OUT_OF_STOCK").when(low.rlike(IN_STOCK), "IN_STOCK").otherwise("UNKNOWN")
+    """By phrases in the text or in its words alone; phrases for sold-out come first."""
+    low = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    bare = F.regexp_replace(low, "[^a-zа-яіїєґ0-9]+", " ")
+    says = lambda phrases: low.rlike("|".join(phrases)) | bare.rlike("|".join(phrases))
+    return F.when(says(OUT_OF_STOCK), "OUT_OF_STOCK").when(says(IN_STOCK), "IN_STOCK").otherwise("UNKNOWN")
 
 
 def host(url: Column) -> Column:
@@ -52,12 +61,119 @@ def host(url: Column) -> Column:
 
 
 def canonical_url(url: Column) -> Column:
-    """Without fragment, tracking parameters and closing slash; lower-case scheme and host."""
-    bare = F.regexp_replace(url, "#.*$", "")
-    kept = F.regexp_replace(bare, f"([?&])({TRACKING})=[^&]*", "$1")
-    tidy = F.regexp_replace(F.regexp_replace(F.regexp_replace(kept, "&&+", "&"), "[?]&+", "?"), "[?&]+$", "")
-    head = F.regexp_extract(tidy, "^([a-zA-Z]+://[^/?#]+)", 1)
-    return F.concat(F.lower(head), F.regexp_replace(F.substring(tidy, F.length(head) + 1, 2**31 - 1), "/$", ""))
+    """Without fragment and tracking parameters; lower-case scheme and host. Other parameters stay in their order; what
+    is no URL stays as it is."""
+    head = F.lower(F.regexp_extract(url, "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)", 1))
+    path = F.regexp_extract(url, "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+([^?#]*)", 1)
+    name = lambda pair: F.lower(F.substring_index(pair, "=", 1))
+    pairs = F.filter(F.split(F.regexp_extract(url, "^[^?#]*[?]([^#]*)", 1), "&"), lambda x: (x != "") & ~name(x).startswith("utm_") & ~name(x).isin(TRACKING))
+    return F.when(head == "", url).otherwise(F.concat(head, path, F.when(F.size(pairs) > 0, F.concat(F.lit("?"), F.array_join(pairs, "&"))).otherwise("")))
+
+
+def page_url(url: Column) -> Column:
+    """https, lower-case host and path alone; null if it isn't http or has no path."""
+    host_ = F.lower(F.regexp_extract(url, "(?i)^https?://([^/?#]+)", 1))
+    path = F.regexp_extract(url, "(?i)^https?://[^/?#]+(/[^?#]*)", 1)
+    return F.when((host_ != "") & ~path.isin("", "/"), F.concat(F.lit("https://"), host_, path))
+
+
+def offer_key(domain: Column, url: Column) -> Column:
+    """What tells an offer of a marketplace from others: its number there or its path, without language prefix."""
+    path = F.regexp_extract(url, "^[a-zA-Z]+://[^/?#]+([^?#]*)", 1)
+    norm = F.lower(F.regexp_replace(F.regexp_replace(path, "(?i)^/(ua|ru)/", "/"), "/+$", ""))
+    rozetka, prom = F.regexp_extract(path, "(?i)/p([0-9]+)(?:/|$)", 1), F.regexp_extract(path, "(?i)/(?:ua/)?(m-?[0-9]+|p[0-9]+)(?:-|/|$)", 1)
+    return (
+        F.when((domain == "rozetka.com.ua") & (rozetka != ""), F.concat(F.lit("rozetka:p"), rozetka))
+        .when((domain == "prom.ua") & (prom != ""), F.concat(F.lit("prom:"), F.replace(F.lower(prom), F.lit("-"), F.lit(""))))
+        .when((domain == "epicentrk.ua") & norm.endswith(".html"), F.concat(F.lit("epicentr:"), norm))
+        .when((domain == "hotline.ua") & norm.contains("/computer-monitory/"), F.concat(F.lit("hotline:"), norm))
+        .otherwise(F.concat(F.regexp_replace(F.lower(F.regexp_extract(url, "^[a-zA-Z]+://([^/]+)", 1)), "^www[.]", ""), F.lit(":"), norm))
+    )
+
+
+# Parts of paths that lead to lists, not to products.
+LISTS = ["/blog/", "/catalog", "/categories", "/category", "/filter", "/fs/", "/search"]
+
+
+def is_product_url(domain: Column, url: Column) -> Column:
+    path = F.lower(F.regexp_extract(url, "^[a-zA-Z]+://[^/?#]+([^?#]*)", 1))
+    return (
+        F.when(domain == "rozetka.com.ua", path.rlike("/p[0-9]+/?$"))
+        .when(domain == "prom.ua", path.rlike("/(?:ua/)?(?:m-?[0-9]+|p[0-9]+)(?:-|/|$)"))
+        .when(domain == "epicentrk.ua", path.contains("/shop/") & path.endswith(".html") & ~path.contains("/fs/"))
+        .when(domain == "hotline.ua", path.contains("/computer-monitory/") & ~path.contains("/computer/monitory/"))
+        .otherwise(~path.rlike("|".join(LISTS)))
+    )
+
+
+def unwrapped(url: Column) -> Column:
+    """The target of a search engine's redirect; other URLs stay."""
+    target = F.regexp_extract(url, "[?&]uddg=([^&#]+)", 1)
+    return F.when(url.rlike("//(?:[a-z.]*[.])?duckduckgo[.]com/l/") & (target != ""), F.url_decode(target)).otherwise(url)
+
+
+def price_in_text(text: Column) -> Column:
+    """The first price in hryvnias that a text names; thousands may be apart."""
+    amount = F.regexp_extract(F.lower(text), "([0-9]{1,3}(?:[ \u00a0.][0-9]{3})+|[0-9]{2,7})(?:[.,][0-9]{1,2})?\\s*(?:грн|₴|uah)", 1)
+    return F.nullif(F.regexp_replace(amount, "[ \u00a0.]", ""), F.lit("")).try_cast("double")
+
+
+def decimal_price(text: Column) -> Column:
+    """Digits and points alone, as a decimal above 0; null if there are several points."""
+    value = F.regexp_replace(text, "[^0-9.]", "").try_cast("decimal(18,2)")
+    return F.when(value > 0, value)
+
+
+def clean_text(text: Column) -> Column:
+    """Entities of &, <, >, quotes and spaces resolved, white space collapsed."""
+    for entity, character in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(character))
+    return F.trim(F.regexp_replace(text, "[\\s\u00a0]+", " "))
+
+
+def strip_html(html: Column) -> Column:
+    """A page's text: tags dropped, block ends as line ends, at most one blank line."""
+    lines = F.regexp_replace(html, "(?i)<br\\s*/?>|</(?:p|div|li|h[1-6])>", "\n")
+    bare = F.regexp_replace(F.regexp_replace(lines, "<[^>]+>", ""), "[ \t\u00a0]+", " ")
+    lines = F.regexp_replace(F.regexp_replace(bare, " ?\n ?", "\n"), "\n{3,}", "\n\n")
+    return F.regexp_replace(lines, "^\\s+|\\s+$", "")
+
+
+def title_signature(title: Column) -> Column:
+    """Lower-case words of a title without a closing bracket and the word for monitor."""
+    bare = F.regexp_replace(F.lower(title), "\\s*[(][^)]*[)]\\s*$", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, "монітор|монитор", " "), "[^0-9a-zа-яіїєґ]+", " "))
+
+
+def search_title(title: Column) -> Column:
+    """A title for a search: bracketed parts dropped, at most 14 words of two characters or more."""
+    bare = F.regexp_replace(F.regexp_replace(title, "[(][^)]*[)]|\\[[^\\]]*\\]", " "), "[^0-9A-Za-zА-Яа-яІіЇїЄєҐґ+./-]+", " ")
+    return F.array_join(F.slice(F.filter(F.split(F.trim(bare), " +"), lambda w: F.length(w) > 1), 1, 14), " ")
+
+
+def safe_query(query: Column) -> Column:
+    """A query without site restriction, excluded words and quotes."""
+    bare = F.regexp_replace(F.regexp_replace(query, "(?i)\\bsite:\\S+", " "), "(^|\\s)-\\S+", " ")
+    return F.trim(F.regexp_replace(F.replace(bare, F.lit('"'), F.lit(" ")), "\\s+", " "))
+
+
+def query_identifier(query: Column) -> Column:
+    """The quoted phrase of a query, else its first word."""
+    quoted = F.regexp_extract(query, '"([^"]+)"', 1)
+    return F.when(quoted != "", quoted).otherwise(F.substring_index(F.trim(query), " ", 1))
+
+
+def sku_variants(sku: Column) -> Column:
+    """A number as it is and without leading zeros if three digits remain; anything else as it is."""
+    bare = F.regexp_replace(sku, "^0+", "")
+    return F.array_distinct(F.when(sku.rlike("^[0-9]+$") & (F.length(bare) >= 3), F.array(sku, bare)).otherwise(F.array(sku)))
+
+
+def strong_identifier(compact: Column) -> Column:
+    """Whether a lower-case identifier without separators is one of its own: no year and no dimensions."""
+    odd = compact.rlike("^(?:19|20)[0-9]{2}$") | compact.rlike("^[0-9]{1,4}x[0-9]{1,4}(?:x[0-9]{1,4})?(?:mm|cm)?$")
+    mixed = (F.length(compact) >= 7) & (F.regexp_count(compact, F.lit("[a-zа-яіїє]")) >= 2) & (F.regexp_count(compact, F.lit("[0-9]")) >= 2)
+    return F.when((compact == "") | odd, False).when(compact.rlike("^[0-9]+$"), F.length(compact) >= 8).otherwise(mixed)
 
 
 def page_title(html: Column) -> Column:
@@ -70,5 +186,6 @@ def price_text(price: Column) -> Column:
 
 
 def identity_key(*parts: Column) -> Column:
-    """SHA-256 of the lower-case parts with a separator that they don't hold."""
-    return F.sha2(F.concat_ws("\u001f", *[F.lower(F.trim(p.cast("string"))) for p in parts]), 256)
+    """SHA-256 of the lower-case parts with a separator that they don't hold; a missing part is none like an empty one."""
+    told = [F.coalesce(F.concat(F.lit("="), F.lower(F.trim(p.cast("string")))), F.lit("-")) for p in parts]
+    return F.sha2(F.concat_ws("\u001f", *told), 256)

@@ -49,7 +49,7 @@ ASSESS_SQL = FLAGGED_SQL + """, market AS (
          (p_retailprice - market_median) / market_median * 100 AS delta
   FROM part LEFT JOIN market m ON m.article = p_partkey LEFT JOIN counts c ON c.article = p_partkey
 ), scored AS (
-  SELECT *, CASE WHEN market_median IS NULL THEN NULL ELSE CAST(round_even(CASE WHEN delta <= -15 THEN 100.0 WHEN delta >= 20 THEN 0.0 WHEN delta <= 0 THEN 50 + (-delta / 15) * 50 ELSE 50 - (delta / 20) * 50 END, 0) AS INTEGER) END AS raw FROM based
+  SELECT *, CASE WHEN market_median IS NULL THEN 0 ELSE CAST(round_even(CASE WHEN delta <= -15 THEN 100.0 WHEN delta >= 20 THEN 0.0 WHEN delta <= 0 THEN 50 + (-delta / 15) * 50 ELSE 50 - (delta / 20) * 50 END, 0) AS INTEGER) END AS raw FROM based
 ), guarded AS (
   SELECT *, CASE WHEN sources >= 2 AND delta >= 10 THEN least(raw, 39) ELSE raw END AS score FROM scored
 ), assessed AS (
@@ -67,7 +67,8 @@ def _rounded(df, *columns):
 
 
 def price_summary(spark, d):
-    return _rounded(market.assess(offers(spark, d), missions(spark, d)), "market_min", "market_median", "market_max")
+    rows = market.assess(offers(spark, d), missions(spark, d)).drop("confirmed", "probable", "reason", "reserve_uah", "reserve_pct")
+    return _rounded(rows, "market_min", "market_median", "market_max")
 
 
 def price_outliers(spark, d):
@@ -222,6 +223,6 @@ QUERIES = {
     provider_recovery: f"WITH {OFFERS_SQL}, m AS (SELECT *, count(*) FILTER (source <> 'web_shops') OVER (PARTITION BY article) AS n FROM offers) SELECT article, count(*) AS offers, count(*) FILTER (source = 'web_shops') AS recovered FROM m WHERE source <> 'web_shops' OR n < 10 GROUP BY 1",
     price_ratio_guard: f"WITH {OFFERS_SQL} SELECT article, count(*) FILTER (greatest(price / p_retailprice, p_retailprice / price) > 3) AS guarded, count(*) FILTER (greatest(price / p_retailprice, p_retailprice / price) <= 3) AS kept FROM offers JOIN part ON p_partkey = article WHERE source = 'web_shops' GROUP BY 1",
     scan_counters: f"WITH {OFFERS_SQL} SELECT source, count(*) FILTER (confidence = 'CONFIRMED') AS confirmed, count(*) FILTER (confidence = 'PROBABLE') AS probable, count(*) FILTER (confidence = 'AMBIGUOUS') AS ambiguous, count(*) FILTER (confidence = 'CONFLICT') AS conflict, count(*) FILTER (currency = 'USD') AS other_currency, count(*) FILTER (currency <> 'USD' AND confidence IN ('CONFIRMED', 'PROBABLE')) AS accepted FROM offers GROUP BY 1",
-    identity_keys: "SELECT p_partkey AS article, sha256(concat_ws(chr(31), lower(trim(p_partkey::VARCHAR)), lower(trim(p_name)), lower(trim(p_brand)))) AS identity_key FROM part",
+    identity_keys: "SELECT p_partkey AS article, sha256('=' || p_partkey || chr(31) || '=' || lower(trim(p_name)) || chr(31) || '=' || lower(trim(p_brand))) AS identity_key FROM part",
     category_path: "SELECT n_nationkey, r_name || ' / ' || n_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey",
 }

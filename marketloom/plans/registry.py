@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.plans import market, state
+from marketloom.plans import market, report, state
 
 FLAGSHIP = "price_summary"
-ALL = {**market.QUERIES, **state.QUERIES}
+ALL = {**market.QUERIES, **state.QUERIES, **report.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -128,6 +128,6 @@ QUERIES = {
     suffix_domains: f"WITH h AS (SELECT string_split({HOST_SQL}, '.') AS p FROM pages) SELECT array_to_string(p[greatest(len(p) - 1, 1):], '.') AS domain, count(*) AS pages FROM h GROUP BY 1",
     blocked_antijoin: f"SELECT page_id, {HOST_SQL} AS host FROM pages WHERE NOT ({' OR '.join(f'{HOST_SQL} = {b!r} OR ends_with({HOST_SQL}, {chr(39)}.{b}{chr(39)})' for b in BLOCKED)})",
     html_titles: r"SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title FROM pages",
-    canonical_urls: f"WITH a AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '([?&])({scalars.TRACKING})=[^&]*', '\\1', 'g'), '&&+', '&', 'g'), '[?]&+', '?', 'g'), '[?&]+$', '') AS tidy FROM pages), b AS (SELECT *, regexp_extract(tidy, '^([a-zA-Z]+://[^/?#]+)', 1) AS head FROM a) SELECT page_id, lower(head) || regexp_replace(substr(tidy, length(head) + 1), '/$', '') AS canonical, {HOST_SQL} AS host FROM b",
+    canonical_urls: f"WITH a AS (SELECT page_id, url, regexp_replace(url, '#.*$', '') AS bare FROM pages), b AS (SELECT *, list_filter(string_split(CASE WHEN contains(bare, '?') THEN substr(bare, strpos(bare, '?') + 1) ELSE '' END, '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[^=]*|gclid|fbclid|ved|sa|source|s?rsltid)(=|$)')) AS kept, split_part(bare, '?', 1) AS front FROM a) SELECT page_id, lower(regexp_extract(front, '^[a-zA-Z]+://[^/]+')) || substr(front, length(regexp_extract(front, '^[a-zA-Z]+://[^/]+')) + 1) || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical, {HOST_SQL} AS host FROM b",
     captured_values: "SELECT * FROM (VALUES (0, 1234.5, 1299900.0::DOUBLE, 'UAH', 'IN_STOCK', 31.43::DOUBLE), (1, -3.0, 1234567.0, 'USD', 'OUT_OF_STOCK', NULL), (2, NULL, NULL, 'UAH', 'UNKNOWN', NULL), (3, 0.0, 99.0, 'UAH', 'OUT_OF_STOCK', NULL)) t(id, number, price, currency, stock, discount)",
 }

@@ -40,3 +40,41 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
         (1 - F.col("l_discount")).alias("match"),
         F.when(quantity <= 20, "CONFIRMED").when(quantity <= 35, "PROBABLE").when(quantity <= 43, "AMBIGUOUS").otherwise("CONFLICT").alias("confidence"),
     )
+
+
+def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One offer page's address per product, each kind of address in turn."""
+    key = F.col("article").cast("string")
+    kinds = [
+        ("rozetka.com.ua", "https://WWW.rozetka.com.ua/ua/p", "/?utm_source=x&color=red&gclid=9#top"), ("prom.ua", "https://prom.ua/ua/m-", "-name?ref=a"),
+        ("epicentrk.ua", "https://epicentrk.ua/ua/shop/Item-", ".html"), ("hotline.ua", "https://hotline.ua/ru/computer-monitory/x", "/"),
+        ("shop.example.ua", "http://shop.example.ua/category/", "?source=a"),
+    ]
+    turn = F.col("article") % len(kinds)
+    pick = lambda value: F.coalesce(*[F.when(turn == i, value(k)) for i, k in enumerate(kinds)])
+    return missions(spark, sf_dir).select("article", pick(lambda k: F.lit(k[0])).alias("domain"), pick(lambda k: F.concat(F.lit(k[1]), key, F.lit(k[2]))).alias("url"))
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight candidate titles per product: alike, and with what speaks against an offer."""
+    part = missions(spark, sf_dir)
+    other = part.filter("article <= 50").select(F.col("article").alias("_of"), F.split("name", " ")[0].alias("_word"))
+    rows = part.withColumn("_of", F.col("article") * 7 % 50 + 1).join(other, "_of").withColumn("candidate", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))))
+    k = F.col("candidate")
+    alike = F.concat_ws(" ", "brand", "name")
+    ends = {1: " used", 2: " 5 pcs", 4: " bundle", 5: " case for tablet", 6: " copy", 7: " 2021"}
+    title = F.concat(F.when(k == 3, F.concat_ws(" ", "_word", F.split("name", " ")[1])).otherwise(alike), F.coalesce(*[F.when(k == i, t) for i, t in ends.items()], F.lit("")))
+    source = F.concat_ws(" ", "name", F.when(F.col("article") % 2 == 0, "3 pcs 2024").otherwise("plain"))
+    return rows.select("article", "candidate", "name", "brand", title.alias("title"), source.alias("source"))
+
+
+def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page per product: JSON-LD at the root or in @graph, a meta price alone, or embedded prices alone."""
+    n, name = F.col("article"), F.col("name")
+    text = lambda x: x.cast("string")
+    script = lambda body: F.concat(F.lit('<html><script type="application/ld+json">'), body, F.lit("</script></html>"))
+    one = F.concat(F.lit('{"@type":"Product","name":"'), name, F.lit('","offers":{"price":"'), text(n + 10), F.lit('.5","availability":"http://schema.org/InStock"}}'))
+    graph = F.concat(F.lit('{"@graph":[{"@type":"WebPage"},{"@type":"Product","name":"'), name, F.lit('","offers":[{"price":"'), text(n + 9), F.lit('"},{"price":"'), text(n + 1), F.lit('","availability":"InStock"}]}]}'))
+    meta = F.concat(F.lit('<meta property="product:price:amount" content="'), text(n + 3), F.lit('">'))
+    page = F.when(n % 4 == 0, script(one)).when(n % 4 == 1, script(graph)).when(n % 4 == 2, meta).otherwise('<script>{"price":"12"},{"price":77},{"price":"77"}</script>')
+    return missions(spark, sf_dir).select("article", page.alias("html"))

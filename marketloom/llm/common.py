@@ -35,7 +35,30 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: computed once, and safe when executors are lost."""
     path = shared_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.folder = path
+    return back
+
+
+def discard(*frames: DataFrame) -> None:
+    """Removes the folders of materialized frames that nothing reads any more, and lets Spark drop the shuffle files
+    that only they needed."""
+    for frame in frames:
+        jvm = frame.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(frame.folder)
+        path.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    if frames:
+        frames[0].sparkSession._jvm.System.gc()
+
+
+#: Rows of one long that may be broadcast.
+BROADCAST_KEYS = 500_000
+
+
+def only(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """rows, less those whose key isn't among the keys (materialized and distinct), as far as these are few enough to be
+    broadcast; so that what follows shuffles less."""
+    return rows.join(F.broadcast(keys), key, "left_semi") if keys.count() <= BROADCAST_KEYS else rows
 
 
 def ascii_lower(text: Column) -> Column:

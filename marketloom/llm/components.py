@@ -29,7 +29,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .filter("u <> v")
             .distinct()
         )
-        edges = common.materialize(small, "edges")
+        last, edges = edges, common.materialize(small, "edges")
+        common.discard(last)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break

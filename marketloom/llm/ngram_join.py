@@ -11,14 +11,16 @@ Which shingles are shared is counted over the COUNTED percent of each set with t
 map of fixed size (SHARED_BITS); it decides the order only, so its errors cost candidates and no link.
 
 Lists are first linked as chains and stars: neighbours by size, and each member with the one with the least key.
-Verified links make components; then lists that still hold several components are scanned, in blocks, for all pairs
-of members of different components not yet compared. A list proposes a pair only if the sets could be similar with
-it as the first they share (its place in each set is kept in thousandths); the first list they do share always does.
-For long lists the scan holds blocks against each other by bit sketches within its tasks, as whole arrays, and writes only what the
-sketches leave. So a group of near copies costs a few pairs per member, and still no link that would join two
-components is missed.
-
-A pair is first held against the two classes' bit sketches (4 to 8 bits a shingle): a bit that one sketch has and
+Verified links make components; then lists that still hold several components are searched for links between members of
+different components. A list proposes a pair only if the sets could be similar with it as the first they share (its
+place in each set is kept in thousandths); the first list they do share always does. Lists of fewer than LONG members
+give pairs. Longer ones go in blocks: a first pass holds blocks against each other by bit sketches and writes only the
+members that may have a link at all. Each of these goes with its whole set to its longest list alone (its home), where
+blocks meet in tasks that verify there and write only a spanning forest of the components that the links join; so
+groups that share many lists are joined once. What is left are pairs of different components and homes, which are
+written and verified as pairs. So a group of near copies costs a few rows per member, and still no link that would join two components is missed.
+
+A pair is first held against the two classes' bit sketches (2 to 4 bits a shingle): a bit that one sketch has and
 the other lacks is a shingle not shared, which refutes most chance pairs and never a link. What remains is
 verified on the whole shingle sets, and only the classes in such pairs have their sets written. Their documents
 are told by a bit filter of fixed size (FILTER_BITS), whose false hits cost a few rows and change nothing.
@@ -48,6 +50,7 @@ FREQUENT_SETS = 4
 COUNTED = 40
 #: Lists of so many members are scanned in blocks of about BLOCK.
 LONG, BLOCK = 24, 256
+BLOCK_BYTES = 2_000_000
 #: Bytes of a sketch that blocks carry at most to a comparison.
 MOST_FOLDED = 1024
 FILTER_BITS = 2**24
@@ -55,7 +58,7 @@ SHARED_BITS = 2**27
 #: What scanning one list member costs, where writing one entry costs 1.
 SCAN_COST = 0.25
 #: Entries a task gathers before it writes them out by partition.
-BATCH_ENTRIES = 1_500_000
+BATCH_ENTRIES = 1_000_000
 
 
 def _row_id(doc_id: int | None, text: bytes | None) -> int:
@@ -63,8 +66,8 @@ def _row_id(doc_id: int | None, text: bytes | None) -> int:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """A bit for each shingle, at its hash modulo a power of two from 4 to 8 times the set's size (64 at least)."""
-    bits = max(64, 1 << (4 * len(s) - 1).bit_length())
+    """A bit for each shingle, at its hash modulo a power of two from 2 to 4 times the set's size (64 at least)."""
+    bits = max(64, 1 << (2 * len(s) - 1).bit_length())
     out = np.zeros(bits, bool)
     out[(s & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").tobytes()
@@ -218,8 +221,9 @@ def _spread(batches: Iterator[pa.RecordBatch], frequent, percent: int, boundary:
                 key = xxhash.xxh64_intdigest(s.tobytes()) - 2**63
                 if key in done:
                     continue
-                if len(done) < words.MOST_WORDS:
-                    done.add(key)
+                if len(done) >= words.MOST_WORDS:
+                    done.clear()
+                done.add(key)
                 tokens.append(found)
                 places.append(before)
                 which.append(np.full(len(found), len(keys), np.int64))
@@ -242,7 +246,7 @@ def _distinct(*columns: np.ndarray) -> list[np.ndarray]:
 
 
 def _lists(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """kind 0: pairs a, b of chains and stars; kind 1: members (token, a: class, n: size, before) of lists with two or more."""
+    """kind 0: pairs a, b of chains and stars; kind 1: members (token, a: class, n: size, before) of lists with three or more."""
     tokens, keys, sizes, places = [], [], [], []
     for batch in batches:
         for row in batch.to_pylist():
@@ -266,12 +270,16 @@ def _lists(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
     least = np.repeat(order[first], length)  # each list's member with the least key, mostly the same in a group of copies
     a = np.concatenate((np.arange(len(t) - 1), least))
     b = np.concatenate((np.arange(1, len(t)), np.arange(len(t))))
-    fits = (t[a] == t[b]) & (k[a] != k[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+    left = n + (-n * q) // 1000  # no shingle before the first that two sets share is shared
+    most = np.minimum(left[a], left[b])
+    fits = (t[a] == t[b]) & (k[a] != k[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & (100 * most >= percent * (n[a] + n[b] - most))
     a, b = k[a[fits]], k[b[fits]]
     low, high = _distinct(np.minimum(a, b), np.maximum(a, b))
     for at in range(0, len(low), 50_000):
         x, y = low[at : at + 50_000], high[at : at + 50_000]
         yield _list_rows(np.zeros(len(x), np.int8), np.zeros(len(x), np.int64), x, y, *[np.zeros(len(x), np.int64)] * 2)
+    long = np.repeat(length > 2, length)  # the pair of a list of two has been written
+    t, n, k, q = t[long], n[long], k[long], q[long]
     for at in range(0, len(t), 50_000):
         x = k[at : at + 50_000]
         yield _list_rows(np.ones(len(x), np.int8), t[at : at + 50_000].view(np.int64), x, x, n[at : at + 50_000], q[at : at + 50_000])
@@ -330,14 +338,18 @@ def _not_refuted(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFram
     return met.mapInArrow(lambda rows: _possible(rows, percent), "a long, b long")
 
 
-def _links(possible: DataFrame, base: DataFrame, documents: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """Those of the pairs of classes that are similar."""
-    possible = common.materialize(possible, "possible")
-    ends = possible.select(F.col("a").alias("key")).distinct().unionByName(possible.select(F.col("b").alias("key")).distinct()).distinct()
-    rows = documents.join(ends, "key", "left_semi").groupBy("key").agg(F.min("rid").alias("rid")).select("rid")
+def _sets_of(keys: DataFrame, base: DataFrame, documents: DataFrame, shingle: int) -> DataFrame:
+    """key and packed set of these classes (and of a few more)."""
+    rows = documents.join(keys, "key", "left_semi").groupBy("key").agg(F.min("rid").alias("rid")).select("rid")
     wanted = base.sparkSession.sparkContext.broadcast(_bit_filter(rows, FILTER_BITS))
-    sets = base.mapInArrow(lambda rows: _sets(rows, wanted, FILTER_BITS, shingle), "key long, packed binary")
-    sets = common.materialize(sets.withColumnRenamed("packed", "set"), "sets")
+    sets = base.mapInArrow(lambda rows: _sets(rows, wanted, FILTER_BITS, shingle), "key long, packed binary").withColumnRenamed("packed", "set")
+    sets = common.materialize(sets, "sets")
+    wanted.destroy()
+    return sets
+
+
+def _verified(possible: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs of classes that are similar."""
     both = possible.join(_of(sets, "b", "set"), "b").join(_of(sets, "a", "set"), "a")
     return common.materialize(both.mapInArrow(lambda rows: _verify(rows, percent), "a long, b long").distinct(), "links")
 
@@ -351,12 +363,13 @@ def _folded(sketches: list[bytes], bits: int) -> np.ndarray:
     return out
 
 
-def _unlike_components(x: dict, y: dict, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _unlike_components(x: dict, y: dict, percent: int, apart_home: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Places in x and y of members of different components that may be similar, by size, place and folded sketch."""
     n, m = x["n"][:, None], y["n"][None, :]
     # No shingle before the first that two sets share is shared, so what comes from there on bounds what they share.
     most = np.minimum(x["left"][:, None], y["left"][None, :])
-    fits = (x["component"][:, None] != y["component"][None, :]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (100 * most >= percent * (n + m - most))
+    apart = x["home"][:, None] != y["home"][None, :] if apart_home else True
+    fits = apart & (x["component"][:, None] != y["component"][None, :]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (100 * most >= percent * (n + m - most))
     i, j = np.nonzero(fits)
     bits = 8 * min(MOST_FOLDED, *(len(s) for s in x["sketch"]), *(len(s) for s in y["sketch"]))
     p, q = _folded(x["sketch"], bits), _folded(y["sketch"], bits)
@@ -371,49 +384,118 @@ def _unlike_components(x: dict, y: dict, percent: int) -> tuple[np.ndarray, np.n
 
 
 def _members_of(block: list[dict]) -> dict:
-    out = {c: np.array([r[c] for r in block], np.int64) for c in ("key", "n", "component", "before")}
+    out = {c: np.array([r[c] for r in block], np.int64) for c in ("key", "n", "component", "before", "home")}
     out["left"] = out["n"] + (-out["n"] * out["before"]) // 1000  # at least ceil(n * before / 1000) come before
-    return out | {"sketch": [r["sketch"] for r in block]}
+    return out | {"sketch": [r.get("sketch") for r in block]}
+
+
+def _hopeful(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The members of two blocks of a list whose sketches allow a link between components; a task names each once."""
+    told: set[int] = set()
+    for row in (r for b in batches for at in range(b.num_rows) for r in b.slice(at, 1).to_pylist()):
+        x, y = _members_of(row["members"]), _members_of(row["others"])
+        i, j = _unlike_components(x, y, percent)
+        keys = set(x["key"][i].tolist()) | set(y["key"][j].tolist())
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(keys - told), pa.int64())], names=["key"])
+        told = told | keys if len(told) < words.MOST_WORDS else keys
+
+
+def _forest(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links between members of two blocks of a list, verified on their sets: a spanning forest of the components joined."""
+    for row in (r for b in batches for at in range(b.num_rows) for r in b.slice(at, 1).to_pylist()):
+        x, y = _members_of(row["members"]), _members_of(row["others"])
+        sets = [[words.unpack(r["set"], 6) for r in row[side]] for side in ("members", "others")]
+        for block, own in zip((x, y), sets):
+            block["sketch"] = [sketch(s) for s in own]
+        parent: dict[int, int] = {}
+
+        def root(c: int, parent=parent) -> int:
+            while parent.get(c, c) != c:
+                parent[c] = c = parent.get(parent[c], parent[c])
+            return c
+
+        found = []
+        for i, j in zip(*(v.tolist() for v in _unlike_components(x, y, percent)), strict=True):
+            p, q = root(int(x["component"][i])), root(int(y["component"][j]))
+            if p != q:
+                one, other = sets[0][i], sets[1][j]
+                shared = len(np.intersect1d(one, other, assume_unique=True))
+                if 100 * shared >= percent * (len(one) + len(other) - shared):
+                    parent[q] = p
+                    found.append((int(x["key"][i]), int(y["key"][j])))
+        yield pa.RecordBatch.from_arrays([pa.array([min(f) for f in found], pa.int64()), pa.array([max(f) for f in found], pa.int64())], names=["a", "b"])
 
 
 def _block_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of members of two blocks of a list, as far as their sketches allow a link."""
-    for batch in batches:
-        for row in (batch.slice(at, 1).to_pylist()[0] for at in range(batch.num_rows)):
-            x = _members_of(row["members"])
-            y = _members_of(row["others"])
-            i, j = _unlike_components(x, y, percent)
-            low, high = np.minimum(x["key"][i], y["key"][j]), np.maximum(x["key"][i], y["key"][j])
-            low, high = _distinct(low, high)
-            if len(low):
-                yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["a", "b"])
-
-
-def _across(members: DataFrame, joined: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of different components that share a list, as far as their sketches allow a link.
-
-    Lists of fewer than LONG members are joined with themselves, so that no sketch travels with their members. A longer
-    one goes in blocks of about BLOCK members with their sketches; blocks meet within tasks, so that what is written
-    is what the sketches leave of them."""
-    placed = joined.withColumnRenamed("node", "key")
-    tagged = common.materialize(members.join(placed, "key", "left").withColumn("component", F.coalesce("component", "key")), "members")
-    several = tagged.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("length")).filter("x < y")
-    several = common.materialize(several.select("token", "length"), "several")
-    short = tagged.join(several.filter(F.col("length") < LONG).select("token"), "token", "left_semi")
+    """Pairs of members of two blocks, of different components and homes, whose sketches allow a link."""
+    for row in (r for b in batches for at in range(b.num_rows) for r in b.slice(at, 1).to_pylist()):
+        x, y = _members_of(row["members"]), _members_of(row["others"])
+        i, j = _unlike_components(x, y, percent, True)
+        low, high = _distinct(np.minimum(x["key"][i], y["key"][j]), np.maximum(x["key"][i], y["key"][j]))
+        yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["a", "b"])
+
+
+def _placed(members: DataFrame, components: DataFrame) -> DataFrame:
+    """Members of the lists that hold several components, with their component and their list's length and size."""
+    placed = components.withColumnRenamed("node", "key")
+    tagged = common.materialize(members.drop("component").join(placed, "key", "left").withColumn("component", F.coalesce("component", "key")), "members")
+    lists = tagged.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("length"), F.sum("n").alias("size"))
+    apart = common.materialize(tagged.join(lists.filter("x < y").select("token", "length", "size"), "token"), "apart")
+    common.discard(tagged)
+    return apart
+
+
+def _short_pairs(apart: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes of different components that share a list of fewer than LONG members."""
+    short = apart.filter(F.col("length") < LONG)
     other = short.select("token", F.col("key").alias("b"), F.col("n").alias("m"), F.col("before").alias("passed"), F.col("component").alias("other"))
     # No shingle before the first that two sets share is shared, so what comes from there on bounds what they share.
     left = lambda n, passed: F.col(n) - F.ceil(F.col(n) * F.col(passed) / 1000 - 1e-6)
     most = F.least(left("n", "before"), left("m", "passed"))
     fits = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.col("component") != F.col("other")) & (most * 100 >= (F.col("n") + F.col("m") - most) * percent)
-    pairs = short.withColumnRenamed("key", "a").join(other, "token").filter((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
-    blocks = F.ceil(F.col("length") / BLOCK).alias("blocks")
-    mixed = tagged.join(several.filter(F.col("length") >= LONG).select("token", blocks), "token").join(classes.select("key", "sketch"), "key")
-    member = F.struct("key", "n", "component", "before", "sketch")
+    return short.withColumnRenamed("key", "a").join(other, "token").filter((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+
+
+def _met(members: DataFrame, values: DataFrame, value: str, width: int) -> DataFrame:
+    """Pairs of blocks (members, others) of the long lists of members (which have their list's length and size), each
+    member with its value; a block has about BLOCK members and BLOCK_BYTES at a width of so many bytes a shingle."""
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("length") / BLOCK), F.ceil(F.col("size") * width / BLOCK_BYTES)).alias("blocks")
+    mixed = members.select("token", "key", "n", "component", "before", "home", blocks).join(values.select("key", value), "key")
     block = F.pmod(F.xxhash64("key"), F.col("blocks")).alias("block")
-    long = common.materialize(mixed.groupBy("token", block).agg(F.collect_list(member).alias("members")), "blocks")
+    long = common.materialize(mixed.groupBy("token", block).agg(F.collect_list(F.struct("key", "n", "component", "before", "home", value)).alias("members")), "blocks")
     second = long.select("token", F.col("block").alias("second"), F.col("members").alias("others"))
-    met = long.join(second, "token").filter("block <= second").select("members", "others")
-    return pairs.unionByName(met.mapInArrow(lambda rows: _block_pairs(rows, percent), "a long, b long")).distinct()
+    return long.join(second, "token").filter("block <= second").select("members", "others")
+
+
+def _between(members: DataFrame, joined: DataFrame, near: DataFrame, classes: DataFrame, base: DataFrame, documents: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """Links that join what the components leave apart."""
+    apart = _placed(members, joined)
+    pairs = common.materialize(_short_pairs(apart, percent).join(near, ["a", "b"], "left_anti"), "pairs")
+    pairs = common.materialize(_not_refuted(pairs, common.only(classes, _ends(pairs), "key"), percent), "possible")
+    long = apart.filter(F.col("length") >= LONG)
+    some = common.only(classes, common.materialize(long.select("key").distinct(), "keys"), "key")
+    met = _met(long.withColumn("home", F.lit(0)), some, "sketch", 1)
+    hopeful = common.materialize(met.mapInArrow(lambda rows: _hopeful(rows, percent), "key long").distinct(), "hopeful")
+    sets = _sets_of(_ends(pairs).unionByName(hopeful).distinct(), base, documents, shingle)
+    links = _verified(pairs, sets, percent)
+    long = common.only(long, hopeful, "key").join(hopeful, "key", "left_semi")
+    home = long.groupBy("key").agg(F.max(F.struct("length", "token", "n", "component")).alias("s")).select("key", "s.token", "s.n", "s.component")
+    home = common.materialize(home, "homes")
+    sizes = home.groupBy("token").agg(F.count(F.lit(1)).alias("length"), F.sum("n").alias("size"))
+    # in its home a set meets all others of the list, whatever they share first
+    together = home.join(sizes.filter("length > 1"), "token").withColumn("before", F.lit(0)).withColumn("home", F.lit(0))
+    forest = common.materialize(_met(together, common.only(sets, hopeful, "key"), "set", 6).mapInArrow(lambda rows: _forest(rows, percent), "a long, b long"), "links")
+    again = connected_components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links).unionByName(forest))
+    left = _placed(long.drop("length", "size"), again).join(home.select("key", F.col("token").alias("home")), "key")
+    rest = _met(left, common.only(classes, hopeful, "key"), "sketch", 1).mapInArrow(lambda rows: _block_pairs(rows, percent), "a long, b long").distinct()
+    rest = common.materialize(rest, "possible")
+    found = links.unionByName(forest).unionByName(_verified(rest, common.only(sets, _ends(rest), "key"), percent))
+    common.discard(apart, pairs)
+    return found
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return common.materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "keys")
 
 
 def _bit_filter(values: DataFrame, bits: int) -> np.ndarray:
@@ -455,11 +537,15 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     members = lists.filter("kind = 1").select("token", F.col("a").alias("key"), "n", "before")
     near = lists.filter("kind = 0").select("a", "b").distinct()
+    frequent.destroy()
     classes = documents.filter("key is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    links = _links(_not_refuted(near, classes, percent), base, documents, percent, shingle)
-    joined = connected_components(links)
-    rest = _not_refuted(_across(members, joined, classes, percent).join(near, ["a", "b"], "left_anti"), classes, percent)
-    more = _links(rest, base, documents, percent, shingle)
+    classes, near = common.materialize(classes, "classes"), common.materialize(near, "near")
+    possible = common.materialize(_not_refuted(near, common.only(classes, _ends(near), "key"), percent), "possible")
+    sets = _sets_of(_ends(possible), base, documents, shingle)
+    links = _verified(possible, sets, percent)
+    common.discard(sets, possible)
+    more = _between(members, connected_components(links), near, classes, base, documents, percent, shingle)
+    common.discard(lists, near, classes)
     return documents, connected_components(links.unionByName(more))
 
 

@@ -84,7 +84,7 @@ def may_link(x: bytes, y: bytes, n: int, m: int, percent: int) -> bool:
     return 100 * shared >= percent * (n + m - shared)
 
 
-_SCANNED = "doc_id long, rid long, n long, key long, sketch binary"
+_SCANNED = "doc_id long, row long, rid long, n long, key long, sketch binary"
 
 
 def _scan(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -96,10 +96,10 @@ def _scan(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
         rid = [_row_id(i, t) for i, t in zip(ids.to_pylist(), texts, strict=True)]
         yield pa.RecordBatch.from_arrays(
             [
-                ids.cast(pa.int64()), pa.array(rid, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                ids.cast(pa.int64()), batch.column(batch.schema.get_field_index("row")), pa.array(rid, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array(keys, pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()),
             ],
-            names=["doc_id", "rid", "n", "key", "sketch"],
+            names=["doc_id", "row", "rid", "n", "key", "sketch"],
         )
 
 
@@ -512,7 +512,8 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(documents: doc_id, rid, n, key; components: node (a class key), component (a class key))."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    documents = common.materialize(base.mapInArrow(lambda rows: _scan(rows, shingle), _SCANNED), "shingled")
+    told = base.withColumn("row", F.xxhash64(F.coalesce("text", F.lit(""))))
+    documents = common.materialize(told.mapInArrow(lambda rows: _scan(rows, shingle), _SCANNED), "shingled")
     labels = common.even_labels(spark, common.shuffle_parts(spark))
     bits = max(64, SHARED_BITS // len(labels) // 64 * 64)
     counting = base.mapInArrow(lambda rows: _counting(rows, labels, shingle), "label int, part int, packed binary")
@@ -550,14 +551,15 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, shingle: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row: the smallest doc_id reachable over links."""
+    """doc_id, row (hash of the text), n_shingles, group (names the component; null without shingles) and component_id, the
+    smallest doc_id reachable over links, for every row."""
     documents, components = similar_classes(docs, id_col, text_col, percent, shingle)
     classes = documents.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
     placed = classes.join(components.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_class = placed.join(named, "component").select("key", "component_id")
+    by_class = placed.join(named, "component").select("key", F.col("component").alias("group"), "component_id")
     return documents.join(by_class, "key", "left").select(
-        "doc_id", "rid", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", "row", F.col("n").alias("n_shingles"), "group", F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
 

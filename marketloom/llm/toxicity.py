@@ -37,44 +37,58 @@ SAMPLE = 6144
 FLOOR, NOISE = 0.3, 3.0
 BLOCK = 64
 LONG, COLUMNS = 16, 512
+#: What sums in single precision may be off by, at most.
+SLACK = 1e-5
 K = 15
 #: Documents that are scored together.
-TOGETHER = 128
+TOGETHER = 64
 #: Blocks that a document scores before the others are held against its K-th best cosine.
-FIRST_BLOCKS = 8
+FIRST_BLOCKS = 4
 THRESHOLD = 0.7
 #: Terms whose counts travel in one row.
 RANGE = 8192
 
 _LETTERS = re.compile(r"[^\W\d_]+")
+#: For ASCII texts the same words by bytes: letters in lower case, all else spaces.
+_ASCII = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 else 32 for c in range(256))
+
+
+def _words(text: bytes) -> list:
+    return text.translate(_ASCII).split() if text.isascii() else _LETTERS.findall(text.lower().decode("utf-8", "replace"))
 
 
 class Terms:
     """Counts the terms of texts: as numbers of a known vocabulary (ascending hashes), or as hashes if there is none."""
 
     def __init__(self, known: np.ndarray | None = None) -> None:
-        self.known, self.index = known, words.Index()
+        self.known, self.index, self.numbers = known, words.Index(), np.zeros(0, np.int64)
 
     def counts(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places of the texts, their distinct terms and how often each occurs, ascending."""
         if self.index.full:
-            self.index = words.Index()
-        parts = [self.index.numbers(_LETTERS.findall(t.lower().decode("utf-8", "replace"))) if t else np.zeros(0, np.int64) for t in texts]
-        hashes = np.array(self.index.hashes, np.uint64)
-        place = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        pairs, n = np.unique(place * max(len(hashes), 1) + np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64),) * 2
-        place, term = np.divmod(pairs, max(len(hashes), 1))
+            self.index, self.numbers = words.Index(), self.numbers[:0]
+        parts = [self.index.numbers(_words(t)) if t else np.zeros(0, np.int64) for t in texts]
+        new = np.array(self.index.hashes[len(self.numbers) :], np.uint64)
         if self.known is None:
-            return place, hashes[term], n
-        at = np.searchsorted(self.known, hashes)
-        number = np.where(self.known[np.minimum(at, len(self.known) - 1)] == hashes, at, -1)[term] if len(self.known) else np.full(len(term), -1)
-        held = number >= 0
-        return place[held], number[held], n[held]
+            self.numbers = np.concatenate((self.numbers, new.view(np.int64)))
+        elif len(new):
+            at = np.minimum(np.searchsorted(self.known, new), max(len(self.known) - 1, 0))
+            found = self.known[at] == new if len(self.known) else np.zeros(len(new), bool)
+            self.numbers = np.concatenate((self.numbers, np.where(found, at, -1)))
+        place = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        words_ = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        if self.known is not None:  # what no example holds need not be counted
+            held = self.numbers[words_] >= 0
+            place, words_ = place[held], words_[held]
+        pairs, n = np.unique(place * max(len(self.numbers), 1) + words_, return_counts=True)
+        place, words_ = np.divmod(pairs, max(len(self.numbers), 1))
+        term = self.numbers[words_]
+        return place, term if self.known is not None else term.view(np.uint64), n
 
 
 def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """start, start + 1, ... for each start, length long, one after the other."""
-    return np.repeat(start - np.cumsum(length) + length, length) + np.arange(length.sum())
+    return np.repeat((start - np.cumsum(length) + length).astype(np.int32), length) + np.arange(length.sum(), dtype=np.int32)
 
 
 class BlockMaxIndex:
@@ -88,17 +102,17 @@ class BlockMaxIndex:
         long = long[np.argsort(-held[long], kind="stable")[:COLUMNS]]
         self.column = np.full(terms, -1)
         self.column[long] = np.arange(len(long))
-        self.matrix = np.zeros((n, len(long)))
+        self.matrix, self.narrow = np.zeros((n, len(long))), None
         dense = self.column[term] >= 0
         self.matrix[example[dense], self.column[term[dense]]] = weight[dense]
         order = np.lexsort((example[~dense], term[~dense]))
         self.example, term, self.weight = example[~dense][order].astype(np.int32), term[~dense][order], weight[~dense][order]
         key = term * self.blocks + self.example // BLOCK
-        self.entry = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-        self.length = np.diff(np.append(self.entry, len(key)))
-        self.block = (key[self.entry] % self.blocks).astype(np.int32)
-        self.most = np.maximum.reduceat(self.weight, self.entry) if len(key) else np.zeros(0)
-        self.start = np.searchsorted(key[self.entry] // self.blocks, np.arange(terms + 1))
+        self.entry = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))).astype(np.int32) if len(key) else np.zeros(0, np.int32)
+        self.length = np.diff(np.append(self.entry, len(key))).astype(np.int8)
+        self.block = (key[self.entry] % self.blocks).astype(np.int16 if self.blocks < 2**15 else np.int32)
+        self.most = np.maximum.reduceat(self.weight, self.entry).astype(np.float32) if len(key) else np.zeros(0, np.float32)
+        self.start = np.searchsorted(key[self.entry] // self.blocks, np.arange(terms + 1)).astype(np.int32)
 
     def nearest(self, place: np.ndarray, term: np.ndarray, weight: np.ndarray, queries: int, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """For each query (unit vectors as triples) the k examples with the largest cosine above 0, best first, and the
@@ -106,42 +120,48 @@ class BlockMaxIndex:
         dense = self.column[term] >= 0
         q = np.zeros((queries, self.matrix.shape[1]))
         q[place[dense], self.column[term[dense]]] = weight[dense]
+        if self.narrow is None:
+            self.narrow = np.ascontiguousarray(self.matrix.T, np.float32)
+        # Single precision finds the candidates, with a margin of SLACK; their cosines are then taken in double precision.
         base = np.zeros((queries, self.blocks * BLOCK))
-        base[:, : self.n] = q @ self.matrix.T
+        base[:, : self.n] = q.astype(np.float32) @ self.narrow
         if skip is not None:
             base[np.arange(queries), skip] = -10.0
         place, term, weight = place[~dense], term[~dense], weight[~dense]
         entries = self.start[term + 1] - self.start[term]
         at = _ranges(self.start[term], entries)
-        who, by = np.repeat(place, entries), np.repeat(weight, entries)
-        rare = np.bincount(who * self.blocks + self.block[at], by * self.most[at], minlength=queries * self.blocks).reshape(queries, -1)
+        who, by = np.repeat(place.astype(np.int32), entries), np.repeat(weight, entries)
+        cell = who * self.blocks + self.block[at]
+        rare = np.bincount(cell, by * self.most[at], minlength=queries * self.blocks).reshape(queries, -1)
         bound = base.reshape(queries, self.blocks, BLOCK).max(axis=2) + rare
 
         def scored(chosen: np.ndarray) -> np.ndarray:
             """The cosines of all examples in the chosen blocks of each query; -1 elsewhere."""
-            use = chosen[who, self.block[at]]
-            posts = _ranges(self.entry[at[use]], self.length[at[use]])
-            size = self.length[at[use]]
+            use = np.flatnonzero(chosen.ravel()[cell])
+            entry = at[use]
+            n = self.length[entry].astype(np.int32)
+            posts = _ranges(self.entry[entry], n)
+            flat = np.repeat(who[use] * (self.blocks * BLOCK), n) + self.example[posts]
             out = np.where(np.repeat(chosen, BLOCK, axis=1), base, -1.0).ravel()
-            flat = np.repeat(who[use], size) * (self.blocks * BLOCK) + self.example[posts]
-            return (out + np.bincount(flat, np.repeat(by[use], size) * self.weight[posts], minlength=len(out))).reshape(queries, -1)
+            return (out + np.bincount(flat, np.repeat(by[use], n) * self.weight[posts], minlength=len(out))).reshape(queries, -1)
 
         k = min(k, self.n)
         first = np.zeros((queries, self.blocks), bool)
         np.put_along_axis(first, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST_BLOCKS], True, axis=1)
         s = scored(first)
         enough = np.maximum(-np.partition(-s, k - 1, axis=1)[:, k - 1], 1e-12)  # no block below this can hold a better example
-        rest = ~first & (bound >= enough[:, None] - 1e-9)
+        rest = ~first & (bound >= enough[:, None] - SLACK)
         if rest.any():
             s = np.maximum(s, scored(rest))
             enough = np.maximum(-np.partition(-s, k - 1, axis=1)[:, k - 1], 1e-12)
-        rows, found = np.nonzero((s >= enough[:, None] - 1e-11) & (s > 1e-12))
-        order = np.lexsort((found, -np.round(s[rows, found], 11), rows))
-        rows, found = rows[order], found[order]
+        rows, found = np.nonzero((s >= enough[:, None] - SLACK) & (s > 1e-12))
+        exact = s[rows, found] - base[rows, found] + np.einsum("ij,ij->i", q[rows], self.matrix[found])
+        order = np.lexsort((found, -np.round(exact, 11), rows))
+        rows, found, exact = rows[order], found[order], exact[order]
         rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        rows, found, rank = rows[rank < k], found[rank < k], rank[rank < k]
+        rows, found, exact, rank = rows[rank < k], found[rank < k], exact[rank < k], rank[rank < k]
         near, cosine = np.full((queries, k), -1), np.zeros((queries, k))
-        near[rows, rank], cosine[rows, rank] = found, s[rows, found]
+        near[rows, rank], cosine[rows, rank] = found, exact
         return near, cosine
 
 
@@ -186,7 +206,7 @@ class Model:
             raw[skip] = self._votes(self.example[some] - at, self.term[some], self.counts[some], len(skip), skip)[0]
         if n:
             self.ends, self.values = isotonic(raw, self.labels)
-        self.example = self.term = self.counts = None
+        self.example = self.term = self.counts = self.index.narrow = None  # each worker makes its own
         return self
 
     def _unit(self, place: np.ndarray, term: np.ndarray, n: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,6 +229,7 @@ class Model:
 
 def _occurring(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatch]:
     """How many of a task's texts each term of the vocabulary is in: a row for each RANGE terms."""
+    words.release()
     terms, total = Terms(known.value), np.zeros(len(known.value), np.int64)
     for batch in (b.slice(at, words.SLICE) for b in batches for at in range(0, b.num_rows, words.SLICE)):
         total += np.bincount(terms.counts(words.column_bytes(batch, "text"))[1], minlength=len(total))
@@ -256,16 +277,21 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
     for start, n in counted.repartition(parts, "start").mapInArrow(_summed, "start long, n binary").collect():
         df[start : start + RANGE] = np.frombuffer(n, np.int64)
     known.destroy()
-    return model.complete(df, total)
+    del rows, joined
+    model.complete(df, total)
+    words.release()
+    return model
 
 
 def _scored(model: Model, terms: Terms, texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    place, term, n = terms.counts(texts)
     for at in range(0, len(texts), TOGETHER):
-        some = texts[at : at + TOGETHER]
-        yield model.score(*terms.counts(some), len(some))
+        a, b = np.searchsorted(place, (at, at + TOGETHER))
+        yield model.score(place[a:b] - at, term[a:b], n[a:b], min(TOGETHER, len(texts) - at))
 
 
 def _scores(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    words.release()
     model = shared.value
     terms = Terms(model.known)
     for batch in (b.slice(at, words.SLICE) for b in batches for at in range(0, b.num_rows, words.SLICE)):
@@ -290,6 +316,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words.release()
         terms = Terms(shared.value.known)
         for batch in (b.slice(i, words.SLICE) for b in batches for i in range(0, b.num_rows, words.SLICE)):
             texts = batch.column(at).cast(pa.large_binary()).to_pylist()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from array import array
 from collections.abc import Iterator
 
@@ -16,6 +17,14 @@ SLICE = 1024
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def release() -> None:
+    """Gives memory that this process has freed back to the machine: workers are reused by later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads 64-bit values evenly."""
     x = x ^ (x >> np.uint64(32))
@@ -56,6 +65,7 @@ def column_bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
 
 def shingle_sets(batches: Iterator[pa.RecordBatch], text: str, k: int = 5) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Each batch with its texts' sets of k-word shingle hashes, ascending; fewer words: one hash of them all; none: empty."""
+    release()
     index = Index()
     for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
         if index.full:
@@ -79,6 +89,8 @@ def shingle_sets(batches: Iterator[pa.RecordBatch], text: str, k: int = 5) -> It
             else:
                 sets.append(h)
         yield batch, sets
+    del index
+    release()
 
 
 def pack(values: np.ndarray, width: int) -> bytes:

@@ -411,3 +411,11 @@ def test_pipeline_keeps_one_of_each_group_and_places_every_row(spark):
     toxic = {r.doc_id for r in registry.queries()["op1_toxicity"](spark, SMALL).collect() if r.predicted}
     assert not kept & bad and not kept & toxic
     assert not any(i != of[i] and of[i] in kept for i in kept)
+
+
+def test_near_duplicate_stage_keeps_one_row_of_equal_and_null_ids(spark):
+    same, other = "a b c d e f g h i j k l m n o p", "quite another text that is not like the first one at all"
+    rows = [(1, same), (1, same), (None, same), (3, same), (1, other), (None, None), (None, None), (5, "")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, _id int")
+    got = sorted(corpus_pipeline.near_duplicate_stage(spark, docs, SMALL).collect(), key=str)
+    assert got == sorted([(1, same, 1), (1, other, 1), (None, None, 1), (None, None, 1), (5, "", 1)], key=str)

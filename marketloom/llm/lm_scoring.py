@@ -21,7 +21,7 @@ start, and a dish's last weight is kept although they have changed.
 
 Defined results: null and empty texts are the end token alone; words that no training text holds share the unknown's
 probability; a null id is never held out; repeated rows count as often as they occur; an empty table gives no rows;
-without training texts the model is uniform. Words are told apart by 64-bit hashes.
+without training texts the model is uniform. Words are told apart by 64-bit hashes, those after a context by 48 bits of them.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ from marketloom.llm import common, words
 D, THETA = 0.8, 1.0
 D_PARENT, THETA_PARENT = 0.75, 1.0
 BURN_IN, SAMPLES = 1, 3
-BATCH_TOKENS = 2_500_000
+BATCH_TOKENS = 800_000
 #: A context is hot from 1/HOT of a mean partition's tokens on.
 HOT = 4
 END, START = np.uint64(xxhash.xxh64_intdigest(b"\x00end")), np.uint64(xxhash.xxh64_intdigest(b"\x00start"))
@@ -245,14 +245,14 @@ def _sending(rows: Iterator[pa.RecordBatch], labels: list[int], shared) -> Itera
             e = order[ends[p] : ends[p + 1]]
             if len(e):
                 u, runs = np.unique(b.u[e], return_counts=True)
-                blobs = [_zip(b.words[u]), _zip(runs.astype(np.int32)), _zip(b.words[b.w[e]]), _zip(b.count[e].astype(np.int32))]
+                blobs = [_zip(b.words[u]), _zip(runs.astype(np.int32)), words.pack(b.words[b.w[e]] >> np.uint64(16), 6), _zip(b.count[e].astype(np.int32))]
                 yield _sent([(PAIRS, label, p, row["batch"], 0, 0.0, 0.0, blobs)])
 
 
 def _pairs(sent: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Context, word and training count of the distinct pairs in order of the hashes, and the pair of each sent one."""
     u = np.concatenate([np.repeat(_unzip(r["blobs"][0], np.uint64), _unzip(r["blobs"][1], np.int32)) for r in sent])
-    w = np.concatenate([_unzip(r["blobs"][2], np.uint64) for r in sent])
+    w = np.concatenate([words.unpack(r["blobs"][2], 6) for r in sent]) << np.uint64(16)
     counts = np.concatenate([_unzip(r["blobs"][3], np.int32) for r in sent])
     order = np.lexsort((w, u))
     new = np.ones(len(u), bool)
@@ -420,10 +420,14 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             "mass": sum(r[2] for r in sums) + unknown, "unknown": unknown,
         }
         then = spark.sparkContext.broadcast(model)
-        got = state.filter(F.col("kind") == STATE).unionByName(parents.filter(F.col("kind") == MASSES)).repartition(parts, "label")
+        last, got = state, state.filter(F.col("kind") == STATE).unionByName(parents.filter(F.col("kind") == MASSES)).repartition(parts, "label")
         state = common.materialize(got.mapInArrow(lambda r, then=then, sweep=sweep: _seated(r, labels, then, sweep), _SENT), "restaurants")
+        common.discard(last, parents)
+        now.destroy()
+        then.destroy()
     answers = counted.filter("kind = 0").groupBy("batch").agg(F.collect_list(F.struct("part", "counts")).alias("answers"))
-    seated = sending.unionByName(state.filter(F.col("kind") == STATE)).repartition(parts, "label").mapInArrow(_found, "batch long, part int, logp binary")
+    sums = state.filter(F.col("kind") == STATE).withColumn("blobs", F.slice("blobs", -1, 1))  # the last are the summed probabilities
+    seated = sending.unionByName(sums).repartition(parts, "label").mapInArrow(_found, "batch long, part int, logp binary")
     found = seated.groupBy("batch").agg(F.collect_list(F.struct("part", "logp")).alias("found"))
     whole = batches.join(answers, "batch").join(found, "batch")
     return whole.mapInArrow(

@@ -14,9 +14,19 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents, the one with the smallest id stays."""
-    gone = ngram_join.join_similar(docs).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of similar documents one row stays: that with the smallest id (null is largest), of equal ids the text
+    with the smallest hash, and of equal rows one. Documents without words stay, every one."""
+    named = ["_id", "_row"]
+    of = [F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NO_ID)).alias("_id")]
+    found = ngram_join.join_similar(docs).filter(F.col("group").isNotNull()).select(*of, F.col("row").alias("_row"), "group")
+    found = common.materialize(found, "grouped")
+    first = found.groupBy("group").agg(F.min(F.struct(*named)).alias("first"))
+    gone = found.join(first, "group").filter(F.struct(*named) != F.col("first")).select(*named).distinct()
+    again = found.groupBy(*named).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*named)
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), *of, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_row"))
+    kept = rows.join(gone, named, "left_anti")
+    once = kept.join(again, named, "left_semi").groupBy(*named).agg(F.first("_doc").alias("_doc"))  # few: equal rows that stay
+    return kept.join(again, named, "left_anti").select("_doc.*").unionByName(once.select("_doc.*"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

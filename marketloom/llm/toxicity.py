@@ -200,9 +200,10 @@ class Model:
         self.weights = (np.log((1 + total) / (1 + df)) + 1) * (FLOOR + np.maximum(z - NOISE, 0))
         self.index = BlockMaxIndex(*self._unit(self.example, self.term, self.counts, n), n, len(self.known))
         raw, order = np.zeros(n), np.argsort(self.example, kind="stable")
-        starts = np.searchsorted(self.example[order], np.arange(0, n + TOGETHER, TOGETHER))
-        for at, a, b in zip(range(0, n, TOGETHER), starts, starts[1:]):
-            some, skip = order[a:b], np.arange(at, min(at + TOGETHER, n))
+        step = TOGETHER // 4  # on the driver, whose memory is scarcer
+        starts = np.searchsorted(self.example[order], np.arange(0, n + step, step))
+        for at, a, b in zip(range(0, n, step), starts, starts[1:]):
+            some, skip = order[a:b], np.arange(at, min(at + step, n))
             raw[skip] = self._votes(self.example[some] - at, self.term[some], self.counts[some], len(skip), skip)[0]
         if n:
             self.ends, self.values = isotonic(raw, self.labels)
@@ -314,6 +315,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that score below the threshold."""
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+    del model
+    words.release()
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words.release()

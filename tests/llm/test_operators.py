@@ -419,3 +419,21 @@ def test_near_duplicate_stage_keeps_one_row_of_equal_and_null_ids(spark):
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, _id int")
     got = sorted(corpus_pipeline.near_duplicate_stage(spark, docs, SMALL).collect(), key=str)
     assert got == sorted([(1, same, 1), (1, other, 1), (None, None, 1), (None, None, 1), (5, "", 1)], key=str)
+
+
+def test_span_dedup_is_brute_force_with_long_sentences(spark, small):
+    """The rule as the operator states it: runs of two sentences, and single ones that are long (or the whole text)."""
+    seen, want = set(), {}
+    for i in sorted(small):
+        parts = span_dedup.sentences((small[i].text or "").encode())
+        texts = [tuple(p.lower().split()) for p in parts]
+        least = span_dedup.LONG if len(parts) >= span_dedup.SPAN else span_dedup.LEAST_WORDS
+        runs = [(at, at + 2, (texts[at], texts[at + 1])) for at in range(len(parts) - 1) if len(texts[at] + texts[at + 1]) >= span_dedup.LEAST_WORDS]
+        runs += [(at, at + 1, texts[at]) for at in range(len(parts)) if len(texts[at]) >= least]
+        gone = set()
+        for a, b, name in runs:
+            gone.update(range(a, b) if name in seen else ())
+            seen.add(name)
+        want[i] = (len(parts), len(gone), hashlib.sha256(b"".join(p for n, p in enumerate(parts) if n not in gone)).hexdigest())
+    got = registry.queries()["op5_span_dedup"](spark, SMALL).collect()
+    assert {r.doc_id: (r.n_sentences, r.n_removed, r.kept_sha256) for r in got} == want

@@ -26,6 +26,7 @@ without training texts the model is uniform. Words are told apart by 64-bit hash
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -45,32 +46,53 @@ BURN_IN, SAMPLES = 1, 3
 BATCH_TOKENS = 800_000
 #: A context is hot from 1/HOT of a mean partition's tokens on.
 HOT = 4
+#: Dishes from which on they are seated together, as arrays.
+FEW = 48
 END, START = np.uint64(xxhash.xxh64_intdigest(b"\x00end")), np.uint64(xxhash.xxh64_intdigest(b"\x00start"))
 #: Log probabilities travel as multiples of this.
 GRAIN = 1 / 2048
 
 
 def _zip(x: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(x).tobytes(), 3)
+    """Compressed by bytes of the same weight, of which the higher ones seldom differ."""
+    data = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize)
+    return zstandard.compress(b"".join(np.ascontiguousarray(data[:, i]) for i in range(x.itemsize)), 1)
 
 
 def _unzip(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), kind)
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    out = np.empty(planes.shape[::-1], np.uint8)
+    for i, plane in enumerate(planes):
+        out[:, i] = plane
+    return out.ravel().view(kind)
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
-    shift = np.log(x * (x + 1) * (x + 2) * (x + 3)) + np.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
+    shift = np.log(x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6) * (x + 7))
     y = x + 8
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) - shift
 
 
+def _reseat_one(c: float, n: float, t: float, weight: float, a: float, step: float, d: float, rng: np.random.Generator) -> tuple[float, float]:
+    """What reseat does, for one dish of which n customers have t tables."""
+    while n < c:
+        x = n - d * t
+        m = min(rng.geometric(min(max(rng.beta(max(a, 1e-9), x), 1e-12), 1.0)) - 1, c - n)
+        weight += math.lgamma(x + m + a) - math.lgamma(x + a)
+        n += m
+        if n < c:
+            weight += math.log(x + m + a)
+            n, t, a = n + 1, t + 1, a + step
+    return t, weight
+
+
 def reseat(c: np.ndarray, a: np.ndarray, step: np.ndarray, d: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """Seats c customers (1 or more) of a dish anew by the Chinese restaurant rule, a being the mass of a new table and
     step what each table adds to it. Returns the tables and the log weight of the draw."""
     n, t, weight = np.ones(len(c)), np.ones(len(c)), np.zeros(len(c))
     a = a.astype(float).copy()
     live = np.flatnonzero(c > 1)
-    while len(live):
+    while len(live) > FEW:
         x = n[live] - d * t[live]
         q = np.clip(rng.beta(np.maximum(a[live], 1e-9), x), 1e-12, 1.0)
         m = np.minimum(rng.geometric(q) - 1, c[live] - n[live])
@@ -83,6 +105,8 @@ def reseat(c: np.ndarray, a: np.ndarray, step: np.ndarray, d: float, rng: np.ran
         t[live] += 1
         a[live] += step[live]
         live = live[n[live] < c[live]]
+    for i in live.tolist():  # the few with many tables, one after the other
+        t[i], weight[i] = _reseat_one(float(c[i]), n[i], t[i], weight[i], a[i], float(step[i]), d, rng)
     return t, weight
 
 
@@ -153,9 +177,14 @@ class Batch:
         self.train = np.repeat(~np.array(row["held"], bool), self.lens)
         before = np.concatenate(([0], self.tokens[:-1]))
         before[self.starts] = int(np.flatnonzero(self.words == START)[0])
-        self.pairs, self.of = np.unique(before * len(self.words) + self.tokens, return_inverse=True)
+        self.before = before
+
+    def pair(self) -> Batch:
+        """Numbers the distinct pairs of context and word."""
+        self.pairs, self.of = np.unique(self.before * len(self.words) + self.tokens, return_inverse=True)
         self.u, self.w = self.pairs // len(self.words), self.pairs % len(self.words)
         self.count = np.bincount(self.of[self.train], minlength=len(self.pairs))
+        return self
 
     def bounds(self, part: np.ndarray, parts: int) -> np.ndarray:
         return np.searchsorted(part, np.arange(parts + 1))
@@ -225,9 +254,10 @@ def _joined(row: dict, column: str, kind) -> np.ndarray:
 
 #: What partitions send each other: label and part say to whom, source (a partition or a batch) from whom.
 _SENT = "kind byte, label int, part int, source long, a long, x double, y double, blobs array<binary>"
-#: Pairs of a batch; the restaurants of a partition; tables by word; the parent's masses by word; sums of the parent
-#: (a: tables, x: mass, y: the unknown's); tables of a hot context (source: hash, a: tables).
-PAIRS, STATE, OPENED, MASSES, PARENT, TABLES = range(6)
+#: Pairs of a batch; their places among the pairs of a partition; the restaurants of a partition, and their seating;
+#: tables by word; the parent's masses by word; sums of the parent (a: tables, x: mass, y: the unknown's); tables of a
+#: hot context (source: hash, a: tables).
+PAIRS, PLACES, LAYOUT, STATE, OPENED, MASSES, PARENT, TABLES = range(8)
 
 
 def _sent(rows: list[tuple]) -> pa.RecordBatch:
@@ -238,7 +268,7 @@ def _sent(rows: list[tuple]) -> pa.RecordBatch:
 
 def _sending(rows: Iterator[pa.RecordBatch], labels: list[int], shared) -> Iterator[pa.RecordBatch]:
     for row in (r for b in rows for r in b.to_pylist()):
-        b = Batch(row)
+        b = Batch(row).pair()
         order, part = b.dealt(shared.value["hot"], len(labels))
         ends = b.bounds(part, len(labels))
         for p, label in enumerate(labels):
@@ -246,7 +276,7 @@ def _sending(rows: Iterator[pa.RecordBatch], labels: list[int], shared) -> Itera
             if len(e):
                 u, runs = np.unique(b.u[e], return_counts=True)
                 blobs = [_zip(b.words[u]), _zip(runs.astype(np.int32)), words.pack(b.words[b.w[e]] >> np.uint64(16), 6), _zip(b.count[e].astype(np.int32))]
-                yield _sent([(PAIRS, label, p, row["batch"], 0, 0.0, 0.0, blobs)])
+                yield _sent([(PAIRS, label, p, row["batch"], len(e), 0.0, 0.0, blobs)])
 
 
 def _pairs(sent: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -265,13 +295,16 @@ def _pairs(sent: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 class Restaurants:
     """The restaurants of a partition: contexts with their pairs, the pairs' words (numbers into words, which are in
-    order of partition and hash), customers, tables, weights and summed predictive probabilities."""
+    order of partition and hash) and customers, which stay; and their seating: tables and weights of the pairs, their
+    tables summed over the samples, and each sample's probabilities of the words and tables of the contexts."""
 
-    KINDS = {"context": np.uint64, "runs": np.int32, "words": np.uint64, "w": np.int32, "c": np.int32, "t": np.int32, "weight": np.float32, "total": np.float32}
+    LAYOUT = {"context": np.uint64, "runs": np.int32, "words": np.uint64, "w": np.int32, "c": np.int32}
+    STATE = {"t": np.int32, "weight": np.float32, "seats": np.int32, "bases": np.float32, "tables": np.int64}
 
     def __init__(self, **columns: np.ndarray) -> None:
         self.__dict__.update(columns)
         self.group = np.repeat(np.arange(len(self.context)), self.runs)
+        self.bases, self.tables = self.bases.reshape(-1, len(self.words)), self.tables.reshape(-1, len(self.context))
 
     @classmethod
     def of_pairs(cls, u: np.ndarray, w: np.ndarray, c: np.ndarray, parts: int) -> Restaurants:
@@ -280,46 +313,69 @@ class Restaurants:
         order = np.lexsort((known, _part(known, parts)))
         place = np.argsort(order)
         # one customer has one table, whatever is drawn
-        return cls(context=context, runs=runs, words=known[order], w=place[at], c=c, t=np.minimum(c, 1), weight=np.where(c > 1, -np.inf, 0.0), total=np.zeros(len(c)))
+        return cls(context=context, runs=runs, words=known[order], w=place[at], c=c, t=np.minimum(c, 1), weight=np.where(c > 1, -np.inf, 0.0),
+                   seats=np.zeros(len(c), np.int32), bases=np.zeros(0), tables=np.zeros(0, np.int64))
 
     @classmethod
-    def unpack(cls, blobs: list[bytes]) -> Restaurants:
-        return cls(**{k: _unzip(x, kind) for (k, kind), x in zip(cls.KINDS.items(), blobs, strict=True)})
-
-    def pack(self) -> list[bytes]:
-        return [_zip(getattr(self, k).astype(kind)) for k, kind in self.KINDS.items()]
-
-    def sweep(self, base: np.ndarray, hot: dict, tables: dict, rng: np.random.Generator) -> np.ndarray:
-        """Seats all dishes once, base being the parent's probabilities of words; returns the predictive probabilities."""
-        customers, elsewhere = np.bincount(self.group, self.c, minlength=len(self.context)), np.zeros(len(self.context))
-        here = np.bincount(self.group, self.t, minlength=len(self.context))
-        for i, h in enumerate(self.context.tolist()):
-            if h in hot:
-                customers[i], elsewhere[i] = hot[h][0], max(0.0, tables.get(h, 0) - here[i])
-        p, t, weight = gibbs(self.c, self.t, self.weight, base[self.w], self.group, customers, elsewhere, D, THETA, rng, 0, 1)
+    def unpack(cls, layout: list[bytes], state: list[bytes]) -> Restaurants:
+        kinds = cls.LAYOUT | cls.STATE
+        return cls(**{k: _unzip(x, kind) for (k, kind), x in zip(kinds.items(), [*layout, *state], strict=True)})
+
+    def pack(self, kinds: dict) -> list[bytes]:
+        return [_zip(getattr(self, k).astype(kind)) for k, kind in kinds.items()]
+
+    def hot(self, hot: dict) -> list[int]:
+        return np.flatnonzero(np.isin(self.context, np.array(list(hot), np.uint64))).tolist()
+
+    def customers(self, hot: dict) -> np.ndarray:
+        customers = np.bincount(self.group, self.c, minlength=len(self.context))
+        for i in self.hot(hot):
+            customers[i] = hot[int(self.context[i])][0]
+        return customers
+
+    def sweep(self, base: np.ndarray, hot: dict, tables: dict, rng: np.random.Generator, sample: bool) -> None:
+        """Seats all dishes once, base being the parent's probabilities of words; a sample is remembered."""
+        elsewhere, here = np.zeros(len(self.context)), np.bincount(self.group, self.t, minlength=len(self.context))
+        for i in self.hot(hot):
+            elsewhere[i] = max(0.0, tables.get(int(self.context[i]), 0) - here[i])
+        _, t, weight = gibbs(self.c, self.t, self.weight, base[self.w], self.group, self.customers(hot), elsewhere, D, THETA, rng, 1, 0)
         self.t, self.weight = t.astype(np.int32), np.where(self.c > 1, weight, 0.0)
-        return p
+        if sample:
+            now = elsewhere + np.bincount(self.group, self.t, minlength=len(self.context))
+            self.seats = self.seats + self.t
+            self.bases, self.tables = np.vstack((self.bases, base)), np.vstack((self.tables, now.astype(np.int64)))
+
+    def probabilities(self, hot: dict) -> np.ndarray:
+        """The pairs' predictive probabilities, averaged over the samples."""
+        total = len(self.bases) * self.c - D * self.seats
+        for base, tables in zip(self.bases, self.tables, strict=True):
+            total += (THETA + D * tables)[self.group] * base[self.w]
+        return total / (len(self.bases) * (THETA + self.customers(hot)))[self.group]
 
     def rows(self, part: int, labels: list[int], hot: dict) -> list[tuple]:
-        """The state, the tables of each word for the word's partition, and those of hot contexts."""
-        out = [(STATE, labels[part], part, part, 0, 0.0, 0.0, self.pack())]
+        """The seating, the tables of each word for the word's partition, and those of hot contexts."""
+        out = [(STATE, labels[part], part, part, 0, 0.0, 0.0, self.pack(self.STATE))]
         opened = np.bincount(self.w, self.t, minlength=len(self.words)).astype(np.int64)
         ends = np.searchsorted(_part(self.words, len(labels)), np.arange(len(labels) + 1))
         for q, label in enumerate(labels):
             s = slice(ends[q], ends[q + 1])
             if ends[q] < ends[q + 1]:
-                out.append((OPENED, label, q, part, 0, 0.0, 0.0, [self.words[s].tobytes(), _zip(opened[s])]))
+                out.append((OPENED, label, q, part, 0, 0.0, 0.0, [_zip(self.words[s]), _zip(opened[s])]))
         here = np.bincount(self.group, self.t, minlength=len(self.context))
-        for i, h in enumerate(self.context.tolist()):
-            if h in hot:
-                out.append((TABLES, labels[part], part, int(self.context[i].view(np.int64)), int(here[i]), 0.0, 0.0, []))
+        out += [(TABLES, labels[part], part, int(self.context[i].view(np.int64)), int(here[i]), 0.0, 0.0, []) for i in self.hot(hot)]
         return out
 
 
 def _gathered(rows: Iterator[pa.RecordBatch], labels: list[int], shared) -> Iterator[pa.RecordBatch]:
     for part, sent in _by_part(rows).items():
-        u, w, c, _ = _pairs(sent)
-        yield _sent(Restaurants.of_pairs(u, w, c, len(labels)).rows(part, labels, shared.value["hot"]))
+        u, w, c, of = _pairs(sent)
+        at = 0
+        for r in sent:
+            n = r["a"]
+            yield _sent([(PLACES, labels[part], part, r["source"], 0, 0.0, 0.0, [_zip(of[at : at + n].astype(np.int32))])])
+            at += n
+        all_ = Restaurants.of_pairs(u, w, c, len(labels))
+        yield _sent([(LAYOUT, labels[part], part, part, 0, 0.0, 0.0, all_.pack(all_.LAYOUT)), *all_.rows(part, labels, shared.value["hot"])])
 
 
 def seat_parent(opened: np.ndarray, v: int, elsewhere: float, rng: np.random.Generator) -> tuple[np.ndarray, float, int]:
@@ -335,13 +391,14 @@ def _parents(rows: Iterator[pa.RecordBatch], labels: list[int], shared, sweep: i
     v, before = shared.value["v"], shared.value["parent_tables"]
     for part, asked in _by_part(rows).items():
         asked.sort(key=lambda r: r["source"])
-        h, of = np.unique(np.concatenate([np.frombuffer(r["blobs"][0], np.uint64) for r in asked]), return_inverse=True)
+        theirs = [_unzip(r["blobs"][0], np.uint64) for r in asked]
+        h, of = np.unique(np.concatenate(theirs), return_inverse=True)
         opened = np.bincount(of, np.concatenate([_unzip(r["blobs"][1], np.int64) for r in asked])).astype(np.int64)
         elsewhere = float(sum(before.values()) - before[part] if before else v - (opened > 0).sum())
         mass, unknown, tables = seat_parent(opened, v, elsewhere, np.random.default_rng([7, sweep, part]))
         out, at = [(PARENT, labels[part], part, part, tables, float(mass.sum()), unknown, [])], 0
-        for r in asked:
-            s = of[at : at + len(r["blobs"][0]) // 8]
+        for r, words_ in zip(asked, theirs, strict=True):
+            s = of[at : at + len(words_)]
             at += len(s)
             out.append((MASSES, labels[r["source"]], r["source"], part, 0, 0.0, 0.0, [_zip(mass[s].astype(np.float32))]))
         yield _sent(out)
@@ -350,32 +407,32 @@ def _parents(rows: Iterator[pa.RecordBatch], labels: list[int], shared, sweep: i
 def _seated(rows: Iterator[pa.RecordBatch], labels: list[int], shared, sweep: int) -> Iterator[pa.RecordBatch]:
     s = shared.value
     for part, got in _by_part(rows).items():
-        state = Restaurants.unpack(next(r["blobs"] for r in got if r["kind"] == STATE))
+        state = _restaurants(got)
         masses = sorted((r for r in got if r["kind"] == MASSES), key=lambda r: r["source"])
         mass = np.concatenate([_unzip(r["blobs"][0], np.float32) for r in masses]).astype(float)
         base = np.where(mass > 0, mass, s["unknown"]) / s["mass"]
-        p = state.sweep(base, s["hot"], s["tables"], np.random.default_rng([8, sweep, part]))
-        if sweep >= BURN_IN:
-            state.total = state.total + p
+        state.sweep(base, s["hot"], s["tables"], np.random.default_rng([8, sweep, part]), sweep >= BURN_IN)
         yield _sent(state.rows(part, labels, s["hot"]))
 
 
-def _found(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _restaurants(got: list[dict]) -> Restaurants:
+    layout, state = (next(r["blobs"] for r in got if r["kind"] == kind) for kind in (LAYOUT, STATE))
+    return Restaurants.unpack(layout, state)
+
+
+def _found(rows: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     for part, got in _by_part(rows).items():
-        sent = [r for r in got if r["kind"] == PAIRS]
-        total = _unzip(next(r["blobs"] for r in got if r["kind"] == STATE)[-1], np.float32).astype(float)
-        logp = np.minimum(np.round(-np.log10(np.maximum(total / SAMPLES, 1e-31)) / GRAIN), 65535).astype(np.uint16)
-        of, at = _pairs(sent)[3], 0
-        for r in sent:
-            n = len(_unzip(r["blobs"][3], np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array([r["source"]], pa.int64()), pa.array([part], pa.int32()), pa.array([_zip(logp[of[at : at + n]])], pa.binary())], names=["batch", "part", "logp"])
-            at += n
+        p = _restaurants(got).probabilities(shared.value["hot"])
+        logp = np.minimum(np.round(-np.log10(np.maximum(p, 1e-31)) / GRAIN), 65535).astype(np.uint16)
+        for r in (r for r in got if r["kind"] == PLACES):
+            found = _zip(logp[_unzip(r["blobs"][0], np.int32)])
+            yield pa.RecordBatch.from_arrays([pa.array([r["source"]], pa.int64()), pa.array([part], pa.int32()), pa.array([found], pa.binary())], names=["batch", "part", "logp"])
 
 
 def _scored(rows: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     s = shared.value
     for row in (r for b in rows for r in b.to_pylist()):
-        b = Batch(row)
+        b = Batch(row).pair()
         counts = _joined(row, "counts", np.int64)[b.tokens]
         order, _ = b.dealt(s["hot"], s["parts"])
         logp = np.empty(len(order))
@@ -407,7 +464,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     model = {"hot": hot, "n": n, "v": v, "parts": parts, "parent_tables": {}}
     shared = spark.sparkContext.broadcast(model)
     sending = batches.mapInArrow(lambda r, shared=shared: _sending(r, labels, shared), _SENT)
-    state = common.materialize(sending.repartition(parts, "label").mapInArrow(lambda r, shared=shared: _gathered(r, labels, shared), _SENT), "restaurants")
+    layout = common.materialize(sending.repartition(parts, "label").mapInArrow(lambda r, shared=shared: _gathered(r, labels, shared), _SENT), "restaurants")
+    state = layout
     for sweep in range(BURN_IN + SAMPLES):
         now = spark.sparkContext.broadcast(model)
         opened = state.filter(F.col("kind") == OPENED).repartition(parts, "label")
@@ -420,14 +478,15 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             "mass": sum(r[2] for r in sums) + unknown, "unknown": unknown,
         }
         then = spark.sparkContext.broadcast(model)
-        last, got = state, state.filter(F.col("kind") == STATE).unionByName(parents.filter(F.col("kind") == MASSES)).repartition(parts, "label")
+        got = layout.filter(F.col("kind") == LAYOUT).unionByName(state.filter(F.col("kind") == STATE)).unionByName(parents.filter(F.col("kind") == MASSES))
+        got, last = got.repartition(parts, "label"), [parents, state] if sweep else [parents]
         state = common.materialize(got.mapInArrow(lambda r, then=then, sweep=sweep: _seated(r, labels, then, sweep), _SENT), "restaurants")
-        common.discard(last, parents)
+        common.discard(*last)
         now.destroy()
         then.destroy()
     answers = counted.filter("kind = 0").groupBy("batch").agg(F.collect_list(F.struct("part", "counts")).alias("answers"))
-    sums = state.filter(F.col("kind") == STATE).withColumn("blobs", F.slice("blobs", -1, 1))  # the last are the summed probabilities
-    seated = sending.unionByName(sums).repartition(parts, "label").mapInArrow(_found, "batch long, part int, logp binary")
+    seated = layout.filter(F.col("kind").isin(LAYOUT, PLACES)).unionByName(state.filter(F.col("kind") == STATE)).repartition(parts, "label")
+    seated = seated.mapInArrow(lambda r: _found(r, shared), "batch long, part int, logp binary")
     found = seated.groupBy("batch").agg(F.collect_list(F.struct("part", "logp")).alias("found"))
     whole = batches.join(answers, "batch").join(found, "batch")
     return whole.mapInArrow(

@@ -31,18 +31,28 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/marketloom/{tag}-{uuid.uuid4().hex}"
 
 
+#: Lets Spark remove the shuffle files of a query as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: computed once, and safe when executors are lost."""
-    path = shared_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    """Write df to the shared folder and read it back: computed once, and safe when executors are lost. The shuffle files
+    of the write go when it has ended, as nothing else reads them."""
+    path, conf = shared_path(df.sparkSession, tag), df.sparkSession.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.folder = path
     return back
 
 
 def discard(*frames: DataFrame) -> None:
-    """Removes the folders of materialized frames that nothing reads any more, and lets Spark drop the shuffle files
-    that only they needed."""
+    """Removes the folders of materialized frames that nothing reads any more, and lets the driver drop what only they
+    needed."""
     for frame in frames:
         jvm = frame.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(frame.folder)

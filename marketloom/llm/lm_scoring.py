@@ -13,7 +13,7 @@ where the parent is seated anew for these customers by Gibbs sweeps; its probabi
 contexts, and their restaurants are seated by one Gibbs sweep: the customers of one dish are lifted and seated anew by
 the Chinese restaurant rule (waiting times to the next new table are beta-geometric, so a dish costs as many steps as
 tables), and the move is accepted by Metropolis-Hastings. Predictive probabilities are averaged over the sweeps after
-burn-in. 5. The batches add up their texts' log probabilities. Only pre-aggregated pairs and words are shuffled, never
+burn-in; what stays of the restaurants is written once, what a sweep changes after each. 5. The batches add up their texts' log probabilities. Only pre-aggregated pairs and words are shuffled, never
 texts; nothing of the size of the vocabulary is broadcast or collected.
 
 What is approximate: within a sweep the parent's probabilities and the restaurants' table totals are those of its
@@ -256,8 +256,8 @@ def _joined(row: dict, column: str, kind) -> np.ndarray:
 _SENT = "kind byte, label int, part int, source long, a long, x double, y double, blobs array<binary>"
 #: Pairs of a batch; their places among the pairs of a partition; the restaurants of a partition, and their seating;
 #: tables by word; the parent's masses by word; sums of the parent (a: tables, x: mass, y: the unknown's); tables of a
-#: hot context (source: hash, a: tables).
-PAIRS, PLACES, LAYOUT, STATE, OPENED, MASSES, PARENT, TABLES = range(8)
+#: hot context (source: hash, a: tables); the log probabilities of the pairs of a partition.
+PAIRS, PLACES, LAYOUT, STATE, OPENED, MASSES, PARENT, TABLES, LOGP = range(9)
 
 
 def _sent(rows: list[tuple]) -> pa.RecordBatch:
@@ -294,7 +294,7 @@ def _pairs(sent: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 class Restaurants:
-    """The restaurants of a partition: contexts with their pairs, the pairs' words (numbers into words, which are in
+    """The restaurants of a partition, as sent from sweep to sweep: contexts with their pairs, the pairs' words (numbers into words, which are in
     order of partition and hash) and customers, which stay; and their seating: tables and weights of the pairs, their
     tables summed over the samples, and each sample's probabilities of the words and tables of the contexts."""
 
@@ -407,23 +407,23 @@ def _parents(rows: Iterator[pa.RecordBatch], labels: list[int], shared, sweep: i
 def _seated(rows: Iterator[pa.RecordBatch], labels: list[int], shared, sweep: int) -> Iterator[pa.RecordBatch]:
     s = shared.value
     for part, got in _by_part(rows).items():
-        state = _restaurants(got)
+        layout, seating = (next(r["blobs"] for r in got if r["kind"] == kind) for kind in (LAYOUT, STATE))
+        state = Restaurants.unpack(layout, seating)
         masses = sorted((r for r in got if r["kind"] == MASSES), key=lambda r: r["source"])
         mass = np.concatenate([_unzip(r["blobs"][0], np.float32) for r in masses]).astype(float)
         base = np.where(mass > 0, mass, s["unknown"]) / s["mass"]
         state.sweep(base, s["hot"], s["tables"], np.random.default_rng([8, sweep, part]), sweep >= BURN_IN)
-        yield _sent(state.rows(part, labels, s["hot"]))
+        if sweep < BURN_IN + SAMPLES - 1:
+            yield _sent(state.rows(part, labels, s["hot"]))
+        else:
+            logp = np.minimum(np.round(-np.log10(np.maximum(state.probabilities(s["hot"]), 1e-31)) / GRAIN), 65535).astype(np.uint16)
+            yield _sent([(LOGP, labels[part], part, part, 0, 0.0, 0.0, [_zip(logp)])])
 
 
-def _restaurants(got: list[dict]) -> Restaurants:
-    layout, state = (next(r["blobs"] for r in got if r["kind"] == kind) for kind in (LAYOUT, STATE))
-    return Restaurants.unpack(layout, state)
-
-
-def _found(rows: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+def _found(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The log probabilities of the pairs that each batch has sent."""
     for part, got in _by_part(rows).items():
-        p = _restaurants(got).probabilities(shared.value["hot"])
-        logp = np.minimum(np.round(-np.log10(np.maximum(p, 1e-31)) / GRAIN), 65535).astype(np.uint16)
+        logp = _unzip(next(r["blobs"][0] for r in got if r["kind"] == LOGP), np.uint16)
         for r in (r for r in got if r["kind"] == PLACES):
             found = _zip(logp[_unzip(r["blobs"][0], np.int32)])
             yield pa.RecordBatch.from_arrays([pa.array([r["source"]], pa.int64()), pa.array([part], pa.int32()), pa.array([found], pa.binary())], names=["batch", "part", "logp"])
@@ -484,9 +484,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         common.discard(*last)
         now.destroy()
         then.destroy()
+    seated = layout.filter(F.col("kind") == PLACES).unionByName(state.filter(F.col("kind") == LOGP)).repartition(parts, "label")
+    seated = common.materialize(seated.mapInArrow(_found, "batch long, part int, logp binary"), "probabilities")
+    common.discard(layout, state)
     answers = counted.filter("kind = 0").groupBy("batch").agg(F.collect_list(F.struct("part", "counts")).alias("answers"))
-    seated = layout.filter(F.col("kind").isin(LAYOUT, PLACES)).unionByName(state.filter(F.col("kind") == STATE)).repartition(parts, "label")
-    seated = seated.mapInArrow(lambda r: _found(r, shared), "batch long, part int, logp binary")
     found = seated.groupBy("batch").agg(F.collect_list(F.struct("part", "logp")).alias("found"))
     whole = batches.join(answers, "batch").join(found, "batch")
     return whole.mapInArrow(

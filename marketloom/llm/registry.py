@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.llm import decontamination, line_dedup, lm_scoring, mixing, neighbours, ngram_join, quality, sharding, span_dedup, toxicity
+from marketloom.llm import (
+    decontamination, fill_in_middle, line_dedup, lm_scoring, minmax_dedup, mixing, neighbours, ngram_join, prefix_trie, quality, sharding, span_dedup, toxicity,
+)
 
 MODULES = {
     "op1_toxicity": toxicity,
@@ -19,6 +21,9 @@ MODULES = {
     "op8_lm_scoring": lm_scoring,
     "op9_quality": quality,
     "op10_decontamination": decontamination,
+    "op11_prefix_trie": prefix_trie,
+    "op12_minmax_dedup": minmax_dedup,
+    "op13_fill_in_middle": fill_in_middle,
 }
 
 

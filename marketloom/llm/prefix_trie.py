@@ -17,7 +17,7 @@ one text, and these texts are streamed through SHA-256 in order. A conversation
 dealt over many tasks first, and only its texts, not its rows, follow each other in one.
 
 Defined results: rows with a null conv_id take no part; null role and text are empty; turns are taken in the order of
-turn (null first), then role, then text, and repeated rows are turns of their own; other columns are ignored,
+turn (null first), equal ones in that of role, then of the text's hash, and repeated rows are turns of their own; other columns are ignored,
 whatever their names; an empty table has no nodes, not even a root. One conversation's turns are held together in one
 task, so a single conversation has to fit in its memory.
 """
@@ -48,9 +48,10 @@ def rebuilt(conversations: DataFrame, group: int = 100, most: int = 6) -> DataFr
     decimal c, modulo most), then the conversation's own after its first h."""
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = conversations.select(F.col("conv_id").cast("long").alias("c"), F.col("turn").cast("long").alias("t"), part("role").alias("r"), part("text").alias("x"))
-    numbered = rows.filter("c is not null").withColumn("p", F.row_number().over(Window.partitionBy("c").orderBy(F.col("t").asc_nulls_first(), "r", "x")))
-    # The seeds lie in front, so that the two hashes are independent.
-    hashed = numbered.select("c", "p", F.xxhash64(F.lit(1), "r", "x").alias("h1"), F.xxhash64(F.lit(2), "r", "x").alias("h2"), F.char_length("x").alias("chars"))
+    # Only hashes are shuffled, no texts. The seeds lie in front, so that the two hashes are independent.
+    hashed = rows.filter("c is not null").select("c", "t", "r", F.xxhash64(F.lit(1), "r", "x").alias("h1"), F.xxhash64(F.lit(2), "r", "x").alias("h2"), F.char_length("x").alias("chars"))
+    order = Window.partitionBy("c").orderBy(F.col("t").asc_nulls_first(), "r", "h1", "h2")
+    hashed = hashed.withColumn("p", F.row_number().over(order))
     turn = F.struct("p", "h1", "h2", "chars")
     whole = hashed.groupBy("c").agg(F.sort_array(F.collect_list(turn)).alias("own"))
     first = whole.filter(F.col("c") % group == 0).select(F.col("c").alias("base"), F.slice("own", 1, most - 1).alias("start"))

@@ -78,3 +78,18 @@ def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     meta = F.concat(F.lit('<meta property="product:price:amount" content="'), text(n + 3), F.lit('">'))
     page = F.when(n % 4 == 0, script(one)).when(n % 4 == 1, script(graph)).when(n % 4 == 2, meta).otherwise('<script>{"price":"12"},{"price":77},{"price":"77"}</script>')
     return missions(spark, sf_dir).select("article", page.alias("html"))
+
+
+def mixed_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five titles per product in which codes, sizes and words are written in two scripts, with a code in clean letters that the title has (or, for the
+    fourth, has not)."""
+    n = F.col("article").cast("string")
+    made = [
+        (F.concat(F.lit("Ортез "), F.col("name"), F.lit(" EPСС"), n), F.concat(F.lit("EPCC"), n)),
+        (F.concat(F.upper("name"), F.lit("  129 х "), n, F.lit(" × 9 мм")), F.concat(F.lit("129x"), n, F.lit("x9"))),
+        (F.concat(F.lit("Дорожка‑килим BZ-"), n, F.lit(".М чорний\u00a0Монітор")), F.concat(F.lit("BZ "), n, F.lit("-M"))),
+        (F.concat(F.lit("Cеро-розовый екран "), n, F.lit("Вт 3в1 р.S")), F.concat((F.col("article") + 1).cast("string"), F.lit("Bт"))),
+        (F.concat(F.lit("NІKE "), F.col("name"), F.lit(" LEB1-А"), n, F.lit("MG")), F.concat(F.lit("LEB1 A"), n, F.lit("MG"))),
+    ]
+    rows = F.array(*[F.struct(F.lit(k).cast("long").alias("kind"), title.alias("title"), code.alias("code")) for k, (title, code) in enumerate(made)])
+    return missions(spark, sf_dir).select("article", F.explode(rows).alias("x")).select("article", "x.*")

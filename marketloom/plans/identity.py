@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketloom.functions import folding
-from marketloom.sources.tables import mixed_titles
+from marketloom.operators import title_match
+from marketloom.sources.tables import mixed_titles, title_candidates
 
 
 def folded_titles(spark, d):
@@ -18,6 +19,15 @@ def folded_titles(spark, d):
     )
 
 
+def title_matches(spark, d):
+    """The older classifier's decision on every candidate: similarity of words, evidence, conflicts, score and status."""
+    rows = title_match.classified(title_candidates(spark, d))
+    return rows.select(
+        "article", "candidate", F.round("base", 6).alias("base"), "brand_present", F.col("matched_models").cast("long").alias("matched_models"), "sku_hit", "sku_distinctive",
+        F.array_join("conflicts", "; ").alias("conflicts"), F.round("score", 6).alias("score"), "status", "reason",
+    )
+
+
 MIXED_SQL = """mixed AS (SELECT p_partkey AS article, k AS kind, CASE k WHEN 0 THEN 'Ортез ' || p_name || ' EPСС' || p_partkey WHEN 1 THEN upper(p_name) || '  129 х ' || p_partkey || ' × 9 мм'
     WHEN 2 THEN 'Дорожка‑килим BZ-' || p_partkey || '.М чорний' || chr(160) || 'Монітор' WHEN 3 THEN 'Cеро-розовый екран ' || p_partkey || 'Вт 3в1 р.S' ELSE 'NІKE ' || p_name || ' LEB1-А' || p_partkey || 'MG' END AS title
   FROM part, range(5) r(k))"""
@@ -37,7 +47,49 @@ FOLDED_SQL = MIXED_SQL + f""", dashed AS (
   SELECT *, trim(regexp_replace(array_to_string(list_transform(string_split(lower(c), ' '), lambda w: CASE WHEN regexp_matches(w, '[._/+:-]') AND regexp_matches(w, '[0-9]') AND regexp_matches(w, '[a-z]')
       AND {COUNT_SQL.format("w", "а-яіїєґ")} BETWEEN 1 AND {COUNT_SQL.format("w", "авекмнорстхуі")} THEN {TWIN_SQL.format("w")} ELSE w END), ' '), '\\s+', ' ', 'g')) AS f FROM tokens
 )"""
+# The older classifier, from its rules: words as sets, the longest common subsequence by a plain dynamic programme.
+LCS_SQL = """CASE WHEN length({0}) = 0 OR length({1}) = 0 THEN 0 ELSE list_max(list_reduce(list_prepend(list_transform(range(length({0}) + 1), lambda i: 0::BIGINT),
+  list_transform(string_split({1}, ''), lambda c: list_prepend(0::BIGINT, list_transform(string_split({0}, ''), lambda x: (x = c)::BIGINT)))),
+  lambda row, e: list_transform(range(1, len(row) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i: greatest(row[i], CASE WHEN e[i] = 1 THEN row[i - 1] + 1 ELSE 0 END)))))) END"""
+_WORDS = "list_sort(list_distinct(list_filter(list_transform(string_split(regexp_replace(replace(replace(lower({0}), '/', ' '), '’', ' '), '[^a-zа-яіїєґ0-9+._-]+', ' ', 'g'), ' '), lambda w: CASE w WHEN 'монітор' THEN 'монитор' WHEN 'чорний' THEN 'черный' ELSE w END), lambda w: w <> '')))"
+_UNITS = "gb|гб|hz|гц"
+_VARIANTS = "list_distinct(list_transform(regexp_extract_all({0}, '(?i)[0-9]+(?:[.,][0-9]+)?\\s?(?:" + _UNITS + ")(?:\\s|$)'), lambda v: replace(replace(replace(replace(trim(lower(v)), ' ', ''), ',', '.'), 'гц', 'hz'), 'гб', 'gb')))"
+_COLORS = "list_filter(['black', 'blue', 'green', 'red', 'white'], lambda c: len(list_intersect(regexp_extract_all(lower({0}), '[a-zа-яіїєґ0-9._+/-]+'), CASE c WHEN 'black' THEN ['black', 'черный', 'чорний'] ELSE [c] END)) > 0)"
+_SIZES = "list_sort(list_distinct(list_transform(regexp_extract_all(lower({0}), '[0-9]{{3,4}}\\s*[xх×]\\s*[0-9]{{3,4}}'), lambda v: regexp_replace(v, '\\s*[xх×]\\s*', 'x'))))"
+TITLES_SQL = f"""told AS (
+  SELECT p_partkey AS article, p_name AS name, (['Xiaomi', 'Samsung', 'Dell', 'Acme'])[p_partkey % 4 + 1] AS brand, (['Redmi', 'Galaxy', 'Dell', 'Other'])[p_partkey % 4 + 1] AS alias, k AS candidate FROM part, range(8) r(k)
+), made AS (
+  SELECT *, 'Монітор ' || brand || ' ' || name || ' MX-' || article || 'K 144 Гц чорний 1920x1080' AS title, CASE WHEN article % 2 = 0 THEN 'sku' || article || 'a' ELSE article::VARCHAR END AS sku,
+    coalesce(CASE candidate WHEN 0 THEN 'Монитор ' || alias || ' ' || name || ' черный MX-' || article || 'K' WHEN 1 THEN 'Монітор ' || brand || ' ' || name || ' MX-' || article || 'K 165hz'
+      WHEN 2 THEN 'Монітор ' || brand || ' ' || name || ' 2560х1440 144 Гц' WHEN 3 THEN brand || ' ' || name || ' MX-' || article || 'K white' WHEN 4 THEN name WHEN 5 THEN 'Дисплей ' || name || ' ' || brand
+      WHEN 6 THEN 'Монітор ' || brand || ' ' || name || ' MX-' || (article + 1) || 'K' END, '') AS offer,
+    CASE candidate WHEN 0 THEN 'https://shop.ua/p' || article WHEN 5 THEN 'https://shop.ua/sku' || article || 'a' WHEN 7 THEN 'https://shop.ua/mx-' || article || 'k' ELSE '' END AS url,
+    CASE candidate WHEN 1 THEN 'чорний 16 gb' WHEN 3 THEN '144,0 Гц' WHEN 5 THEN '1920×1080' WHEN 7 THEN brand || ' ' || name ELSE '' END AS body FROM told
+), joined AS (
+  SELECT *, title || ' Память 16 ГБ' AS own, offer || ' ' || url || ' ' || body AS hay, {_WORDS.format("title")} AS a, {_WORDS.format("offer")} AS b FROM made
+), sets AS (
+  SELECT *, regexp_replace(lower(hay), '[^a-zа-яіїєґ0-9]+', '', 'g') AS c, array_to_string(list_filter(a, lambda w: list_contains(b, w)), ' ') AS s, array_to_string(list_filter(a, lambda w: NOT list_contains(b, w)), ' ') AS x,
+    array_to_string(list_filter(b, lambda w: NOT list_contains(a, w)), ' ') AS y, {_VARIANTS.format("own")} AS v, {_VARIANTS.format("hay")} AS has, {_COLORS.format("own")} AS oc, {_COLORS.format("hay")} AS hc, {_SIZES.format("own")} AS os, {_SIZES.format("hay")} AS hs FROM joined
+), lengths AS (
+  SELECT *, length(s) AS ls, length(x) AS lx, length(y) AS ly, CASE WHEN length(s) > 0 THEN 1 ELSE 0 END AS gap, {LCS_SQL.format("x", "y")} AS common FROM sets
+), based AS (
+  SELECT *, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 WHEN ls > 0 AND (lx = 0 OR ly = 0) THEN 100.0 ELSE greatest(100.0::DOUBLE - 100.0::DOUBLE * (lx + ly - 2 * common) / (2 * (ls + gap) + lx + ly),
+      CASE WHEN ls > 0 THEN 100.0::DOUBLE - 100.0::DOUBLE * (gap + lx) / (2 * ls + gap + lx) ELSE 0 END, CASE WHEN ls > 0 THEN 100.0::DOUBLE - 100.0::DOUBLE * (gap + ly) / (2 * ls + gap + ly) ELSE 0 END) END::DOUBLE AS base,
+    len(list_filter(CASE lower(brand) WHEN 'xiaomi' THEN ['mi', 'poco', 'redmi', 'xiaomi'] WHEN 'samsung' THEN ['galaxy', 'samsung'] ELSE [lower(brand)] END, lambda w: contains(c, w))) > 0 AS branded,
+    CASE WHEN contains(c, 'mx' || article || 'k') THEN 1 ELSE 0 END AS n, length(sku) >= 4 AND contains(c, sku) AS hit, article % 2 = 0 AND length(sku) >= 6 AS distinctive,
+    list_filter(list_concat(list_transform(list_filter(v, lambda w: len(list_filter(has, lambda h: right(h, 2) = right(w, 2))) > 0 AND NOT list_contains(has, w)), lambda w: 'variant:' || w || '!=' || array_to_string(list_sort(list_filter(has, lambda h: right(h, 2) = right(w, 2))), ',')),
+      [CASE WHEN len(os) > 0 AND len(hs) > 0 AND len(list_intersect(os, hs)) = 0 THEN 'resolution:' || array_to_string(os, '/') || '!=' || array_to_string(hs, '/') END,
+       CASE WHEN len(oc) > 0 AND len(hc) > 0 AND len(list_intersect(oc, hc)) = 0 THEN 'color:' || array_to_string(oc, '/') || '!=' || array_to_string(hc, '/') END]), lambda w: w IS NOT NULL) AS conflicts FROM lengths
+), scored AS (
+  SELECT *, least(99.0, base + CASE WHEN branded THEN 8 ELSE 0 END + 10 * n + CASE WHEN hit AND distinctive THEN 16 WHEN hit THEN 7 ELSE 0 END) AS total,
+    base >= 94 OR (n > 0 AND base >= 70) OR (branded AND (base >= 86 OR (n > 0 AND base >= 78))) OR (distinctive AND hit AND (branded OR base >= 84 OR n > 0)) AS strong, NOT branded AND base < 90 AND n = 0 AS unbranded FROM based
+)"""
 QUERIES = {
+    title_matches: f"""WITH {TITLES_SQL} SELECT article, candidate, round(base, 6) AS base, branded AS brand_present, n::BIGINT AS matched_models, hit AS sku_hit, distinctive AS sku_distinctive, coalesce(array_to_string(conflicts, '; '), '') AS conflicts,
+      round(CASE WHEN len(conflicts) > 0 THEN least(base, 89) WHEN unbranded THEN least(total, 89) ELSE total END, 6)::DOUBLE AS score,
+      CASE WHEN len(conflicts) > 0 THEN 'CONFLICT' WHEN unbranded THEN 'POSSIBLE' WHEN strong AND total >= 95 THEN 'EXACT' WHEN total >= 90 THEN 'HIGH' ELSE 'POSSIBLE' END AS status,
+      CASE WHEN len(conflicts) > 0 THEN array_to_string(conflicts, '; ') ELSE printf('title=%.1f; models=%d; brand=', base, n) || CASE WHEN branded THEN 'True' ELSE 'False' END || '; supplier_sku_hit=' || CASE WHEN hit THEN 'True' ELSE 'False' END
+        || '; sku_distinctive=' || CASE WHEN distinctive THEN 'True' ELSE 'False' END END AS reason FROM scored""",
     folded_titles: f"""WITH {FOLDED_SQL}, worded AS (
       SELECT *, replace(replace(replace(f, 'чорний', 'черный'), 'монітор', 'монитор'), 'екран', 'экран') AS words, trim(regexp_replace(replace(title, chr(160), ' '), '\\s+', ' ', 'g')) AS own FROM folded)
       SELECT article, kind, f AS folded, trim(regexp_replace(c, '\\s+', ' ', 'g')) AS cased, regexp_replace(f, '[^0-9a-zа-яіїєґ]', '', 'g') AS compact, words, kind <> 3 AS named,

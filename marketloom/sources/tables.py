@@ -93,3 +93,27 @@ def mixed_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     rows = F.array(*[F.struct(F.lit(k).cast("long").alias("kind"), title.alias("title"), code.alias("code")) for k, (title, code) in enumerate(made)])
     return missions(spark, sf_dir).select("article", F.explode(rows).alias("x")).select("article", "x.*")
+
+
+def title_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight candidates per product with what the older classifier looks at: in other words, with another unit, size, colour
+    or model, by name alone, with the supplier's code in the address, and without a title."""
+    n = F.col("article").cast("string")
+    turn = lambda *names: F.get(F.array(*map(F.lit, names)), (F.col("article") % 4).cast("int"))
+    brand, alias = turn("Xiaomi", "Samsung", "Dell", "Acme"), turn("Redmi", "Galaxy", "Dell", "Other")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    name = F.col("name")
+    made = [
+        (text("Монитор ", alias, " ", name, " черный MX-", n, "K"), text("https://shop.ua/p", n), None),
+        (text("Монітор ", brand, " ", name, " MX-", n, "K 165hz"), None, text("чорний 16 gb")),
+        (text("Монітор ", brand, " ", name, " 2560х1440 144 Гц"), None, None), (text(brand, " ", name, " MX-", n, "K white"), None, text("144,0 Гц")), (name, None, None),
+        (text("Дисплей ", name, " ", brand), text("https://shop.ua/sku", n, "a"), text("1920×1080")), (text("Монітор ", brand, " ", name, " MX-", (F.col("article") + 1).cast("string"), "K"), None, None),
+        (None, text("https://shop.ua/mx-", n, "k"), text(brand, " ", name)),
+    ]
+    of = lambda c, k, names: (F.lit(None).cast("string") if c is None else c).alias(names[k])
+    names = ["candidate_title", "candidate_url", "candidate_text"]
+    rows = F.array(*[F.struct(F.lit(i).cast("long").alias("candidate"), *[of(c, k, names) for k, c in enumerate(row)]) for i, row in enumerate(made)])
+    return missions(spark, sf_dir).select(
+        "article", brand.alias("brand"), text("Монітор ", brand, " ", name, " MX-", n, "K 144 Гц чорний 1920x1080").alias("title"),
+        F.when(F.col("article") % 2 == 0, text("SKU", n, "A")).otherwise(n).alias("sku"), F.lit("Память 16 ГБ").alias("params"), F.explode(rows).alias("x"),
+    ).select("article", "brand", "title", "sku", "params", "x.*")

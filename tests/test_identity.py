@@ -1,9 +1,12 @@
 """Folding, patterns, the older matcher and variants of products, by worked vectors and plain programs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from marketloom.functions import folding
+from marketloom.functions import folding, similarity
+from marketloom.operators import title_match
 
 
 def values(spark, make, texts):
@@ -39,3 +42,63 @@ def test_brand_families_and_language_variants(spark):
     assert values(spark, folding.brand_aliases, ["Redmi", " Dell ", None, "", "XІAOMI"]) == [["mi", "poco", "redmi", "xiaomi"], ["Dell"], [], [], ["mi", "poco", "redmi", "xiaomi"]]
     got = values(spark, folding.language_variants, ["Чорний  чохол X-1", "Черный", "plain", None, "пам'ять"])
     assert got == [["Чорний чохол X-1", "черный чехол X-1"], ["Черный", "чорний"], ["plain"], [], ["пам'ять", "память"]]
+
+
+def plain_common(x, y):
+    row = [0] * (len(y) + 1)
+    for a in x:
+        before = 0
+        for j, b in enumerate(y, 1):
+            before, row[j] = row[j], before + 1 if a == b else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def plain_ratio(x, y):
+    """By the definition: word sets, their shared words in order, and insertions and deletions between three joined texts."""
+    a, b = set((x or "").split()), set((y or "").split())
+    if not a or not b:
+        return 0.0
+    shared, rest_a, rest_b = (" ".join(sorted(s)) for s in (a & b, a - b, b - a))
+    if shared and not (rest_a and rest_b):
+        return 100.0
+    full_a, full_b = (" ".join(filter(None, (shared, r))) for r in (rest_a, rest_b))
+    alike = lambda s, t, distance: 100 - 100 * distance / (len(s) + len(t))
+    found = [alike(full_a, full_b, len(rest_a) + len(rest_b) - 2 * plain_common(rest_a, rest_b))]
+    if shared:
+        found += [alike(shared, f, len(f) - len(shared)) for f in (full_a, full_b)]
+    return max(found)
+
+
+def test_common_lengths_are_a_dynamic_programme():
+    rng = random.Random(11)
+    word = lambda most, letters: "".join(rng.choice(letters) for _ in range(rng.randrange(most)))
+    pairs = [(word(30, "abcdef "), word(30, "abcdef ")) for _ in range(8_000)] + [(word(130, "abйц𝒳 "), word(130, "abйц𝒳 ")) for _ in range(1_990)]
+    pairs += [("", ""), ("", "a"), ("a" * 64, "a" * 64), ("a" * 65, "a" * 65), ("ab" * 32, "ba" * 32), ("a" * 64, "b"), ("b" * 63, "b" * 300), ("x" * 200, "y" * 200), ("ab" * 100, "a" * 70), ("q", "q")]
+    assert similarity.common_lengths(pairs).tolist() == [plain_common(x, y) for x, y in pairs]
+
+
+def test_token_set_ratio_is_its_definition(spark):
+    rng = random.Random(5)
+    words = ["mx-100k", "монитор", "dell", "черный", "144", "гц", "red", "widget", "a", "ab", "abc"]
+    texts = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(7)))
+    pairs = [(texts(), texts()) for _ in range(2_000)] + [(None, "a"), ("a", None), (" ", "a"), ("a a a", "a")]
+    rows = spark.createDataFrame(pairs, "x string, y string").select("x", "y", similarity.token_set_ratio(F.col("x"), F.col("y")).alias("r")).collect()
+    assert len(rows) == len(pairs) and all(abs(r.r - plain_ratio(r.x, r.y)) < 1e-9 for r in rows)
+
+
+OFFER = "title string, brand string, sku string, params string, candidate_title string, candidate_url string, candidate_text string"
+
+
+@pytest.mark.parametrize(("row", "status", "conflicts"), [
+    (("Навушники Sony WH-1000XM5 Black", "Sony", "4548736132580", "", "Наушники Sony WH-1000XM5 чорний", "", ""), "EXACT", []),
+    (("Монітор Dell 144 Гц", "Dell", "", "", "Монітор Dell 165Hz", "", ""), "CONFLICT", ["variant:144hz!=165hz"]),
+    (("Монітор Dell 1920x1080", "Dell", "", "", "Монітор Dell", "", "2560 х 1440"), "CONFLICT", ["resolution:1920x1080!=2560x1440"]),
+    (("Смартфон Xiaomi чорний 128 ГБ", "Xiaomi", "", "колір чорний", "Смартфон Redmi білий 128gb", "", ""), "CONFLICT", ["color:black!=white"]),
+    (("Генератор Mast YH3000", "Mast", "18606", "", "Шеф кухонный нож Kanetsune", "https://x.ua/18606", ""), "POSSIBLE", []),
+    (("Смартфон Xiaomi Redmi Note 12", "Xiaomi", "", "", "Смартфон Redmi Note 12", "", ""), "EXACT", []), ((None, None, None, None, None, None, None), "POSSIBLE", []),
+])
+def test_older_classifier(spark, row, status, conflicts):
+    got = title_match.classified(spark.createDataFrame([row], OFFER).withColumn("key", F.lit(1))).first()
+    assert (got.status, got.conflicts) == (status, conflicts)
+    assert (got.score <= 89) or status in ("EXACT", "HIGH")
+    assert ("models=" in got.reason) != bool(conflicts)

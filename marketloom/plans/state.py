@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketloom.functions import scalars
-from marketloom.sources.tables import table
+from marketloom.operators import admission, jobs
+from marketloom.sources.tables import job_events, table
 
 BLOCKED = ["example.org", "spam.test"]
 
@@ -57,6 +58,17 @@ def rate_window(spark, d):
     return table(spark, d, "events").select("event_id", "user_id", F.count(F.lit(1)).over(hour).alias("in_hour"))
 
 
+def sliding_admission(spark, d):
+    """Whether each event is admitted: two admitted ones of its type within an hour are the limit; else how long to wait."""
+    rows = admission.admitted(job_events(spark, d), "kind", limit=2, seconds=3600)
+    return rows.select("event_id", "kind", "admitted", F.coalesce("retry_after", F.lit(0)).alias("retry_after"))
+
+
+def job_history(spark, d):
+    """The state before and after each event of a job; what is known ends after five days without one, or with the version."""
+    return jobs.job_states(job_events(spark, d), "job", "action", "version", seconds=5 * 86_400).select("event_id", "job", "action", "before", "status", "legal")
+
+
 def resume_antijoin(spark, d):
     """Orders without any line item yet returned: what is left to do."""
     done = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
@@ -114,7 +126,22 @@ def captured_values(spark, d):
 
 
 HOST_SQL = "regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)), '^www[.]', '')"
+JOB_EVENTS_SQL = """job_events AS (SELECT event_id, epoch_us(ts) AS us, user_id AS job, event_type AS kind, CASE WHEN event_id % 13 = 0 THEN 'restart' WHEN event_id % 11 = 0 THEN 'resume' WHEN event_id % 17 = 0 THEN 'stop'
+  WHEN event_type = 'signup' THEN 'submit' WHEN event_type = 'click' THEN 'start' WHEN event_type = 'purchase' THEN 'finish' WHEN event_type = 'error' THEN 'fail' ELSE 'cancel' END AS action, event_id // 2500 AS version FROM events)"""
+MOVE_SQL = """CASE WHEN a = 'submit' AND b = 'new' THEN 'queued' WHEN a = 'start' AND b = 'queued' THEN 'running' WHEN a = 'finish' AND b IN ('running', 'cancelling') THEN 'done' WHEN a = 'fail' AND b IN ('running', 'cancelling') THEN 'error'
+  WHEN a = 'cancel' AND b = 'queued' THEN 'cancelled' WHEN a = 'cancel' AND b IN ('running', 'cancelling', 'interrupted') THEN 'cancelling' WHEN a = 'stop' AND b IN ('running', 'cancelling') THEN 'cancelled'
+  WHEN a = 'restart' AND b IN ('queued', 'running') THEN 'interrupted' WHEN a = 'restart' AND b = 'cancelling' THEN 'cancelled' WHEN a = 'restart' AND b <> 'new' THEN b
+  WHEN a = 'resume' AND b IN ('queued', 'running', 'cancelling') THEN b WHEN a = 'resume' AND b IN ('interrupted', 'error', 'cancelled') THEN 'queued' END"""
 QUERIES = {
+    sliding_admission: f"""WITH RECURSIVE {JOB_EVENTS_SQL}, n AS (SELECT event_id, kind, us, row_number() OVER (PARTITION BY kind ORDER BY us, event_id) AS rn FROM job_events), steps AS (
+        SELECT event_id, kind, us, rn, true AS admitted, 0::BIGINT AS retry_after, [us] AS held FROM n WHERE rn = 1
+        UNION ALL SELECT event_id, kind, us, rn, len(h) < 2, CASE WHEN len(h) < 2 THEN 0 ELSE greatest(1, (3600000000 - (us - h[1])) // 1000000) END, CASE WHEN len(h) < 2 THEN list_append(h, us) ELSE h END
+        FROM (SELECT n.*, list_filter(s.held, lambda t: t > n.us - 3600000000) AS h FROM steps s JOIN n ON n.kind = s.kind AND n.rn = s.rn + 1))
+      SELECT event_id, kind, admitted, retry_after FROM steps""",
+    job_history: f"""WITH RECURSIVE {JOB_EVENTS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY us, event_id) AS rn, us - lag(us) OVER w < 432000000000 AND version = lag(version) OVER w AS fresh FROM job_events WINDOW w AS (PARTITION BY job ORDER BY us, event_id)), steps AS (
+        SELECT event_id, job, action, rn, 'new' AS before, CASE action WHEN 'submit' THEN 'queued' ELSE 'new' END AS status, action = 'submit' AS legal FROM n WHERE rn = 1
+        UNION ALL SELECT event_id, job, a, rn, b, coalesce({MOVE_SQL}, b), {MOVE_SQL} IS NOT NULL FROM (SELECT n.event_id, n.job, n.rn, n.action AS a, CASE WHEN n.fresh THEN s.status ELSE 'new' END AS b FROM steps s JOIN n ON n.job = s.job AND n.rn = s.rn + 1))
+      SELECT event_id, job, action, before, status, legal FROM steps""",
     latest_state: "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     fifo_head: "SELECT event_type, event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) = 1",
     source_timing: "SELECT event_type, count(value) AS samples, round(avg(value), 3) AS average, max(value) AS longest FROM events GROUP BY 1",

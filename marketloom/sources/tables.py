@@ -117,3 +117,13 @@ def title_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         "article", brand.alias("brand"), text("Монітор ", brand, " ", name, " MX-", n, "K 144 Гц чорний 1920x1080").alias("title"),
         F.when(F.col("article") % 2 == 0, text("SKU", n, "A")).otherwise(n).alias("sku"), F.lit("Память 16 ГБ").alias("params"), F.explode(rows).alias("x"),
     ).select("article", "brand", "title", "sku", "params", "x.*")
+
+
+def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of jobs: event_id, ts, job, kind, action (by the event's type and number) and version (of the program)."""
+    n, kind = F.col("event_id"), F.col("event_type")
+    kinds = {"signup": "submit", "click": "start", "purchase": "finish", "error": "fail", "view": "cancel"}
+    action = F.when(n % 13 == 0, "restart").when(n % 11 == 0, "resume").when(n % 17 == 0, "stop")
+    for k, a in kinds.items():
+        action = action.when(kind == k, a)
+    return table(spark, sf_dir, "events").select("event_id", "ts", F.col("user_id").alias("job"), kind.alias("kind"), action.alias("action"), F.floor(n / 2_500).cast("string").alias("version"))

@@ -100,6 +100,76 @@ def _spread(batches: Iterator[pa.RecordBatch], labels: list[int]) -> Iterator[pa
                 yield pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), *[pa.array([d], pa.binary()) for d in data]], names=["part", "entries", "which", "before", "keys", "sizes"])
 
 
+def _first_met(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links between members of two blocks of a band, verified on their sets: a spanning forest of the components joined. A
+    pair is looked at in the first band that it shares alone, so it costs the same however many bands it shares."""
+    for row in (r for b in batches for at in range(b.num_rows) for r in b.slice(at, 1).to_pylist()):
+        x, y = (ngram_join._members_of(row[side]) for side in ("members", "others"))
+        sets = [[words.unpack(r["set"], 6) for r in row[side]] for side in ("members", "others")]
+        held = [np.stack([words.unpack(r["bands"], 6) for r in row[side]]) for side in ("members", "others")]
+        for block, own in zip((x, y), sets, strict=True):
+            block["sketch"] = [ngram_join.sketch(s) for s in own]
+        i, j = ngram_join._unlike_components(x, y, percent, True)
+        parent: dict[int, int] = {}
+
+        def root(c: int, parent=parent) -> int:
+            while parent.get(c, c) != c:
+                parent[c] = c = parent.get(parent[c], parent[c])
+            return c
+
+        found = []
+        for at in range(0, len(i), 16_384):
+            u, v = i[at : at + 16_384], j[at : at + 16_384]
+            first = np.argmax(held[0][u] == held[1][v], axis=1)
+            use = held[0][u, first] == np.uint64(row["token"])
+            for a, b in zip(u[use].tolist(), v[use].tolist(), strict=True):
+                p, q = root(int(x["component"][a])), root(int(y["component"][b]))
+                if p != q:
+                    one, other = sets[0][a], sets[1][b]
+                    shared = len(np.intersect1d(one, other, assume_unique=True))
+                    if 100 * shared >= percent * (len(one) + len(other) - shared):
+                        parent[q] = p
+                        found.append((int(x["key"][a]), int(y["key"][b])))
+        yield pa.RecordBatch.from_arrays([pa.array([min(f) for f in found], pa.int64()), pa.array([max(f) for f in found], pa.int64())], names=["a", "b"])
+
+
+def _met(members: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of blocks (token, members, others) of bands, each member with its set and its bands."""
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("length") / ngram_join.BLOCK), F.ceil(F.col("size") * 6 / ngram_join.BLOCK_BYTES)).alias("blocks")
+    told = members.select("token", "key", "n", "component", "before", "home", blocks).join(sets, "key").join(classes.select("key", "bands"), "key")
+    block = F.pmod(F.xxhash64("key"), F.col("blocks")).alias("block")
+    whole = common.materialize(told.groupBy("token", block).agg(F.collect_list(F.struct("key", "n", "component", "before", "home", "set", "bands")).alias("members")), "blocks")
+    second = whole.select("token", F.col("block").alias("second"), F.col("members").alias("others"))
+    return whole.join(second, "token").filter("block <= second").select("token", "members", "others")
+
+
+def _between(members: DataFrame, joined: DataFrame, near: DataFrame, classes: DataFrame, base: DataFrame, documents: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """Links that join what the components leave apart. Pairs of short bands are written; of long ones only the links that
+    join components, found in blocks: first among the members for which a band is their longest, then band by band."""
+    apart = ngram_join._placed(members, joined)
+    pairs = common.materialize(ngram_join._short_pairs(apart, percent).join(near, ["a", "b"], "left_anti"), "pairs")
+    sketched = classes.drop("bands")
+    pairs = common.materialize(ngram_join._not_refuted(pairs, common.only(sketched, ngram_join._ends(pairs), "key"), percent), "possible")
+    long = apart.filter(F.col("length") >= ngram_join.LONG)
+    some = common.only(sketched, common.materialize(long.select("key").distinct(), "keys"), "key")
+    met = ngram_join._met(long.withColumn("home", F.lit(0)), some, "sketch", 1)
+    hopeful = common.materialize(met.mapInArrow(lambda rows: ngram_join._hopeful(rows, percent), "key long").distinct(), "hopeful")
+    sets = ngram_join._sets_of(ngram_join._ends(pairs).unionByName(hopeful).distinct(), base, documents, shingle)
+    links = ngram_join._verified(pairs, sets, percent)
+    long = common.only(long, hopeful, "key").join(hopeful, "key", "left_semi")
+    home = long.groupBy("key").agg(F.max(F.struct("length", "token", "n", "component")).alias("s")).select("key", "s.token", "s.n", "s.component")
+    home = common.materialize(home, "homes")
+    sizes = home.groupBy("token").agg(F.count(F.lit(1)).alias("length"), F.sum("n").alias("size"))
+    together = home.join(sizes.filter("length > 1"), "token").withColumns({"before": F.lit(0), "home": F.lit(0)})
+    own = common.only(sets, hopeful, "key").dropDuplicates(["key"])
+    forest = common.materialize(ngram_join._met(together, own, "set", 6).mapInArrow(lambda rows: ngram_join._forest(rows, percent), "a long, b long"), "links")
+    again = connected_components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links).unionByName(forest))
+    left = ngram_join._placed(long.drop("length", "size"), again).join(home.select("key", F.col("token").alias("home")), "key")
+    rest = common.materialize(_met(left, own, classes).mapInArrow(lambda rows: _first_met(rows, percent), "a long, b long"), "links")
+    common.discard(apart, pairs)
+    return links.unionByName(forest).unionByName(rest)
+
+
 def similar_classes(base: DataFrame, percent: int, shingle: int, count: int, rows: int) -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, row, rid, n, key; components: node and component, both class keys) of base (doc_id, text)."""
     told = base.withColumn("row", F.xxhash64(F.coalesce("text", F.lit(""))))
@@ -117,7 +187,7 @@ def similar_classes(base: DataFrame, percent: int, shingle: int, count: int, row
     sets = ngram_join._sets_of(ngram_join._ends(possible), base, documents, shingle)
     links = ngram_join._verified(possible, sets, percent)
     common.discard(sets, possible)
-    more = ngram_join._between(members, connected_components(links), near, sketched, base, documents, percent, shingle)
+    more = _between(members, connected_components(links), near, classes, base, documents, percent, shingle)
     components = connected_components(links.unionByName(more))
     common.discard(lists, near, classes)
     return documents, components

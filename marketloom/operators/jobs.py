@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
+from marketloom.sources.sinks import pinned
+
 # Which states an action leads from, and to which. What is not here is illegal and changes nothing.
 MOVES = {
     "submit": {"new": "queued"},
@@ -107,9 +109,9 @@ def job_states(events: DataFrame, key: str, action: str, version: str, ts: str =
     rows = inner.select("*", F.coalesce(at[key].cast("string"), F.lit("")).alias("_key"), F.unix_micros(at[ts].cast("timestamp")).alias("_micros"), at[version].cast("string").alias("_version"), at[action].alias("_action"))
     parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["_key", "_micros", f"_c{columns.index(tie)}"]
-    kept = rows.filter("_micros is not null").repartitionByRange(parts, *order).sortWithinPartitions(*order).checkpoint()
-    ttl = seconds * 1_000_000
-    summary = kept.mapInArrow(lambda b: _summary(b, ttl), "part int, place int, key string, first long, first_version string, last long, version string, after array<string>")
+    sorted_ = rows.filter("_micros is not null").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    sorted_, ttl = pinned(sorted_), seconds * 1_000_000
+    summary = sorted_.mapInArrow(lambda b: _summary(b, ttl), "part int, place int, key string, first long, first_version string, last long, version string, after array<string>")
     starts = carried(summary.collect(), ttl)  # two rows for each partition at most
     schema = inner.schema.add("before", StringType()).add("status", StringType()).add("legal", BooleanType())
-    return kept.mapInArrow(lambda b: _replay(b, ttl, starts), schema).toDF(*columns, "before", "status", "legal")
+    return sorted_.mapInArrow(lambda b: _replay(b, ttl, starts), schema).toDF(*columns, "before", "status", "legal")

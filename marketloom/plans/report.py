@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketloom.functions import scalars
-from marketloom.operators import market, matching
+from marketloom.operators import hierarchy, market, matching
 from marketloom.plans.market import ASSESS_SQL, FLAGGED_SQL, OFFERS_SQL
 from marketloom.sources.tables import OFFER_KEY, candidates, listings, missions, offers, product_pages, table
 
@@ -189,12 +189,8 @@ def query_variants(spark, d):
 
 def category_paths(spark, d):
     """Each category's path from its root by parents of any depth; a category in a cycle ends where it would repeat."""
-    table(spark, d, "part").selectExpr("p_partkey as id", "case when p_partkey % 97 = 3 then p_partkey when p_partkey > 9 then p_partkey div 10 end as parent", "p_type as name").createOrReplaceTempView("_categories")
-    return spark.sql("""WITH RECURSIVE up (id, at, depth, path, seen) MAX RECURSION LEVEL 64 AS (
-        SELECT id, parent, 1, name, array(id) FROM _categories UNION ALL
-        SELECT up.id, c.parent, depth + 1, concat(c.name, ' / ', path), array_append(seen, c.id)
-        FROM up JOIN _categories c ON c.id = up.at WHERE NOT array_contains(seen, c.id))
-        SELECT id, max_by(path, depth) AS path FROM up GROUP BY id""")
+    parts = table(spark, d, "part").selectExpr("p_partkey as id", "case when p_partkey % 97 = 3 then p_partkey when p_partkey > 9 then p_partkey div 10 end as parent", "p_type as name")
+    return hierarchy.paths(parts)
 
 
 LISTINGS_SQL = """listings AS (SELECT p_partkey AS article, (['rozetka.com.ua','prom.ua','epicentrk.ua','hotline.ua','shop.example.ua'])[p_partkey % 5 + 1] AS domain,

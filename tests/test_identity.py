@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketloom.functions import folding, similarity
-from marketloom.operators import title_match
+from marketloom.operators import hierarchy, title_match
 
 
 def values(spark, make, texts):
@@ -102,3 +102,42 @@ def test_older_classifier(spark, row, status, conflicts):
     assert (got.status, got.conflicts) == (status, conflicts)
     assert (got.score <= 89) or status in ("EXACT", "HIGH")
     assert ("models=" in got.reason) != bool(conflicts)
+
+
+def walked(nodes):
+    """Paths by walking from each node up."""
+    table, out = {}, {}
+    for i, up, name in nodes:
+        if i is not None:
+            table[i] = max(table.get(i, (False, None, "")), (up is not None, up, name or ""), key=lambda t: (t[0], t[1] if t[0] else 0, t[2]))
+    for i in table:
+        seen, parts, at = set(), [], i
+        while at in table and at not in seen:
+            seen.add(at)
+            parts.append(table[at][2])
+            at = table[at][1]
+        out[i] = " / ".join(p for p in reversed(parts) if p)
+    return out
+
+
+def test_category_paths_of_chains_cycles_and_orphans(spark):
+    """A chain of 1,000, cycles of several lengths with tails into them, unknown parents, repeated and missing ids."""
+    rng = random.Random(3)
+    nodes = [(i, i - 1 if i else None, f"c{i}") for i in range(1_000)]
+    nodes += [(2_000 + i, 2_000 + (i + 1) % 7, f"r{i}") for i in range(7)] + [(3_000, 3_000, "self"), (3_001, 3_000, "on self"), (3_002, 9_999, "orphan"), (3_003, None, None), (3_004, 3_003, "under nameless")]
+    nodes += [(2_100 + i, 2_099 + i if i else 2_003, f"t{i}") for i in range(30)] + [(2_200, 2_201, "p"), (2_201, 2_200, None), (2_202, 2_201, "q"), (None, 1, "lost"), (3_004, 5, "again"), (3_004, 5, "again")]
+    nodes += [(5_000 + i, rng.choice([None, *range(5_000, 5_300)]), f"x{i}") for i in range(300)]
+    rng.shuffle(nodes)
+    frame = spark.createDataFrame(nodes, "id int, parent int, name string").selectExpr("*", "1 as up", "2 as least", "3 as names")
+    got = hierarchy.paths(frame).collect()
+    assert {r.id: r.path for r in got} == walked(nodes) and len(got) == len({n[0] for n in nodes} - {None})
+    assert hierarchy.paths(frame.filter("id < 0")).count() == 0
+
+
+def test_category_paths_of_a_million(spark):
+    """Ten levels of ten, by string ids, with one cycle at the root: as many rounds as its depth's logarithm."""
+    nodes = spark.range(1_000_000).selectExpr("cast(id as string) as id", "cast(case when id > 0 then id div 10 else 7 end as string) as parent", "concat('n', id) as name")
+    paths = hierarchy.paths(nodes)
+    got = {r.id: r.path for r in paths.filter("id in ('0', '7', '999999', '12345')").collect()}
+    assert got == {"0": "n7 / n0", "7": "n0 / n7", "999999": "n7 / n0 / n9 / n99 / n999 / n9999 / n99999 / n999999", "12345": "n7 / n0 / n1 / n12 / n123 / n1234 / n12345"}
+    assert paths.count() == 1_000_000

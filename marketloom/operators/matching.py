@@ -62,14 +62,23 @@ def identity(found: Column, certain: Column, share: Column) -> Column:
 
 def validated(offers: DataFrame) -> DataFrame:
     """Adds overlap, conflicts, identity, verdict and score to offers with source (the product's text), title, brand, and
-    optionally identifier (compact; one that the title holds makes the match strong)."""
+    optionally identifier (compact; one that the title holds makes the match strong) and the columns of variants.compared (their
+    conflicts count, and a model that both name makes the match strong where the brand is there too)."""
     words = offers.withColumns({"_s": norm(F.concat_ws(" ", "source", "brand")), "_o": norm(F.col("title"))})
     compact = F.regexp_replace("_o", " ", "")
     strong = F.lit(False)
     if "identifier" in offers.columns:
         strong = F.coalesce(scalars.strong_identifier(F.col("identifier")) & compact.contains(F.col("identifier")), F.lit(False))
+    varied = "variant_conflicts" in offers.columns
+    if varied:
+        branded = F.concat(F.lit(" "), F.col("_o"), F.lit(" ")).contains(F.concat(F.lit(" "), norm(F.col("brand")), F.lit(" ")))
+        strong = strong | ((F.size("models_shared") > 0) & F.coalesce(branded, F.lit(True)))
     rows = words.withColumns({"overlap": overlap(F.col("_s"), F.col("_o")), "strong": strong})
-    rows = rows.withColumn("conflicts", conflicts(F.col("_s"), F.col("_o"), F.col("brand"), F.col("strong")))
+    found = conflicts(F.col("_s"), F.col("_o"), F.col("brand"), F.col("strong"))
+    if varied:
+        unsure = F.when((F.col("generation") == "unconfirmed") & ~F.col("strong"), F.array(F.lit("generation"))).otherwise(F.array().cast("array<string>"))
+        found = F.array_distinct(F.concat(found, F.transform("variant_conflicts", lambda c: c["rule"]), unsure))
+    rows = rows.withColumn("conflicts", found)
     rows = rows.withColumn("identity", identity(F.col("conflicts"), F.col("strong"), F.col("overlap")))
     share, near = F.col("overlap"), F.col("overlap") >= LEAST_OVERLAP
     table = [
@@ -85,6 +94,11 @@ def validated(offers: DataFrame) -> DataFrame:
     return rows.withColumns({"verdict": verdict, "score": score}).drop("_s", "_o")
 
 
+def health(passes: Column, conflicts: Column, errors: Column, seen: Column) -> Column:
+    """What a scan of a source came to, by numbers: passes without an error, anything that fits or nearly, only errors."""
+    return F.when((passes > 0) & (errors == 0), "FOUND").when((passes > 0) | (conflicts > 0), "PARTIAL").when((errors > 0) & (seen == 0), "ACCESS_LIMITED").otherwise("NOT_FOUND")
+
+
 def page_products(pages: DataFrame) -> DataFrame:
     """article, name, price, availability and origin of pages (article, html): JSON-LD products at the root, in a list or in
     @graph first; else the meta element; else the most frequent embedded price, the larger of equals."""

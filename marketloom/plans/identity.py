@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketloom.functions import folding
-from marketloom.operators import title_match
-from marketloom.sources.tables import mixed_titles, title_candidates
+from marketloom.operators import title_match, variants
+from marketloom.sources.tables import mixed_titles, title_candidates, variant_titles
 
 
 def folded_titles(spark, d):
@@ -28,6 +28,13 @@ def title_matches(spark, d):
     )
 
 
+def variant_conflicts(spark, d):
+    """Where titles differ from their product: the rules with what was expected and found, the generation and shared models."""
+    rows = variants.compared(variant_titles(spark, d))
+    told = F.transform("variant_conflicts", lambda c: F.concat(c["rule"], F.lit(":"), F.array_join(c["expected"], ","), F.lit("!="), F.array_join(c["got"], ",")))
+    return rows.select("article", "candidate", F.array_join(told, "; ").alias("conflicts"), "generation", F.array_join("models_shared", ",").alias("models"))
+
+
 MIXED_SQL = """mixed AS (SELECT p_partkey AS article, k AS kind, CASE k WHEN 0 THEN 'Ортез ' || p_name || ' EPСС' || p_partkey WHEN 1 THEN upper(p_name) || '  129 х ' || p_partkey || ' × 9 мм'
     WHEN 2 THEN 'Дорожка‑килим BZ-' || p_partkey || '.М чорний' || chr(160) || 'Монітор' WHEN 3 THEN 'Cеро-розовый екран ' || p_partkey || 'Вт 3в1 р.S' ELSE 'NІKE ' || p_name || ' LEB1-А' || p_partkey || 'MG' END AS title
   FROM part, range(5) r(k))"""
@@ -84,7 +91,25 @@ TITLES_SQL = f"""told AS (
   SELECT *, least(99.0, base + CASE WHEN branded THEN 8 ELSE 0 END + 10 * n + CASE WHEN hit AND distinctive THEN 16 WHEN hit THEN 7 ELSE 0 END) AS total,
     base >= 94 OR (n > 0 AND base >= 70) OR (branded AND (base >= 86 OR (n > 0 AND base >= 78))) OR (distinctive AND hit AND (branded OR base >= 84 OR n > 0)) AS strong, NOT branded AND base < 90 AND n = 0 AS unbranded FROM based
 )"""
+VARIANTS_SQL = """titles AS (
+  SELECT p_partkey AS article, k AS candidate, p_partkey + 1000 AS m, 'Смартфон Acme ' || p_name || ' Note 9 SM-' || (p_partkey + 1000) || ' 6.7 дюйм 8/128GB чорний (48)' AS source, CASE k
+    WHEN 0 THEN 'Смартфон Acme ' || p_name || ' Note 9 SМ-' || (p_partkey + 1000) || ' 6.7 дюйм 8/128 ГБ black' WHEN 4 THEN 'Чохол для Acme ' || p_name || ' Note 9 SM-' || (p_partkey + 1000) || ' чорний'
+    ELSE CASE k WHEN 5 THEN 'Ноутбук' ELSE 'Смартфон' END || ' Acme ' || p_name || CASE k WHEN 8 THEN ' Note 10 SM-' ELSE ' Note 9 SM-' END || (p_partkey + 1000 + CASE k WHEN 3 THEN 1 ELSE 0 END) || CASE k WHEN 9 THEN ' 6.1 дюйм ' ELSE ' 6.7 дюйм ' END
+      || CASE k WHEN 1 THEN '8/256GB ' WHEN 2 THEN '12/128GB ' ELSE '8/128GB ' END || CASE k WHEN 6 THEN 'white' WHEN 7 THEN 'чорний (49)' ELSE 'чорний' END END AS title FROM part, range(10) r(k)
+), sides AS (
+  SELECT article, candidate, side, lower(t) AS t FROM (SELECT article, candidate, 'a' AS side, source AS t FROM titles UNION ALL SELECT article, candidate, 'b', title FROM titles)
+), said AS (
+  SELECT *, regexp_extract_all(t, '\\(([0-9]+)\\)', 1) AS bracket, list_transform(regexp_extract_all(t, 's[mм]-([0-9]+)', 1), lambda x: 'sm' || x) AS model, nullif(regexp_extract(t, 'note ([0-9]+)', 1), '') AS note,
+    CASE WHEN contains(t, 'чохол') THEN 'accessory' WHEN contains(t, 'смартфон') THEN 'smartphone' ELSE 'laptop' END AS kind, regexp_extract_all(t, '/([0-9]+) ?(?:gb|гб)', 1) AS storage, regexp_extract_all(t, '([0-9]+)/[0-9]+', 1) AS ram,
+    list_transform(regexp_extract_all(t, '([0-9][.][0-9]) дюйм', 1), lambda x: x || 'in') AS size, list_filter(['black', 'blue', 'red', 'white'], lambda c: len(list_intersect(string_split(t, ' '), CASE c WHEN 'black' THEN ['black', 'чорний'] ELSE [c] END)) > 0) AS color FROM sides
+)"""
+_APART = "CASE WHEN len(a.{0}) > 0 AND len(b.{0}) > 0 AND len(list_intersect(a.{0}, b.{0})) = 0 THEN '{1}:' || array_to_string(a.{0}, ',') || '!=' || array_to_string(b.{0}, ',') END"
 QUERIES = {
+    variant_conflicts: f"""WITH {VARIANTS_SQL} SELECT a.article, a.candidate, coalesce(array_to_string(list_filter([{_APART.format("bracket", "terminal variant")}, {_APART.format("model", "model family")},
+        CASE WHEN b.kind = 'accessory' THEN 'whole product:smartphone!=accessory' WHEN a.kind <> b.kind THEN 'entity:' || a.kind || '!=' || b.kind END, {_APART.format("model", "product family")},
+        CASE WHEN a.note <> b.note THEN 'generation:note=' || a.note || '!=note=' || b.note END, {_APART.format("storage", "storage")}, {_APART.format("ram", "ram")}, {_APART.format("size", "size")}, {_APART.format("color", "color")}], lambda x: x IS NOT NULL), '; '), '') AS conflicts,
+        CASE WHEN a.note <> b.note THEN 'mismatch' ELSE 'confirmed' END AS generation, array_to_string(list_intersect(a.model, b.model), ',') AS models
+      FROM said a JOIN said b USING (article, candidate) WHERE a.side = 'a' AND b.side = 'b'""",
     title_matches: f"""WITH {TITLES_SQL} SELECT article, candidate, round(base, 6) AS base, branded AS brand_present, n::BIGINT AS matched_models, hit AS sku_hit, distinctive AS sku_distinctive, coalesce(array_to_string(conflicts, '; '), '') AS conflicts,
       round(CASE WHEN len(conflicts) > 0 THEN least(base, 89) WHEN unbranded THEN least(total, 89) ELSE total END, 6)::DOUBLE AS score,
       CASE WHEN len(conflicts) > 0 THEN 'CONFLICT' WHEN unbranded THEN 'POSSIBLE' WHEN strong AND total >= 95 THEN 'EXACT' WHEN total >= 90 THEN 'HIGH' ELSE 'POSSIBLE' END AS status,

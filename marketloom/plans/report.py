@@ -51,7 +51,7 @@ def source_status(spark, d):
     """What came of each product at each source: accepted offers, only rejected candidates, or nothing."""
     seen = offers(spark, d).groupBy("article", "source").agg(F.count_if(F.col("confidence").isin(market.CONFIRMING)).alias("accepted"), F.count(F.lit(1)).alias("seen"))
     planned = table(spark, d, "region").select(F.col("r_name").alias("source"))
-    grid = missions(spark, d).select("article").join(F.broadcast(planned.limit(64)))  # sources are a short fixed list
+    grid = missions(spark, d).select("article").crossJoin(planned)  # each product is planned at each source; Spark broadcasts them by their size
     status = F.when(F.col("accepted") > 0, "EXACT_FOUND").when(F.col("seen") > 0, "CANDIDATES_REJECTED").otherwise("CHECKED_NOT_FOUND")
     return grid.join(seen, ["article", "source"], "left").groupBy("article").agg(
         F.count(F.lit(1)).alias("checked"), F.count_if(F.col("accepted") > 0).alias("found"),
@@ -171,11 +171,13 @@ def offer_verdicts(spark, d):
 
 
 def scan_health(spark, d):
-    """FOUND with priced passes, PARTIAL with any pass, ACCESS_LIMITED where all that was seen is in conflict."""
-    rows = matching.validated(candidates(spark, d)).groupBy("article").agg(
-        F.count_if(F.col("verdict") == "PASS").alias("passes"), F.count_if((F.col("verdict") == "PASS") & (F.col("candidate") % 2 == 0)).alias("priced"), F.count_if(F.col("verdict") == "CONFLICT").alias("conflicts")
+    """FOUND with passes and no error, PARTIAL with passes or conflicts, ACCESS_LIMITED with errors alone. Every fifth product
+    has an error; of every seventh no candidate was seen."""
+    seen = matching.validated(candidates(spark, d)).filter("article % 7 <> 3").groupBy("article").agg(
+        F.count_if(F.col("verdict") == "PASS").alias("passes"), F.count_if(F.col("verdict") == "CONFLICT").alias("conflicts"), F.count(F.lit(1)).alias("seen")
     )
-    return rows.select("article", F.when(F.col("priced") > 0, "FOUND").when(F.col("passes") > 0, "PARTIAL").when(F.col("conflicts") > 0, "ACCESS_LIMITED").otherwise("NOT_FOUND").alias("health"))
+    rows = missions(spark, d).select("article", F.when(F.col("article") % 5 == 0, 1).otherwise(0).alias("errors")).join(seen, "article", "left").na.fill(0)
+    return rows.select("article", matching.health(F.col("passes"), F.col("conflicts"), F.col("errors"), F.col("seen")).alias("health"))
 
 
 def query_variants(spark, d):
@@ -237,7 +239,7 @@ QUERIES = {
     text_scalars: r"SELECT p_partkey AS article, lower(p_name) AS signature, p_name AS search, p_brand || ' ' || p_name AS safe, p_brand AS identifier, lpad(p_partkey::VARCHAR, 9, '0') || CASE WHEN p_partkey >= 100 THEN '|' || p_partkey ELSE '' END AS skus, p_partkey >= 1000 AS strong, CASE WHEN p_partkey < 1000 THEN 12000.0 + p_partkey WHEN p_partkey < 10000 THEN 12000.0 + p_partkey // 10 ELSE 12000 END::DOUBLE AS named, p_partkey + 0.5::DOUBLE AS decimal_price, 'a & ' || p_name AS clean, p_name || chr(10) || 'x' || chr(10) || 'y' AS plain, regexp_replace(regexp_replace(printf('%.2f', p_partkey / 4), '0+$', ''), '[.]$', '') AS price FROM part",
     page_products: "SELECT p_partkey AS article, CASE WHEN p_partkey % 4 < 2 THEN p_name END AS name, CASE p_partkey % 4 WHEN 0 THEN p_partkey + 10.5 WHEN 1 THEN p_partkey + 1.0 WHEN 2 THEN p_partkey + 3.0 ELSE 77.0 END::DOUBLE AS price, CASE WHEN p_partkey % 4 < 2 THEN 'IN_STOCK' ELSE 'UNKNOWN' END AS availability, CASE WHEN p_partkey % 4 < 2 THEN 'jsonld' WHEN p_partkey % 4 = 2 THEN 'meta' ELSE 'embedded_json' END AS origin FROM part",
     offer_verdicts: f"WITH {VALIDATED_SQL} SELECT article, candidate, floor(overlap * 1000 + 0.5)::BIGINT AS overlap, coalesce(array_to_string(conflicts, '; '), '') AS conflicts, identity, verdict, floor(score * 1000 + 0.5)::BIGINT AS score FROM validated",
-    scan_health: f"WITH {VALIDATED_SQL} SELECT article, CASE WHEN count(*) FILTER (verdict = 'PASS' AND candidate % 2 = 0) > 0 THEN 'FOUND' WHEN count(*) FILTER (verdict = 'PASS') > 0 THEN 'PARTIAL' WHEN count(*) FILTER (verdict = 'CONFLICT') > 0 THEN 'ACCESS_LIMITED' ELSE 'NOT_FOUND' END AS health FROM validated GROUP BY 1",
+    scan_health: f"WITH {VALIDATED_SQL}, seen AS (SELECT article, count(*) FILTER (verdict = 'PASS') AS ok, count(*) FILTER (verdict = 'CONFLICT') AS near FROM validated WHERE article % 7 <> 3 GROUP BY 1) SELECT p_partkey AS article, CASE WHEN ok > 0 AND p_partkey % 5 <> 0 THEN 'FOUND' WHEN ok > 0 OR near > 0 THEN 'PARTIAL' WHEN seen.article IS NULL AND p_partkey % 5 = 0 THEN 'ACCESS_LIMITED' ELSE 'NOT_FOUND' END AS health FROM part LEFT JOIN seen ON article = p_partkey",
     query_variants: "SELECT p_partkey AS article, p_name || '|' || p_brand || ' ' || p_name || '|' || p_brand || ' ab' || p_partkey AS queries FROM part",
     category_paths: "WITH RECURSIVE c AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 97 = 3 THEN p_partkey WHEN p_partkey > 9 THEN p_partkey // 10 END AS parent, p_type AS name FROM part), up AS (SELECT id, parent AS at, 1 AS depth, name AS path, [id] AS seen FROM c UNION ALL SELECT up.id, c.parent, depth + 1, c.name || ' / ' || path, list_append(seen, c.id) FROM up JOIN c ON c.id = up.at WHERE NOT list_contains(seen, c.id)) SELECT id, max_by(path, depth) AS path FROM up GROUP BY id",
 }

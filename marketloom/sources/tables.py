@@ -127,3 +127,17 @@ def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, a in kinds.items():
         action = action.when(kind == k, a)
     return table(spark, sf_dir, "events").select("event_id", "ts", F.col("user_id").alias("job"), kind.alias("kind"), action.alias("action"), F.floor(n / 2_500).cast("string").alias("version"))
+
+
+def variant_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten titles per product: the same in other letters, and with another memory, model, kind, colour, number in brackets,
+    generation or size; source is the product's own text."""
+    m, name = F.col("article") + 1000, F.col("name")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    full = lambda kind="Смартфон", note="9", model=m, size="6.7", memory="8/128GB", end="чорний": text(f"{kind} Acme ", name, f" Note {note} SM-", model, f" {size} дюйм {memory} {end}")
+    made = [
+        text("Смартфон Acme ", name, " Note 9 SМ-", m, " 6.7 дюйм 8/128 ГБ black"), full(memory="8/256GB"), full(memory="12/128GB"), full(model=m + 1), text("Чохол для Acme ", name, " Note 9 SM-", m, " чорний"),
+        full("Ноутбук"), full(end="white"), full(end="чорний (49)"), full(note="10"), full(size="6.1"),
+    ]
+    rows = F.array(*[F.struct(F.lit(k).cast("long").alias("candidate"), t.alias("title")) for k, t in enumerate(made)])
+    return missions(spark, sf_dir).select("article", F.lit("Acme").alias("brand"), full(end="чорний (48)").alias("source"), F.explode(rows).alias("x")).select("article", "brand", "source", "x.*")

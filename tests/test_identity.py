@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketloom.functions import folding, similarity
-from marketloom.operators import hierarchy, title_match
+from marketloom.operators import hierarchy, matching, title_match, variants
 
 
 def values(spark, make, texts):
@@ -141,3 +141,41 @@ def test_category_paths_of_a_million(spark):
     got = {r.id: r.path for r in paths.filter("id in ('0', '7', '999999', '12345')").collect()}
     assert got == {"0": "n7 / n0", "7": "n0 / n7", "999999": "n7 / n0 / n9 / n99 / n999 / n9999 / n99999 / n999999", "12345": "n7 / n0 / n1 / n12 / n123 / n1234 / n12345"}
     assert paths.count() == 1_000_000
+
+
+HEADSET, HEATER = "Беспроводные наушники Inspire Buds3 Black", "Обогреватель керамический Emby CHT-500 на 10 кв.м Белый"
+GENERATOR, DIESEL = "Бензиновый генератор Aceceа PT-3300 3.3 кВт с медной обмоткой (1900284922)", "Безопасный дизельный воздушный отопитель GREELITE SN99 12V 5 КВТ (2005912565)"
+SHELF = "Металлический стеллаж Emby Light Series 2100х900x600 мм 5 полок ДСП до 100 кг Белый"
+
+
+VERDICTS = [
+    (HEADSET, "Inspire", "Наушники Samsung Galaxy Buds3 FE black (SM-R420NZKASEK)", False), (HEADSET, "Inspire", "Наушники OPPO Enco Buds3 ETEG1 slate black", False), (DIESEL, "GREELITE", "Припій BEST Sn99.3/Bi0.7, 0,8мм, 40 г", False),
+    ("Генератор 2,5-2,8 кВт с медной обмоткой +AVR сертифицированный мотор Mast Group YH3000", "MAST", "Шеф кухонный нож 200 мм Kanetsune YH-3000 KC-922 из нержавеющей стали", False),
+    (GENERATOR, "Aceceа", "Генератор бензиновый Edon 2,5 кВт / 220 В PT3300", False), (HEATER, "Emby", "Електричний офтальмологічний операційний стіл Invita CH-T500", False), (HEATER, "Emby", "Керамический обогреватель SunCeramic CHT-500 500 Вт", False),
+    ("Полноразмерные игровые наушники-гарнитура Fantech HQ53 Flash AUX USB 2 m Black", "Fantech", "Комплект ігровий Fantech P51 5в1 клавіатура Shikari K515/миша Crypto VX7 / килимок Vigil MP356 / навушники Flash HQ53 з підставкою", False),
+    ("Смартфон Apple iPhone 15 128gb", "Apple", "Смартфон Apple iPhone 15 256GB", False), ("Смартфон Apple iPhone 15 128gb", "Apple", "Смартфон Apple iPhone 14 128GB", False), ("Ортез Example EPCC2614", "Example", "Ортез Example EPСС2615", False),
+    (DIESEL, "GREELITE", "Автономний дизельний обігрівач GREELITE SN99 12 V 5 КВТ", True), ("Ортез Example EPСС2614", "Example", "Ортез Example EPCC2614", True), (HEATER, "Emby", "Керамический обогреватель Emby CHT-500 белый", True),
+    ("Портативная батарея с функцией автозапуска XON PowerBoost 25000 mAh 500A peak 1000A Черный (TC1N 5887)", "XON", "Портативна батарея з функцією автозапуску XON PowerBoost 25000 mAh 500A peak 1000A Чорний (TC1N 5887)", True),
+    ("Портативная батарея XON PowerBoost Черный (TC1N 5887)", "XON", "Портативна батарея XON PowerBoost Чорний (TC1N 2247)", False), (SHELF, "Emby", "Металевий стелаж Emby Light Series 2100x900x500 мм Білий", False),
+]
+
+
+def test_variants_and_foreign_brands_never_pass(spark):
+    """Another brand's product with the same model number, another variant, a bundle; and the product in other letters."""
+    rows = variants.compared(spark.createDataFrame([(i, *v[:3]) for i, v in enumerate(VERDICTS)], "i int, source string, brand string, title string"))
+    got = {r.i: (r.verdict == "PASS", r.identity == "CONFIRMED") for r in matching.validated(rows).collect()}
+    assert got == {i: (v[3], v[3]) for i, v in enumerate(VERDICTS)}
+
+
+RULES = [
+    ("Стеллаж Emby 2100 х 900 × 600 мм Белый", "Стелаж Emby 2100x900x600мм Білий", []), ("Стеллаж Emby 2100 х 900 × 600 мм", "Стелаж Emby 2100x900x500 мм", ["size"]),
+    ("Монітор LG UltraGear 27", "Монітор LG UltraGear 32", ["model family", "product core", "size"]), ("Шина Nokian 205/55 R16", "Шина Nokian 215/55 r16", ["size"]), ("SSD Kingston 1TB", "SSD Kingston 1024 гб", []),
+    ("Насос 35-005 Emby", "Насос 35-006 Emby", ["public code"]), ("Насос 35-005 Emby", "Насос 41-777 Emby", []), ("Наушники Sony", "Левый наушник Sony", ["whole product"]), ("Наушники Sony", "Дисплей для Sony", ["whole product"]), (None, None, []), ("", "x", []),
+    ("Galaxy Watch 6", "Galaxy Watch 5", ["generation"]), ("Кабель (49) чорний", "Кабель (50) білий", ["terminal variant", "color"]), ("Смартфон Redmi 8/128", "Смартфон Redmi 6/128", ["ram"]),
+]
+
+
+def test_variant_rules(spark):
+    rows = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(RULES)], "i int, source string, title string").withColumn("x.y", F.lit(1))
+    got = {r.i: [c.rule for c in r.variant_conflicts] for r in variants.compared(rows).collect()}
+    assert got == {i: r[2] for i, r in enumerate(RULES)}

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketloom.functions import folding
-from marketloom.operators import title_match, variants
-from marketloom.sources.tables import mixed_titles, title_candidates, variant_titles
+from marketloom.operators import linkage, title_match, variants
+from marketloom.sources.tables import linkable, mixed_titles, title_candidates, variant_titles
 
 
 def folded_titles(spark, d):
@@ -35,6 +35,13 @@ def variant_conflicts(spark, d):
     return rows.select("article", "candidate", F.array_join(told, "; ").alias("conflicts"), "generation", F.array_join("models_shared", ",").alias("models"))
 
 
+def linked_offers(spark, d):
+    """All pairs of a product and an offer that has 0.75 of its words, found in blocks of rare words or of two common ones."""
+    products, offers = linkable(spark, d)
+    rows = linkage.linked(products, offers, "article", "source", "offer", "title", least=0.75, hot=64)
+    return rows.select(F.col("product").alias("article"), "offer", F.round("overlap", 6).alias("overlap"))
+
+
 MIXED_SQL = """mixed AS (SELECT p_partkey AS article, k AS kind, CASE k WHEN 0 THEN 'Ортез ' || p_name || ' EPСС' || p_partkey WHEN 1 THEN upper(p_name) || '  129 х ' || p_partkey || ' × 9 мм'
     WHEN 2 THEN 'Дорожка‑килим BZ-' || p_partkey || '.М чорний' || chr(160) || 'Монітор' WHEN 3 THEN 'Cеро-розовый екран ' || p_partkey || 'Вт 3в1 р.S' ELSE 'NІKE ' || p_name || ' LEB1-А' || p_partkey || 'MG' END AS title
   FROM part, range(5) r(k))"""
@@ -105,6 +112,9 @@ VARIANTS_SQL = """titles AS (
 )"""
 _APART = "CASE WHEN len(a.{0}) > 0 AND len(b.{0}) > 0 AND len(list_intersect(a.{0}, b.{0})) = 0 THEN '{1}:' || array_to_string(a.{0}, ',') || '!=' || array_to_string(b.{0}, ',') END"
 QUERIES = {
+    linked_offers: """WITH p AS (SELECT p_partkey AS article, list_distinct(list_filter(string_split(lower(p_name || ' ' || p_type || ' mx' || (p_partkey // 8) || ' cap' || p_size), ' '), lambda w: length(w) >= 3)) AS a FROM part),
+      o AS (SELECT p_partkey AS offer, list_distinct(list_filter(string_split(lower(CASE WHEN p_partkey % 3 = 0 THEN 'sale' ELSE p_type END || ' cap' || p_size || ' new ' || CASE WHEN p_partkey % 2 = 0 THEN 'mx' || (p_partkey // 8) ELSE 'code' END || ' ' || p_name), ' '), lambda w: length(w) >= 3)) AS b FROM part)
+      SELECT article, offer, round(len(list_intersect(a, b)) / len(a), 6) AS overlap FROM p, o WHERE len(list_intersect(a, b)) >= 0.75 * len(a)""",
     variant_conflicts: f"""WITH {VARIANTS_SQL} SELECT a.article, a.candidate, coalesce(array_to_string(list_filter([{_APART.format("bracket", "terminal variant")}, {_APART.format("model", "model family")},
         CASE WHEN b.kind = 'accessory' THEN 'whole product:smartphone!=accessory' WHEN a.kind <> b.kind THEN 'entity:' || a.kind || '!=' || b.kind END, {_APART.format("model", "product family")},
         CASE WHEN a.note <> b.note THEN 'generation:note=' || a.note || '!=note=' || b.note END, {_APART.format("storage", "storage")}, {_APART.format("ram", "ram")}, {_APART.format("size", "size")}, {_APART.format("color", "color")}], lambda x: x IS NOT NULL), '; '), '') AS conflicts,

@@ -141,3 +141,14 @@ def variant_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     rows = F.array(*[F.struct(F.lit(k).cast("long").alias("candidate"), t.alias("title")) for k, t in enumerate(made)])
     return missions(spark, sf_dir).select("article", F.lit("Acme").alias("brand"), full(end="чорний (48)").alias("source"), F.explode(rows).alias("x")).select("article", "brand", "source", "x.*")
+
+
+def linkable(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Products (article, source) and offers (offer, title) whose words repeat: kinds and names often, codes of eight in a row
+    seldom."""
+    part = table(spark, sf_dir, "part")
+    n, code = F.col("p_partkey"), F.concat(F.lit("mx"), F.floor(F.col("p_partkey") / 8).cast("string"))
+    size = F.concat(F.lit("cap"), F.col("p_size").cast("string"))
+    products = part.select(n.alias("article"), F.concat_ws(" ", "p_name", "p_type", code, size).alias("source"))
+    kind = F.when(n % 3 == 0, F.lit("sale")).otherwise(F.col("p_type"))
+    return products, part.select(n.alias("offer"), F.concat_ws(" ", kind, size, F.split("p_name", " ")[1], F.lit("new"), F.when(n % 2 == 0, code).otherwise("code"), F.split("p_name", " ")[0]).alias("title"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketloom.functions import folding, similarity
-from marketloom.operators import hierarchy, matching, title_match, variants
+from marketloom.operators import hierarchy, linkage, matching, title_match, variants
 
 
 def values(spark, make, texts):
@@ -179,3 +179,19 @@ def test_variant_rules(spark):
     rows = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(RULES)], "i int, source string, title string").withColumn("x.y", F.lit(1))
     got = {r.i: [c.rule for c in r.variant_conflicts] for r in variants.compared(rows).collect()}
     assert got == {i: r[2] for i, r in enumerate(RULES)}
+
+
+@pytest.mark.parametrize(("least", "hot"), [(0.55, 3), (0.75, 20), (1.0, 0), (0.18, 5)])
+def test_linkage_loses_no_pair(spark, least, hot):
+    """A few words in most titles and many in one or two, against all pairs; short and empty texts, null ids' texts too."""
+    rng = random.Random(hot)
+    word = lambda: f"common{rng.randrange(6)}" if rng.random() < 0.6 else f"rare{rng.randrange(60)}"
+    text = lambda: " ".join(word() for _ in range(rng.randrange(8)))
+    products = [(i, text()) for i in range(70)] + [(70, None), (71, "a bc"), (72, "common1"), (72, "rare1")]
+    offers = [(i, text()) for i in range(160)] + [(160, None), (161, "common0 common1 common2 common3 common4 common5")]
+    of = lambda rows: {k: set().union(*[{w for w in (t or "").split() if len(w) >= 3} for i, t in rows if i == k]) for k, _ in rows}
+    p, o = of(products), of(offers)
+    want = {(i, j): len(a & b) / len(a) for i, a in p.items() for j, b in o.items() if a and len(a & b) / len(a) >= least - 1e-9}
+    frames = [spark.createDataFrame(rows, "id int, words string") for rows in (products, offers)]
+    got = linkage.linked(*frames, "id", "words", "id", "words", least=least, hot=hot).collect()
+    assert len(got) == len(want) and {(r.product, r.offer): pytest.approx(r.overlap) for r in got} == want

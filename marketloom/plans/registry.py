@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.plans import identity, market, report, state
+from marketloom.plans import identity, market, memory, report, state
 
 FLAGSHIP = "price_summary"
-ALL = {**market.QUERIES, **state.QUERIES, **report.QUERIES, **identity.QUERIES}
+ALL = {**market.QUERIES, **state.QUERIES, **report.QUERIES, **identity.QUERIES, **memory.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

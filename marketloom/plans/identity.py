@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketloom.functions import folding
-from marketloom.operators import linkage, title_match, variants
-from marketloom.sources.tables import linkable, mixed_titles, title_candidates, variant_titles
+from marketloom.operators import linkage, pages, title_match, variants
+from marketloom.sources.tables import linkable, mixed_titles, nested_pages, title_candidates, variant_titles
 
 
 def folded_titles(spark, d):
@@ -42,6 +42,11 @@ def linked_offers(spark, d):
     return rows.select(F.col("product").alias("article"), "offer", F.round("overlap", 6).alias("overlap"))
 
 
+def page_cascade(spark, d):
+    """Title, price, stock and origin of pages: JSON-LD at any depth, meta elements, scripts, text."""
+    return pages.extracted(nested_pages(spark, d))
+
+
 MIXED_SQL = """mixed AS (SELECT p_partkey AS article, k AS kind, CASE k WHEN 0 THEN 'Ортез ' || p_name || ' EPСС' || p_partkey WHEN 1 THEN upper(p_name) || '  129 х ' || p_partkey || ' × 9 мм'
     WHEN 2 THEN 'Дорожка‑килим BZ-' || p_partkey || '.М чорний' || chr(160) || 'Монітор' WHEN 3 THEN 'Cеро-розовый екран ' || p_partkey || 'Вт 3в1 р.S' ELSE 'NІKE ' || p_name || ' LEB1-А' || p_partkey || 'MG' END AS title
   FROM part, range(5) r(k))"""
@@ -112,6 +117,10 @@ VARIANTS_SQL = """titles AS (
 )"""
 _APART = "CASE WHEN len(a.{0}) > 0 AND len(b.{0}) > 0 AND len(list_intersect(a.{0}, b.{0})) = 0 THEN '{1}:' || array_to_string(a.{0}, ',') || '!=' || array_to_string(b.{0}, ',') END"
 QUERIES = {
+    page_cascade: """SELECT p_partkey AS page, CASE p_partkey % 8 WHEN 0 THEN p_name WHEN 1 THEN 'deep ' || p_partkey WHEN 2 THEN 'page ' || p_partkey WHEN 3 THEN 'T & ' || p_partkey WHEN 4 THEN 'state ' || p_partkey WHEN 6 THEN 'plain' ELSE '' END AS title,
+      CASE p_partkey % 8 WHEN 0 THEN p_partkey + 10.5 WHEN 1 THEN p_partkey + 3.0 WHEN 3 THEN p_partkey + 5.25 WHEN 4 THEN p_partkey + 100.0 WHEN 5 THEN p_partkey + 1000.0 WHEN 7 THEN p_partkey + 1.0 END::DOUBLE AS price,
+      CASE p_partkey % 8 WHEN 0 THEN 'IN_STOCK' WHEN 1 THEN 'OUT_OF_STOCK' WHEN 3 THEN 'IN_STOCK' WHEN 5 THEN 'IN_STOCK' ELSE 'UNKNOWN' END AS availability,
+      CASE p_partkey % 8 WHEN 0 THEN 'jsonld' WHEN 1 THEN 'jsonld' WHEN 3 THEN 'meta' WHEN 4 THEN 'embedded_json' WHEN 5 THEN 'text' WHEN 7 THEN 'meta' ELSE 'none' END AS origin FROM part""",
     linked_offers: """WITH p AS (SELECT p_partkey AS article, list_distinct(list_filter(string_split(lower(p_name || ' ' || p_type || ' mx' || (p_partkey // 8) || ' cap' || p_size), ' '), lambda w: length(w) >= 3)) AS a FROM part),
       o AS (SELECT p_partkey AS offer, list_distinct(list_filter(string_split(lower(CASE WHEN p_partkey % 3 = 0 THEN 'sale' ELSE p_type END || ' cap' || p_size || ' new ' || CASE WHEN p_partkey % 2 = 0 THEN 'mx' || (p_partkey // 8) ELSE 'code' END || ' ' || p_name), ' '), lambda w: length(w) >= 3)) AS b FROM part)
       SELECT article, offer, round(len(list_intersect(a, b)) / len(a), 6) AS overlap FROM p, o WHERE len(list_intersect(a, b)) >= 0.75 * len(a)""",

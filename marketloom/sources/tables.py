@@ -152,3 +152,19 @@ def linkable(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     products = part.select(n.alias("article"), F.concat_ws(" ", "p_name", "p_type", code, size).alias("source"))
     kind = F.when(n % 3 == 0, F.lit("sale")).otherwise(F.col("p_type"))
     return products, part.select(n.alias("offer"), F.concat_ws(" ", kind, size, F.split("p_name", " ")[1], F.lit("new"), F.when(n % 2 == 0, code).otherwise("code"), F.split("p_name", " ")[0]).alias("title"))
+
+
+def nested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page (page, html) per product, in eight kinds: JSON-LD as a graph in a list, deep inside another thing, of several types and
+    prices; meta elements with their attributes in either order; prices in scripts; in the text beside monthly payments; none."""
+    n = F.col("article")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    ld = lambda *parts: text('<html><title>page ', n, '</title><script type="application/ld+json">', *parts, "</script></html>")
+    kinds = [
+        ld('[{"@type":"WebPage"},{"@graph":[{"@type":"Thing"},{"@type":"product","name":"', F.col("name"), '","offers":{"price":"', n + 10, ',50","availability":"https://schema.org/InStock"}}]}]'),
+        ld('{"@type":"ItemPage","mainEntity":{"about":{"item":{"@type":["Thing","Product"],"name":"deep ', n, '","offers":[{"highPrice":', n + 7, '},{"lowPrice":"', n + 3, '","availability":"OutOfStock"}]}}}}'),
+        ld('{"@type":"Product","name":"no price"}'), text('<meta content="', n + 5, '.25" property="og:price:amount"><meta name="twitter:title" content="T &amp; ', n, '"><link href="http://schema.org/InStock" itemprop="availability">'),
+        text('<script>window.state = {"product":{"name":"state ', n, '","price":"', n + 100, '"},"other":{"currentPrice":', n + 100, '},"monthly":{"price":{"value":"9999"}}}</script>'),
+        text("<p>", F.lit("1 250"), " грн на місяць</p><p>", F.lit("x" * 60), "</p><p>Ціна ", n + 1000, " грн, є в наявності</p>"), text("<title> plain </title><p>нічого</p>"), text('<script type="application/ld+json">{"@type":"Product", broken</script><meta itemprop="price" content="', n + 1, '">'),
+    ]
+    return missions(spark, sf_dir).select(n.alias("page"), F.coalesce(*[F.when(n % len(kinds) == i, k) for i, k in enumerate(kinds)]).alias("html"))

@@ -61,6 +61,17 @@ def discard(*frames: DataFrame) -> None:
         frames[0].sparkSession._jvm.System.gc()
 
 
+def quoted(name: str) -> Column:
+    """A column by its whole name, points in it or not."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def filtered(docs: DataFrame, keep) -> DataFrame:
+    """docs with what keep leaves of its batches, whatever its columns are called; keep goes by their places."""
+    inner = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
+    return inner.mapInArrow(keep, inner.schema).toDF(*docs.columns)
+
+
 #: Rows of one long that may be broadcast.
 BROADCAST_KEYS = 500_000
 

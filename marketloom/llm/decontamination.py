@@ -14,7 +14,8 @@ A retrieved item counts only if word trigrams of both its question (all but the
 its answer (the last third) are in the passage to a share of OVERLAP.
 
 The index is bounded: items are taken ITEMS at a time, each such block is indexed, broadcast and run over all
-documents in turn, so the benchmark may be of any size.
+documents in turn, so the benchmark may be of any size. Document frequencies, mean length and passage lengths are those
+of all items, and each pass takes the rows of the one before, so results don't depend on the number of blocks.
 
 Defined results: null and empty texts, and items without words, are never contaminated or found; repeated items
 are found each; an item of one word is all answer; a repeated document row is a row of its own; without items no document is contaminated; an empty
@@ -24,6 +25,7 @@ table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -58,32 +60,55 @@ class Vocabulary(dict):
         return number
 
 
+@dataclass
+class Statistics:
+    """Of all items: how many have words, their mean length, the longest of each class of lengths, and the number of items
+    that hold a word, for the words at hand."""
+
+    n: int
+    mean: float
+    longest: dict[int, int]
+    counts: dict[bytes, int]
+
+
+def item_words(text: str | None) -> list[bytes]:
+    return [w for w in (w.strip(_MARKS) for w in words.split((text or "").encode())) if w]
+
+
+def sizes(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of items as far as passages go by them, and the class of each."""
+    size = np.maximum(lengths.astype(np.int64), LEAST_WORDS)
+    return size, np.where(size <= MOST_WORDS // 2, 0, np.ceil(np.log2(size))).astype(np.int64)
+
+
 class BenchmarkIndex:
     """Postings of normalised BM25 weights by term, in blocks of BLOCK items with each block's largest weight."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int, str]], of_all: Statistics | None = None) -> None:
+        """of_all: of all items, if these are a part of them; scores and passages are then the same as with all together."""
         known: dict[bytes, int] = {}
         kept = []
         for item_id, text in sorted(items, key=lambda x: x[0]):
-            tokens = [w.strip(_MARKS) for w in words.split((text or "").encode())]
-            numbers = [known.setdefault(w, len(known)) for w in tokens if w]
+            numbers = [known.setdefault(w, len(known)) for w in item_words(text)]
             if numbers:
                 kept.append((item_id, numbers))
         self.known, self.ids = known, [k[0] for k in kept]
         n = len(kept)
         lengths = np.array([len(k[1]) for k in kept], float)
-        size = np.maximum(lengths.astype(np.int64), LEAST_WORDS)
-        span = np.where(size <= MOST_WORDS // 2, 0, np.ceil(np.log2(size))).astype(np.int64)
-        longest = {int(x): int(size[span == x].max()) for x in np.unique(span)}
+        size, span = sizes(lengths)
+        longest = of_all.longest if of_all else {int(x): int(size[span == x].max()) for x in np.unique(span)}
         #: Half the words of an item's passages, and all there are.
         self.stride = np.array([longest[x] for x in span.tolist()], np.int64)
         self.strides = sorted(longest.values()) or [LEAST_WORDS]
-        mean = lengths.mean() if n else 1.0
+        mean = of_all.mean if of_all else lengths.mean() if n else 1.0
         counts = [dict(zip(*np.unique(k[1], return_counts=True), strict=True)) for k in kept]
         df = np.zeros(len(known))
         for c in counts:
             df[list(c)] += 1
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        total = of_all.n if of_all else n
+        if of_all:
+            df = np.array([of_all.counts[w] for w in known], float)
+        idf = np.log(1 + (total - df + 0.5) / (df + 0.5))
         postings: dict[int, list[tuple[int, float]]] = {}
         for i, c in enumerate(counts):
             w = {t: idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * lengths[i] / mean)) for t, f in c.items()}
@@ -112,7 +137,7 @@ class BenchmarkIndex:
         self.rare = np.zeros((len(known) + 1, groups), np.float32)
         frequent = np.zeros(n)
         for t in range(len(known)):
-            if df[t] * 16 <= max(n, 32):
+            if df[t] * 16 <= max(total, 32):
                 np.maximum.at(self.rare[t], of(ids[t]), weights[t].astype(np.float32))
             else:
                 frequent[ids[t]] += weights[t]
@@ -195,30 +220,67 @@ def find_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     base = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("row"), F.col(text_col).cast("string").alias("text")
     )
-    tests = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).filter("i is not null")
-    blocks = max(1, -(-tests.count() // ITEMS))
     schema = "doc_id long, row long, n_passages long, item_ids array<long>, best double"
-    found = None
-    for block in range(blocks):
-        part = tests if blocks == 1 else tests.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block)
-        shared = spark.sparkContext.broadcast(BenchmarkIndex([(r[0], r[1]) for r in part.collect()]))
-        one = base.mapInArrow(lambda rows, shared=shared: _searched(rows, shared), schema)
-        found = one if found is None else found.unionByName(one)
-    if blocks == 1:
-        return found
-    return found.groupBy("doc_id", "row").agg(
-        F.max("n_passages").alias("n_passages"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.max("best").alias("best")
-    )
+    parts = list(_indexes(spark, items, item_id, item_text))
+    if len(parts) == 1:
+        return base.mapInArrow(lambda rows, shared=parts[0]: _searched(rows, shared), schema)
+    # Each pass takes the rows of the one before with what was found, so rows need no names to meet again.
+    found = base.select("*", F.lit(0).cast("long").alias("n_passages"), F.array().cast("array<long>").alias("item_ids"), F.lit(0.0).alias("best"))
+    for shared in parts:
+        found = common.materialize(found.mapInArrow(lambda rows, shared=shared: _added(rows, shared), f"{schema}, text string"), "searched")
+    return found.drop("text")
+
+
+def _added(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, row, text, n_passages, item_ids, best) with what another part of the items adds."""
+    names = ["doc_id", "row", "n_passages", "item_ids", "best", "text"]
+    for batch in (b.slice(at, words.SLICE) for b in batches for at in range(0, b.num_rows, words.SLICE)):
+        before = {c: batch.column(batch.schema.get_field_index(c)) for c in names}
+        own = pa.RecordBatch.from_arrays([before[c] for c in ("doc_id", "row", "text")], names=["doc_id", "row", "text"])
+        n, ids, best = next(_searched(iter([own]), shared)).columns[2:]
+        told = [
+            [max(a, b) for a, b in zip(before["n_passages"].to_pylist(), n.to_pylist(), strict=True)], [sorted({*a, *b}) for a, b in zip(before["item_ids"].to_pylist(), ids.to_pylist(), strict=True)],
+            [max(a, b) for a, b in zip(before["best"].to_pylist(), best.to_pylist(), strict=True)],
+        ]
+        columns = [before["doc_id"], before["row"], *[pa.array(c, t) for c, t in zip(told, (pa.int64(), pa.list_(pa.int64()), pa.float64()), strict=True)], before["text"]]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each item's part, number of words (in its first row) and words, each once."""
+    for batch in batches:
+        for part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found = item_words(text)
+            once = sorted(set(found))
+            if once:
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(once), pa.int64()), pa.array([len(found)] + [None] * (len(once) - 1), pa.int64()), pa.array(once, pa.binary())], names=["part", "length", "word"])
+
+
+def _indexes(spark: SparkSession, items: DataFrame, item_id: str, item_text: str) -> Iterator:
+    """Broadcast indexes of at most about ITEMS items each. Of several, each knows what is counted over all of them."""
+    tests = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).filter("i is not null")
+    parts = max(1, -(-tests.count() // ITEMS))
+    if parts == 1:
+        yield spark.sparkContext.broadcast(BenchmarkIndex([(r[0], r[1]) for r in tests.collect()]))
+        return
+    tests = tests.withColumn("part", F.pmod(F.xxhash64("i", "t"), F.lit(parts)))
+    told = common.materialize(tests.select("part", "t").mapInArrow(_told, "part long, length long, word binary"), "items")
+    lengths = told.filter("length is not null").groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each length
+    n, (size, span) = sum(r.n for r in lengths), sizes(np.array([r.length for r in lengths]))
+    longest = {int(x): int(size[span == x].max()) for x in np.unique(span)}
+    mean = sum(r.n * r.length for r in lengths) / n if n else 1.0
+    counts = common.materialize(told.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "counts")
+    for part in range(parts):
+        own = counts.join(told.filter(F.col("part") == part).select("word").distinct(), "word").collect()
+        of_all = Statistics(n, mean, longest, {bytes(r.word): r.n for r in own})
+        yield spark.sparkContext.broadcast(BenchmarkIndex([(r.i, r.t) for r in tests.filter(F.col("part") == part).collect()], of_all))
+    common.discard(told, counts)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, in whose text no item is found."""
-    spark, at = docs.sparkSession, docs.columns.index(text_col)
-    tests = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).filter("i is not null")
-    blocks = max(1, -(-tests.count() // ITEMS))
-    for block in range(blocks):
-        part = tests if blocks == 1 else tests.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block)
-        shared = spark.sparkContext.broadcast(BenchmarkIndex([(r[0], r[1]) for r in part.collect()]))
+    at = docs.columns.index(text_col)
+    for shared in _indexes(docs.sparkSession, items, item_id, item_text):
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in (b.slice(i, words.SLICE) for b in batches for i in range(0, b.num_rows, words.SLICE)):
@@ -227,7 +289,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
                 found = next(_searched(iter([texts]), shared)).column(3)
                 yield batch.filter(pa.array([not x for x in found.to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = common.filtered(docs, clean)
     return docs
 
 

@@ -326,7 +326,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text
             scores = [np.zeros(0), *(s for s, _ in _scored(shared.value, terms, texts))]
             yield batch.filter(pa.array(np.concatenate(scores) < threshold))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return common.filtered(docs, kept)
 
 
 def fold(id_col: str, folds: int):

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marketloom.llm import common, fill_in_middle, minmax_dedup, prefix_trie, registry
+import corpus_pipeline
+from marketloom.llm import common, decontamination, fill_in_middle, minmax_dedup, prefix_trie, registry
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 UNIT = re.compile(r"[A-Za-z]+|[^A-Za-z]")
@@ -225,3 +226,25 @@ def test_minmax_dedup_of_awkward_rows(spark):
     got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minmax_dedup.near_duplicates(docs).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert minmax_dedup.near_duplicates(docs.filter("doc_id = -1")).count() == 0
+
+
+def test_decontamination_doesn_t_depend_on_blocks_of_items(spark, monkeypatch):
+    """The same rows, scores and passages with one block of items and with many; repeated document rows stay rows."""
+    docs = common.table(spark, SMALL, "documents").select("doc_id", "text")
+    items = common.table(spark, SMALL, "benchmark")
+    docs = docs.unionByName(docs.filter("doc_id < 5")).unionByName(items.limit(3).select(F.lit(7_000).cast("long").alias("doc_id"), "text")).withColumn("x.y", F.lit(1))
+    key = lambda r: (r.doc_id, r.row, r.n_passages, tuple(r.item_ids), round(r.best, 9))
+    want = sorted(map(key, decontamination.find_contaminated(docs, items).collect()))
+    clean = sorted(map(tuple, decontamination.drop_contaminated(docs, items).collect()))
+    assert any(w[3] for w in want) and len(want) == docs.count()
+    monkeypatch.setattr(decontamination, "ITEMS", 10)
+    assert sorted(map(key, decontamination.find_contaminated(docs, items).collect())) == want
+    assert sorted(map(tuple, decontamination.drop_contaminated(docs, items).collect())) == clean
+
+
+def test_pipeline_stages_take_columns_with_points_in_their_names(spark):
+    docs = common.table(spark, SMALL, "documents").limit(60).withColumn("x.y", F.col("doc_id") * 2).withColumn("a`b", F.lit(1))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SMALL)
+        assert got.columns == docs.columns and all(r["x.y"] == 2 * r.doc_id for r in got.collect())
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() == docs.count()

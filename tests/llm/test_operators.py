@@ -182,25 +182,6 @@ def test_neighbours_leave_unusable_vectors_out(spark):
     assert neighbours.nearest(vectors.filter("vec_id = 2")).count() == 0
 
 
-def test_span_dedup_is_brute_force(spark, small):
-    seen, want = set(), {}
-    for i in sorted(small):
-        parts = span_dedup.sentences((small[i].text or "").encode())
-        k = min(span_dedup.SPAN, len(parts))
-        gone = set()
-        for at in range(len(parts) - k + 1 if k else 0):
-            run = [p.translate(bytes.maketrans(common.UPPER.encode(), common.UPPER.lower().encode())).split() for p in parts[at : at + k]]
-            if sum(map(len, run)) >= span_dedup.LEAST_WORDS:
-                name = tuple(map(tuple, run))
-                gone.update(range(at, at + k) if name in seen else ())
-                seen.add(name)
-        want[i] = (len(parts), len(gone), b"".join(p for n, p in enumerate(parts) if n not in gone))
-    got = registry.queries()["op5_span_dedup"](spark, SMALL).collect()
-    assert {r.doc_id: (r.n_sentences, r.n_removed, r.kept_sha256) for r in got} == {
-        i: (n, m, hashlib.sha256(t).hexdigest()) for i, (n, m, t) in want.items()
-    }
-
-
 def test_span_dedup_removes_a_long_sentence_between_other_sentences(spark):
     passage = " ".join(["ends here with five words."] + [" ".join(f"shared{i}" for i in range(50)) + "."] + ["And then begins so"])
     texts = [f"Text {i} says alpha{i} beta{i} and {passage} gamma{i} until delta{i} comes. The last one is of text {i}." for i in range(3)]

@@ -23,7 +23,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     first = found.groupBy("group").agg(F.min(F.struct(*named)).alias("first"))
     gone = found.join(first, "group").filter(F.struct(*named) != F.col("first")).select(*named).distinct()
     again = found.groupBy(*named).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*named)
-    rows = docs.select(F.struct(*docs.columns).alias("_doc"), *of, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_row"))
+    rows = docs.select(F.struct(*map(common.quoted, docs.columns)).alias("_doc"), *of, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_row"))
     kept = rows.join(gone, named, "left_anti")
     once = kept.join(again, named, "left_semi").groupBy(*named).agg(F.first("_doc").alias("_doc"))  # few: equal rows that stay
     return kept.join(again, named, "left_anti").select("_doc.*").unionByName(once.select("_doc.*"))
@@ -41,7 +41,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
         F.max(F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("copies"))).cast("int").alias("_copies")
     )
     row = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").alias("_of"), row.alias("_text"))  # whatever docs' columns are called
+    rows = docs.select(F.struct(*map(common.quoted, docs.columns)).alias("_doc"), F.col("doc_id").alias("_of"), row.alias("_text"))  # whatever docs' columns are called
     joined = rows.join(taken.filter("_copies > 0").hint("shuffle_hash"), F.col("_of").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("row")))
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_doc.*")
 

@@ -1,9 +1,14 @@
-"""Scalar functions on columns: numbers, currencies, availability, URLs and keys. All are built-in expressions."""
+"""Scalar functions on columns: numbers, currencies, availability, URLs and keys. All but the
+entities of HTML are built-in expressions."""
 
 from __future__ import annotations
 
+import html
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Spellings of currencies.
 CURRENCIES = {"UAH": ["", "UAH", "ГРН", "₴", "HUA"], "USD": ["USD", "$", "US$"], "EUR": ["EUR", "€"]}
@@ -26,7 +31,8 @@ def parse_number(text: Column) -> Column:
 
 
 def parse_positive(text: Column) -> Column:
-    value = parse_number(text)
+    """A number above 0 with comma or point and spaces; a hard space makes it none."""
+    value = F.replace(F.replace(text, F.lit(" "), F.lit("")), F.lit(","), F.lit(".")).try_cast("double")
     return F.when(value > 0, value)
 
 
@@ -113,9 +119,10 @@ def unwrapped(url: Column) -> Column:
 
 
 def price_in_text(text: Column) -> Column:
-    """The first price in hryvnias that a text names; thousands may be apart."""
-    amount = F.regexp_extract(F.lower(text), "([0-9]{1,3}(?:[ \u00a0.][0-9]{3})+|[0-9]{2,7})(?:[.,][0-9]{1,2})?\\s*(?:грн|₴|uah)", 1)
-    return F.nullif(F.regexp_replace(amount, "[ \u00a0.]", ""), F.lit("")).try_cast("double")
+    """The first price in hryvnias that a text names. Thousands may be apart by space, point or comma; a single point or comma
+    counts as that of a decimal, as in pages' prices."""
+    amount = F.regexp_extract(text, "(?iU)(?<![0-9])([0-9]{1,3}(?:[\\s\u00a0.,][0-9]{3})+|[0-9]{2,7})(?:[.,][0-9]{1,2})?\\s*(?:грн|₴|uah)", 1)
+    return parse_page_price(F.nullif(amount, F.lit("")))
 
 
 def decimal_price(text: Column) -> Column:
@@ -124,19 +131,22 @@ def decimal_price(text: Column) -> Column:
     return F.when(value > 0, value)
 
 
+@F.arrow_udf(StringType())
+def unescaped(text: pa.Array) -> pa.Array:
+    """Entities of HTML resolved, all that there are."""
+    return pa.array([t if t is None or "&" not in t else html.unescape(t) for t in text.to_pylist()], pa.string())
+
+
 def clean_text(text: Column) -> Column:
-    """Entities of &, <, >, quotes and spaces resolved, white space collapsed."""
-    for entity, character in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(character))
-    return F.trim(F.regexp_replace(text, "[\\s\u00a0]+", " "))
+    """Entities resolved, white space collapsed."""
+    return F.trim(F.regexp_replace(unescaped(text), "(?U)\\s+", " "))
 
 
-def strip_html(html: Column) -> Column:
-    """A page's text: tags dropped, block ends as line ends, at most one blank line."""
-    lines = F.regexp_replace(html, "(?i)<br\\s*/?>|</(?:p|div|li|h[1-6])>", "\n")
-    bare = F.regexp_replace(F.regexp_replace(lines, "<[^>]+>", ""), "[ \t\u00a0]+", " ")
-    lines = F.regexp_replace(F.regexp_replace(bare, " ?\n ?", "\n"), "\n{3,}", "\n\n")
-    return F.regexp_replace(lines, "^\\s+|\\s+$", "")
+def strip_html(text: Column) -> Column:
+    """A page's text: entities resolved, block ends as line ends, tags dropped, at most one blank line."""
+    lines = F.regexp_replace(unescaped(text), "(?i)<br\\s*/?>|</(?:p|div|li|h[1-6])>", "\n")
+    lines = F.regexp_replace(F.regexp_replace(lines, "<[^>]+>", ""), "\n{3,}", "\n\n")
+    return F.regexp_replace(lines, "(?U)^\\s+|\\s+$", "")
 
 
 def title_signature(title: Column) -> Column:
@@ -146,15 +156,18 @@ def title_signature(title: Column) -> Column:
 
 
 def search_title(title: Column) -> Column:
-    """A title for a search: bracketed parts dropped, at most 14 words of two characters or more."""
-    bare = F.regexp_replace(F.regexp_replace(title, "[(][^)]*[)]|\\[[^\\]]*\\]", " "), "[^0-9A-Za-zА-Яа-яІіЇїЄєҐґ+./-]+", " ")
+    """A title for a search: short bracketed parts dropped, at most 14 words of two characters or more."""
+    bare = F.regexp_replace(F.regexp_replace(title, "[(][^)]{0,80}[)]", " "), "\\[[^\\]]{0,80}\\]", " ")
+    bare = F.regexp_replace(bare, '[^0-9A-Za-zА-Яа-яІіЇїЄєҐґ+._/"×-]+', " ")
     return F.array_join(F.slice(F.filter(F.split(F.trim(bare), " +"), lambda w: F.length(w) > 1), 1, 14), " ")
 
 
 def safe_query(query: Column) -> Column:
-    """A query without site restriction, excluded words and quotes."""
-    bare = F.regexp_replace(F.regexp_replace(query, "(?i)\\bsite:\\S+", " "), "(^|\\s)-\\S+", " ")
-    return F.trim(F.regexp_replace(F.replace(bare, F.lit('"'), F.lit(" ")), "\\s+", " "))
+    """A query without site restriction, excluded words and phrases, and quotes of any kind."""
+    bare = F.trim(F.regexp_replace(query, "(?U)\\s+", " "))
+    for gone in ("(?i)(?:^|\\s)site:[^\\s]+", '(?:^|\\s)-["“”][^"“”]+["“”]', "(?:^|\\s)-[^\\s]+", '["“”`]'):
+        bare = F.regexp_replace(bare, gone, " ")
+    return F.trim(F.regexp_replace(bare, "(?U)\\s+", " "))
 
 
 def query_identifier(query: Column) -> Column:
@@ -164,9 +177,11 @@ def query_identifier(query: Column) -> Column:
 
 
 def sku_variants(sku: Column) -> Column:
-    """A number as it is and without leading zeros if three digits remain; anything else as it is."""
-    bare = F.regexp_replace(sku, "^0+", "")
-    return F.array_distinct(F.when(sku.rlike("^[0-9]+$") & (F.length(bare) >= 3), F.array(sku, bare)).otherwise(F.array(sku)))
+    """A number as it is and without leading zeros if three digits remain; anything else as it is; nothing of nothing."""
+    own = F.trim(F.coalesce(sku, F.lit("")))
+    bare = F.regexp_replace(own, "^0+", "")
+    some = F.array_distinct(F.when(own.rlike("^[0-9]+$") & (F.length(bare) >= 3), F.array(own, bare)).otherwise(F.array(own)))
+    return F.when(own == "", F.array().cast("array<string>")).otherwise(some)
 
 
 def strong_identifier(compact: Column) -> Column:
@@ -176,8 +191,8 @@ def strong_identifier(compact: Column) -> Column:
     return F.when((compact == "") | odd, False).when(compact.rlike("^[0-9]+$"), F.length(compact) >= 8).otherwise(mixed)
 
 
-def page_title(html: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1), "\\s+", " "))
+def page_title(page: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_extract(page, "(?is)<title[^>]*>(.*?)</title>", 1), "\\s+", " "))
 
 
 def price_text(price: Column) -> Column:

@@ -4,7 +4,7 @@ Passages are windows of twice the longest item's words, half overlapping, so tha
 one of them. Items of more than MOST_WORDS / 2 words do not widen the passages of the others: they are searched by
 passages of their own, one length for each power of two. Words of marks alone count neither in items nor in texts. Term weights of an item are divided by the item's score for its own
 text, so one threshold fits all items. Block-max WAND retrieves all items at or above the threshold, for all
-items of a passage at once: with the terms in ascending order of their largest weight, those before the pivot
+items of many passages at once: with the terms in ascending order of their largest weight, those before the pivot
 (the first at which the sum of the largest weights reaches the threshold) cannot lift an item over it alone, so
 only items in later terms' postings are candidates; a candidate whose score there plus the block maxima of the
 other terms stays below the threshold is passed over; the rest are scored in full. Before that, passages are passed
@@ -41,6 +41,8 @@ GRAM = 3
 BLOCK = 16
 GROUPS = 24
 ITEMS = 20_000
+#: Pairs of a passage and an item whose scores are held at once.
+CELLS = 1_000_000
 LEAST_WORDS, MOST_WORDS = 32, 512
 BLANK = -2
 _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -148,28 +150,48 @@ class BenchmarkIndex:
 
     def retrieve(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
         """All items whose score for these distinct terms reaches the threshold."""
-        order = terms[np.argsort(self.most[terms], kind="stable")]
-        pivot = int(np.searchsorted(np.cumsum(self.most[order]), threshold - 1e-9))
-        if pivot == len(order):
-            return []
-        score = _summed(self.postings, order[pivot:], self.n)
-        items = np.flatnonzero(score)
-        bound = score[items] + _summed(self.block_most, order[:pivot], self.blocks)[items // BLOCK]
-        items = items[bound >= threshold - 1e-9]
-        if len(items):
-            score += _summed(self.postings, order[:pivot], self.n)
-        return [(i, float(score[i])) for i in items.tolist() if score[i] >= threshold - 1e-9]
+        return next(self.retrieve_all([terms], threshold))
+
+    def retrieve_all(self, passages: list[np.ndarray], threshold: float) -> Iterator[list[tuple[int, float]]]:
+        """For each passage (its distinct terms) all items whose score reaches the threshold; many are taken up together."""
+        many = max(1, CELLS // max(1, self.n))
+        for at in range(0, len(passages), many):
+            yield from self._retrieved(passages[at : at + many], threshold)
+
+    def _retrieved(self, passages: list[np.ndarray], threshold: float) -> list[list[tuple[int, float]]]:
+        p = np.repeat(np.arange(len(passages)), [len(x) for x in passages])
+        terms = np.concatenate(passages)
+        order = np.lexsort((self.most[terms], p))
+        p, terms = p[order], terms[order]
+        # The sum of the largest weights up to each term of its passage: from the pivot on it reaches the threshold.
+        sums = np.cumsum(self.most[terms])
+        first = np.searchsorted(p, np.arange(len(passages)))
+        before = np.concatenate(([0.0], sums))[first]
+        late = sums - before[p] >= threshold - 1e-9
+        score = _summed(self.postings, terms[late], self.n, p[late], len(passages))
+        found = np.flatnonzero(score)
+        blocks = _summed(self.block_most, terms[~late], self.blocks, p[~late], len(passages))
+        found = found[score[found] + blocks[found // self.n * self.blocks + found % self.n // BLOCK] >= threshold - 1e-9]
+        out: list[list[tuple[int, float]]] = [[] for _ in passages]
+        if len(found):
+            left = np.isin(p, np.unique(found // self.n)) & ~late
+            score += _summed(self.postings, terms[left], self.n, p[left], len(passages))
+            for x in found[score[found] >= threshold - 1e-9].tolist():
+                out[x // self.n].append((x % self.n, float(score[x])))
+        return out
 
     def overlap(self, item: int, passage: set) -> bool:
         return all(len(part & passage) >= OVERLAP * len(part) for part in self.parts[item])
 
 
-def _summed(lists: tuple[np.ndarray, np.ndarray, np.ndarray], terms: np.ndarray, n: int) -> np.ndarray:
-    """The sums over the terms' lists (starts, places, values), by place."""
+def _summed(lists: tuple[np.ndarray, np.ndarray, np.ndarray], terms: np.ndarray, n: int, of: np.ndarray | None = None, many: int = 1) -> np.ndarray:
+    """The sums over the terms' lists (starts, places, values), by place, or by passage (of each term; so many) and place."""
     starts, places, values = lists
     first, length = starts[terms], starts[terms + 1] - starts[terms]
-    at = np.repeat(first - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(length.sum()) if len(terms) else first
-    return np.bincount(places[at], values[at], minlength=n) if len(at) else np.zeros(n)
+    if not length.sum():
+        return np.zeros(n * many)
+    at = np.repeat(first - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(length.sum())
+    return np.bincount(places[at] if of is None else np.repeat(of * n, length) + places[at], values[at], minlength=n * many)
 
 
 def _grams(numbers: list[int]) -> set:
@@ -197,10 +219,11 @@ def _searched(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBa
                 halves = np.add.reduceat(index.rare[v], np.arange(0, len(v), stride), axis=0)
                 bound = halves[: len(starts)] + index.frequent
                 bound[: len(halves) - 1] += halves[1 : len(starts) + 1]
-                for s in starts[(bound >= THRESHOLD - 1e-4).any(axis=1)].tolist():
-                    passage = v[s : s + 2 * stride]
-                    terms = np.unique(passage)
-                    for item, score in index.retrieve(terms[terms >= 0], THRESHOLD):
+                told = [v[s : s + 2 * stride] for s in starts[(bound >= THRESHOLD - 1e-4).any(axis=1)].tolist()]
+                terms = [np.unique(x) for x in told]
+                terms = [t[np.searchsorted(t, 0) :] for t in terms]
+                for passage, items in zip(told, index.retrieve_all(terms, THRESHOLD), strict=True):
+                    for item, score in items:
                         if index.stride[item] == stride and index.overlap(item, _passage_grams(passage.tolist())):
                             found.add(index.ids[item])
                             best = max(best, score)

@@ -48,6 +48,13 @@ def nfkc(text: pa.Array) -> pa.Array:
     return pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in text.to_pylist()], pa.string())
 
 
+@F.arrow_udf(StringType())
+def settled(text: pa.Array) -> pa.Array:
+    """The text itself. Where many expressions read a folded text, Spark would put the folding into each of them; what comes
+    out of a function like this is computed once."""
+    return text
+
+
 def casefold(text: Column) -> Column:
     """Lower case, with sharp s and the final sigma as comparisons take them."""
     return F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))

@@ -1,6 +1,6 @@
 """What tells variants of a product apart in its title: a signature of sets, and rules between two signatures.
 
-A signature has the kind of thing, colours, memory, sizes, core tokens, model codes, published codes and generations, each
+A signature is a column for each of the kind of thing, colours, memory, sizes, core tokens, model codes, published codes and generations, each
 a set of texts taken by built-in expressions from the folded title; a rule finds two sets that both say something and
 agree on nothing. What only one side says is no conflict."""
 
@@ -148,23 +148,31 @@ def _generations(norm: Column) -> Column:
     return F.array_sort(F.transform(last, lambda g: F.concat(g["family"], F.lit("="), g["n"])))
 
 
+FIELDS = ["entity", "colors", "ram", "storage", "sizes", "core", "models", "bracketed", "codes", "generations", "diagonal"]
+
+
+def signature(name: str) -> dict[str, Column]:
+    """The columns that with_signature has added behind a name."""
+    return {f: F.col(f"{name}{f}") for f in FIELDS}
+
+
 def with_signature(rows: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds the struct column `name`: what the title `text` says of its product (all sets sorted, of texts)."""
-    rows = rows.withColumns({"_norm": folding.title_words(F.col(text)), "_low": folding.casefold(F.coalesce(F.col(text), F.lit("")))})
+    """Adds what the title `text` says of its product, a column for each of FIELDS behind `name` (all sets sorted, of texts).
+    They aren't packed in a struct: Spark would then compute a field anew wherever it is read."""
+    rows = rows.withColumns({"_norm": folding.settled(folding.title_words(F.col(text))), "_low": folding.casefold(F.coalesce(F.col(text), F.lit("")))})
     norm, low = F.col("_norm"), F.col("_low")
     rows = rows.withColumn("_kind", entity(norm))
     ram, storage = _memory(low)
     words = F.split(norm, " ")
     named = F.array(*[F.when(F.arrays_overlap(words, F.array(*map(F.lit, v.split()))), F.lit(k)) for k, v in COLORS.items()])
-    made = F.struct(
-        F.col("_kind").alias("entity"), _set(named).alias("colors"), ram.alias("ram"), storage.alias("storage"), _sizes(norm, F.col("_kind")).alias("sizes"), _core(norm).alias("core"),
-        _model_codes(norm).alias("models"), _bracketed(low).alias("bracketed"), _set(_all(low, r"(?<!\d)\d{2,3}-\d{3,5}(?!\d)")).alias("codes"), _generations(norm).alias("generations"),
-        F.concat(F.lit("diag:"), diagonal(low)).alias("diagonal"),
-    )
-    return rows.withColumn(name, made).drop("_norm", "_low", "_kind")
+    made = [
+        F.col("_kind"), _set(named), ram, storage, _sizes(norm, F.col("_kind")), _core(norm), _model_codes(norm), _bracketed(low), _set(_all(low, r"(?<!\d)\d{2,3}-\d{3,5}(?!\d)")), _generations(norm),
+        F.concat(F.lit("diag:"), diagonal(low)),
+    ]
+    return rows.withColumns({f"{name}{f}": c for f, c in zip(FIELDS, made, strict=True)}).drop("_norm", "_low", "_kind")
 
 
-def conflicts(a: Column, b: Column) -> Column:
+def conflicts(a: dict[str, Column], b: dict[str, Column]) -> Column:
     """Where two signatures differ: an array of (rule, expected, got), in the order of the rules. a is the product's."""
     def told(rule: str, when: Column, x: Column, y: Column) -> Column:
         row = F.struct(F.lit(rule).alias("rule"), x.alias("expected"), y.alias("got"))
@@ -197,7 +205,7 @@ def conflicts(a: Column, b: Column) -> Column:
     return F.concat(*rules)
 
 
-def generation_state(a: Column, b: Column) -> Column:
+def generation_state(a: dict[str, Column], b: dict[str, Column]) -> Column:
     """Whether the offer has the product's generation: none (nothing to confirm), confirmed, mismatch or unconfirmed."""
     word = lambda g: F.substring_index(g, "=", 1)
     shared = F.arrays_overlap(F.transform(a["generations"], word), F.transform(b["generations"], word))
@@ -208,6 +216,6 @@ def generation_state(a: Column, b: Column) -> Column:
 def compared(offers: DataFrame, source: str = "source", title: str = "title") -> DataFrame:
     """Adds variant_conflicts (rule, expected, got), generation and models_shared to offers with the product's text and a title;
     matching.validated then takes them into account."""
-    rows = with_signature(with_signature(offers, source, "_a"), title, "_b")
-    a, b = F.col("_a"), F.col("_b")
-    return rows.withColumns({"variant_conflicts": conflicts(a, b), "generation": generation_state(a, b), "models_shared": F.array_intersect(a["models"], b["models"])}).drop("_a", "_b")
+    rows = with_signature(with_signature(offers, source, "_a_"), title, "_b_")
+    a, b = signature("_a_"), signature("_b_")
+    return rows.withColumns({"variant_conflicts": conflicts(a, b), "generation": generation_state(a, b), "models_shared": F.array_intersect(a["models"], b["models"])}).drop(*[f"{side}{f}" for side in ("_a_", "_b_") for f in FIELDS])

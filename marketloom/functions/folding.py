@@ -22,6 +22,8 @@ LOWER_CYRILLIC = "а-яіїєґ"
 #: What is no letter or digit of an identifier, once lower-case.
 OTHER = f"[^0-9a-z{LOWER_CYRILLIC}]"
 _FRAGMENT = rf"(?U)(?<!\w){TOKEN}(?:[._/+:-]{TOKEN})+(?!\w)"
+# Letters of both scripts with at most digits (and, in fragments, joints) between them: what a token in two scripts can't be without.
+_MEET = f"[A-Za-z]{{0}}[{LETTERS[6:]}]|[{LETTERS[6:]}]{{0}}[A-Za-z]"
 _BETWEEN = r"(?<=\d)\s*[xхXХ×]\s*(?=\d)"
 
 # Families of brands that shops list under each other's names.
@@ -55,6 +57,12 @@ def settled(text: pa.Array) -> pa.Array:
     return text
 
 
+def let(value: Column, use) -> Column:
+    """What `use` makes of a value, which is computed once however often `use` reads it, also within a function over an array
+    (where Spark computes an expression anew for each element). `use` may not hold Python functions; the value may."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def casefold(text: Column) -> Column:
     """Lower case, with sharp s and the final sigma as comparisons take them."""
     return F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
@@ -98,21 +106,26 @@ def _straight(text: Column) -> Column:
 
 def fold(text: Column) -> Column:
     """The form in which identities are compared: NFKC, lower case, mixed tokens in Latin, single spaces; null is empty."""
-    plain = _straight(casefold(nfkc(F.coalesce(text, F.lit("")))))
-    tokens = rewritten(plain, TOKEN, f"[^0-9{LETTERS}]+", lambda w: F.when(_mixed(w), _twins(w)).otherwise(w))
-    parts = rewritten(tokens, _FRAGMENT, f"{TOKEN}|[^0-9{LETTERS}]+", lambda w: F.when(_mixed_fragment(w), _twins(w)).otherwise(w))
-    return collapsed(F.when(plain.rlike(f"[{LOWER_CYRILLIC}]"), parts).otherwise(plain))
+    tokens = lambda p: rewritten(p, TOKEN, f"[^0-9{LETTERS}]+", lambda w: F.when(_mixed(w), _twins(w)).otherwise(w))
+    parts = lambda p: rewritten(p, _FRAGMENT, f"{TOKEN}|[^0-9{LETTERS}]+", lambda w: F.when(_mixed_fragment(w), _twins(w)).otherwise(w))
+    plain = let(_straight(casefold(nfkc(F.coalesce(text, F.lit(""))))), lambda p: F.when(p.rlike(_MEET.format("[0-9]*")), tokens(p)).otherwise(p))
+    return collapsed(let(plain, lambda p: F.when(p.rlike(_MEET.format("[0-9._/+:-]*")), parts(p)).otherwise(p)))
 
 
 def fold_cased(text: Column) -> Column:
     """Mixed tokens in Latin with the case of their letters; everything else as it is written."""
     plain = _straight(nfkc(F.coalesce(text, F.lit(""))))
-    return collapsed(rewritten(plain, TOKEN, f"[^0-9{LETTERS}]+", lambda w: F.when(_mixed(casefold(w)), _twins(w)).otherwise(w)))
+    tokens = lambda p: rewritten(p, TOKEN, f"[^0-9{LETTERS}]+", lambda w: F.when(let(casefold(w), _mixed), _twins(w)).otherwise(w))
+    return collapsed(let(plain, lambda p: F.when(p.rlike(_MEET.format("[0-9]*")), tokens(p)).otherwise(p)))
 
 
 def compact(text: Column) -> Column:
     """Letters and digits of the folded text alone."""
-    return F.regexp_replace(fold(text), OTHER, "")
+    return compacted(fold(text))
+
+
+def compacted(folded: Column) -> Column:
+    return F.regexp_replace(folded, OTHER, "")
 
 
 def pattern(identifier: Column) -> Column:
@@ -161,15 +174,18 @@ def _reversed(mapping: dict[str, str]) -> dict[str, str]:
 
 def language_variants(text: Column) -> Column:
     """A query as it is, in Russian and in Ukrainian words, without repeats in any case; none for an empty query."""
-    own = collapsed(F.coalesce(text, F.lit("")))
-    every = F.array(own, *[collapsed(words_replaced(own, m)) for m in (UA_RU_SEARCH, _reversed(UA_RU_SEARCH))])
-    first = F.filter(every, lambda x, i: (x != "") & (F.array_position(F.transform(every, casefold), casefold(x)) == i + 1))
-    return F.when(own == "", F.array().cast("array<string>")).otherwise(first)
+    texts = lambda own: F.array(own, *[collapsed(words_replaced(own, m)) for m in (UA_RU_SEARCH, _reversed(UA_RU_SEARCH))])
+    first = lambda every: let(F.transform(every, casefold), lambda low: F.filter(every, lambda x, i: (x != "") & (F.array_position(low, F.get(low, i)) == i + 1)))
+    return let(collapsed(F.coalesce(text, F.lit(""))), lambda own: F.when(own == "", F.array().cast("array<string>")).otherwise(let(texts(own), first)))
 
 
 def fold_words(text: Column) -> Column:
     """The folded text with Ukrainian words in Russian."""
-    return collapsed(words_replaced(fold(text), UA_RU_SEARCH))
+    return in_russian(fold(text))
+
+
+def in_russian(folded: Column) -> Column:
+    return collapsed(words_replaced(folded, UA_RU_SEARCH))
 
 
 def title_words(text: Column) -> Column:

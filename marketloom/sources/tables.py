@@ -21,6 +21,13 @@ def missions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spread_missions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows in as many partitions as a shuffle has. A product's titles and pages cost far more than its row's shuffle,
+    and a table of products alone has few splits: one for millions of titles."""
+    rows = missions(spark, sf_dir)
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "article")
+
+
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate offers: the key columns, source, domain, price, currency, match and confidence.
 
@@ -57,7 +64,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight candidate titles per product: alike, and with what speaks against an offer."""
-    part = missions(spark, sf_dir)
+    part = spread_missions(spark, sf_dir)
     other = part.filter("article <= 50").select(F.col("article").alias("_of"), F.split("name", " ")[0].alias("_word"))
     rows = part.withColumn("_of", F.col("article") * 7 % 50 + 1).join(other, "_of").withColumn("candidate", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))))
     k = F.col("candidate")
@@ -77,7 +84,7 @@ def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = F.concat(F.lit('{"@graph":[{"@type":"WebPage"},{"@type":"Product","name":"'), name, F.lit('","offers":[{"price":"'), text(n + 9), F.lit('"},{"price":"'), text(n + 1), F.lit('","availability":"InStock"}]}]}'))
     meta = F.concat(F.lit('<meta property="product:price:amount" content="'), text(n + 3), F.lit('">'))
     page = F.when(n % 4 == 0, script(one)).when(n % 4 == 1, script(graph)).when(n % 4 == 2, meta).otherwise('<script>{"price":"12"},{"price":77},{"price":"77"}</script>')
-    return missions(spark, sf_dir).select("article", page.alias("html"))
+    return spread_missions(spark, sf_dir).select("article", page.alias("html"))
 
 
 def mixed_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +99,7 @@ def mixed_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.concat(F.lit("NІKE "), F.col("name"), F.lit(" LEB1-А"), n, F.lit("MG")), F.concat(F.lit("LEB1 A"), n, F.lit("MG"))),
     ]
     rows = F.array(*[F.struct(F.lit(k).cast("long").alias("kind"), title.alias("title"), code.alias("code")) for k, (title, code) in enumerate(made)])
-    return missions(spark, sf_dir).select("article", F.explode(rows).alias("x")).select("article", "x.*")
+    return spread_missions(spark, sf_dir).select("article", F.explode(rows).alias("x")).select("article", "x.*")
 
 
 def title_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +120,7 @@ def title_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda c, k, names: (F.lit(None).cast("string") if c is None else c).alias(names[k])
     names = ["candidate_title", "candidate_url", "candidate_text"]
     rows = F.array(*[F.struct(F.lit(i).cast("long").alias("candidate"), *[of(c, k, names) for k, c in enumerate(row)]) for i, row in enumerate(made)])
-    return missions(spark, sf_dir).select(
+    return spread_missions(spark, sf_dir).select(
         "article", brand.alias("brand"), text("Монітор ", brand, " ", name, " MX-", n, "K 144 Гц чорний 1920x1080").alias("title"),
         F.when(F.col("article") % 2 == 0, text("SKU", n, "A")).otherwise(n).alias("sku"), F.lit("Память 16 ГБ").alias("params"), F.explode(rows).alias("x"),
     ).select("article", "brand", "title", "sku", "params", "x.*")
@@ -140,7 +147,7 @@ def variant_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
         full("Ноутбук"), full(end="white"), full(end="чорний (49)"), full(note="10"), full(size="6.1"),
     ]
     rows = F.array(*[F.struct(F.lit(k).cast("long").alias("candidate"), t.alias("title")) for k, t in enumerate(made)])
-    return missions(spark, sf_dir).select("article", F.lit("Acme").alias("brand"), full(end="чорний (48)").alias("source"), F.explode(rows).alias("x")).select("article", "brand", "source", "x.*")
+    return spread_missions(spark, sf_dir).select("article", F.lit("Acme").alias("brand"), full(end="чорний (48)").alias("source"), F.explode(rows).alias("x")).select("article", "brand", "source", "x.*")
 
 
 def linkable(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -167,4 +174,4 @@ def nested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         text('<script>window.state = {"product":{"name":"state ', n, '","price":"', n + 100, '"},"other":{"currentPrice":', n + 100, '},"monthly":{"price":{"value":"9999"}}}</script>'),
         text("<p>", F.lit("1 250"), " грн на місяць</p><p>", F.lit("x" * 60), "</p><p>Ціна ", n + 1000, " грн, є в наявності</p>"), text("<title> plain </title><p>нічого</p>"), text('<script type="application/ld+json">{"@type":"Product", broken</script><meta itemprop="price" content="', n + 1, '">'),
     ]
-    return missions(spark, sf_dir).select(n.alias("page"), F.coalesce(*[F.when(n % len(kinds) == i, k) for i, k in enumerate(kinds)]).alias("html"))
+    return spread_missions(spark, sf_dir).select(n.alias("page"), F.coalesce(*[F.when(n % len(kinds) == i, k) for i, k in enumerate(kinds)]).alias("html"))

@@ -49,7 +49,7 @@ def _all(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def _set(values: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.filter(values, lambda v: v.isNotNull() & (v != ""))))
+    return F.sort_array(F.array_distinct(F.filter(values, lambda v: v.isNotNull() & (v != ""))))
 
 
 def _apart(a: Column, b: Column) -> Column:
@@ -132,20 +132,22 @@ def _bracketed(low: Column) -> Column:
 
 def _generations(norm: Column) -> Column:
     """Words with a number from 1 to 20 behind them, as word=number; of a word's numbers the last."""
-    words = F.split(norm, " ")
     letters = lambda w: F.regexp_replace(F.coalesce(w, F.lit("")), "[^a-zа-яіїє]", "")
     measure = r"^\d{1,4}(?:gb|гб|tb|тб|hz|гц|mm|мм|cm|см|ml|мл|kg|кг|w|вт|inch|inches)$"
 
-    def one(w: Column, i: Column) -> Column:
-        family, after = letters(w), F.coalesce(F.get(words, i + 1), F.lit(""))
-        n = F.regexp_replace(after, "[^0-9]", "").try_cast("int")
-        mixed = after.rlike("[a-zа-яіїє]") & after.rlike("[0-9]")
-        ok = (family != "") & ~family.isin(NO_GENERATION) & ~mixed & ~after.contains('"') & ~letters(F.get(words, i + 2)).isin(GENERATION_UNITS) & ~after.rlike(measure)
-        return F.when(ok & n.between(1, 20), F.struct(family.alias("family"), n.cast("string").alias("n")))
+    def one(words: Column, i: Column) -> Column:
+        def told(after: Column, family: Column) -> Column:
+            mixed = after.rlike("[a-zа-яіїє]") & after.rlike("[0-9]")
+            ok = (family != "") & ~family.isin(NO_GENERATION) & ~mixed & ~after.contains('"') & ~letters(F.get(words, i + 2)).isin(GENERATION_UNITS) & ~after.rlike(measure)
+            return F.when(ok, folding.let(F.regexp_replace(after, "[^0-9]", "").try_cast("int"), lambda n: F.when(n.between(1, 20), F.struct(family.alias("family"), n.cast("string").alias("n")))))
 
-    found = F.array_compact(F.transform(words, one))
-    last = F.filter(found, lambda g, i: ~F.exists(F.slice(found, i + 2, F.size(found)), lambda h: h["family"] == g["family"]))
-    return F.array_sort(F.transform(last, lambda g: F.concat(g["family"], F.lit("="), g["n"])))
+        # Few words have a digit behind them: the rest is not looked at.
+        own = lambda after: F.when(after.rlike("[0-9]"), folding.let(letters(F.get(words, i)), lambda family: told(after, family)))
+        return folding.let(F.coalesce(F.get(words, i + 1), F.lit("")), own)
+
+    last = lambda found: F.filter(found, lambda g, i: ~F.exists(F.slice(found, i + 2, F.size(found)), lambda h: h["family"] == g["family"]))
+    every = folding.let(F.split(norm, " "), lambda words: F.array_compact(F.transform(words, lambda w, i: one(words, i))))
+    return F.sort_array(F.transform(folding.let(every, last), lambda g: F.concat(g["family"], F.lit("="), g["n"])))
 
 
 FIELDS = ["entity", "colors", "ram", "storage", "sizes", "core", "models", "bracketed", "codes", "generations", "diagonal"]
@@ -163,8 +165,7 @@ def with_signature(rows: DataFrame, text: str, name: str) -> DataFrame:
     norm, low = F.col("_norm"), F.col("_low")
     rows = rows.withColumn("_kind", entity(norm))
     ram, storage = _memory(low)
-    words = F.split(norm, " ")
-    named = F.array(*[F.when(F.arrays_overlap(words, F.array(*map(F.lit, v.split()))), F.lit(k)) for k, v in COLORS.items()])
+    named = folding.let(F.split(norm, " "), lambda words: F.array(*[F.when(F.arrays_overlap(words, F.array(*map(F.lit, v.split()))), F.lit(k)) for k, v in COLORS.items()]))
     made = [
         F.col("_kind"), _set(named), ram, storage, _sizes(norm, F.col("_kind")), _core(norm), _model_codes(norm), _bracketed(low), _set(_all(low, r"(?<!\d)\d{2,3}-\d{3,5}(?!\d)")), _generations(norm),
         F.concat(F.lit("diag:"), diagonal(low)),
@@ -216,6 +217,9 @@ def generation_state(a: dict[str, Column], b: dict[str, Column]) -> Column:
 def compared(offers: DataFrame, source: str = "source", title: str = "title") -> DataFrame:
     """Adds variant_conflicts (rule, expected, got), generation and models_shared to offers with the product's text and a title;
     matching.validated then takes them into account."""
-    rows = with_signature(with_signature(offers, source, "_a_"), title, "_b_")
+    # A product's text repeats with each of its offers, and a signature costs far more than a join.
+    parts = max(int(offers.sparkSession.conf.get("spark.sql.shuffle.partitions")), offers.sparkSession.sparkContext.defaultParallelism)
+    own = with_signature(offers.select(F.col(source).alias("_source")).repartition(parts, "_source").distinct(), "_source", "_a_")
+    rows = with_signature(offers, title, "_b_").join(own, F.col(source).eqNullSafe(F.col("_source"))).drop("_source")
     a, b = signature("_a_"), signature("_b_")
     return rows.withColumns({"variant_conflicts": conflicts(a, b), "generation": generation_state(a, b), "models_shared": F.array_intersect(a["models"], b["models"])}).drop(*[f"{side}{f}" for side in ("_a_", "_b_") for f in FIELDS])

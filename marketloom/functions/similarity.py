@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from marketloom.functions.folding import let
+
 #: Characters that fit in one machine word, and pairs that are taken up together.
 WORD, PAIRS = 64, 2048
 
@@ -64,16 +66,29 @@ def _common(x: pa.Array, y: pa.Array) -> pa.Array:
     return pa.array(common_lengths([(a or "", b or "") for a, b in zip(x.to_pylist(), y.to_pylist(), strict=True)]), pa.int64())
 
 
+def words(text: Column) -> Column:
+    """A text's words in order, once each."""
+    return F.sort_array(F.array_distinct(F.array_remove(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), "")))
+
+
 def token_set_ratio(x: Column, y: Column) -> Column:
+    """The similarity of two texts by their words."""
+    return word_ratio(words(x), words(y))
+
+
+def word_ratio(a: Column, b: Column) -> Column:
     """0 to 100 by the words of two texts: the best of three similarities (insertions and deletions against both lengths)
     among the shared words in order, and these with what either text has besides. 100 if one text's words are all in the
-    other, 0 if either has none."""
-    words = lambda t: F.array_sort(F.array_distinct(F.filter(F.split(F.coalesce(t, F.lit("")), r"(?U)\s+"), lambda w: w != "")))
-    a, b = words(x), words(y)
-    shared, rest_a, rest_b = (F.array_join(w, " ") for w in (F.array_intersect(a, b), F.array_except(a, b), F.array_except(b, a)))
-    s, m, n = (F.length(t) for t in (shared, rest_a, rest_b))
-    gap = F.when(s > 0, 1).otherwise(0)
+    other, 0 if either has none. Spark takes both as often as they are read here: better columns than expressions."""
     ratio = lambda distance, total: F.lit(100.0) - F.lit(100.0) * distance / total
-    both = ratio(m + n - 2 * _common(rest_a, rest_b), 2 * (s + gap) + m + n)
-    best = F.when(s > 0, F.greatest(both, ratio(gap + m, 2 * s + gap + m), ratio(gap + n, 2 * s + gap + n))).otherwise(both)
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).when((s > 0) & ((m == 0) | (n == 0)), 100.0).otherwise(best)
+    shared, rest_a, rest_b = (F.array_join(w, " ") for w in (F.array_intersect(a, b), F.array_except(a, b), F.array_except(b, a)))
+
+    def best(v: Column) -> Column:
+        s, m, n = v["s"], v["m"], v["n"]
+        gap = F.when(s > 0, 1).otherwise(0)
+        both = ratio(m + n - 2 * v["common"], 2 * (s + gap) + m + n)
+        most = F.when(s > 0, F.greatest(both, ratio(gap + m, 2 * s + gap + m), ratio(gap + n, 2 * s + gap + n))).otherwise(both)
+        return F.when(v["none"], 0.0).when((s > 0) & ((m == 0) | (n == 0)), 100.0).otherwise(most)
+
+    none = (F.size(a) == 0) | (F.size(b) == 0)
+    return let(F.struct(F.length(shared).alias("s"), F.length(rest_a).alias("m"), F.length(rest_b).alias("n"), _common(rest_a, rest_b).alias("common"), none.alias("none")), best)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions import folding
-from marketloom.functions.similarity import token_set_ratio
+from marketloom.functions.folding import let
+from marketloom.functions.similarity import word_ratio, words
 
 # Words that say nothing about a product.
 STOP = ["доставка", "купити", "купить", "магазин", "новий", "новый", "офіційний", "официальный", "товар", "украина", "україна", "цена", "ціна"]
@@ -38,8 +39,8 @@ def norm(text: Column) -> Column:
     """Lower-case words without stop words, Ukrainian ones in Russian."""
     low = F.translate(F.lower(F.coalesce(text, F.lit(""))), "’/", "' ")
     table = F.create_map(*[F.lit(x) for k, v in folding.UA_RU.items() for x in (k, v)])
-    words = F.filter(F.split(F.regexp_replace(low, "[^a-zа-яіїєґ0-9+._-]+", " "), " "), lambda w: (w != "") & ~w.isin(STOP))
-    return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), w)), " ")
+    kept = F.filter(F.split(F.regexp_replace(low, "[^a-zа-яіїєґ0-9+._-]+", " "), " "), lambda w: (w != "") & ~w.isin(STOP))
+    return F.array_join(F.transform(kept, lambda w: F.coalesce(F.try_element_at(table, w), w)), " ")
 
 
 def compact(text: Column) -> Column:
@@ -48,9 +49,8 @@ def compact(text: Column) -> Column:
 
 def colors(text: Column) -> Column:
     """Colours that a text names, in order."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(f"[0-9{MODEL_LETTERS}]+"), 0)
-    found = [F.when(F.arrays_overlap(words, F.array(*map(F.lit, spellings))), F.lit(name)) for name, spellings in sorted(COLORS.items())]
-    return F.array_compact(F.array(*found))
+    found = lambda named: [F.when(F.arrays_overlap(named, F.array(*map(F.lit, spellings))), F.lit(name)) for name, spellings in sorted(COLORS.items())]
+    return let(F.regexp_extract_all(F.lower(text), F.lit(f"[0-9{MODEL_LETTERS}]+"), 0), lambda named: F.array_compact(F.array(*found(named))))
 
 
 def variants(text: Column) -> Column:
@@ -59,10 +59,10 @@ def variants(text: Column) -> Column:
     table = F.create_map(*[F.lit(x) for k, v in UNITS.items() for x in (k, v)])
 
     def one(v: Column) -> Column:
-        unit = F.regexp_extract(raw(v), r"^\d+(?:\.\d+)?(.*)$", 1)
-        return F.concat(F.regexp_extract(raw(v), r"^\d+(?:\.\d+)?", 0), F.coalesce(F.try_element_at(table, unit), unit))
+        unit = F.regexp_extract(v, r"^\d+(?:\.\d+)?(.*)$", 1)
+        return F.concat(F.regexp_extract(v, r"^\d+(?:\.\d+)?", 0), let(unit, lambda u: F.coalesce(F.try_element_at(table, u), u)))
 
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(VARIANT), 0), one))
+    return F.array_distinct(F.transform(F.transform(F.regexp_extract_all(text, F.lit(VARIANT), 0), raw), one))
 
 
 def resolutions(text: Column) -> Column:
@@ -74,10 +74,10 @@ def resolutions(text: Column) -> Column:
 
 def models(text: Column, sku: Column) -> Column:
     """Tokens that may be a maker's model number, but for specifications and the supplier's own code."""
-    odd = lambda t: F.lower(t).rlike(f"^(?:{'|'.join(SPECS)})$") | compact(t).rlike(f"^(?:{FEATURES})$")
-    useful = F.filter(F.regexp_extract_all(text, F.lit(MODEL), 0), lambda t: ~odd(t) & (F.length(compact(t)) >= 4) & (compact(t) != compact(sku)))
-    once = F.filter(useful, lambda t, i: F.array_position(F.transform(useful, compact), compact(t)) == i + 1)
-    return F.slice(once, 1, MOST)
+    odd = lambda t, c: F.lower(t).rlike(f"^(?:{'|'.join(SPECS)})$") | c.rlike(f"^(?:{FEATURES})$")
+    useful = lambda own: F.filter(F.regexp_extract_all(text, F.lit(MODEL), 0), lambda t: let(compact(t), lambda c: ~odd(t, c) & (F.length(c) >= 4) & (c != own)))
+    once = lambda found: let(F.transform(found, compact), lambda low: F.filter(found, lambda t, i: F.array_position(low, F.get(low, i)) == i + 1))
+    return F.slice(let(let(compact(sku), useful), once), 1, MOST)
 
 
 def _unit(v: Column) -> Column:
@@ -98,8 +98,9 @@ def classified(offers: DataFrame) -> DataFrame:
     rows = offers.withColumns({
         "_own": F.concat_ws(" ", text("title"), text("params")), "_hay": F.concat_ws(" ", text("candidate_title"), text("candidate_url"), text("candidate_text")),
         "_brand": compact(F.col("brand")), "_sku": compact(F.col("sku")),
-        "base": F.when(text("candidate_title") == "", 0.0).otherwise(token_set_ratio(norm(F.col("title")), norm(F.col("candidate_title")))),
+        "_mine": words(norm(F.col("title"))), "_theirs": words(norm(F.col("candidate_title"))),
     })
+    rows = rows.withColumn("base", F.when(text("candidate_title") == "", 0.0).otherwise(word_ratio(F.col("_mine"), F.col("_theirs"))))
     family = F.coalesce(*[F.when(F.col("_brand").isin(names), F.array(*map(F.lit, names))) for names in folding.BRAND_FAMILIES.values()], F.when(F.col("_brand") != "", F.array("_brand")), F.array().cast("array<string>"))
     rows = rows.withColumns({
         "_c": compact(F.col("_hay")), "_variants": F.slice(variants(F.col("_own")), 1, MOST), "_models": models(F.col("_own"), F.col("sku")), "_family": family,
@@ -129,4 +130,4 @@ def classified(offers: DataFrame) -> DataFrame:
     flag = lambda c: F.when(F.col(c), "True").otherwise("False")
     told = F.format_string("title=%.1f; models=%d; brand=%s; supplier_sku_hit=%s; sku_distinctive=%s", F.bround("base", 1), "matched_models", flag("brand_present"), flag("sku_hit"), flag("sku_distinctive"))
     reason = F.when(F.size("conflicts") > 0, F.array_join("conflicts", "; ")).otherwise(told)
-    return rows.withColumns({"status": status, "score": score, "reason": reason}).drop("_own", "_hay", "_brand", "_sku", "_c", "_variants", "_models", "_family", "_has", "_matched", "_score")
+    return rows.withColumns({"status": status, "score": score, "reason": reason}).drop("_own", "_hay", "_mine", "_theirs", "_brand", "_sku", "_c", "_variants", "_models", "_family", "_has", "_matched", "_score")

@@ -102,15 +102,15 @@ def assess(offers: DataFrame, missions: DataFrame, red: float = 10.0, tolerance:
     guarded, reason = base, F.concat(F.lit("BASE_PRICE_SCORE_"), F.col("score").cast("string"))
     for condition, sign, why in reversed(rules):
         guarded, reason = F.when(condition, F.lit(sign)).otherwise(guarded), F.when(condition, why).otherwise(reason)
-    reserve = F.round(median - own, 2)
+    reserve = scalars.rounded(median - own, 2)
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return (
         missions.join(market, "article", "left").join(counts, "article", "left")
         .withColumn("score", F.when(over, F.least(price_score(own, median), F.lit(39))).otherwise(price_score(own, median)))
         .select(
-            "article", F.col("own_price"), sources.alias("sources"), "market_min", "market_median", F.round("market_avg", 2).alias("market_avg"), "market_max",
+            "article", F.col("own_price"), sources.alias("sources"), "market_min", "market_median", scalars.rounded(F.col("market_avg"), 2).alias("market_avg"), "market_max",
             zero("valid"), zero("suspicious"), zero("same_price"), zero("confirmed"), zero("probable"), "score", guarded.alias("verdict"), reason.alias("reason"),
-            reserve.alias("reserve_uah"), F.round(reserve / median * 100, 2).alias("reserve_pct"),
+            reserve.alias("reserve_uah"), scalars.rounded(reserve / median * 100, 2).alias("reserve_pct"),
             F.when((sources >= 4) & (F.col("confirmed") > 0), "Висока").when(sources >= 2, "Середня").when(sources == 1, "Низька").otherwise("Немає даних").alias("confidence"),
         )
     )

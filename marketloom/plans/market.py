@@ -109,7 +109,7 @@ def coverage_by_source(spark, d):
     total = missions(spark, d).agg(F.count(F.lit(1)).alias("total"))
     seen = market.accepted(offers(spark, d)).groupBy("source").agg(F.countDistinct("article").alias("products"))
     return planned.join(seen, "source", "left").join(F.broadcast(total)).select(  # total is one row
-        "source", F.coalesce("products", F.lit(0)).alias("products"), F.round(F.coalesce("products", F.lit(0)) * 100.0 / F.col("total"), 1).alias("percent")
+        "source", F.coalesce("products", F.lit(0)).alias("products"), scalars.rounded(F.coalesce("products", F.lit(0)) * 100.0 / F.col("total"), 1).alias("percent")
     )
 
 
@@ -126,7 +126,7 @@ def source_count_histogram(spark, d):
 
 
 def all_sources(spark, d):
-    return _sources_of(spark, d).agg(F.count_if(F.col("n") == 6).alias("products"), F.round(F.count_if(F.col("n") == 6) * 100.0 / F.count(F.lit(1)), 1).alias("percent"))
+    return _sources_of(spark, d).agg(F.count_if(F.col("n") == 6).alias("products"), scalars.rounded(F.count_if(F.col("n") == 6) * 100.0 / F.count(F.lit(1)), 1).alias("percent"))
 
 
 def market_pivot(spark, d):

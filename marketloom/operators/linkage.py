@@ -11,25 +11,36 @@ from marketloom.operators.matching import LEAST_OVERLAP, long_words, norm
 HOT = 1_000
 
 
-def _pair(a: Column, b: Column) -> Column:
-    return F.concat_ws("\u0001", F.least(a, b), F.greatest(a, b))
+#: Words that make a block at most, and words of a product among which so many are chosen at most (beyond, fewer make a block).
+MOST, AMONG = 4, {2: 1_000, 3: 10, 4: 8}
 
 
-def keyed(products: DataFrame, counts: DataFrame, least: float, hot: int) -> DataFrame:
-    """Rows (product, words, first, paired, key) of products (product, words). A product's words are ordered by the number of
-    offers that hold them. Whatever offer has a share `least` of its n words has one of the first n - ceil(least n) + 1; and
-    two of the first n - ceil(least n) + 2, if two are needed at all. Where one of the first words is hot, the blocks are
-    those of two words, which hold far less."""
-    each = products.select("product", F.explode("words").alias("word")).join(counts, "word", "left")
+def _chosen(words: Column, k: int) -> Column:
+    """All choices of k of a sorted array's words, joined."""
+    if k == 1:
+        return words
+    rest = lambda i: _chosen(F.slice(words, i + 2, F.size(words)), k - 1)
+    return F.flatten(F.transform(words, lambda a, i: F.transform(rest(i), lambda b: F.concat_ws("\u0001", a, b))))
+
+
+def keyed(products: DataFrame, counts: DataFrame, total: DataFrame, least: float, hot: int) -> DataFrame:
+    """Rows (product, words, first, k, key) of products (product, words). A product's words are ordered by the number of offers
+    that hold them. Whatever offer has a share `least` of its n words has k of the first n - ceil(least n) + k, for every k
+    that is needed at all. Blocks are those of one word; where the largest would be hot, of two, three or four, by the
+    number that they would hold if words fell together by chance (total: one row with the number of offers)."""
+    each = products.select("product", F.explode("words").alias("word")).join(counts.hint("merge"), "word", "left")
     ordered = each.groupBy("product").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("offers", F.lit(0)).alias("offers"), "word"))).alias("w"))
     n = F.size("w")
     need = F.greatest(F.lit(1), F.ceil(n * least - 1e-9)).cast("int")
-    rows = ordered.withColumn("paired", (need >= 2) & F.exists(F.slice("w", 1, n - need + 1), lambda x: x["offers"] > hot))
-    first = F.transform(F.slice("w", 1, n - need + F.when(F.col("paired"), 2).otherwise(1)), lambda x: x["word"])
-    rows = rows.select("product", F.transform("w", lambda x: x["word"]).alias("words"), "paired", first.alias("first"))
-    later = lambda i: F.slice("first", i + 2, F.size("first"))
-    pairs = F.flatten(F.transform("first", lambda a, i: F.transform(later(i), lambda b: _pair(a, b))))
-    return rows.withColumn("key", F.explode(F.when(F.col("paired"), pairs).otherwise(F.col("first"))))
+    # The most common k of the first words make the largest block.
+    held = lambda k: F.aggregate(F.slice("w", n - need + 1, k), F.col("total").cast("double"), lambda x, w: x * w["offers"] / F.col("total"))
+    level = F.lit(1)
+    for k in range(2, MOST + 1):
+        level = F.when((level == k - 1) & (need >= k) & (n - need + k <= AMONG[k]) & (held(k - 1) > hot), k).otherwise(level)
+    rows = ordered.join(F.broadcast(total)).withColumn("k", level)  # total is one row
+    first = F.transform(F.slice("w", 1, n - need + F.col("k")), lambda x: x["word"])
+    rows = rows.select("product", F.transform("w", lambda x: x["word"]).alias("words"), "k", first.alias("first"))
+    return rows.withColumn("key", F.explode(F.coalesce(*[F.when(F.col("k") == k, _chosen(F.sort_array("first"), k)) for k in range(1, MOST + 1)])))
 
 
 def linked(products: DataFrame, offers: DataFrame, product: str, source: str, offer: str, title: str, least: float = LEAST_OVERLAP, hot: int = HOT) -> DataFrame:
@@ -37,20 +48,22 @@ def linked(products: DataFrame, offers: DataFrame, product: str, source: str, of
     three letters or more (each word once). Products without such words are in no pair; null texts have none; a row that
     repeats a product or offer id counts with the words of all its rows.
 
-    A pair is found in one block alone: that of the first of the product's words (or the first two) that the offer has. Pairs
-    are never gathered, and blocks that stay large, as no second word is needed, are split by Spark as they are joined."""
+    A pair is found in one block alone: that of the first of the product's words (or the first k) that the offer has. Pairs
+    are never gathered, and blocks that stay large, as no second word is needed, are split by Spark as they are joined. Joins
+    are by sorting: a table's file tells too little of the size of its words for Spark to choose what to send to all."""
     taken = lambda rows, key, text, name: rows.select(F.col(key).alias(name), long_words(norm(F.col(text))).alias("w")).filter("size(w) > 0 and w[0] <> ''").groupBy(name).agg(F.array_distinct(F.flatten(F.collect_list("w"))).alias("words"))
     bought, sold = taken(products, product, source, "product"), taken(offers, offer, title, "offer")
     words = sold.select("offer", F.explode("words").alias("word"))
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("offers"))
-    blocks = keyed(bought, counts, least, hot)
-    two = blocks.filter("paired").select(F.explode("first").alias("word")).distinct()
-    some = words.join(two, "word", "left_semi").groupBy("offer").agg(F.array_sort(F.collect_list("word")).alias("s"))
-    pairs = F.flatten(F.transform("s", lambda a, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda b: _pair(a, b))))
-    single = sold.select("offer", F.col("words").alias("has"), F.explode("words").alias("key"))
-    double = some.select("offer", F.explode(pairs).alias("key")).join(blocks.filter("paired").select("key").distinct(), "key", "left_semi").join(sold.withColumnRenamed("words", "has"), "offer").select("offer", "has", "key")
-    met = blocks.join(single.unionByName(double), "key")
+    blocks = keyed(bought, counts, sold.agg(F.count(F.lit(1)).alias("total")), least, hot)
+    # Which levels and words several-word blocks use at all; offers choose among these alone, and keep the keys that are there.
+    used = blocks.filter("k > 1").select("k", F.explode("first").alias("word")).distinct()
+    some = words.join(used.hint("merge"), "word").groupBy("offer", "k").agg(F.sort_array(F.collect_list("word")).alias("s"))
+    several = some.select("offer", "k", F.explode(F.coalesce(*[F.when(F.col("k") == k, _chosen(F.col("s"), k)) for k in range(2, MOST + 1)])).alias("key"))
+    several = several.join(blocks.filter("k > 1").select("k", "key").distinct().hint("merge"), ["k", "key"], "left_semi").join(sold.withColumnRenamed("words", "has").hint("merge"), "offer").select("offer", "has", "k", "key")
+    single = sold.select("offer", F.col("words").alias("has"), F.lit(1).alias("k"), F.explode("words").alias("key"))
+    met = blocks.join(single.unionByName(several).hint("merge"), ["k", "key"])
     shared = F.array_intersect("first", "has")
-    own = F.when(F.col("paired"), _pair(F.get(shared, 0), F.get(shared, 1))).otherwise(F.get(shared, 0))
+    own = F.array_join(F.sort_array(F.slice(shared, 1, F.col("k"))), "\u0001")
     overlap = F.size(F.array_intersect("words", "has")) / F.size("words")
     return met.filter(F.col("key") == own).select("product", "offer", overlap.alias("overlap")).filter(F.col("overlap") >= least - 1e-9)

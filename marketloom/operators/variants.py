@@ -220,6 +220,6 @@ def compared(offers: DataFrame, source: str = "source", title: str = "title") ->
     # A product's text repeats with each of its offers, and a signature costs far more than a join.
     parts = max(int(offers.sparkSession.conf.get("spark.sql.shuffle.partitions")), offers.sparkSession.sparkContext.defaultParallelism)
     own = with_signature(offers.select(F.col(source).alias("_source")).repartition(parts, "_source").distinct(), "_source", "_a_")
-    rows = with_signature(offers, title, "_b_").join(own, F.col(source).eqNullSafe(F.col("_source"))).drop("_source")
+    rows = with_signature(offers, title, "_b_").join(own.hint("merge"), F.col(source).eqNullSafe(F.col("_source"))).drop("_source")
     a, b = signature("_a_"), signature("_b_")
     return rows.withColumns({"variant_conflicts": conflicts(a, b), "generation": generation_state(a, b), "models_shared": F.array_intersect(a["models"], b["models"])}).drop(*[f"{side}{f}" for side in ("_a_", "_b_") for f in FIELDS])

@@ -32,10 +32,12 @@ def flag_outliers(offers: DataFrame, missions: DataFrame, ratio: float = OUTLIER
     priced = offers.join(own, "article", "left").withColumn("_own", F.lit(False))
     extra = own.filter("own_price is not null").select("article", "own_price", F.col("own_price").alias("price"), F.lit(True).alias("_own"))
     rows = priced.unionByName(extra, allowMissingColumns=True)
-    by = Window.partitionBy("article")
-    m, r = F.count("price").over(by), F.row_number().over(by.orderBy(F.col("price").asc_nulls_last()))
+    # One order for all windows, so a task sorts once.
+    by = Window.partitionBy("article").orderBy(F.col("price").asc_nulls_last())
+    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    m, r = F.count("price").over(whole), F.row_number().over(by)
     ranked = rows.withColumns({"_m": m, "_r": r})
-    middle = {f"_v{i}": F.max(F.when(F.col("_r") == F.floor(F.col("_m") / 2) + i, F.col("price"))).over(by) for i in range(3)}
+    middle = {f"_v{i}": F.max(F.when(F.col("_r") == F.floor(F.col("_m") / 2) + i, F.col("price"))).over(whole) for i in range(3)}
     above = lambda i: F.floor(F.col("_m") / 2) + i < F.col("_r")
     pick = lambda i: F.when(above(i), F.col(f"_v{i}")).otherwise(F.col(f"_v{i + 1}"))
     reference = F.when((F.col("_m") >= 2) & F.col("price").isNotNull(), (pick(0) + F.when(F.col("_m") % 2 == 1, pick(1)).otherwise(pick(0))) / 2)

@@ -14,7 +14,8 @@ contexts, and their restaurants are seated by one Gibbs sweep: the customers of
 the Chinese restaurant rule (waiting times to the next new table are beta-geometric, so a dish costs as many steps as
 tables), and the move is accepted by Metropolis-Hastings. Predictive probabilities are averaged over the sweeps after
 burn-in; what stays of the restaurants is written once, what a sweep changes after each. 5. The batches add up their texts' log probabilities. Only pre-aggregated pairs and words are shuffled, never
-texts; nothing of the size of the vocabulary is broadcast or collected.
+texts; nothing of the size of the vocabulary is broadcast or collected. There are as many partitions as a shuffle has,
+but no more than the texts fill (PART_BYTES): a small table in many partitions would send little else than empty messages.
 
 What is approximate: within a sweep the parent's probabilities and the restaurants' table totals are those of its
 start, and a dish's last weight is kept although they have changed.
@@ -44,6 +45,9 @@ D, THETA = 0.8, 1.0
 D_PARENT, THETA_PARENT = 0.75, 1.0
 BURN_IN, SAMPLES = 1, 3
 BATCH_TOKENS = 800_000
+#: Bytes of text for which one more partition of words and contexts is made: partitions write to each other, so their
+#: messages grow with the square of their number.
+PART_BYTES = 12_000_000
 #: A context is hot from 1/HOT of a mean partition's tokens on.
 HOT = 4
 #: Dishes from which on they are seated together, as arrays.
@@ -256,8 +260,13 @@ def _joined(row: dict, column: str, kind) -> np.ndarray:
 _SENT = "kind byte, label int, part int, source long, a long, x double, y double, blobs array<binary>"
 #: Pairs of a batch; their places among the pairs of a partition; the restaurants of a partition, and their seating;
 #: tables by word; the parent's masses by word; sums of the parent (a: tables, x: mass, y: the unknown's); tables of a
-#: hot context (source: hash, a: tables); the log probabilities of the pairs of a partition.
-PAIRS, PLACES, LAYOUT, STATE, OPENED, MASSES, PARENT, TABLES, LOGP = range(9)
+#: hot context (source: hash, a: tables); the log probabilities of the pairs of a partition; the probabilities of a hot
+#: context's pairs (a: place of the first), as if it had y tables, and what each table adds (x: those of this partition).
+PAIRS, PLACES, LAYOUT, STATE, OPENED, MASSES, PARENT, TABLES, LOGP, LATE = range(10)
+
+
+def _coded(p: np.ndarray) -> np.ndarray:
+    return np.minimum(np.round(-np.log10(np.maximum(p, 1e-31)) / GRAIN), 65535).astype(np.uint16)
 
 
 def _sent(rows: list[tuple]) -> pa.RecordBatch:
@@ -334,10 +343,12 @@ class Restaurants:
         return customers
 
     def sweep(self, base: np.ndarray, hot: dict, tables: dict, rng: np.random.Generator, sample: bool) -> None:
-        """Seats all dishes once, base being the parent's probabilities of words; a sample is remembered."""
+        """Seats all dishes once, base being the parent's probabilities of words; a sample is remembered. How many tables a hot
+        context has after it is known in the next sweep alone, when other partitions have told theirs."""
         elsewhere, here = np.zeros(len(self.context)), np.bincount(self.group, self.t, minlength=len(self.context))
         for i in self.hot(hot):
             elsewhere[i] = max(0.0, tables.get(int(self.context[i]), 0) - here[i])
+            self.tables[-1:, i] = tables.get(int(self.context[i]), 0)
         _, t, weight = gibbs(self.c, self.t, self.weight, base[self.w], self.group, self.customers(hot), elsewhere, D, THETA, rng, 1, 0)
         self.t, self.weight = t.astype(np.int32), np.where(self.c > 1, weight, 0.0)
         if sample:
@@ -352,6 +363,16 @@ class Restaurants:
             total += (THETA + D * tables)[self.group] * base[self.w]
         return total / (len(self.bases) * (THETA + self.customers(hot)))[self.group]
 
+    def late(self, part: int, labels: list[int], hot: dict, p: np.ndarray) -> list[tuple]:
+        """The probabilities p of contexts that are dealt over several partitions, whose last tables are not known yet."""
+        here, starts, out = np.bincount(self.group, self.t, minlength=len(self.context)), np.concatenate(([0], np.cumsum(self.runs))), []
+        for i in (i for i in self.hot(hot) if hot[int(self.context[i])][2] > 1):
+            s = slice(starts[i], starts[i + 1])
+            each = D * self.bases[-1][self.w[s]] / (len(self.bases) * (THETA + hot[int(self.context[i])][0]))
+            blobs = [_zip(x.astype(np.float32)) for x in (p[s], each)]
+            out.append((LATE, labels[part], part, int(self.context[i].view(np.int64)), int(starts[i]), float(here[i]), float(self.tables[-1][i]), blobs))
+        return out
+
     def rows(self, part: int, labels: list[int], hot: dict) -> list[tuple]:
         """The seating, the tables of each word for the word's partition, and those of hot contexts."""
         out = [(STATE, labels[part], part, part, 0, 0.0, 0.0, self.pack(self.STATE))]
@@ -416,14 +437,17 @@ def _seated(rows: Iterator[pa.RecordBatch], labels: list[int], shared, sweep: in
         if sweep < BURN_IN + SAMPLES - 1:
             yield _sent(state.rows(part, labels, s["hot"]))
         else:
-            logp = np.minimum(np.round(-np.log10(np.maximum(state.probabilities(s["hot"]), 1e-31)) / GRAIN), 65535).astype(np.uint16)
-            yield _sent([(LOGP, labels[part], part, part, 0, 0.0, 0.0, [_zip(logp)])])
+            p = state.probabilities(s["hot"])
+            yield _sent([(LOGP, labels[part], part, part, 0, 0.0, 0.0, [_zip(_coded(p))]), *state.late(part, labels, s["hot"], p)])
 
 
-def _found(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The log probabilities of the pairs that each batch has sent."""
+def _found(rows: Iterator[pa.RecordBatch], tables) -> Iterator[pa.RecordBatch]:
+    """The log probabilities of the pairs that each batch has sent; tables: of the contexts of several partitions."""
     for part, got in _by_part(rows).items():
         logp = _unzip(next(r["blobs"][0] for r in got if r["kind"] == LOGP), np.uint16)
+        for r in (r for r in got if r["kind"] == LATE):
+            p, each = (_unzip(x, np.float32).astype(float) for x in r["blobs"])
+            logp[r["a"] : r["a"] + len(p)] = _coded(p + (tables.value[r["source"]] - r["y"]) * each)
         for r in (r for r in got if r["kind"] == PLACES):
             found = _zip(logp[_unzip(r["blobs"][0], np.int32)])
             yield pa.RecordBatch.from_arrays([pa.array([r["source"]], pa.int64()), pa.array([part], pa.int32()), pa.array([found], pa.binary())], names=["batch", "part", "logp"])
@@ -451,9 +475,10 @@ def _scored(rows: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 10) -> DataFrame:
     """doc_id, held_out (crc32 of the id mod fold is 0), n_tokens, n_known, train_tokens, base_score, score per row."""
     spark = docs.sparkSession
-    labels = common.even_labels(spark, common.shuffle_parts(spark))
-    parts = len(labels)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, min(common.shuffle_parts(spark), -(-size // PART_BYTES)))
+    labels = common.even_labels(spark, parts)
     batches = common.materialize(
         base.mapInArrow(lambda r: _batches(r, parts, fold), "batch long, ids array<long>, held array<boolean>, lens binary, words binary, tokens binary"), "batches"
     )
@@ -484,8 +509,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         common.discard(*last)
         now.destroy()
         then.destroy()
-    seated = layout.filter(F.col("kind") == PLACES).unionByName(state.filter(F.col("kind") == LOGP)).repartition(parts, "label")
-    seated = common.materialize(seated.mapInArrow(_found, "batch long, part int, logp binary"), "probabilities")
+    late = spark.sparkContext.broadcast(dict(state.filter(F.col("kind") == LATE).groupBy("source").agg(F.sum("x")).collect()))
+    seated = layout.filter(F.col("kind") == PLACES).unionByName(state.filter(F.col("kind").isin(LOGP, LATE))).repartition(parts, "label")
+    seated = common.materialize(seated.mapInArrow(lambda r: _found(r, late), "batch long, part int, logp binary"), "probabilities")
+    late.destroy()
     common.discard(layout, state)
     answers = counted.filter("kind = 0").groupBy("batch").agg(F.collect_list(F.struct("part", "counts")).alias("answers"))
     found = seated.groupBy("batch").agg(F.collect_list(F.struct("part", "logp")).alias("found"))

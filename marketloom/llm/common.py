@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketloom.llm import words
+
 #: The bytes that separate words: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -68,8 +70,13 @@ def quoted(name: str) -> Column:
 
 def filtered(docs: DataFrame, keep) -> DataFrame:
     """docs with what keep leaves of its batches, whatever its columns are called; keep goes by their places."""
+
+    def kept(batches):
+        yield from keep(batches)
+        words.release()  # workers wait with what they hold
+
     inner = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
-    return inner.mapInArrow(keep, inner.schema).toDF(*docs.columns)
+    return inner.mapInArrow(kept, inner.schema).toDF(*docs.columns)
 
 
 #: Rows of one long that may be broadcast.

@@ -40,8 +40,8 @@ LONG, COLUMNS = 16, 512
 #: What sums in single precision may be off by, at most.
 SLACK = 1e-5
 K = 15
-#: Documents that are scored together.
-TOGETHER = 64
+#: Documents that are scored together, at most, and the index entries that they look up, but for a text that has more.
+TOGETHER, ENTRIES = 64, 400_000
 #: Blocks that a document scores before the others are held against its K-th best cosine.
 FIRST_BLOCKS = 4
 THRESHOLD = 0.7
@@ -107,7 +107,7 @@ class BlockMaxIndex:
         self.matrix[example[dense], self.column[term[dense]]] = weight[dense]
         order = np.lexsort((example[~dense], term[~dense]))
         self.example, term, self.weight = example[~dense][order].astype(np.int32), term[~dense][order], weight[~dense][order]
-        key = term * self.blocks + self.example // BLOCK
+        key = term.astype(np.int64) * self.blocks + self.example // BLOCK
         self.entry = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))).astype(np.int32) if len(key) else np.zeros(0, np.int32)
         self.length = np.diff(np.append(self.entry, len(key))).astype(np.int8)
         self.block = (key[self.entry] % self.blocks).astype(np.int16 if self.blocks < 2**15 else np.int32)
@@ -186,8 +186,8 @@ class Model:
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, example: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> None:
         self.ids, self.labels = ids, labels.astype(float)
-        self.known, self.term = np.unique(hashes, return_inverse=True)
-        self.example, self.counts = example, counts
+        self.known, term = np.unique(hashes, return_inverse=True)
+        self.example, self.term, self.counts = example, term.astype(np.int32), counts
         self.base = float(self.labels.mean()) if len(labels) else 0.0
         self.ends, self.values = np.zeros(1), np.zeros(1)
 
@@ -220,6 +220,10 @@ class Model:
         weight = np.where(near >= 0, 1 / (1 - np.minimum(cosine, 1) + 0.05), 0)
         return np.round(((weight * self.labels[near]).sum(axis=1) + self.base) / (weight.sum(axis=1) + 1), 9), near
 
+    def entries(self, place: np.ndarray, term: np.ndarray, texts: int) -> np.ndarray:
+        """How many entries of the index the terms of each text look up."""
+        return np.bincount(place, np.diff(self.index.start)[term], minlength=texts).astype(np.int64)
+
     def score(self, place: np.ndarray, term: np.ndarray, n: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
         """Scores of texts given as triples, and the numbers of their nearest examples (-1: none)."""
         if not len(self.labels):
@@ -267,10 +271,10 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
     rows.sort(key=lambda r: (r["label"], r["doc_id"]))  # examples of one label share blocks, which makes the bounds tighter
     lengths = [len(r["n"]) // 4 for r in rows]
     joined = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rows]) if rows else np.zeros(0, kind)
-    model = Model(
-        np.array([r["doc_id"] for r in rows], np.int64), np.array([r["label"] for r in rows], float),
-        np.repeat(np.arange(len(rows)), lengths), joined("terms", np.uint64), joined("n", np.int32).astype(np.int64),
-    )
+    packed = [np.array([r["doc_id"] for r in rows], np.int64), np.array([r["label"] for r in rows], float), np.repeat(np.arange(len(rows), dtype=np.int32), lengths), joined("terms", np.uint64), joined("n", np.int32)]
+    del rows, joined  # the driver's memory is scarce
+    model = Model(*packed)
+    del packed
     known = spark.sparkContext.broadcast(model.known)
     counted = texts.select("text").mapInArrow(lambda rows: _occurring(rows, known), "start long, n binary")
     parts = max(1, min(common.shuffle_parts(spark), -(-len(model.known) // RANGE)))
@@ -278,17 +282,25 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
     for start, n in counted.repartition(parts, "start").mapInArrow(_summed, "start long, n binary").collect():
         df[start : start + RANGE] = np.frombuffer(n, np.int64)
     known.destroy()
-    del rows, joined
     model.complete(df, total)
     words.release()
     return model
 
 
+def together(entries: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs (start, end) of texts that look up so many index entries each: TOGETHER texts and ENTRIES at most, one text at least."""
+    at, total = 0, np.concatenate(([0], np.cumsum(entries)))
+    while at < len(entries):
+        end = max(at + 1, min(at + TOGETHER, int(np.searchsorted(total, total[at] + ENTRIES, "right")) - 1))
+        yield at, end
+        at = end
+
+
 def _scored(model: Model, terms: Terms, texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     place, term, n = terms.counts(texts)
-    for at in range(0, len(texts), TOGETHER):
-        a, b = np.searchsorted(place, (at, at + TOGETHER))
-        yield model.score(place[a:b] - at, term[a:b], n[a:b], min(TOGETHER, len(texts) - at))
+    for at, end in together(model.entries(place, term, len(texts))):
+        a, b = np.searchsorted(place, (at, end))
+        yield model.score(place[a:b] - at, term[a:b], n[a:b], end - at)
 
 
 def _scores(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:

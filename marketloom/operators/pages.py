@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions import scalars
+from marketloom.functions.folding import let
 from marketloom.sources.sinks import stored
 
 # Meta elements by attribute and value, in the order in which they are tried.
@@ -52,10 +53,9 @@ def scripts(html: Column, kind: str = "") -> Column:
 
 def named_prices(text: Column) -> Column:
     """The prices that a text names, but for those with words of monthly payments near them."""
-    pieces = F.split(F.regexp_replace(text, PRICE, "\u0001$0\u0002$1\u0003"), "\u0001")
     plain = lambda x: F.regexp_replace(x, "\u0002[^\u0003]*\u0003", "")
 
-    def one(piece: Column, i: Column) -> Column:
+    def one(pieces: Column, piece: Column, i: Column) -> Column:
         # A piece begins with a price, so a dozen of them reach over the distance on either side.
         before = F.right(F.array_join(F.slice(pieces, F.greatest(i - 15, F.lit(1)), F.least(i, F.lit(16))), ""), F.lit(BESIDE + 200))
         after = F.array_join(F.slice(pieces, i + 1, 16), "")
@@ -64,7 +64,8 @@ def named_prices(text: Column) -> Column:
         amount = F.regexp_extract(piece, "\u0002([^\u0003]*)\u0003", 1)
         return F.when((i > 0) & ~reduce(lambda a, b: a | b, [near.contains(w) for w in MONTHLY]), scalars.parse_page_price(amount))
 
-    return F.array_compact(F.transform(pieces, one))
+    marked = F.split(F.regexp_replace(text, PRICE, "\u0001$0\u0002$1\u0003"), "\u0001")
+    return let(marked, lambda pieces: F.array_compact(F.transform(pieces, lambda piece, i: one(pieces, piece, i))))
 
 
 def _types(v: Column) -> Column:
@@ -106,10 +107,10 @@ def extracted(pages: DataFrame) -> DataFrame:
     })
     prices = F.flatten(F.transform("_scripts", lambda s: F.concat(*[F.transform(F.regexp_extract_all(s, F.lit(p), 1), scalars.parse_page_price) for p in SCRIPT_PRICES])))
     usable = F.transform(F.filter(prices, lambda p: p.between(20, 10_000_000)), lambda p: F.round(p, 2))
-    counted = F.transform(F.array_distinct(usable), lambda p: F.struct(F.size(F.filter(usable, lambda q: q == p)).alias("n"), p.alias("p")))
+    counted = lambda all_: F.transform(F.array_distinct(all_), lambda p: F.struct(F.size(F.filter(all_, lambda q: q == p)).alias("n"), p.alias("p")))
     names = F.filter(F.transform("_scripts", lambda s: F.regexp_extract(s, SCRIPT_NAME, 1)), lambda n: n != "")
     low = F.lower("_text")
-    rows = rows.withColumns({"_embedded": F.array_max(counted)["p"], "_name": F.get(names, F.lit(0)), "_named": F.get(named_prices(F.col("_text")), F.lit(0)), "_phrase": F.coalesce(*[F.when(low.contains(p), p) for p in PHRASES])})
+    rows = rows.withColumns({"_embedded": let(usable, lambda all_: F.array_max(counted(all_)))["p"], "_name": F.get(names, F.lit(0)), "_named": F.get(named_prices(F.col("_text")), F.lit(0)), "_phrase": F.coalesce(*[F.when(low.contains(p), p) for p in PHRASES])})
     found = jsonld_products(pages.select("page", html.alias("html"))).select("page", F.col("name").alias("_ld_name"), F.col("price").alias("_ld"), F.col("availability").alias("_ld_stock"))
     rows = rows.drop("html", "_scripts", "_text").join(found, "page", "left")
     steps = [("jsonld", "_ld"), ("meta", "_meta"), ("embedded_json", "_embedded"), ("text", "_named")]

@@ -468,7 +468,7 @@ def _met(members: DataFrame, values: DataFrame, value: str, width: int) -> DataF
 
 
 def _between(members: DataFrame, joined: DataFrame, near: DataFrame, classes: DataFrame, base: DataFrame, documents: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """Links that join what the components leave apart."""
+    """Edges of the components as they are with the links that join what they left apart."""
     apart = _placed(members, joined)
     pairs = common.materialize(_short_pairs(apart, percent).join(near, ["a", "b"], "left_anti"), "pairs")
     pairs = common.materialize(_not_refuted(pairs, common.only(classes, _ends(pairs), "key"), percent), "possible")
@@ -485,15 +485,20 @@ def _between(members: DataFrame, joined: DataFrame, near: DataFrame, classes: Da
     # in its home a set meets all others of the list, whatever they share first
     together = home.join(sizes.filter("length > 1"), "token").withColumn("before", F.lit(0)).withColumn("home", F.lit(0))
     forest = common.materialize(_met(together, common.only(sets, hopeful, "key"), "set", 6).mapInArrow(lambda rows: _forest(rows, percent), "a long, b long"), "links")
-    again = connected_components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links).unionByName(forest))
+    again = connected_components(_edges(joined).unionByName(links).unionByName(forest))
     left = _placed(long.drop("length", "size"), again).join(home.select("key", F.col("token").alias("home")), "key")
     rest = _met(left, common.only(classes, hopeful, "key"), "sketch", 1).mapInArrow(lambda rows: _block_pairs(rows, percent), "a long, b long").distinct()
     rest = common.materialize(rest, "possible")
-    found = links.unionByName(forest).unionByName(_verified(rest, common.only(sets, _ends(rest), "key"), percent))
+    found = _edges(again).unionByName(_verified(rest, common.only(sets, _ends(rest), "key"), percent))
     common.discard(apart, pairs)
     return found
 
 
+def _edges(components: DataFrame) -> DataFrame:
+    """Components as stars, which take no more rounds to be found again."""
+    return components.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return common.materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "keys")
 
@@ -545,9 +550,9 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = _sets_of(_ends(possible), base, documents, shingle)
     links = _verified(possible, sets, percent)
     common.discard(sets, possible)
-    more = _between(members, connected_components(links), near, classes, base, documents, percent, shingle)
+    found = _between(members, connected_components(links), near, classes, base, documents, percent, shingle)
     common.discard(lists, near, classes)
-    return documents, connected_components(links.unionByName(more))
+    return documents, connected_components(found)
 
 
 def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, shingle: int = 5) -> DataFrame:

@@ -40,6 +40,8 @@ NO_MODEL = "din iso iec en usb wifi lte mah ah wh hz mm cm kg kw kva volt v w".s
 NO_GENERATION = "gb гб tb тб hz гц mm мм cm см ml мл usb type wifi lte розмір размер size".split()
 GENERATION_UNITS = "gb гб tb тб hz гц mm мм cm см ml мл kg кг w вт inch inches дюйм дюйма дюймов дюйми дюймів".split()
 UNIT_NAMES = {"мм": "mm", "см": "cm", "мл": "ml", "кг": "kg"}
+#: Letters of the longest core token that tells a family; longer ones are codes of their own.
+FAMILY_LENGTH = 8
 _U = "(?iuU)"
 _EMPTY = "array<string>"
 
@@ -173,8 +175,9 @@ def with_signature(rows: DataFrame, text: str, name: str) -> DataFrame:
     return rows.withColumns({f"{name}{f}": c for f, c in zip(FIELDS, made, strict=True)}).drop("_norm", "_low", "_kind")
 
 
-def conflicts(a: dict[str, Column], b: dict[str, Column]) -> Column:
-    """Where two signatures differ: an array of (rule, expected, got), in the order of the rules. a is the product's."""
+def conflicts(a: dict[str, Column], b: dict[str, Column], family_length: int | None = FAMILY_LENGTH) -> Column:
+    """Where two signatures differ: an array of (rule, expected, got), in the order of the rules. a is the product's.
+    family_length: see compared."""
     def told(rule: str, when: Column, x: Column, y: Column) -> Column:
         row = F.struct(F.lit(rule).alias("rule"), x.alias("expected"), y.alias("got"))
         return F.when(when, F.array(row)).otherwise(F.array().cast("array<struct<rule:string,expected:array<string>,got:array<string>>>"))
@@ -190,7 +193,7 @@ def conflicts(a: dict[str, Column], b: dict[str, Column]) -> Column:
     bases = F.array_intersect(F.filter(F.transform(a["models"], base), lambda x: x != ""), F.transform(b["models"], base))
     suffix = F.exists(bases, lambda k: ~F.arrays_overlap(of(a["models"], k), of(b["models"], k))) & (F.size(b["models"]) > 0)
     part = lambda s: F.coalesce(s["entity"].isin(list(PARTS)), F.lit(False))
-    short = lambda s: F.filter(s["core"], lambda t: F.length(t) <= 8)
+    short = lambda s: s["core"] if family_length is None else F.filter(s["core"], lambda t: F.length(t) <= family_length)
     family = _apart(short(a), short(b))
     word = lambda g: F.substring_index(g, "=", 1)
     other = lambda x, y: F.filter(x, lambda g: F.exists(y, lambda h: (word(h) == word(g)) & (h != g)))
@@ -214,12 +217,13 @@ def generation_state(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return F.when(F.size(a["generations"]) == 0, "none").when(differ, "mismatch").when(shared, "confirmed").otherwise("unconfirmed")
 
 
-def compared(offers: DataFrame, source: str = "source", title: str = "title") -> DataFrame:
+def compared(offers: DataFrame, source: str = "source", title: str = "title", family_length: int | None = FAMILY_LENGTH) -> DataFrame:
     """Adds variant_conflicts (rule, expected, got), generation and models_shared to offers with the product's text and a title;
-    matching.validated then takes them into account."""
+    matching.validated then takes them into account. Core tokens of at most family_length letters tell a product's family, all
+    of them if it is None (where model numbers count through a table, their length says nothing)."""
     # A product's text repeats with each of its offers, and a signature costs far more than a join.
     parts = max(int(offers.sparkSession.conf.get("spark.sql.shuffle.partitions")), offers.sparkSession.sparkContext.defaultParallelism)
     own = with_signature(offers.select(F.col(source).alias("_source")).repartition(parts, "_source").distinct(), "_source", "_a_")
     rows = with_signature(offers, title, "_b_").join(own.hint("merge"), F.col(source).eqNullSafe(F.col("_source"))).drop("_source")
     a, b = signature("_a_"), signature("_b_")
-    return rows.withColumns({"variant_conflicts": conflicts(a, b), "generation": generation_state(a, b), "models_shared": F.array_intersect(a["models"], b["models"])}).drop(*[f"{side}{f}" for side in ("_a_", "_b_") for f in FIELDS])
+    return rows.withColumns({"variant_conflicts": conflicts(a, b, family_length), "generation": generation_state(a, b), "models_shared": F.array_intersect(a["models"], b["models"])}).drop(*[f"{side}{f}" for side in ("_a_", "_b_") for f in FIELDS])
